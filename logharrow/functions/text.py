@@ -29,7 +29,8 @@ def match_groups(c: Column, pattern: str, groups: int, anywhere: bool = False) -
     Element ``i`` is group ``i``; an absent optional group is ``''``. Where the
     pattern does not match, ``group(m, i)`` is NULL for every ``i``. One
     ``regexp_replace`` and one ``split`` cost a single match per line, where a
-    ``regexp_extract`` per field would match the line once per field.
+    ``regexp_extract`` per field would match the line once per field. Give it a plain
+    column and ``pin`` the result: both are mentioned many times.
     """
     head = "(?s:^.*?)" if anywhere else ""
     whole = UNICODE + head + pattern + "(?s:.*)"
@@ -39,7 +40,10 @@ def match_groups(c: Column, pattern: str, groups: int, anywhere: bool = False) -
     plain = UNICODE + pattern
     by_field = F.when(
         F.rlike(c, F.lit(plain)),
-        F.array(F.lit(""), *[F.regexp_extract(c, plain, i) for i in range(1, groups + 1)]),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(groups)),
+            lambda i: F.call_function("regexp_extract", c, F.lit(plain), i),
+        ),
     )
     return F.when(F.contains(c, F.lit(SEP)), by_field).otherwise(one_pass)
 

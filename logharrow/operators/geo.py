@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logharrow.functions.ip import ip_key, is_private, v4_key
 from logharrow.operators.lookup import fits, lookup_join
+from logharrow.operators.pin import pin
 
 # Index rows that may be broadcast (about 100 bytes each), checked by counting.
 BROADCAST_INDEX_ROWS = 2_000_000
@@ -123,7 +124,7 @@ def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFra
     Otherwise each distinct address is looked up once and the answers are joined
     back by address, salted against hot addresses.
     """
-    df = df.withColumn("_key", ip_key(F.col(address)))
+    df = pin(df, _key=ip_key(F.col(address)))
     key = F.col("_key")
     if index is None:
         empty = F.lit(None).cast("struct<country_code:string,country:string>")

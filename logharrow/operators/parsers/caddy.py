@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logharrow.functions import json as J
 from logharrow.functions.text import strip
 from logharrow.functions.time import from_micros, parse_rfc3339
+from logharrow.operators.pin import pin
 
 HEADERS = "$.request.headers"
 REQUEST_TEXT = ("client_ip", "remote_ip", "remote_addr", "proto", "method", "host", "uri")
@@ -64,7 +65,7 @@ def parse_caddy(envelope: DataFrame) -> DataFrame:
     outcome = ~J.absent(v, "$.status") | ~J.absent(v, "$.request.method")
     access = J.absent(v, "$.msg") | (J.text(v, "$.msg") == "handled request")
     return (
-        envelope.withColumn("_v", J.parse_object(strip(F.col("raw"))))
+        pin(pin(envelope, _line=strip(F.col("raw"))), _v=J.parse_object(F.col("_line")))
         .withColumns({
             "parsed": F.coalesce(request & typed & outcome & access, F.lit(False)),
             "remote_host": _client(v),
@@ -80,5 +81,5 @@ def parse_caddy(envelope: DataFrame) -> DataFrame:
             "user_agent": J.empty_if_null(J.text(v, HEADERS + '["User-Agent"][0]')),
             "referer": J.empty_if_null(J.text(v, HEADERS + ".Referer[0]")),
         })
-        .drop("_v")
+        .drop("_line", "_v")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logharrow.functions.text import group, match_groups, matched, request_part, strip
 from logharrow.functions.time import parse_time
+from logharrow.operators.pin import pin
 
 # Fixed value: the accepted line shape. Anchored at the start only; text after the
 # last field is ignored. The referer and agent pair is optional.
@@ -19,7 +20,7 @@ TIME = "d/MMM/yyyy:H:m:s Z"
 def parse_clf(envelope: DataFrame) -> DataFrame:
     m = F.col("_m")
     return (
-        envelope.withColumn("_m", match_groups(strip(F.col("raw")), LINE, 9))
+        pin(pin(envelope, _line=strip(F.col("raw"))), _m=match_groups(F.col("_line"), LINE, 9))
         .withColumns({
             "parsed": matched(m),
             "remote_host": group(m, 1),
@@ -34,5 +35,5 @@ def parse_clf(envelope: DataFrame) -> DataFrame:
             "referer": group(m, 8),
             "user_agent": group(m, 9),
         })
-        .drop("_m")
+        .drop("_line", "_m")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logharrow.functions.text import group, match_groups, matched, request_part, strip
 from logharrow.functions.time import parse_naive_time
+from logharrow.operators.pin import pin
 
 # Fixed value: the accepted line shape, field by field. The header blocks repeat
 # possessively, which keeps the regex engine from recursing on long lines.
@@ -29,7 +30,7 @@ def parse_haproxy(envelope: DataFrame) -> DataFrame:
     status, size = group(m, 8).try_cast("int"), group(m, 9).try_cast("bigint")
     total_ms = group(m, 7).try_cast("bigint")
     return (
-        envelope.withColumn("_m", match_groups(strip(F.col("raw")), LINE, 11))
+        pin(pin(envelope, _line=strip(F.col("raw"))), _m=match_groups(F.col("_line"), LINE, 11))
         .withColumns({
             "parsed": matched(m),
             "remote_host": group(m, 1),
@@ -46,5 +47,5 @@ def parse_haproxy(envelope: DataFrame) -> DataFrame:
             "path": request_part(group(m, 11), 1),
             "protocol": request_part(group(m, 11), 2),
         })
-        .drop("_m")
+        .drop("_line", "_m")
     )

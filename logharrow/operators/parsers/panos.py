@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logharrow.functions.text import strip, to_number
 from logharrow.functions.time import parse_naive_time
 from logharrow.operators.parsers.firewall import normalise
+from logharrow.operators.pin import pin
 
 # 0-based field positions of a TRAFFIC record.
 POSITIONS = {
@@ -61,19 +62,17 @@ def parse_panos(envelope: DataFrame) -> DataFrame:
     raw, tag, fields = F.col("raw"), F.col("tag"), F.col("_fields")
     rejoined = F.concat(tag, F.lit(" "), raw)
     first = F.col("_first")
+    df = pin(pin(envelope, _line=strip(raw), _joined=strip(rejoined)), _first=split_quoted(F.col("_line")))
+    df = pin(df, _whole=_usable(first))
+    # The envelope may have taken the leading token for a tag: try with it back.
+    retried = F.when(tag.isNotNull(), split_quoted(F.col("_joined")))
+    df = pin(df, _fields=F.when(F.col("_whole"), first).otherwise(retried))
 
     def field(name: str) -> Column:
         return _field(fields, name)
 
     return normalise(
-        envelope.withColumn("_first", split_quoted(strip(raw)))
-        .withColumn("_whole", _usable(first))
-        # The envelope may have taken the leading token for a tag: try with it back.
-        .withColumn(
-            "_fields",
-            F.when(F.col("_whole"), first).when(tag.isNotNull(), split_quoted(strip(rejoined))),
-        )
-        .withColumns({
+        df.withColumns({
             "parsed": _usable(fields),
             "ts": parse_naive_time(field("generated"), TIME),
             "action": F.when(F.lower(field("action")) == "allow", "allow").otherwise("deny"),
@@ -90,5 +89,5 @@ def parse_panos(envelope: DataFrame) -> DataFrame:
             "application": field("application"),
             "raw": F.when(F.col("_whole") | tag.isNull(), raw).otherwise(rejoined),
         })
-        .drop("_first", "_whole", "_fields")
+        .drop("_line", "_joined", "_first", "_whole", "_fields")
     )

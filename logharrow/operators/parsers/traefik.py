@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logharrow.functions import json as J
 from logharrow.functions.text import strip
 from logharrow.functions.time import parse_rfc3339
+from logharrow.operators.pin import pin
 
 # Field names of the format, by column.
 TEXT_FIELDS = {
@@ -32,7 +33,7 @@ def parse_traefik(envelope: DataFrame) -> DataFrame:
     )
     nothing = J.absent(v, TEXT_FIELDS["method"]) & J.absent(v, TEXT_FIELDS["path"]) & J.absent(v, STATUS)
     return (
-        envelope.withColumn("_v", J.parse_object(strip(F.col("raw"))))
+        pin(pin(envelope, _line=strip(F.col("raw"))), _v=J.parse_object(F.col("_line")))
         .withColumns({
             "parsed": F.coalesce(v.isNotNull() & typed & ~nothing, F.lit(False)),
             **{name: J.empty_if_null(J.text(v, path)) for name, path in TEXT_FIELDS.items()},
@@ -41,5 +42,5 @@ def parse_traefik(envelope: DataFrame) -> DataFrame:
             "bytes": J.integer(v, SIZE),
             "duration_ms": J.integer(v, DURATION) / F.lit(1_000_000.0),  # from nanoseconds
         })
-        .drop("_v")
+        .drop("_line", "_v")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logharrow.functions.text import UNICODE, group, match_groups, matched
+from logharrow.operators.pin import pin
 from logharrow.schemas import RAW_ENVELOPE
 
 # Header shapes. Loops over free text are possessive, so long
@@ -86,9 +87,10 @@ def parse_envelope(messages: DataFrame) -> DataFrame:
     is_new, is_old = matched(new), matched(old)
     first_look = F.rlike(line, F.lit(UNICODE + r"^<\d{1,3}>1 "))
     return (
-        messages.withColumn("_new", F.when(first_look, match_groups(line, RFC5424, 6)))
-        .withColumn("_old", F.when(~is_new, match_groups(line, RFC3164, 3)))
-        .select(
+        pin(
+            pin(messages, _new=F.when(first_look, match_groups(line, RFC5424, 6))),
+            _old=F.when(~is_new, match_groups(line, RFC3164, 3)),
+        ).select(
             F.col("peer_ip").alias("source_ip"),
             F.when(is_new, _known(group(new, 2))).otherwise(F.nullif(group(old, 1), F.lit(""))).alias("hostname"),
             F.when(is_new, _known(group(new, 3))).otherwise(F.nullif(group(old, 2), F.lit(""))).alias("tag"),
