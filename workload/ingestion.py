@@ -77,7 +77,7 @@ _parse("cisco_asa", {
 _parse("panos", {
     **_FLOW,
     **_same("dst_port", "bytes", "event_type"),
-    "rule": "concat('zone, \"a\", ', rule)",
+    "rule": "trim(concat('zone, \"a\", ', rule))",
     "application": "coalesce(application, '')",
     "ts": _SECOND,
 }, derive.FIREWALL)
