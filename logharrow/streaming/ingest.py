@@ -40,19 +40,26 @@ def store_batch(
         routed.unpersist()
 
 
-def outcomes(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """What becomes of each message: ``received_at``, ``log_type``, ``parsed``."""
-    routed = mark_outcome(parse_envelope(messages), sources)
-    parts = [
-        spec.parse(routed.where(F.col("log_type") == name)).select("received_at", "log_type", "parsed")
-        for name, spec in registry.REGISTRY.items()
-    ]
-    result = routed.where(F.col("log_type").isNull()).select(
-        "received_at", "log_type", F.lit(False).alias("parsed")
-    )
-    for part in parts:
-        result = result.unionAll(part)
-    return result
+def outcomes(
+    messages: DataFrame, sources: DataFrame, broadcast: bool | None = None
+) -> DataFrame:
+    """What becomes of each message: ``received_at``, ``log_type``, ``parsed``.
+
+    One scan: every parser looks at each row, but sees a line only where the row is
+    of its type, and columns other than the verdict are never computed.
+    """
+    routed = mark_outcome(parse_envelope(messages), sources, broadcast)
+    line, verdicts = F.col("raw"), []
+    for name, spec in registry.REGISTRY.items():
+        own = F.when(F.col("log_type") == name, line)
+        seen = spec.parse(routed.withColumns({"_raw": line, "raw": own}))
+        verdicts.append(f"_parsed_{name}")
+        kept = [F.col(c) for c in routed.columns if c != "raw"]
+        routed = seen.select(*kept, F.col("_raw").alias("raw"), F.col("parsed").alias(verdicts[-1]))
+    parsed = F.lit(False)
+    for verdict in verdicts:
+        parsed = parsed | F.coalesce(F.col(verdict), F.lit(False))
+    return routed.select("received_at", "log_type", parsed.alias("parsed"))
 
 
 def start_ingest(
