@@ -6,58 +6,76 @@ makes the whole record unusable, so each field carries its own check.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse_object(text: Column) -> Column:
-    """The text as a VARIANT; NULL unless it is exactly one JSON object.
+def fields_of(names: list[str]) -> str:
+    """Type of an object taken apart into VARIANT fields, in one step for all."""
+    return "struct<" + ",".join(f"`{name}`:variant" for name in names) + ">"
+
+
+def wrapped(text: Column) -> Column:
+    """The text as the only element of a JSON array.
 
-    ``try_parse_json`` ignores text after the first value. Wrapping the line in an
-    array makes such text a syntax error; a tail that closes the wrapper early is
-    caught by wrapping in an object as well, needed only when ``}`` meets ``]``.
+    ``try_parse_json`` ignores what follows the first value; inside an array it is a
+    syntax error.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    closes_early = F.rlike(text, F.lit(r"(?s)\}\s*\]"))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def only_object(text: Column, array: Column, names: list[str]) -> Column:
+    """Fields of the object ``text`` consists of; NULL when it is anything else.
+
+    ``array`` is ``wrapped(text)``. A tail that closes the array early is caught by
+    wrapping in an object as well, needed only where ``}`` meets ``]``.
+    """
+    single = F.try_variant_get(array, "$[1]", "variant").isNull()
+    closes_early = F.rlike(text, F.lit(r"\}\s*\]"))
     whole = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
     shape = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
-    return F.when(
-        shape & single & (~closes_early | whole), F.try_variant_get(wrapped, "$[0]", "variant")
-    )
+    fields = F.try_variant_get(array, "$[0]", fields_of(names))
+    return F.when(shape & single & F.when(closes_early, whole).otherwise(F.lit(True)), fields)
+
+
+def kind(v: Column) -> Column:
+    """Type name of a field; VOID when it is absent or null."""
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def kind(v: Column, path: str) -> Column:
-    """Type name at ``path``: NULL when absent, VOID for JSON null."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def absent(v: Column) -> Column:
+    return kind(v) == "VOID"
 
 
-def absent(v: Column, path: str) -> Column:
-    return F.coalesce(kind(v, path), F.lit("VOID")) == "VOID"
+def is_text(v: Column) -> Column:
+    return kind(v).isin("VOID", "STRING")
 
 
-def is_text(v: Column, path: str) -> Column:
-    return F.coalesce(kind(v, path), F.lit("VOID")).isin("VOID", "STRING")
+def is_integer(v: Column) -> Column:
+    return kind(v).isin("VOID", "BIGINT")
 
 
-def is_integer(v: Column, path: str) -> Column:
-    return F.coalesce(kind(v, path), F.lit("VOID")).isin("VOID", "BIGINT")
+def is_number(v: Column) -> Column:
+    return F.rlike(kind(v), F.lit(r"^(VOID|BIGINT|DOUBLE|DECIMAL.*)\z"))
 
 
-def is_number(v: Column, path: str) -> Column:
-    return F.rlike(F.coalesce(kind(v, path), F.lit("VOID")), F.lit(r"^(VOID|BIGINT|DOUBLE|DECIMAL.*)\z"))
+def text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+def text_or_empty(v: Column) -> Column:
+    return F.coalesce(text(v), F.lit(""))
 
 
-def integer(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "bigint")
+def integer(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "bigint")
 
 
-def number(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "double")
+def number(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "double")
 
 
 def low_int(c: Column) -> Column:
@@ -65,12 +83,5 @@ def low_int(c: Column) -> Column:
     return F.shiftright(F.shiftleft(c, 32), 32).cast("int")
 
 
-def empty_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
 def all_true(tests: list[Column]) -> Column:
-    result = F.lit(True)
-    for test in tests:
-        result = result & test
-    return result
+    return reduce(and_, tests)

@@ -10,76 +10,92 @@ from logharrow.functions.text import strip
 from logharrow.functions.time import from_micros, parse_rfc3339
 from logharrow.operators.pin import pin
 
-HEADERS = "$.request.headers"
-REQUEST_TEXT = ("client_ip", "remote_ip", "remote_addr", "proto", "method", "host", "uri")
+# Field names of an entry and of its request.
+ENTRY = ["msg", "ts", "request", "status", "size", "duration", "bytes_read"]
+REQUEST = ["client_ip", "remote_ip", "remote_addr", "proto", "method", "host", "uri"]
+HEADERS = "headers"
+ACCESS = "handled request"
 
 
-def _client(v: Column) -> Column:
+def _client(request) -> Column:
     """Best known client address; the oldest field carries a port to cut off."""
-    addr = J.text(v, "$.request.remote_addr")
+    addr = J.text(request("remote_addr"))
     port = F.substring_index(addr, ":", -1)
     bare = F.left(addr, F.length(addr) - F.length(port) - 1)
     host = F.regexp_replace(bare, r"^\[+|\]+\z", "")
-    without_port = F.when(F.contains(addr, F.lit(":")), host).otherwise(addr)
     return F.coalesce(
-        F.nullif(J.text(v, "$.request.client_ip"), F.lit("")),
-        F.nullif(J.text(v, "$.request.remote_ip"), F.lit("")),
-        without_port,
+        F.nullif(J.text(request("client_ip")), F.lit("")),
+        F.nullif(J.text(request("remote_ip")), F.lit("")),
+        F.when(F.contains(addr, F.lit(":")), host).otherwise(addr),
         F.lit(""),
     )
 
 
-def _time(v: Column) -> Column:
+def _time(ts: Column) -> Column:
     """Epoch seconds, whole or fractional, or RFC 3339 text."""
-    seconds = J.number(v, "$.ts")
+    seconds = J.number(ts)
     whole = F.floor(seconds)
     micros = whole.cast("bigint") * 1_000_000 + F.floor(
         F.round((seconds - whole) * 1e9) / F.lit(1000.0)
     ).cast("bigint")
     # Beyond these bounds the instant does not fit a timestamp; it is then unknown.
     numeric = F.when(F.abs(seconds) < 9.0e12, from_micros(micros))
-    return F.when(J.kind(v, "$.ts") == "STRING", parse_rfc3339(J.text(v, "$.ts"))).when(
-        J.is_number(v, "$.ts"), numeric
-    )
+    return F.when(J.kind(ts) == "STRING", parse_rfc3339(J.text(ts))).when(J.is_number(ts), numeric)
 
 
-def _headers_typed(v: Column) -> Column:
+def _headers_typed(headers: Column) -> Column:
     """True unless a header is anything but a list of strings."""
-    lists = F.try_variant_get(v, HEADERS, "map<string,array<variant>>")
-    strings = F.forall(
-        F.map_values(lists),
-        lambda values: values.isNotNull()
-        & F.forall(values, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING"),
+    # All lists of strings, as nearly always: only null elements are left to rule out.
+    only_strings = ~F.rlike(F.schema_of_variant(headers), F.lit(r": (?!ARRAY<STRING>[,>])"))
+    values = F.flatten(F.map_values(F.try_variant_get(headers, "$", "map<string,array<string>>")))
+    no_nulls = F.size(F.array_compact(values)) == F.size(values)
+    # Otherwise, as with an empty list, look at every element.
+    lists = F.map_values(F.try_variant_get(headers, "$", "map<string,array<variant>>"))
+    each = F.forall(
+        lists, lambda list_: list_.isNotNull() & F.forall(list_, lambda x: F.schema_of_variant(x) == "STRING")
     )
-    return J.absent(v, HEADERS) | F.coalesce(strings, F.lit(False))
+    return J.absent(headers) | F.coalesce(F.when(only_strings, no_nulls).otherwise(each), F.lit(False))
 
 
 def parse_caddy(envelope: DataFrame) -> DataFrame:
-    v = F.col("_v")
+    def entry(name: str) -> Column:
+        return F.col("_f").getField(name)
+
+    def request(name: str) -> Column:
+        return F.col("_r").getField(name)
+
+    df = pin(envelope, _line=strip(F.col("raw")))
+    df = pin(df, _array=J.wrapped(F.col("_line")))
+    df = pin(df, _f=J.only_object(F.col("_line"), F.col("_array"), ENTRY))
+    df = pin(df, _r=F.try_variant_get(entry("request"), "$", J.fields_of([*REQUEST, HEADERS])))
     typed = J.all_true(
-        [J.is_text(v, "$.msg"), J.is_number(v, "$.duration"), _headers_typed(v)]
-        + [J.is_text(v, f"$.request.{name}") for name in REQUEST_TEXT]
-        + [J.is_integer(v, f"$.{name}") for name in ("status", "size", "bytes_read")]
+        [J.is_text(entry("msg")), J.is_number(entry("duration"))]
+        + [J.is_integer(entry(name)) for name in ("status", "size", "bytes_read")]
+        + [J.is_text(request(name)) for name in REQUEST]
+        + [_headers_typed(request(HEADERS))]
     )
-    request = F.startswith(J.kind(v, "$.request"), F.lit("OBJECT"))
-    outcome = ~J.absent(v, "$.status") | ~J.absent(v, "$.request.method")
-    access = J.absent(v, "$.msg") | (J.text(v, "$.msg") == "handled request")
+    outcome = ~J.absent(entry("status")) | ~J.absent(request("method"))
+    access = J.absent(entry("msg")) | (J.text(entry("msg")) == ACCESS)
+    usable = F.col("_r").isNotNull() & typed & outcome & access
     return (
-        pin(pin(envelope, _line=strip(F.col("raw"))), _v=J.parse_object(F.col("_line")))
+        pin(df, parsed=F.coalesce(usable, F.lit(False)))
         .withColumns({
-            "parsed": F.coalesce(request & typed & outcome & access, F.lit(False)),
-            "remote_host": _client(v),
-            "ts": _time(v),
-            "method": J.empty_if_null(J.text(v, "$.request.method")),
-            "path": J.empty_if_null(J.text(v, "$.request.uri")),
-            "protocol": J.empty_if_null(J.text(v, "$.request.proto")),
-            "host": J.empty_if_null(J.text(v, "$.request.host")),
-            "status": J.low_int(J.integer(v, "$.status")),
-            "bytes": J.integer(v, "$.size"),
-            "bytes_read": J.integer(v, "$.bytes_read"),
-            "duration_ms": J.number(v, "$.duration") * F.lit(1000.0),  # from seconds
-            "user_agent": J.empty_if_null(J.text(v, HEADERS + '["User-Agent"][0]')),
-            "referer": J.empty_if_null(J.text(v, HEADERS + ".Referer[0]")),
+            "remote_host": _client(request),
+            "ts": _time(entry("ts")),
+            "method": J.text_or_empty(request("method")),
+            "path": J.text_or_empty(request("uri")),
+            "protocol": J.text_or_empty(request("proto")),
+            "host": J.text_or_empty(request("host")),
+            "status": J.low_int(J.integer(entry("status"))),
+            "bytes": J.integer(entry("size")),
+            "bytes_read": J.integer(entry("bytes_read")),
+            "duration_ms": J.number(entry("duration")) * F.lit(1000.0),  # from seconds
+            "user_agent": F.coalesce(
+                F.try_variant_get(request(HEADERS), '$["User-Agent"][0]', "string"), F.lit("")
+            ),
+            "referer": F.coalesce(
+                F.try_variant_get(request(HEADERS), "$.Referer[0]", "string"), F.lit("")
+            ),
         })
-        .drop("_line", "_v")
+        .drop("_line", "_array", "_f", "_r")
     )
