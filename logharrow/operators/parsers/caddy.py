@@ -48,7 +48,7 @@ def _headers_typed(headers: Column) -> Column:
     # All lists of strings, as nearly always: only null elements are left to rule out.
     only_strings = ~F.rlike(F.schema_of_variant(headers), F.lit(r": (?!ARRAY<STRING>[,>])"))
     values = F.flatten(F.map_values(F.try_variant_get(headers, "$", "map<string,array<string>>")))
-    no_nulls = F.size(F.array_compact(values)) == F.size(values)
+    no_nulls = ~F.exists(values, lambda x: x.isNull())
     # Otherwise, as with an empty list, look at every element.
     lists = F.map_values(F.try_variant_get(headers, "$", "map<string,array<variant>>"))
     each = F.forall(

@@ -20,29 +20,33 @@ MIN_FIELDS = 32
 TIME = "yyyy/M/d H:m:s"
 
 
-def split_quoted(line: Column) -> Column:
-    """Split on commas outside quotes; quotes toggle, a doubled one is literal.
+def split_quoted(df: DataFrame, line: str, name: str) -> DataFrame:
+    """Add column ``name``: ``line`` split on commas outside quotes.
 
-    Cutting at every quote leaves pieces that are alternately outside and inside
-    quotes. Commas inside are masked; an empty piece between two quotes stands for
-    a doubled quote. Work is linear in the line, also for unbalanced quotes.
+    Quotes toggle, a doubled one inside quotes is literal. Cutting at every quote
+    leaves pieces alternately outside and inside quotes: commas inside are masked,
+    and an empty piece between two quotes stands for a doubled quote. Work is linear
+    in the line, also for unbalanced quotes.
     """
-    mask = F.when(~F.contains(line, F.lit("\u0001")), F.lit("\u0001")).when(
-        ~F.contains(line, F.lit("\u0002")), F.lit("\u0002")
-    ).otherwise(F.lit("\ufdd0"))
-    pieces = F.split(line, '"', -1)
-    last = F.size(pieces) - 1
-
-    def piece(text: Column, i: Column) -> Column:
+    text, pieces, mask = F.col(line), F.col("_pieces"), F.col("_mask")
+    quoted = F.contains(text, F.lit('"'))
+    unused = F.when(~F.contains(text, F.lit("\u0001")), "\u0001").when(
+        ~F.contains(text, F.lit("\u0002")), "\u0002"
+    ).otherwise("\ufdd0")
+    df = pin(df, _pieces=F.when(quoted, F.split(text, '"', -1)), _mask=F.when(quoted, unused))
+    df = pin(df, _last=F.size(pieces) - 1)
+
+    def piece(part: Column, i: Column) -> Column:
         return (
-            F.when(i % 2 == 1, F.replace(text, F.lit(","), mask))
-            .when((text == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(text)
+            F.when(i % 2 == 1, F.replace(part, F.lit(","), mask))
+            .when((part == "") & (i > 0) & (i < F.col("_last")), F.lit('"'))
+            .otherwise(part)
         )
 
-    masked = F.array_join(F.transform(pieces, piece), "")
-    quoted = F.transform(F.split(masked, ",", -1), lambda f: F.replace(f, mask, F.lit(",")))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+    masked = F.split(F.array_join(F.transform(pieces, piece), ""), ",", -1)
+    unmasked = F.transform(masked, lambda field: F.replace(field, mask, F.lit(",")))
+    fields = F.when(quoted, unmasked).otherwise(F.split(text, ",", -1))
+    return pin(df, **{name: fields}).drop("_pieces", "_mask", "_last")
 
 
 def _usable(fields: Column) -> Column:
@@ -62,11 +66,12 @@ def parse_panos(envelope: DataFrame) -> DataFrame:
     raw, tag, fields = F.col("raw"), F.col("tag"), F.col("_fields")
     rejoined = F.concat(tag, F.lit(" "), raw)
     first = F.col("_first")
-    df = pin(pin(envelope, _line=strip(raw), _joined=strip(rejoined)), _first=split_quoted(F.col("_line")))
+    df = split_quoted(pin(envelope, _line=strip(raw)), "_line", "_first")
     df = pin(df, _whole=_usable(first))
     # The envelope may have taken the leading token for a tag: try with it back.
-    retried = F.when(tag.isNotNull(), split_quoted(F.col("_joined")))
-    df = pin(df, _fields=F.when(F.col("_whole"), first).otherwise(retried))
+    df = pin(df, _joined=F.when(~F.col("_whole"), strip(rejoined)))
+    df = split_quoted(df, "_joined", "_second")
+    df = pin(df, _fields=F.when(F.col("_whole"), first).otherwise(F.col("_second")))
 
     def field(name: str) -> Column:
         return _field(fields, name)
@@ -89,5 +94,5 @@ def parse_panos(envelope: DataFrame) -> DataFrame:
             "application": field("application"),
             "raw": F.when(F.col("_whole") | tag.isNull(), raw).otherwise(rejoined),
         })
-        .drop("_line", "_joined", "_first", "_whole", "_fields")
+        .drop("_line", "_joined", "_first", "_second", "_whole", "_fields")
     )

@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A value is placed by the leading bits of its size in millionths (nanoseconds of a
-# millisecond value): 12 bits first, then 24, then the value itself.
+# A value is placed on a log scale, 50,000 places per factor e. The scale makes
+# nanoseconds of a millisecond value distinct.
 _SCALE = 1_000_000.0
-_LIMIT = float(2**62)
-_BITS = (12, 24)
+_LARGEST = 1e290
+_STEPS = 50_000.0
 _RANKS = ("_before", "_lo", "_hi", "_part")
 
 
-def _leading(value: Column, bits: int) -> Column:
-    """An order-preserving whole number made of the leading bits of a value.
+def _place(value: Column) -> Column:
+    """An order-preserving whole number: a larger value never gets a smaller one.
 
-    A larger value never gets a smaller number, which is all a rank search needs.
+    The logarithm is monotonic by the Java specification, as are scaling and
+    rounding down; values that share a place are told apart in the second pass.
     """
-    size = F.floor(F.least(F.abs(value) * _SCALE, F.lit(_LIMIT))).cast("bigint")
-    length = F.length(F.bin(size))
-    head = F.call_function("shiftright", size, F.greatest(length - bits, F.lit(0)))
-    number = length.cast("bigint") * (1 << bits) + head
-    return F.when(value < 0, -number).otherwise(number)
+    size = F.least(F.abs(value), F.lit(_LARGEST)) * F.lit(_SCALE) + F.lit(1.0)
+    place = F.floor(F.ln(size) * F.lit(_STEPS))
+    return F.when(value < 0, -place).otherwise(place)
 
 
 def _reached(step: DataFrame) -> DataFrame:
-    """Rows of a histogram step (``_n`` from ``_before``) that hold a wanted rank."""
+    """Rows of a histogram (``_n`` counted from ``_before``) that hold a wanted rank."""
     return step.where(
         (F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_n") > F.col("_lo"))
     )
@@ -35,50 +34,42 @@ def _reached(step: DataFrame) -> DataFrame:
 def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row, ``quantile``: the exact quantile, interpolated between two ranks.
 
-    A rank search in three counting passes. The first pass counts values by a coarse
-    place (at most a few ten thousand), the second splits only the one or two places
-    that hold the wanted ranks (at most 4,096 parts each), the third counts single
-    values there. Every pass aggregates map-side before it shuffles, and no task
-    holds more than one such histogram, however many rows or distinct values there
-    are. NULL and NaN are ignored.
+    A rank search in two counting passes. The first counts values by place (a
+    microsecond to an hour spans about a million places) and finds the one or two
+    places that hold the wanted ranks; the second counts the single values there.
+    Both aggregate map-side before they shuffle, so a task never holds more than
+    the places, or the distinct values of one millionth of the data. The built-in
+    ``percentile`` would keep every distinct value in one buffer.
+
+    NULL and NaN are ignored; no value at all gives NULL.
     """
-    values = df.select(F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
     v = F.col("_v")
+    values = (
+        df.select(F.col(value).cast("double").alias("_v"))
+        .where(v.isNotNull() & ~F.isnan(v))
+        .withColumn("_place", _place(v))
+    )
+
+    def counted(histogram: DataFrame, order: str, start: Column, *panel: str) -> DataFrame:
+        earlier = Window.partitionBy(*panel).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return histogram.withColumn("_before", start + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+    position = (F.sum("_n").over(Window.partitionBy()) - 1) * F.lit(q)
+    places = counted(values.groupBy("_place").agg(F.count("*").alias("_n")), "_place", F.lit(0))
+    found = _reached(places.withColumns({
+        "_lo": F.floor(position), "_hi": F.ceil(position), "_part": position - F.floor(position),
+    })).select("_place", *_RANKS)
 
-    everything = Window.partitionBy()
-    position = (F.sum("_n").over(everything) - 1) * F.lit(q)
-    so_far = everything.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = (
-        values.groupBy(_leading(v, _BITS[0]).alias("_place"))
+    single = (
+        values.join(F.broadcast(found), "_place")  # one or two rows
+        .groupBy("_place", *_RANKS, "_v")
         .agg(F.count("*").alias("_n"))
-        .withColumns({
-            "_before": F.coalesce(F.sum("_n").over(so_far), F.lit(0)),
-            "_lo": F.floor(position),
-            "_hi": F.ceil(position),
-            "_part": position - F.floor(position),
-        })
     )
-    found = _reached(coarse).select("_place", *_RANKS)
-
-    for inner in (_leading(v, _BITS[1]), v):
-        within = Window.partitionBy("_place").orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
-        outer = _leading(v, _BITS[0] if inner is not v else _BITS[1])
-        step = (
-            values.withColumn("_place", outer)
-            .join(F.broadcast(found), "_place")  # one or two rows
-            .groupBy("_place", *_RANKS, inner.alias("_inner"))
-            .agg(F.count("*").alias("_n"))
-            .withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        )
-        found = _reached(step).select(F.col("_inner").alias("_place"), "_n", *_RANKS)
-        if inner is not v:
-            found = found.drop("_n")
+    exact = counted(single, "_v", F.col("_before"), "_place")
 
     def at(rank: str) -> Column:
         holds = (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
-        return F.max(F.when(holds, F.col("_place")))
+        return F.max(F.when(holds, v))
 
     lower, upper = at("_lo"), at("_hi")
-    return found.agg((lower + (upper - lower) * F.max("_part")).alias("quantile"))
+    return exact.agg((lower + (upper - lower) * F.max("_part")).alias("quantile"))
