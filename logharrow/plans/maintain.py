@@ -96,9 +96,8 @@ def prune(
 
 def _recovered_days(spark: SparkSession, path: str) -> list[str]:
     """Day folders, after undoing any swap that a crash cut short."""
-    for folder in files.list_dirs(spark, path):
-        if folder.startswith("_previous-event_date="):
-            files.recover(spark, f"{path}/{folder.removeprefix('_previous-')}")
+    for target in files.set_aside(spark, path):
+        files.recover(spark, target)
     return _days(spark, path)
 
 

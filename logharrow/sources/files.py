@@ -63,7 +63,7 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
     The original is set aside, not deleted, until the copy is in place. The aside
     name is hidden from readers, and ``recover`` undoes a swap cut short.
     """
-    aside = _aside(target)
+    aside = aside_path(target)
     if exists(spark, target):
         rename(spark, target, aside)
     try:
@@ -77,7 +77,7 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
 
 def recover(spark: SparkSession, target: str) -> None:
     """After a crash: restore the original, or drop it when the copy is in place."""
-    aside = _aside(target)
+    aside = aside_path(target)
     if not exists(spark, aside):
         return
     if exists(spark, target):
@@ -86,15 +86,29 @@ def recover(spark: SparkSession, target: str) -> None:
         rename(spark, aside, target)
 
 
-def _aside(path: str) -> str:
+def hidden(path: str, prefix: str) -> str:
+    """A sibling of a path that readers skip.
+
+    A leading underscore hides a name from Spark only where it has no ``=``.
+    """
     folder, _, name = path.rstrip("/").rpartition("/")
-    return f"{folder}/_previous-{name}"
+    return f"{folder}/_{prefix}-{name.replace('=', '~')}"
+
+
+def aside_path(path: str) -> str:
+    return hidden(path, "previous")
+
+
+def set_aside(spark: SparkSession, folder: str) -> list[str]:
+    """Paths under a folder whose original is set aside by an unfinished swap."""
+    mark = "_previous-"
+    names = [n.removeprefix(mark) for n in list_dirs(spark, folder) if n.startswith(mark)]
+    return [f"{folder}/{name.replace('~', '=')}" for name in names]
 
 
 def staging_path(path: str) -> str:
     """A hidden sibling of a path, new each time."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return f"{folder}/_staging-{uuid.uuid4().hex}-{name}"
+    return hidden(path, f"staging-{uuid.uuid4().hex}")
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
