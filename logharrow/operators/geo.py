@@ -121,8 +121,8 @@ def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFra
     no code: ('', Unknown). A code without a name: (code, Unknown).
 
     An index within the checked bound is broadcast and rows stay where they are.
-    Otherwise each distinct address is looked up once and the answers are joined
-    back by address, salted against hot addresses.
+    Otherwise each distinct public address is looked up once and the answers are
+    joined back by address, with hot addresses kept out of the shuffle.
     """
     df = pin(df, _key=ip_key(F.col(address)))
     key = F.col("_key")
@@ -132,11 +132,8 @@ def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFra
     elif index.broadcast:
         df = _resolve(df, index)
     else:
-        answers = _resolve(df.select("_key").where(key.isNotNull()).distinct(), index)
-        # Rows without a valid address must not all meet in one task.
-        df = df.withColumn("_join", F.coalesce(key, F.concat(F.lit("none"), F.floor(F.rand(13) * 4096))))
-        df = lookup_join(df, answers.withColumnRenamed("_key", "_join"), "_join", "left", False)
-        df = df.drop("_join")
+        public = df.select("_key").where(key.isNotNull() & ~is_private(key)).distinct()
+        df = lookup_join(df, _resolve(public, index), "_key", "left", False)
     code = F.coalesce(F.col("_hit.country_code"), F.lit(""))
     name = F.coalesce(F.col("_hit.country"), F.lit("Unknown"))
     return df.withColumns({

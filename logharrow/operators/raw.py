@@ -10,6 +10,8 @@ from logharrow.functions.time import epoch
 
 EXPORT_MAX = 500_000
 RECENT = 50
+# Longest list that every task may offer candidates for.
+DIRECT_ROWS = 1_000
 
 # Fixed value: the columns of the recent feed.
 RECENT_COLUMNS = (
@@ -27,7 +29,8 @@ def raw_page(df: DataFrame, limit: int) -> DataFrame:
 
     One line more is read to learn whether there are more.
     """
-    page = df.select("ts", "received_at", "raw").orderBy(*_newest_first()).limit(limit + 1)
+    rows = df.select("ts", "received_at", "raw")
+    page = _newest(rows, limit + 1)
     everything = Window.partitionBy()  # limit + 1 rows
     return (
         page.withColumns({
@@ -44,22 +47,51 @@ def raw_page(df: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _newest_minutes(df: DataFrame, rows: int) -> DataFrame:
-    """Rows of the newest minutes that together hold at least ``rows`` rows.
+def _newest(df: DataFrame, rows: int) -> DataFrame:
+    """The newest ``rows`` rows.
 
-    A count per minute decides where to cut, so that sorting deals with little more
-    than is wanted instead of with everything that matches. Exact: whole minutes.
+    A short list is taken directly: each task offers that many rows. For a long one
+    the offers of very many tasks would swamp the one that merges them, so older
+    rows are cut off first. Rows without a time come last and are never cut.
+    """
+    if rows > DIRECT_ROWS:
+        df = _cut_older(df, rows)
+    return df.orderBy(*_newest_first()).limit(rows)
+
+
+def _cut_older(df: DataFrame, rows: int) -> DataFrame:
+    """Rows of the newest moments that together hold at least ``rows`` rows.
+
+    Counts per minute find the minute in which the list ends (half a million
+    minutes a year), counts per millisecond of that minute (60,000) the moment.
+    Nothing that belongs to the list is cut: whole milliseconds are kept.
     """
     minute = F.floor(epoch(F.col("ts")) / 60)
-    newer = Window.partitionBy().orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        df.groupBy(minute.alias("minute"))  # about half a million a year
-        .agg(F.count("*").alias("n"))
-        .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-        .where(F.col("newer") < rows)
-        .agg(F.min("minute"))
+    millis = F.floor(F.extract(F.lit("SECOND"), F.col("ts")) * 1000).cast("int")
+
+    def newer(order: str):
+        earlier = Window.partitionBy().orderBy(F.desc(order))
+        return F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    timed = df.select(minute.alias("_minute"), millis.alias("_millis")).where(F.col("_minute").isNotNull())
+    last_minute = (
+        timed.groupBy("_minute").agg(F.count("*").alias("_n"))
+        .withColumn("_newer", newer("_minute"))
+        .where(F.col("_newer") < rows)
+        .agg(F.min("_minute").alias("_minute"), F.max("_newer").alias("_before"))
+    )
+    last = (
+        timed.join(F.broadcast(last_minute), "_minute")  # one row
+        .groupBy("_minute", "_before", "_millis").agg(F.count("*").alias("_n"))
+        .withColumn("_newer", F.col("_before") + newer("_millis"))
+        .where(F.col("_newer") < rows)
+        .agg(F.struct(F.min("_minute").alias("minute"), F.min("_millis").alias("millis")))
+    )
+    end = last.scalar()
+    kept = (minute > end.getField("minute")) | (
+        (minute == end.getField("minute")) & (millis >= end.getField("millis"))
     )
-    return df.where(minute >= first.scalar())
+    return df.where(kept | F.col("ts").isNull())
 
 
 def export_lines(df: DataFrame, cap: int = EXPORT_MAX) -> DataFrame:
@@ -68,7 +100,7 @@ def export_lines(df: DataFrame, cap: int = EXPORT_MAX) -> DataFrame:
     Beyond ``cap`` lines the export ends with a line that says so.
     """
     wanted = df.where(F.col("ts").isNotNull()).select("ts", "received_at", "raw")
-    newest = _newest_minutes(wanted, cap + 1).orderBy(*_newest_first()).limit(cap + 1)
+    newest = _newest(wanted, cap + 1)
     pos = F.row_number().over(Window.partitionBy().orderBy(*_newest_first()))  # cap + 1 rows
     line = F.concat(
         F.coalesce(ts_text(F.col("ts")), F.lit("")), F.lit(" "), F.coalesce("raw", F.lit(""))

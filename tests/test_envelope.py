@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from conftest import ARRIVED
+from logharrow.operators.lookup import lookup_join
 from logharrow.operators.routing import mark_outcome, minute_stats, route, unknown_senders
 from logharrow.schemas import RAW_ENVELOPE, SOURCES
 from logharrow.sources.messages import decode_payload, parse_envelope, read_messages, split_lines
@@ -79,6 +80,18 @@ def test_routing(spark, broadcast):
     assert mark_outcome(envelope, sources, broadcast).count() == 53
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_big_table_join_equals_a_plain_join(spark, how):
+    left = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL WHEN id % 7 = 2 THEN 'hot but unknown' "
+        "ELSE cast(id % 4000 as string) END AS k", "id")
+    table = spark.range(5000).selectExpr("CASE id WHEN 0 THEN 'hot' ELSE cast(id * 2 as string) END AS k", "id AS v")
+    columns = ["k", "id"] + ([] if how == "left_anti" else ["v"])
+    want = left.join(table, "k", how).select(*columns)
+    got = lookup_join(left, table, "k", how, broadcast=False).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_minute_stats(spark):
     at = [datetime(2026, 1, 1, 10, 0, s) for s in (0, 59)] + [datetime(2026, 1, 1, 10, 2, 0)]
     df = spark.createDataFrame(

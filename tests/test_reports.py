@@ -232,6 +232,20 @@ def test_empty_reports(spark):
     assert firewall.facts["granularity"] == "month"
 
 
+@pytest.mark.parametrize("rows", [1, 7, 500, 2999, 3000, 5000])
+def test_long_lists_are_cut_exactly(spark, rows):
+    """A third of all rows share one moment; ties and neighbours must come out whole."""
+    moment = F.when(F.col("id") % 3 == 0, F.lit(60_000_000)).otherwise(F.col("id") * 77_777)
+    df = spark.range(3000).select(
+        F.timestamp_add("MICROSECOND", moment, F.lit("2026-03-15 10:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.lit(NOW).cast("timestamp_ntz").alias("received_at"), F.col("id").cast("string").alias("raw"),
+    ).persist()
+    order = [F.desc("ts"), F.asc("raw")]
+    want = [r.raw for r in df.orderBy(*order).limit(rows).collect()]
+    assert [r.raw for r in raw._cut_older(df, rows).orderBy(*order).limit(rows).collect()] == want
+    assert raw._cut_older(df, rows).count() <= rows + 1001
+
+
 def test_raw_page_and_export(spark, tmp_path):
     rows = spark.createDataFrame(
         [(datetime(2026, 3, 15, 10, i % 3), NOW, f"line {i}") for i in range(10)] + [(None, NOW, "untimed")],
@@ -240,11 +254,15 @@ def test_raw_page_and_export(spark, tmp_path):
     page = raw.raw_page(rows.where("ts IS NOT NULL"), 4).collect()
     assert [r.line for r in page] == ["line 2", "line 5", "line 8", "line 1"] and page[0].has_more
     assert not raw.raw_page(rows, 11).first().has_more
+    raw.DIRECT_ROWS, direct = 1, raw.DIRECT_ROWS
+    assert [r.line for r in raw.raw_page(rows, 4).collect()] == ["line 2", "line 5", "line 8", "line 1"]
+    assert raw.raw_page(rows, 11).count() == 11
     for cap, marked in ((10, False), (9, True), (2, True)):
         lines = [r.value for r in raw.export_lines(rows, cap).orderBy("pos").collect()]
         assert len(lines) == min(10, cap + 1)
         assert lines[-1].startswith("# truncated") is marked
         assert lines[0] == "2026-03-15 10:02:00 line 2"
+    raw.DIRECT_ROWS = direct
     raw.write_export(rows, str(tmp_path / "out"))
     files = list((tmp_path / "out").glob("part-*"))
     assert len(files) == 1
