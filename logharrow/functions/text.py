@@ -12,7 +12,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-SEP = "\u0001"
+# Separators for laying out groups; a line uses the first it does not contain.
+SEPARATORS = ("\u0001", "\u0002", "\ufdd0")
 
 # Prefix for every pattern: Unicode-aware \s \S \d, and only \n ends a line.
 UNICODE = "(?Ud)"
@@ -31,21 +32,22 @@ def match_groups(c: Column, pattern: str, groups: int, anywhere: bool = False) -
     ``regexp_replace`` and one ``split`` cost a single match per line, where a
     ``regexp_extract`` per field would match the line once per field. Give it a plain
     column and ``pin`` the result: both are mentioned many times.
+
+    Only built-in functions with generated code are used, so that matching stays in
+    one compiled stage with the scan. A line that holds all three separators, two
+    control characters and a noncharacter, counts as not matching.
     """
     head = "(?s:^.*?)" if anywhere else ""
     whole = UNICODE + head + pattern + "(?s:.*)"
-    template = SEP + SEP.join(f"${i}" for i in range(1, groups + 1))
-    one_pass = F.split(F.regexp_replace(c, whole, template), SEP, -1)
-    # A line that itself holds the separator is rare; it takes the slow way.
-    plain = UNICODE + pattern
-    by_field = F.when(
-        F.rlike(c, F.lit(plain)),
-        F.transform(
-            F.sequence(F.lit(0), F.lit(groups)),
-            lambda i: F.call_function("regexp_extract", c, F.lit(plain), i),
-        ),
-    )
-    return F.when(F.contains(c, F.lit(SEP)), by_field).otherwise(one_pass)
+
+    def laid_out(sep: str) -> Column:
+        template = sep + sep.join(f"${i}" for i in range(1, groups + 1))
+        return F.split(F.regexp_replace(c, whole, template), sep, -1)
+
+    result = F.lit(None)
+    for sep in reversed(SEPARATORS):
+        result = F.when(~F.contains(c, F.lit(sep)), laid_out(sep)).otherwise(result)
+    return result
 
 
 def group(m: Column, i: int) -> Column:
