@@ -49,11 +49,14 @@ def outcomes(
     of its type, and columns other than the verdict are never computed.
     """
     routed = mark_outcome(parse_envelope(messages), sources, broadcast)
-    line, verdicts = F.col("raw"), []
+    types_of: dict[Callable, list[str]] = {}
     for name, spec in registry.REGISTRY.items():
-        own = F.when(F.col("log_type") == name, line)
-        seen = spec.parse(routed.withColumns({"_raw": line, "raw": own}))
-        verdicts.append(f"_parsed_{name}")
+        types_of.setdefault(spec.parse, []).append(name)
+    line, verdicts = F.col("raw"), []
+    for parse, names in types_of.items():
+        own = F.when(F.col("log_type").isin(*names), line)
+        seen = parse(routed.withColumns({"_raw": line, "raw": own}))
+        verdicts.append(f"_parsed_{names[0]}")
         kept = [F.col(c) for c in routed.columns if c != "raw"]
         routed = seen.select(*kept, F.col("_raw").alias("raw"), F.col("parsed").alias(verdicts[-1]))
     parsed = F.lit(False)
