@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine is designed for; a cluster profile may override any of them.
 DEFAULTS = {
@@ -30,12 +29,19 @@ def build_session(app: str = "logharrow", master: str | None = None, **conf: str
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under ``spark.checkpoint.dir``, or, where that is unset, under the warehouse.
 
-    Only where no shared folder is configured (tests, a laptop) a local temporary
-    folder takes its place.
+    Both are shared by the driver and all executors of a cluster; a machine's own
+    temporary folder is never used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="logharrow-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/logharrow/{purpose}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to a fresh work folder and read again: computed once, lineage cut."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
