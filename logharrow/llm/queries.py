@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logharrow.llm.bpe import byte_bpe
 from logharrow.llm.common import table
 from logharrow.llm.exact import DigestIndex
+from logharrow.llm.ngram_join import Jaccard, ngram_components
 from logharrow.llm.quality import quality_rules
 from logharrow.llm.tokens import token_counts
 from logharrow.session import work_dir
@@ -63,3 +64,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
         with_ids=False,
     )
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), Jaccard(n=3, up=90, down=100))
