@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logharrow.llm.blocks import block_table, rids, unpack
+from logharrow.llm.blocks import PLACE_BITS, block_table, rids, unpack
 from logharrow.llm.components import components
 from logharrow.llm.hashing import _STEP, mix, shingle_sets
 from logharrow.session import settled
 
 U = np.uint64
-# Slots in which shingles are counted; a fixed size, 4 MB when broadcast as levels.
-SLOT_BITS = 22
+# Slots in which shingles are counted; a fixed size, 2 MB when broadcast as levels.
+SLOT_BITS = 21
 SLICE = 1 << 16
 # Largest set size for which subsets are considered.
 MAX_LIGHT = 400
+# Comparisons with one set that a task makes; a set with more partners goes to several tasks.
+PARTNERS = 4_096
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def _stats(blocks: DataFrame, rule: Jaccard) -> DataFrame:
 
 def _with_rows(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """Blocks with the row numbers among ``rows`` (rid) that lie in them; texts stay in place."""
-    wanted = rows.groupBy(F.shiftright("rid", 22).alias("block")).agg(F.collect_list("rid").alias("rids"))
+    wanted = rows.groupBy(F.shiftright("rid", PLACE_BITS).alias("block")).agg(F.collect_list("rid").alias("rids"))
     return blocks.join(wanted, "block").select("block", "sizes", "payload", "rids")
 
 
@@ -132,7 +134,7 @@ def linked_classes(blocks: DataFrame, classes: DataFrame, rule: Jaccard) -> Data
     levels, list_length = _levels(chosen, rule)
     boundary = light_boundary(classes, rule, list_length)
     postings = _postings(chosen, spark.sparkContext.broadcast(levels), rule, boundary)
-    return _link(blocks, settled(_shared(postings), "postings"), rule)
+    return _link(blocks, settled(_shared(settled(postings, "postings")), "lists"), rule)
 
 
 def _levels(chosen: DataFrame, rule: Jaccard) -> tuple[np.ndarray, float]:
@@ -170,9 +172,8 @@ def _levels(chosen: DataFrame, rule: Jaccard) -> tuple[np.ndarray, float]:
     # Prefixes hold the rarest part of the shingles; what meets there by chance is taken off.
     ranked, part = np.sort(counts), (rule.down - rule.up) / rule.down
     rare = ranked[: 1 + int(np.searchsorted(np.cumsum(ranked), part * ranked.sum()))].astype(float)
-    chance = counts.mean()
-    list_length = max(1.0, (rare**2).sum() / max(rare.sum(), 1.0) - chance)
-    return np.round(8 * np.log2(1 + counts.astype(float))).clip(0, 255).astype(np.uint8), list_length
+    list_length = max(1.0, (rare**2).sum() / max(rare.sum(), 1.0) - counts.mean())
+    return np.round(8 * np.log2(1 + counts)).clip(0, 255).astype(np.uint8), list_length
 
 
 def light_boundary(classes: DataFrame, rule: Jaccard, list_length: float) -> int:
@@ -243,11 +244,10 @@ def _fits(rule: Jaccard, a: str, b: str):
 
 
 def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
-    sets = settled(_sets(blocks, entries.select("rid").distinct(), rule), "shingles")
     # First every set meets one other: the smallest first set of its lists that fits.
     started = entries.where("rid <> first.rid").withColumn("m", F.col("first.n")).where(_fits(rule, "n", "m"))
     pairs = started.groupBy("rid").agg(F.min("first.rid").alias("a")).select("a", F.col("rid").alias("b"))
-    tested = settled(_verified(pairs, sets, rule), "tested")
+    tested = settled(_verified(pairs, blocks, rule), "tested")
     labels = components(tested.where("linked"))
     leading = 4
     while True:
@@ -267,7 +267,7 @@ def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
             .distinct()
             .join(tested.select("a", "b"), ["a", "b"], "left_anti")
         )
-        fresh = settled(_verified(pairs, sets, rule), "tested")
+        fresh = settled(_verified(pairs, blocks, rule), "tested")
         found = fresh.where("linked")
         tested = tested.unionByName(fresh)
         if found.limit(1).count():
@@ -279,24 +279,51 @@ def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
         leading *= 4
 
 
-def _sets(blocks: DataFrame, rows: DataFrame, rule: Jaccard) -> DataFrame:
-    """The shingle sets, (rid, tokens), of the given row numbers."""
+def _verified(pairs: DataFrame, blocks: DataFrame, rule: Jaccard) -> DataFrame:
+    """Pairs (a, b) with the exact answer whether their sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Compressed texts travel, not sets, and only to their partners: each b to its a, and a
+    to every group of at most about PARTNERS of its b. There a's set is made once, and
+    the others pass by one at a time.
+    """
+    pairs = settled(pairs, "pairs")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), F.col("b").alias("rid"))
+    leaders = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.col("a").alias("rid"))
+    wanted = members.union(leaders).groupBy(F.shiftright("rid", PLACE_BITS).alias("block"))
+    asked = blocks.join(wanted.agg(F.collect_list(F.struct("rid", "a", "salt")).alias("asked")), "block")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(3)
         for batch in batches:
             for i in range(batch.num_rows):
-                wanted, sets = _chosen_sets(batch, i, rule.n)
-                tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(wanted), tokens], names=["rid", "tokens"])
-
-    return _with_rows(blocks, rows).mapInArrow(run, "rid long, tokens array<long>")
-
+                block, sizes, payload, rows = (batch.column(k)[i].as_py() for k in range(4))
+                data, ends, first = unpack(payload), np.cumsum(sizes), rids(block, 1)[0]
+                text = {r: zstd.compress(data[ends[r - first] - sizes[r - first] : ends[r - first]]) for r in {x["rid"] for x in rows}}
+                columns = [[x[k] for x in rows] for k in ("a", "salt", "rid")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in columns), pa.array([text[r] for r in columns[2]], pa.binary())],
+                    names=["a", "salt", "rid", "text"],
+                )
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs with the exact answer whether their sets are similar enough."""
-    left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("left", "right")).cast("long")
-    union = F.size("left") + F.size("right") - shared
-    return both.select("a", "b", (shared * rule.down >= union * rule.up).alias("linked"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None
+        for batch in batches:
+            found: list[tuple[int, int, bool]] = []
+            for a, rid, text in zip(*(batch.column(k) for k in (0, 2, 3))):
+                a, rid, data = a.as_py(), rid.as_py(), unpack(text.as_py())
+                tokens = shingle_sets(data, [len(data)], rule.n)[0]
+                if a == rid:
+                    leader, own = a, tokens
+                    continue
+                assert leader == a
+                shared = len(np.intersect1d(own, tokens, assume_unique=True))
+                found.append((a, rid, shared * rule.down >= (len(own) + len(tokens) - shared) * rule.up))
+            columns = list(zip(*found)) or [[], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "linked"])
+
+    texts = asked.select("block", "sizes", "payload", "asked").mapInArrow(fetch, "a long, salt long, rid long, text binary")
+    # A leader's row number is the smallest of its group, so it comes first.
+    ordered = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "rid")
+    return ordered.mapInArrow(compare, "a long, b long, linked boolean")
