@@ -82,6 +82,10 @@ def valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def passing(kind: str):
+    return lambda span: valid(kind, span["hit"])
+
+
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches of a pattern as spans in code points, end exclusive."""
     none = F.array().cast(SPAN)
@@ -109,7 +113,7 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The spans of the base patterns that pass their checks, by kind as listed, then start."""
-    each = [F.filter(matches(text, k, PATTERNS[k]), lambda s, k=k: valid(k, s["hit"])) for k in KINDS]
+    each = [F.filter(matches(text, k, PATTERNS[k]), passing(k)) for k in KINDS]
     return F.concat(*each)
 
 

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from logharrow.llm.bpe import byte_bpe
 from logharrow.llm.common import table
 from logharrow.llm.exact import DigestIndex
+from logharrow.llm.mixing import mix_sources
 from logharrow.llm.ngram_join import Jaccard, ngram_components
+from logharrow.llm.pii import personal_data
 from logharrow.llm.quality import quality_rules
+from logharrow.llm.suffixes import repeated_bytes
 from logharrow.llm.tokens import token_counts
+from logharrow.llm.warc import page_records, read_warc, write_warc
 from logharrow.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +73,42 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), Jaccard(n=3, up=90, down=100))
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages to archives and reads them back."""
+    folder = work_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return page_records(read_warc(spark, folder))
+
+
+ORACLES["op5_warc"] = r"""
+WITH t AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+  FROM t
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
