@@ -202,12 +202,12 @@ def byte_bpe(
             ids = packed.tolist()
             back = pieces.codec.decode(ids)
             head = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
-            return (*head, ids) if with_ids else head
+            return (*head, packed.view("<i4")) if with_ids else head
 
         return row
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    rows = map_texts(id_and_text(docs, id_col, text_col), begin, schema + ", ids array<long>" * with_ids)
+    rows = map_texts(id_and_text(docs, id_col, text_col), begin, schema + ", ids array<int>" * with_ids)
     return rows.withColumnRenamed("id", id_col) if id_col != "id" else rows
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A word is a run of characters other than the space and the five controls after it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,14 +34,15 @@ def map_texts(
     partitions of the scan. Texts are taken out of the Arrow batch one at a time.
     """
     out = df.sparkSession.createDataFrame([], schema).schema
-    names = out.fieldNames()
+    kinds = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = begin()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             rows = [fn(texts[i].as_py()) for i in range(len(ids))]
-            columns = list(zip(*rows)) if rows else [[] for _ in names[1:]]
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=names)
+            columns = list(zip(*rows)) if rows else [[] for _ in kinds.names[1:]]
+            arrays = [pa.array(column, kind.type) for column, kind in zip(columns, list(kinds)[1:])]
+            yield pa.RecordBatch.from_arrays([ids, *arrays], names=kinds.names)
 
     return df.select("id", "text").mapInArrow(run, out)

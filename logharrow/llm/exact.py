@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logharrow.llm.common import GAP
 from logharrow.session import settled
@@ -17,6 +18,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), GAP + "+", "")
 
 
+def digest_of(text_col: str) -> Column:
+    return F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+
+
 class DigestIndex:
     """Digests of all texts kept so far, in a table of ``buckets`` buckets at ``path``.
 
@@ -49,7 +54,7 @@ class DigestIndex:
         rows = settled(
             docs.select(
                 F.col(id_col).cast("long").alias("id"),
-                F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
+                digest_of(text_col).alias("digest"),
                 F.length(text).cast("long").alias("n_chars"),
             ),
             "digests",
@@ -72,3 +77,20 @@ class DigestIndex:
             ((F.col("load") == load) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
+
+    def new_documents(self, docs: DataFrame, load: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Adds ``docs`` and returns the rows that stay, with all their columns; of repeated rows one.
+
+        Rows meet the kept ones by a hash of id and digest, so equal texts of many ids do
+        not gather in a task.
+        """
+        kept = self.add(docs, load, id_col, text_col).where("kept").select(
+            F.col(id_col).cast("long").alias("_id"), F.unhex("text_sha256").alias("_digest")
+        )
+        key = lambda c: F.xxhash64(c, "_digest")
+        kept = kept.withColumn("_key", key(F.col("_id"))).select("_key", "_digest").distinct()
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), digest_of(text_col).alias("_digest"))
+        rows = rows.withColumn("_key", key(F.col("_row")[id_col].cast("long")))
+        rows = rows.join(kept, ["_key", "_digest"], "left_semi")
+        once = Window.partitionBy("_key", "_digest").orderBy("_key")
+        return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")

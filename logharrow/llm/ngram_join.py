@@ -88,6 +88,20 @@ def ngram_components(
     return found.union(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def group_leaders(
+    docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One document of each group of linked ones, that of the smallest id, with all its columns.
+
+    Rows that share an id stay or go together: they stay if one of them leads a group.
+    Only the ids that go are looked up by the documents.
+    """
+    groups = ngram_components(docs, rule, id_col, text_col).select(F.col(id_col).alias("_gone"), "component_id")
+    groups = settled(groups.select("_gone", F.col("_gone").eqNullSafe(F.col("component_id")).alias("leads")), "groups")
+    gone = groups.groupBy("_gone").agg(F.bool_or("leads").alias("leads")).where("not leads").select("_gone")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def _stats(blocks: DataFrame, rule: Jaccard) -> DataFrame:
     """Per document: its row number, set size and a 128-bit digest of the set."""
 

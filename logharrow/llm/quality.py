@@ -82,6 +82,32 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(some).cast("long")
 
 
+def judged(docs: DataFrame, text_col: str, max_lost: float) -> DataFrame:
+    """Every row of ``docs`` as struct ``row``, with all counts and the verdict beside it."""
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = pin(
+        df,
+        words=F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+        lines=F.filter(F.split("text", "\n", -1), lambda line: F.rlike(line, F.lit(WORD))),
+    )
+    df = pin(
+        df,
+        n_words=F.size("words").cast("long"),
+        word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_symbols=F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=repeated_words(F.col("words")),
+        good=F.filter("lines", lambda line: ~line_fails(line)),
+    )
+    chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, line: a + F.length(line))
+    df = pin(df, all_chars=chars(F.col("lines")), good_chars=chars(F.col("good")))
+    lost = F.when(F.col("all_chars") == 0, F.lit(0.0)).otherwise(1 - F.col("good_chars") / F.col("all_chars"))
+    too_few = F.col("n_words") < MIN_WORDS
+    repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    df = df.withColumn("base_failed", too_few | repeats).withColumn("lost_share", lost)
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST,
     with_text: bool = True,
@@ -94,32 +120,12 @@ def quality_rules(
     the characters of its lines with words. NULL and empty texts have no words and fail.
     One row per row of ``docs``; nothing is shuffled; other columns are not read.
     """
-    df = docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    )
-    df = pin(
-        df,
-        _words=F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)),
-        _lines=F.filter(F.split("_text", "\n", -1), lambda line: F.rlike(line, F.lit(WORD))),
-    )
-    chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, line: a + F.length(line))
-    df = pin(
-        df,
-        _n_words=F.size("_words").cast("long"),
-        _word_chars=F.length(F.array_join("_words", "")).cast("long"),
-        _n_symbols=F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
-        _n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        _n_repeat_words=repeated_words(F.col("_words")),
-        _good=F.filter("_lines", lambda line: ~line_fails(line)),
-    )
-    all_chars = chars(F.col("_lines"))
-    lost = F.when(all_chars == 0, F.lit(0.0)).otherwise(1 - chars(F.col("_good")) / all_chars)
-    base = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
-    df = pin(df.withColumn("_base", base), _lost=lost)
-    out = [
-        F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"),
-        F.col("_n_symbols").alias("n_symbols"), F.col("_n_dup_lines").alias("n_dup_lines"),
-        F.col("_n_repeat_words").alias("n_repeat_words"), F.col("_base").alias("base_failed"),
-        (~F.col("_base") & (F.col("_lost") <= max_lost)).alias("kept"), F.col("_lost").alias("lost_share"),
-    ]
-    return df.select(*out, *[F.array_join("_good", "\n").alias("clean_text")] * with_text)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share"]
+    df = judged(docs.select(id_col, text_col), text_col, max_lost)
+    clean = [F.array_join("good", "\n").alias("clean_text")] * with_text
+    return df.select(F.col("row")[id_col].alias(id_col), *names, *clean)
+
+
+def good_documents(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns and their texts as they were."""
+    return judged(docs, text_col, max_lost).where("kept").select("row.*")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logharrow.llm.bpe import byte_bpe
 from logharrow.llm.common import table
 from logharrow.llm.exact import DigestIndex
+from logharrow.llm.lines import line_dedup
 from logharrow.llm.mixing import mix_sources
 from logharrow.llm.ngram_join import Jaccard, ngram_components
 from logharrow.llm.pii import personal_data
@@ -112,3 +113,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), with_text=False)
