@@ -7,11 +7,12 @@ their first n - c + 2 shingles, and two light sets meet in an equal subset. Larg
 and the light ones big enough to match one, are posted in inverted lists under their
 first n - c + 1 shingles. The boundary is the size for which both ways together cost least.
 
-Sets that share a list or subset are candidates. Lists are not multiplied out: each set is
-first compared with the first set of its lists; lists whose sets that has not joined
-into one group go on with four times as many leading sets, until all are settled. Only pairs
-that are not yet connected are compared, so groups of copies cost about one comparison a row,
-yet no link that connects different groups is missed.
+Sets that share a list or subset are candidates if sizes and places in the order leave room
+for the similarity. Lists are not multiplied out: each set is first compared with one leading
+set of its lists; lists whose sets that has not joined into one group go on with
+four times as many leading sets, until all are settled. Only pairs that are not yet connected
+are compared, so groups of copies cost about one comparison a row, yet no link that
+connects different groups is missed.
 """
 
 from __future__ import annotations
@@ -208,86 +209,116 @@ def light_boundary(classes: DataFrame, rule: Jaccard, list_length: float) -> int
 
 
 def _postings(chosen: DataFrame, levels, rule: Jaccard, boundary: int) -> DataFrame:
-    """Entries (sig, rid, n): subsets of light sets, prefix shingles of heavy and border ones."""
+    """Entries (sig, rid, n, pos): subsets of light sets, prefix shingles of heavy and border ones.
+
+    ``pos`` says how many of the set's shingles are known not to be shared, if the list's
+    shingles are the first that two sets share: those before them in the order.
+    """
     border = rule.least(boundary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
             for i in range(batch.num_rows):
-                sigs, owners, sizes = [], [], []
+                sigs, owners, sizes, skipped = [], [], [], []
                 for rid, tokens in zip(*_chosen_sets(batch, i, rule.n)):
                     n = len(tokens)
                     ranked = tokens[np.lexsort((tokens, level[tokens >> U(64 - SLOT_BITS)]))]
-                    made = []
+                    made, pos = [], []
                     if n >= border:
                         made.append(mix(ranked[: rule.prefix(n, 1)] + _STEP[71]))
+                        pos.append(np.arange(len(made[-1])))
                     if n <= boundary:
                         first = ranked[: rule.prefix(n, 2)]
                         a, b = np.triu_indices(len(first), 1)
                         # A subset has no order: the smaller hash comes first.
                         low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
                         made.append(mix(low * _STEP[72] + high))
+                        pos.append(b - 1)
                     sig = np.concatenate(made)
                     sigs.append(sig)
                     owners.append(np.full(len(sig), rid))
                     sizes.append(np.full(len(sig), n))
+                    skipped.append(np.concatenate(pos))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(sigs).view(np.int64)),
                         pa.array(np.concatenate(owners)),
                         pa.array(np.concatenate(sizes).astype(np.int32)),
+                        pa.array(np.concatenate(skipped).astype(np.int32)),
                     ],
-                    names=["sig", "rid", "n"],
+                    names=["sig", "rid", "n", "pos"],
                 )
 
-    return chosen.mapInArrow(run, "sig long, rid long, n int")
+    return chosen.mapInArrow(run, "sig long, rid long, n int, pos int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Entries of lists with at least two sets, each with the first set of its list."""
-    lists = postings.groupBy("sig").agg(F.min(F.struct("rid", "n")).alias("first"), F.max("rid").alias("last"))
-    lists = lists.where("first.rid < last").select("sig", "first")
-    return postings.join(lists, "sig")
+    """Entries of lists with at least two sets, each with the leading set of its list.
+
+    The set that skips fewest shingles leads: what it was copied to skips more.
+    """
+    lists = postings.groupBy("sig").agg(
+        F.min(F.struct("pos", "rid", "n")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")
+    )
+    return postings.join(lists.where("low < high").select("sig", "first"), "sig")
 
 
-def _fits(rule: Jaccard, a: str, b: str):
-    """Whether two sizes allow the similarity."""
-    low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return low * rule.down >= high * rule.up
+def _fits(rule: Jaccard, n, pos, m, other):
+    """Whether sizes and skipped shingles of two sets leave room for the similarity."""
+    shared = F.least(n - pos, m - other).cast("long")
+    return shared * rule.down >= (n + m - shared) * rule.up
+
+
+def _unsettled(entries: DataFrame, labels: DataFrame, rule: Jaccard) -> DataFrame:
+    """Entries that may still be similar to one of another label in their list.
+
+    The best any entry could do is to meet the set of another label that skips fewest.
+    """
+    named = entries.select("sig", "rid", "n", "pos").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
+    named = settled(named.withColumn("label", F.coalesce("label", "rid")), "named")
+    best = named.groupBy("sig").agg(F.min(F.struct("pos", "label")).alias("best"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = named.join(best.where("x <> y").select("sig", "best"), "sig")
+    second = mixed.where("label <> best.label").groupBy("sig").agg(F.min("pos").alias("second"))
+    other = F.when(F.col("label") == F.col("best.label"), F.col("second")).otherwise(F.col("best.pos"))
+    n, pos = F.col("n").cast("long"), F.col("pos")
+    left = mixed.join(second, "sig").where((n - pos) * rule.down >= (n + other) * rule.up)
+    return settled(left.select("sig", "rid", "n", "pos", "label"), "unsettled")
 
 
 def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
-    # First every set meets one other: the smallest first set of its lists that fits.
-    started = entries.where("rid <> first.rid").withColumn("m", F.col("first.n")).where(_fits(rule, "n", "m"))
-    pairs = started.groupBy("rid").agg(F.min("first.rid").alias("a")).select("a", F.col("rid").alias("b"))
-    tested = settled(_verified(pairs, blocks, rule), "tested")
+    # First every set meets one other: of the sets leading its lists, that which skips fewest.
+    first = F.col("first")
+    started = entries.where(F.col("rid") != first["rid"]).where(
+        _fits(rule, F.col("n"), F.col("pos"), first["n"], first["pos"])
+    )
+    pairs = started.groupBy("rid").agg(F.min(F.struct(first["pos"], first["rid"].alias("rid"))).alias("to"))
+    tested = _verified(pairs.select(F.col("to.rid").alias("a"), F.col("rid").alias("b")), blocks, rule)
     labels = components(tested.where("linked"))
     leading = 4
     while True:
-        named = entries.select("sig", "rid", "n").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-        named = named.withColumn("label", F.coalesce("label", "rid"))
-        mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many"))
-        mixed = mixed.where("x <> y").select("sig", "many")
-        entries = settled(named.join(mixed, "sig"), "mixed")
-        ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("rid")))
+        entries = _unsettled(entries, labels, rule)
+        order = Window.partitionBy("sig").orderBy("pos", "rid")
+        ranked = entries.withColumn("rank", F.row_number().over(order))
+        ranked = settled(ranked.withColumn("many", F.count("*").over(Window.partitionBy("sig"))), "ranked")
         front = ranked.where(F.col("rank") <= leading).select(
-            "sig", F.col("rid").alias("a"), F.col("n").alias("m"), F.col("label").alias("with"), F.col("rank").alias("r")
+            "sig", F.col("rid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("other"),
+            F.col("label").alias("with"), F.col("rank").alias("r"),
         )
+        fits = _fits(rule, F.col("n"), F.col("pos"), F.col("m"), F.col("other"))
         pairs = (
             ranked.join(front, "sig")
-            .where((F.col("r") < F.col("rank")) & (F.col("label") != F.col("with")) & _fits(rule, "n", "m"))
-            .select("a", F.col("rid").alias("b"))
+            .where((F.col("r") < F.col("rank")) & (F.col("label") != F.col("with")) & fits)
+            .select(F.least("a", "rid").alias("low"), F.greatest("a", "rid").alias("high"))
             .distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            .join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
         )
-        fresh = settled(_verified(pairs, blocks, rule), "tested")
-        found = fresh.where("linked")
+        fresh = _verified(pairs.select(F.col("low").alias("a"), F.col("high").alias("b")), blocks, rule)
+        if fresh.where("linked").limit(1).count():
+            labels = components(tested.unionByName(fresh).where("linked"))
         tested = tested.unionByName(fresh)
-        if found.limit(1).count():
-            labels = components(tested.where("linked"))
         # Lists no longer than what led are compared in full.
-        entries = entries.where(F.col("many") > leading).drop("many", "label")
+        entries = ranked.where(F.col("many") > leading)
         if not entries.limit(1).count():
             return labels
         leading *= 4
@@ -338,6 +369,6 @@ def _verified(pairs: DataFrame, blocks: DataFrame, rule: Jaccard) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "linked"])
 
     texts = asked.select("block", "sizes", "payload", "asked").mapInArrow(fetch, "a long, salt long, rid long, text binary")
-    # A leader's row number is the smallest of its group, so it comes first.
-    ordered = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "rid")
-    return ordered.mapInArrow(compare, "a long, b long, linked boolean")
+    # The leader of a group comes first.
+    ordered = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("rid") != F.col("a"))
+    return settled(ordered.mapInArrow(compare, "a long, b long, linked boolean"), "tested")
