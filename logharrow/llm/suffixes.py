@@ -2,8 +2,8 @@
 
 A string of 50 bytes has 35 windows of 16 bytes; the one of least hash is its anchor.
 Equal strings have equal anchors, so documents meet by anchors alone: anchors of at least
-two documents are found first, by 32-bit tags, and only the surroundings of those,
-every 50-byte string around the anchor, are compared. Equal surroundings are merged in
+two documents are found first, by 32-bit tags, and only the surroundings of those, the
+bytes of all strings that have the anchor, are compared. Equal surroundings are merged in
 their block and again where they meet; there a Burrows-Wheeler transform of the distinct ones
 is walked, and gives for each 50-byte string the smallest document that has it.
 """
@@ -35,15 +35,16 @@ LAST = np.iinfo(np.int64).max
 RUN = "part long, block long, payload binary"
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of anchors in a block, ascending, and their hashes.
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in a block: places, ascending, their hashes, and where the strings they
+    stand for start first and last.
 
     Of tied windows all are anchors, so the choice depends on nothing but the bytes.
     Documents, and pieces of long ones that share their ends, are taken together up to a
     bounded size; no string runs across two of them.
     """
     span = length - GRAM + 1
-    places, hashes = [], []
+    places, hashes, firsts, lasts = [], [], [], []
     ends = np.cumsum(sizes)
     group: list[tuple[int, int]] = []
 
@@ -61,8 +62,18 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
         edge = np.zeros(span - 1, np.uint64)
         best = sliding(np.concatenate([edge, least, edge]), span, np.maximum)
         chosen = np.flatnonzero((best == grams) & (best > 0))
+        change = np.flatnonzero(least[1:] != least[:-1]) + 1
+        first, last = np.concatenate([[0], change]), np.append(change, len(least)) - 1
+        first, last = first[least[first] > 0], last[least[first] > 0]
+        if len(first) != len(chosen) or (least[first] != grams[chosen]).any():
+            # Ties: all strings around an anchor that lie in its document.
+            begin = np.repeat(np.cumsum(size) - size, size)
+            first = np.maximum(chosen - (span - 1), begin[chosen])
+            last = np.minimum(chosen, end[chosen] - length)
         places.append(chosen + origin[chosen])
         hashes.append(grams[chosen])
+        firsts.append(first + origin[chosen])
+        lasts.append(last + origin[chosen])
         group.clear()
 
     held = 0
@@ -76,9 +87,13 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
             held += b - a
     flush()
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
+    place, at, back = np.unique(np.concatenate(places), return_index=True, return_inverse=True)
+    first, last = np.full(len(place), LAST), np.full(len(place), -1)
+    np.minimum.at(first, back, np.concatenate(firsts))
+    np.maximum.at(last, back, np.concatenate(lasts))
+    return place, np.concatenate(hashes)[at], first, last
 
 
 def home(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +142,7 @@ def _tags(blocks: DataFrame, parts: int, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 sizes = np.array(batch.column(2)[i].as_py(), np.int64)
                 data = np.frombuffer(unpack(batch.column(3)[i].as_py()), np.uint8)
-                place, hashes = anchors(data, sizes, length)
+                place, hashes, _, _ = anchors(data, sizes, length)
                 doc = np.searchsorted(np.cumsum(sizes), place, "right")
                 part, tag = home(hashes, parts)
                 rows = []
@@ -173,7 +188,6 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, parts: int, length: int)
     smallest document, and the bytes. That of part -1 has the place and length of each
     occurrence and which part's which surrounding it is.
     """
-    span = length - GRAM + 1
     lists = shared.groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +197,7 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, parts: int, length: int)
                 text = unpack(batch.column(3)[i].as_py())
                 ids = np.array([LAST if x is None else x for x in ids], np.int64)
                 ends = np.cumsum(np.array(sizes, np.int64))
-                place, hashes = anchors(np.frombuffer(text, np.uint8), np.array(sizes, np.int64), length)
+                place, hashes, start, last = anchors(np.frombuffer(text, np.uint8), np.array(sizes, np.int64), length)
                 part, tag = home(hashes, parts)
                 wanted = np.zeros(len(place), bool)
                 known = {row["part"]: row["payload"] for row in batch.column(4)[i].as_py()}
@@ -191,9 +205,8 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, parts: int, length: int)
                     if p in known:
                         wanted[at] = np.isin(tag[at], unpacked(known[p], np.uint32)[0])
                 place, hashes, part = place[wanted], hashes[wanted], part[wanted]
+                start, stop = start[wanted], last[wanted] + length
                 doc = np.searchsorted(ends, place, "right")
-                start = np.maximum(place - (span - 1), ends[doc] - np.array(sizes)[doc])
-                stop = np.minimum(place + length, ends[doc])
                 number = np.zeros(len(place), np.int64)
                 rows = []
                 for p, at in by_part(part):
@@ -228,7 +241,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     for k in range(8):
         rank = rank << U(8) | around[k : n + k]
     for width in (8, 16, 32, 64):
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)  # rows that agree in 64 bytes may stand in any order
         ranked = rank[order]
         place = np.zeros(n, np.int64)
         place[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
