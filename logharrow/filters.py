@@ -15,7 +15,7 @@ from logharrow.functions.time import RANGES, cutoff, ntz, range_key
 from logharrow.registry import ReportSpec
 
 ACTIONS = ("allow", "deny")
-PAGE, PAGE_MAX = 200, 20_000
+PAGE = 200
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,8 @@ class Filter:
 
     @property
     def page_size(self) -> int:
-        return min(max(self.limit or PAGE, PAGE), PAGE_MAX)
+        """Lines of a page: what was asked for, or the usual number."""
+        return PAGE if self.limit is None else max(self.limit, 1)
 
     def conditions(
         self,

@@ -35,8 +35,8 @@ def lookup_join(
         broadcast = fits(table)
     if broadcast:
         return left.join(F.broadcast(table), key, how)
-    if left.isStreaming:  # keys of a stream cannot be counted ahead
-        return left.join(table, key, how)
+    if left.isStreaming:
+        raise ValueError("keys of a stream cannot be counted ahead: look up within foreachBatch")
     return _join_without_hot_keys(left, table, key, how)
 
 
@@ -61,7 +61,8 @@ def _join_without_hot_keys(left: DataFrame, table: DataFrame, key: str, how: str
     )
     marked = left.join(F.broadcast(answered), F.col(key) == F.col("_hkey"), "left")
     # Rows that need no lookup get keys that match nothing and fall evenly on tasks.
-    nowhere = F.concat(F.lit("\u0000"), F.floor(F.rand(11) * 1_000_000).cast("string"))
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(1_000_000))  # of the row itself: the same when computed again
+    nowhere = F.concat(F.lit("\u0000"), spread.cast("string"))
     probe = F.when(F.col("_hkey").isNull(), F.col(key))
     joined = marked.withColumn("_probe", F.coalesce(probe, nowhere)).join(
         table, F.col("_probe") == F.col("_tkey"), "left"

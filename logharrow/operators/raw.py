@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logharrow.functions.columns import ts_text
-from logharrow.functions.time import epoch
+from logharrow.functions.time import epoch, ntz
+from logharrow.session import settled
 
-EXPORT_MAX = 500_000
 RECENT = 50
-# Longest list that every task may offer candidates for.
-DIRECT_ROWS = 1_000
 
 # Fixed value: the columns of the recent feed.
 RECENT_COLUMNS = (
@@ -24,18 +25,46 @@ def _newest_first() -> list:
     return [F.desc("ts"), F.desc("received_at"), F.asc_nulls_last("raw")]
 
 
-def raw_page(df: DataFrame, limit: int) -> DataFrame:
-    """The newest ``limit`` lines: ``pos``, ``ts`` text, ``line``, ``has_more``.
+@dataclass(frozen=True)
+class Cursor:
+    """The last line of a page; the next page starts behind it. ``ts`` None: among lines without a time."""
+
+    ts: datetime | None
+    received_at: datetime | None
+    raw: str | None
+
+
+def _behind(df: DataFrame, cursor: Cursor) -> DataFrame:
+    """Lines after the cursor in the order of a listing: newest first, no time last."""
+    ts, received, raw = F.col("ts"), F.col("received_at"), F.col("raw")
+
+    def older(c, value):
+        return F.lit(False) if value is None else c.isNull() | (c < ntz(value))
+
+    def same(c, value):
+        return c.isNull() if value is None else c.eqNullSafe(ntz(value))
+
+    later_line = F.lit(False) if cursor.raw is None else raw.isNull() | (raw > F.lit(cursor.raw))
+    tie = same(received, cursor.received_at) & later_line
+    return df.where(older(ts, cursor.ts) | (same(ts, cursor.ts) & (older(received, cursor.received_at) | tie)))
+
 
-    One line more is read to learn whether there are more.
+def raw_page(df: DataFrame, limit: int, after: Cursor | None = None) -> DataFrame:
+    """The newest ``limit`` lines, or those behind a cursor: ``pos``, ``ts`` text, ``line``, ``has_more``.
+
+    One line more is read to learn whether there are more. ``key`` holds what a cursor for
+    the next page needs; lines equal in all of it are one place in the order.
     """
     rows = df.select("ts", "received_at", "raw")
-    page = _newest(rows, limit + 1)
+    if after is not None:
+        rows = _behind(rows, after)
+    page = rows.orderBy(*_newest_first()).limit(limit + 1)
     everything = Window.partitionBy()  # limit + 1 rows
     return (
         page.withColumns({
             "pos": F.row_number().over(everything.orderBy(*_newest_first())),
             "has_more": F.count("*").over(everything) > limit,
+            "key": F.struct("ts", "received_at", "raw"),
         })
         .where(F.col("pos") <= limit)
         .select(
@@ -43,22 +72,11 @@ def raw_page(df: DataFrame, limit: int) -> DataFrame:
             F.coalesce(ts_text(F.col("ts")), F.lit("")).alias("ts"),
             F.coalesce("raw", F.lit("")).alias("line"),
             "has_more",
+            "key",
         )
     )
 
 
-def _newest(df: DataFrame, rows: int) -> DataFrame:
-    """The newest ``rows`` rows.
-
-    A short list is taken directly: each task offers that many rows. For a long one
-    the offers of very many tasks would swamp the one that merges them, so older
-    rows are cut off first. Rows without a time come last and are never cut.
-    """
-    if rows > DIRECT_ROWS:
-        df = _cut_older(df, rows)
-    return df.orderBy(*_newest_first()).limit(rows)
-
-
 def _cut_older(df: DataFrame, rows: int) -> DataFrame:
     """Rows of the newest moments that together hold at least ``rows`` rows.
 
@@ -94,28 +112,35 @@ def _cut_older(df: DataFrame, rows: int) -> DataFrame:
     return df.where(kept | F.col("ts").isNull())
 
 
-def export_lines(df: DataFrame, cap: int = EXPORT_MAX) -> DataFrame:
+def export_lines(df: DataFrame, cap: int | None = None) -> DataFrame:
     """All matching lines as text, newest first: ``pos``, ``value``.
 
-    Beyond ``cap`` lines the export ends with a line that says so.
+    With a ``cap`` the list ends there, and a last line says so if any were left out.
+    Without one, lines are sorted by ranges of time over all tasks; a line's position is
+    its place in its range plus what the ranges before hold, so no task sees them all.
     """
     wanted = df.where(F.col("ts").isNotNull()).select("ts", "received_at", "raw")
-    newest = _newest(wanted, cap + 1)
+    line = F.concat(ts_text(F.col("ts")), F.lit(" "), F.coalesce("raw", F.lit(""))).alias("value")
+    if cap is None:
+        ordered = settled(wanted.orderBy(*_newest_first()).select(line, F.spark_partition_id().alias("part"), "ts", "received_at", "raw"), "export")
+        per = Window.partitionBy("part").orderBy(*_newest_first())
+        sizes = ordered.groupBy("part").agg(F.count("*").alias("_n"))  # one row for each range
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("part", before.alias("_before"))
+        placed = ordered.withColumn("_place", F.row_number().over(per)).join(F.broadcast(starts), "part")
+        return placed.select((F.col("_before") + F.col("_place")).alias("pos"), "value")
+    newest = _cut_older(wanted, cap + 1).orderBy(*_newest_first()).limit(cap + 1)
     pos = F.row_number().over(Window.partitionBy().orderBy(*_newest_first()))  # cap + 1 rows
-    line = F.concat(
-        F.coalesce(ts_text(F.col("ts")), F.lit("")), F.lit(" "), F.coalesce("raw", F.lit(""))
-    )
-    marker = F.lit(
-        f"# truncated: export limit of {cap} lines reached — narrow the filters for the rest"
-    )
-    return newest.withColumn("pos", pos).select(
+    marker = F.lit(f"# {cap} lines written; older ones match too and were left out")
+    return newest.withColumn("pos", pos.cast("bigint")).select(
         "pos", F.when(F.col("pos") > cap, marker).otherwise(line).alias("value")
     )
 
 
-def write_export(df: DataFrame, path: str, cap: int = EXPORT_MAX) -> None:
-    """Write an export as one text file, in order."""
-    export_lines(df, cap).coalesce(1).sortWithinPartitions("pos").select("value").write.text(path)
+def write_export(df: DataFrame, path: str, cap: int | None = None) -> None:
+    """Write an export as text files; read by name, one behind the other, they are in order."""
+    lines = export_lines(df, cap)
+    lines.orderBy("pos").select("value").write.text(path)
 
 
 def recent(df: DataFrame, n: int = RECENT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,16 @@ from logharrow import registry
 from logharrow.functions.columns import ageing_time
 from logharrow.functions.time import ntz
 from logharrow.schemas import PARTITIONS
-from logharrow.sources import files
+from logharrow.sources import files, rewrites
 from logharrow.sources.tables import stored_schema, table_path
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
-# A day is worth compacting from this size, with this share of undersized files.
-COMPACT_MIN_BYTES = 16 * 1024 * 1024
-COMPACT_MIN_SMALL_RATIO = 0.30
-# Batch number of compacted files; stream batches count from 0.
-COMPACTED = -1
+# A day is worth compacting from this many files more than its bytes need, or with this share
+# of undersized files when it holds more than one target file.
+COMPACT_FILES = 8
+COMPACT_SMALL_RATIO = 0.30
+# Tables worked on at the same time; each is one or two Spark jobs.
+TABLES_AT_ONCE = 4
 
 
 def retention_cutoff(retention_days: int, as_of: datetime) -> datetime:
@@ -49,113 +51,111 @@ def _day_of(folder: str) -> date | None:
         return None  # rows without any time are never pruned
 
 
-def _read_day(spark: SparkSession, path: str, folder: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{folder}")
+def _read(spark: SparkSession, path: str, folders: list[tuple[str, str]], schema) -> DataFrame:
+    """Rows of the given (day, batch) folders and of no others."""
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{d}/{b}" for d, b in folders])
 
 
-def prune_table(
-    spark: SparkSession, root: str, name: str, retention_days: int, as_of: datetime
-) -> int:
+def _replace(spark: SparkSession, path: str, old: list[tuple[str, str]], rows: DataFrame) -> None:
+    """Put ``rows`` in the place of the batch folders ``old``; see ``rewrites``."""
+    rewrite = rewrites.begin(spark, path, old)
+    (
+        rows.withColumn(PARTITIONS[1], F.lit(rewrite.batch))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS).parquet(path)
+    )
+    rewrites.commit(spark, path, rewrite)
+
+
+def prune_table(spark: SparkSession, root: str, name: str, retention_days: int, as_of: datetime) -> int:
     """Remove rows older than the window from one table; returns how many.
 
-    Whole days before the cutoff day are dropped as folders, never read but for
-    their row count (answered from file footers). Only the cutoff day is rewritten,
-    beside the original, and swapped in.
+    Days before the cutoff day go as folders; one job counts their rows, from file footers.
+    Of the cutoff day the batches found at the start are rewritten without their old rows;
+    what streams add meanwhile stays, and is pruned by the next run.
     """
     if retention_days == 0:
         return 0
     path = table_path(root, name)
     schema = stored_schema(registry.get(name))
     cutoff = retention_cutoff(retention_days, as_of)
-    removed = 0
-    for folder in _recovered_days(spark, path):
-        day = _day_of(folder)
-        if day is None or day > cutoff.date():
-            continue
-        rows = _read_day(spark, path, folder, schema)
-        if day < cutoff.date():
-            removed += rows.count()
-            files.remove(spark, f"{path}/{folder}")
-            continue
+    rewrites.recover(spark, path)
+    dated = [(d, _day_of(d)) for d in _days(spark, path)]
+    gone = [(d, b) for d, day in dated if day and day < cutoff.date() for b in rewrites.batches_of(spark, path, d)]
+    edge = [(d, b) for d, day in dated if day == cutoff.date() for b in rewrites.batches_of(spark, path, d)]
+    removed = _read(spark, path, gone, schema).count() if gone else 0
+    for day in sorted({d for d, _ in gone}):
+        files.remove(spark, f"{path}/{day}")
+    if edge:
+        rows = _read(spark, path, edge, schema)
         young = survivors(rows, retention_days, as_of)
-        gone = rows.count() - young.count()
-        if gone:
-            _rewrite_day(spark, path, folder, young)
-            removed += gone
+        old = rows.count() - young.count()
+        if old:
+            _replace(spark, path, edge, young)
+            removed += old
     return removed
 
 
-def prune(
-    spark: SparkSession, root: str, retention_days: int, as_of: datetime
-) -> dict[str, int]:
-    """Prune every registered table; rows removed by type."""
-    return {
-        name: prune_table(spark, root, name, retention_days, as_of) for name in registry.names()
-    }
-
-
-def _recovered_days(spark: SparkSession, path: str) -> list[str]:
-    """Day folders, after undoing any swap that a crash cut short."""
-    for target in files.set_aside(spark, path):
-        files.recover(spark, target)
-    return _days(spark, path)
+def _each_table(work) -> dict[str, int]:
+    """``work`` for every registered table, several at a time."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return dict(zip(registry.names(), pool.map(work, registry.names())))
 
 
-def _rewrite_day(spark: SparkSession, path: str, folder: str, rows: DataFrame) -> None:
-    target = f"{path}/{folder}"
-    staged = files.staging_path(target)
-    rows.drop("event_date").write.partitionBy(PARTITIONS[1]).parquet(staged)
-    if not files.list_dirs(spark, staged):  # nothing survived
-        files.remove(spark, staged)
-        files.remove(spark, target)
-        return
-    files.swap_in(spark, staged, target)
+def prune(spark: SparkSession, root: str, retention_days: int, as_of: datetime) -> dict[str, int]:
+    """Prune every registered table; rows removed by type."""
+    return _each_table(lambda name: prune_table(spark, root, name, retention_days, as_of))
 
 
 def needs_compaction(sizes: list[int], target: int = TARGET_FILE_BYTES) -> bool:
-    """Whether a day is big enough, and scattered enough, to be worth rewriting."""
-    total = sum(sizes)
-    if total < COMPACT_MIN_BYTES or len(sizes) <= -(-total // target):
+    """Whether a day is scattered over enough files to be worth rewriting, however small it is."""
+    needed = -(-sum(sizes) // target)
+    if len(sizes) <= max(needed, 1):
         return False
     small = sum(1 for size in sizes if size < target // 2)
-    return small / len(sizes) >= COMPACT_MIN_SMALL_RATIO
-
-
-def compact_day(
-    spark: SparkSession,
-    root: str,
-    name: str,
-    day: date,
-    target: int = TARGET_FILE_BYTES,
-    force: bool = False,
-) -> bool:
-    """Merge the small files of one closed day; returns whether it was rewritten.
-
-    The original stays in place until the copy is complete. Compact only days no
-    batch is still being written to: the batch numbers that guard against storing a
-    batch twice are given up.
+    return len(sizes) - needed >= COMPACT_FILES or (needed > 1 and small / len(sizes) >= COMPACT_SMALL_RATIO)
+
+
+def compact_table(
+    spark: SparkSession, root: str, name: str, days: list[date], target: int = TARGET_FILE_BYTES, force: bool = False
+) -> int:
+    """Merge the small files of some days of one table, all in one job; returns the days rewritten.
+
+    Rows are dealt out by day and range of time, so that each file covers a stretch of time
+    and its statistics let reports skip it. Batches that streams add to those days
+    meanwhile are left alone.
     """
-    path, folder = table_path(root, name), f"event_date={day.isoformat()}"
-    files.recover(spark, f"{path}/{folder}")
-    sizes = files.data_files(spark, f"{path}/{folder}")
-    if not sizes or not (force or needs_compaction(sizes, target)):
-        return False
-    parts = max(1, -(-sum(sizes) // target))
-    rows = _read_day(spark, path, folder, stored_schema(registry.get(name)))
-    # Sorted by time within files, so that row-group statistics can skip.
-    merged = rows.withColumn("ingest_batch", F.lit(COMPACTED).cast("bigint")).repartition(parts)
-    _rewrite_day(spark, path, folder, merged.sortWithinPartitions("ts"))
-    return True
-
-
-def compact(
-    spark: SparkSession, root: str, before: date, target: int = TARGET_FILE_BYTES
-) -> dict[str, int]:
-    """Compact every day before a date, in every table; days rewritten by type."""
-    done = {}
-    for name in registry.names():
-        days = [_day_of(f) for f in _recovered_days(spark, table_path(root, name))]
-        done[name] = sum(
-            compact_day(spark, root, name, day, target) for day in days if day and day < before
-        )
-    return done
+    path = table_path(root, name)
+    rewrites.recover(spark, path)
+    chosen, old, parts = [], [], 0
+    for day in days:
+        folder = f"event_date={day.isoformat()}"
+        sizes = files.data_files(spark, f"{path}/{folder}")
+        if sizes and (force or needs_compaction(sizes, target)):
+            chosen.append(day)
+            old += [(folder, batch) for batch in rewrites.batches_of(spark, path, folder)]
+            parts += max(1, -(-sum(sizes) // target))
+    if not old:
+        return 0
+    rows = _read(spark, path, old, stored_schema(registry.get(name)))
+    ordered = rows.repartitionByRange(parts, PARTITIONS[0], "ts").sortWithinPartitions(PARTITIONS[0], "ts")
+    _replace(spark, path, old, ordered)
+    return len(chosen)
+
+
+def compact(spark: SparkSession, root: str, before: date, target: int = TARGET_FILE_BYTES) -> dict[str, int]:
+    """Compact every day before a date that is worth it, in every table; days rewritten by type."""
+
+    def work(name: str) -> int:
+        days = [_day_of(f) for f in _days(spark, table_path(root, name))]
+        return compact_table(spark, root, name, [d for d in days if d and d < before], target)
+
+    return _each_table(work)
+
+
+def run(spark: SparkSession, root: str, retention_days: int, as_of: datetime, target: int = TARGET_FILE_BYTES) -> dict[str, dict[str, int]]:
+    """The regular maintenance of all tables: prune, then compact the days before today."""
+    return {
+        "pruned": prune(spark, root, retention_days, as_of),
+        "compacted": compact(spark, root, as_of.date(), target),
+    }

@@ -97,10 +97,11 @@ def raw_report(
     as_of: datetime,
     spec: ReportSpec | LogTypeSpec,
     status_mode: str = "rounded",
+    after: raw.Cursor | None = None,
 ) -> DataFrame:
-    """The lines a report under the same filter is made of, newest first."""
+    """The lines a report under the same filter is made of, newest first, or a later page of them."""
     flt = flt.normalised()
-    return raw.raw_page(flt.apply(df, _spec(spec), as_of, status_mode), flt.page_size)
+    return raw.raw_page(flt.apply(df, _spec(spec), as_of, status_mode), flt.page_size, after)
 
 
 def export_report(
@@ -109,7 +110,7 @@ def export_report(
     as_of: datetime,
     spec: ReportSpec | LogTypeSpec,
     path: str,
-    cap: int = raw.EXPORT_MAX,
+    cap: int | None = None,
     status_mode: str = "rounded",
 ) -> None:
     """Write the lines a report is made of as a text file."""

@@ -13,7 +13,7 @@ from logharrow.functions.time import ntz
 from logharrow.operators.geo import GeoIndex, build_index
 from logharrow.registry import REGISTRY
 from logharrow.schemas import SOURCES, conform
-from logharrow.sources.files import exists, replace_table
+from logharrow.sources.files import exists, version_path, versions, write_version
 
 
 def load_geo_ranges(spark: SparkSession, *paths: str) -> GeoIndex | None:
@@ -25,10 +25,11 @@ def load_geo_ranges(spark: SparkSession, *paths: str) -> GeoIndex | None:
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """The sender table, empty when none was written yet."""
-    if not exists(spark, path):
+    """The sender table as last saved, empty only when none was ever saved."""
+    saved = versions(spark, path)
+    if not saved:
         return spark.createDataFrame([], SOURCES)
-    return spark.read.schema(SOURCES).parquet(path)
+    return spark.read.schema(SOURCES).parquet(version_path(path, saved[-1]))
 
 
 def list_sources(sources: DataFrame) -> DataFrame:
@@ -38,11 +39,12 @@ def list_sources(sources: DataFrame) -> DataFrame:
 def upsert_sources(sources: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
     """Insert or replace senders by address; an existing one keeps ``created_at``.
 
-    ``changes`` has ``ip``, ``name`` and ``log_type``, one row per address. Rows with
-    an empty name, an invalid address or an unregistered type are left out;
-    ``rejected_sources`` lists them.
+    ``changes`` has ``ip``, ``name`` and ``log_type``. Rows with an empty name, an invalid
+    address or an unregistered type are left out; ``rejected_sources`` lists them. Of
+    several good rows of one address the first by name, then type, is taken.
     """
-    wanted = _checked(changes).where(F.col("problem").isNull())
+    good = _checked(changes).where(F.col("problem").isNull())
+    wanted = good.groupBy("ip").agg(F.min(F.struct("name", "log_type")).alias("one")).select("ip", "one.*")
     known = sources.select("ip", "created_at")
     changed = wanted.join(known, "ip", "left").select(
         "ip", "name", "log_type", F.coalesce("created_at", ntz(as_of)).alias("created_at")
@@ -70,6 +72,19 @@ def delete_source(sources: DataFrame, ip: str) -> DataFrame:
     return sources.where(F.col("ip") != F.lit(ip.strip()))
 
 
+def unique_sources(sources: DataFrame) -> DataFrame:
+    """``sources``, with a check that fails where an address occurs twice.
+
+    A message of such an address would be stored once for each row.
+    """
+    message = F.concat(F.lit("sender listed twice: "), F.col("ip"))
+    counted = sources.groupBy("ip").agg(F.count("*").alias("_rows"), *[
+        F.min(c).alias(c) for c in sources.columns if c != "ip"
+    ])
+    checked = counted.where(F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*sources.columns)
+
+
 def save_sources(spark: SparkSession, sources: DataFrame, path: str) -> None:
-    """Replace the stored sender table, also when ``sources`` was read from it."""
-    replace_table(spark, sources.coalesce(1), path)
+    """Save the sender table as a new version, also when ``sources`` was read from the old one."""
+    write_version(spark, unique_sources(sources), path)

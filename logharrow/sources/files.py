@@ -1,8 +1,10 @@
-"""File-system steps around tables, through Hadoop so that any store works."""
+"""Small file-system steps through Hadoop: listing, marks, versions.
 
-from __future__ import annotations
+Nothing here relies on a folder being renamed. What must change at once changes by the
+creation of one small file, which every store does as a whole.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,21 @@ def size_on_disk(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
-def list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Names of the directories directly under a path."""
+def _names(spark: SparkSession, path: str, folders: bool) -> list[str]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() == folders)
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the directories directly under a path."""
+    return _names(spark, path, True)
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly under a path."""
+    return _names(spark, path, False)
 
 
 def data_files(spark: SparkSession, path: str) -> list[int]:
@@ -51,71 +62,50 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    fs, p = _fs(spark, old)
-    if not fs.rename(p, _fs(spark, new)[1]):
-        raise OSError(f"could not rename {old} to {new}")
-
-
-def swap_in(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a finished copy in the place of ``target``.
-
-    The original is set aside, not deleted, until the copy is in place. The aside
-    name is hidden from readers, and ``recover`` undoes a swap cut short.
-    """
-    aside = aside_path(target)
-    if exists(spark, target):
-        rename(spark, target, aside)
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """Create a small file; without ``replace`` an existing one is an error."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, replace)
     try:
-        rename(spark, staged, target)
-    except Exception:
-        recover(spark, target)
-        raise
-    if exists(spark, aside):
-        remove(spark, aside)
-
-
-def recover(spark: SparkSession, target: str) -> None:
-    """After a crash: restore the original, or drop it when the copy is in place."""
-    aside = aside_path(target)
-    if not exists(spark, aside):
-        return
-    if exists(spark, target):
-        remove(spark, aside)
-    else:
-        rename(spark, aside, target)
-
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
-def hidden(path: str, prefix: str) -> str:
-    """A sibling of a path that readers skip.
-
-    A leading underscore hides a name from Spark only where it has no ``=``.
-    """
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return f"{folder}/_{prefix}-{name.replace('=', '~')}"
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file, None if there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
 
-def aside_path(path: str) -> str:
-    return hidden(path, "previous")
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a table kept by ``write_version``, ascending."""
+    numbers = [int(n[1:]) for n in list_dirs(spark, path) if n[:1] == "v" and n[1:].isdigit()]
+    return sorted(n for n in numbers if exists(spark, version_path(path, n) + "/_SUCCESS"))
 
-def set_aside(spark: SparkSession, folder: str) -> list[str]:
-    """Paths under a folder whose original is set aside by an unfinished swap."""
-    mark = "_previous-"
-    names = [n.removeprefix(mark) for n in list_dirs(spark, folder) if n.startswith(mark)]
-    return [f"{folder}/{name.replace('~', '=')}" for name in names]
 
+def version_path(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/v{number}"
 
-def staging_path(path: str) -> str:
-    """A hidden sibling of a path, new each time."""
-    return hidden(path, f"staging-{uuid.uuid4().hex}")
 
+def write_version(spark: SparkSession, df: DataFrame, path: str, number: int | None = None) -> int:
+    """Write ``df`` as a new version; returns its number.
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write ``df`` beside ``path`` and swap it in."""
-    staged = staging_path(path)
-    df.write.parquet(staged)
-    swap_in(spark, staged, path)
+    Readers take the last version that has its ``_SUCCESS`` file, so they see the old or the
+    new table and never none. The version before stays for readers that still hold it.
+    """
+    known = versions(spark, path)
+    number = (known[-1] + 1 if known else 0) if number is None else number
+    df.write.mode("overwrite").parquet(version_path(path, number))
+    for old in [n for n in known if n < number][:-1]:
+        remove(spark, version_path(path, old))
+    return number
 
 
 def table_size(spark: SparkSession, path: str) -> DataFrame:

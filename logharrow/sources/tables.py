@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from logharrow import registry
 from logharrow.operators.geo import GeoIndex, with_country
 from logharrow.schemas import PARTITIONS, conform, with_event_date
-from logharrow.sources.files import exists
+from logharrow.sources import files, rewrites
 
 
 def table_path(root: str, name: str) -> str:
@@ -17,7 +17,7 @@ def table_path(root: str, name: str) -> str:
 
 
 def stored_schema(spec: registry.LogTypeSpec) -> T.StructType:
-    partitions = T.StructType().add("event_date", T.DateType()).add("ingest_batch", T.LongType())
+    partitions = T.StructType().add("event_date", T.DateType()).add("ingest_batch", T.StringType())
     return T.StructType(spec.schema.fields + partitions.fields)
 
 
@@ -25,7 +25,7 @@ def init_tables(spark: SparkSession, root: str) -> None:
     """Create every registered type's table, leaving existing ones alone."""
     for name, spec in registry.REGISTRY.items():
         path = table_path(root, name)
-        if not exists(spark, path):
+        if not files.exists(spark, path):
             # An unpartitioned empty write leaves a folder that reads as no rows.
             spark.createDataFrame([], spec.schema).write.mode("ignore").parquet(path)
 
@@ -33,30 +33,55 @@ def init_tables(spark: SparkSession, root: str) -> None:
 def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan a type's table under the schema declared today.
 
-    Columns added since a file was written read as NULL.
+    Columns added since a file was written read as NULL. Batches that a rewrite is just
+    replacing, or has replaced, are left out; files are listed again if one moved on
+    meanwhile.
     """
-    return spark.read.schema(stored_schema(registry.get(name))).parquet(table_path(root, name))
+    path = table_path(root, name)
+    while True:
+        before = rewrites.state(spark, path)
+        rows = spark.read.schema(stored_schema(registry.get(name))).parquet(path)
+        hidden = rewrites.hidden(spark, path)
+        if rewrites.state(spark, path) == before:
+            return rows if hidden is None else rows.where(~hidden)
 
 
 def to_events(envelope: DataFrame, name: str, geo: GeoIndex | None) -> DataFrame:
     """Envelope rows of one type to event rows: parse, keep what parsed, add country."""
+    return as_events(registry.get(name).parse(envelope), name, geo)
+
+
+def as_events(parsed: DataFrame, name: str, geo: GeoIndex | None) -> DataFrame:
+    """Event rows of one type from parsed lines."""
     spec = registry.get(name)
-    parsed = spec.parse(envelope).where("parsed")
-    return conform(with_country(parsed, spec.geo_column, geo), spec.schema)
+    return conform(with_country(parsed.where("parsed"), spec.geo_column, geo), spec.schema)
 
 
-def append_batch(events: DataFrame, path: str, batch_id: int) -> None:
+def append_batch(events: DataFrame, path: str, batch: str | int) -> None:
     """Store one batch. Storing the same batch again replaces it.
 
-    Each batch has its own partition, overwritten on a retry, so a batch that was
-    cut short or delivered twice is stored exactly once. Rows are not reshuffled;
-    ``compact`` merges the small files later.
+    ``batch`` names the batch among all that ever go into the table: a stream's batches
+    are named by stream and number, see ``stream_batch``. Each has its own partition,
+    overwritten on a retry, so a batch that was cut short or delivered twice is stored
+    exactly once. Rows are not reshuffled; ``compact`` merges the small files later.
     """
     (
         with_event_date(events)
-        .withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        .withColumn("ingest_batch", F.lit(str(batch)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+
+
+def stream_batch(stream: str, number: int) -> str:
+    """The name of a stream's batch. Streams count from 0 each, so the number alone is no name."""
+    return f"{stream}-{number}"
+
+
+def forget_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Remove what a first try of a batch left in a table."""
+    for day in files.list_dirs(spark, path):
+        if day.startswith("event_date="):
+            files.remove(spark, f"{path}/{day}/ingest_batch={batch}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,32 +13,81 @@ from logharrow import registry
 from logharrow.operators.geo import GeoIndex
 from logharrow.operators.lookup import fits
 from logharrow.operators.routing import mark_outcome, minute_stats
+from logharrow.schemas import PARTITIONS
+from logharrow.sources import files
+from logharrow.sources.dimensions import unique_sources
 from logharrow.sources.messages import parse_envelope
-from logharrow.sources.tables import append_batch, table_path, to_events
+from logharrow.sources.tables import append_batch, as_events, forget_batch, stream_batch, table_path
+
+# Where batches are counted, and where the batch a stream is storing is noted.
+STATS = "ingest_stats"
+_TRIED = "_tried"
 
 
 def store_batch(
     messages: DataFrame,
-    batch_id: int,
+    number: int,
     root: str,
     sources: DataFrame,
     geo: GeoIndex | None,
+    stream: str = "batch",
 ) -> None:
-    """Route, parse, enrich and store one batch of messages in its types' tables.
+    """Route, parse, enrich and store one batch of a stream, and count what became of it.
 
-    Storing a batch again replaces it, so a retry neither loses nor doubles rows.
-    Rows are dated by their own time, however old: there is no lateness limit.
+    Storing a batch again replaces it in every table, also where the sender table was
+    edited between the tries, so a retry neither loses nor doubles rows. Rows are dated by
+    their own time, however old: there is no lateness limit. Each line is parsed once; the
+    counts per minute, those of unknown senders and unparsed lines among them, come from
+    the same parse and are read with ``ingest_stats``.
     """
-    routed = mark_outcome(parse_envelope(messages), sources, fits(sources))
-    routed = routed.where(F.col("log_type").isNotNull()).persist()
+    spark = messages.sparkSession
+    batch, note = stream_batch(stream, number), f"{root}/{_TRIED}/{stream}"
+    if files.read_text(spark, note) == str(number):
+        for name in [*registry.names(), STATS]:
+            forget_batch(spark, table_path(root, name), batch)
+    files.write_text(spark, note, str(number))
+    sources = unique_sources(sources.where(F.col("log_type").isin(registry.names())))
+    routed = mark_outcome(parse_envelope(messages), sources, fits(sources)).persist()
+    held = [routed]
     try:
+        counts = [_counts(routed.where(F.col("log_type").isNull()).withColumn("parsed", F.lit(False)))]
         # Only types some sender is configured for; bounded by the registry.
-        active = [r.log_type for r in sources.select("log_type").distinct().collect()]
-        for name in sorted(set(active) & set(registry.REGISTRY)):
-            lines = routed.where(F.col("log_type") == name).drop("log_type")
-            append_batch(to_events(lines, name, geo), table_path(root, name), batch_id)
+        for name in sorted(r.log_type for r in sources.select("log_type").distinct().collect()):
+            lines = routed.where(F.col("log_type") == name)
+            parsed = registry.get(name).parse(lines).persist()
+            held.append(parsed)
+            append_batch(as_events(parsed.drop("log_type"), name, geo), table_path(root, name), batch)
+            counts.append(_counts(parsed))
+        stats = minute_totals(reduce(DataFrame.unionByName, counts))
+        dated = stats.withColumns({"event_date": F.to_date("minute"), "ingest_batch": F.lit(batch)})
+        (
+            dated.coalesce(1)  # a row per minute of the batch
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PARTITIONS).parquet(table_path(root, STATS))
+        )
     finally:
-        routed.unpersist()
+        for frame in held:
+            frame.unpersist()
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    minute = F.date_trunc("minute", F.col("received_at")).cast("timestamp_ntz")
+    return minute_stats(rows.select(minute.alias("received_at"), "log_type", "parsed"))
+
+
+def minute_totals(counts: DataFrame) -> DataFrame:
+    """Counts of the same minute from several places added up."""
+    kinds = ("received", "stored", "unparsed", "unknown_source")
+    return counts.groupBy("minute").agg(*[F.sum(c).alias(c) for c in kinds])
+
+
+def ingest_stats(spark: SparkSession, root: str) -> DataFrame:
+    """Per-minute counts of everything stored under ``root``: a few rows for each batch are read."""
+    schema = "minute timestamp_ntz, received long, stored long, unparsed long, unknown_source long"
+    path = table_path(root, STATS)
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return minute_totals(spark.read.schema(schema).parquet(path))
 
 
 def outcomes(
@@ -80,7 +130,9 @@ def start_ingest(
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, root, load_sources(batch.sparkSession), geo)
+        # The id of the query is kept in its checkpoint: a fresh checkpoint is another stream.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store_batch(batch, batch_id, root, load_sources(batch.sparkSession), geo, stream)
 
     return (
         messages.writeStream.foreachBatch(each_batch)

@@ -50,7 +50,7 @@ def test_filter_edits():
     f = Filter(range="7d", ip="1.1.1.1").with_(path="/x")
     assert f.without("ip") == Filter(range="7d", path="/x")
     assert f.with_(ip="2.2.2.2").ip == "2.2.2.2"
-    assert [Filter(limit=n).page_size for n in (None, 5, 500, 10**6)] == [200, 200, 500, 20_000]
+    assert [Filter(limit=n).page_size for n in (None, 5, 500, 10**6)] == [200, 5, 500, 10**6]
 
 
 def test_range_is_cut_to_seconds_and_has_no_upper_bound(spark):
@@ -254,19 +254,43 @@ def test_raw_page_and_export(spark, tmp_path):
     page = raw.raw_page(rows.where("ts IS NOT NULL"), 4).collect()
     assert [r.line for r in page] == ["line 2", "line 5", "line 8", "line 1"] and page[0].has_more
     assert not raw.raw_page(rows, 11).first().has_more
-    raw.DIRECT_ROWS, direct = 1, raw.DIRECT_ROWS
     assert [r.line for r in raw.raw_page(rows, 4).collect()] == ["line 2", "line 5", "line 8", "line 1"]
     assert raw.raw_page(rows, 11).count() == 11
     for cap, marked in ((10, False), (9, True), (2, True)):
         lines = [r.value for r in raw.export_lines(rows, cap).orderBy("pos").collect()]
         assert len(lines) == min(10, cap + 1)
-        assert lines[-1].startswith("# truncated") is marked
+        assert lines[-1].startswith(f"# {cap} lines written") is marked
         assert lines[0] == "2026-03-15 10:02:00 line 2"
-    raw.DIRECT_ROWS = direct
     raw.write_export(rows, str(tmp_path / "out"))
-    files = list((tmp_path / "out").glob("part-*"))
-    assert len(files) == 1
-    assert files[0].read_text().splitlines()[0] == "2026-03-15 10:02:00 line 2"
+    files = sorted((tmp_path / "out").glob("part-*"))
+    text = "".join(f.read_text() for f in files).splitlines()
+    assert len(text) == 10 and text[0] == "2026-03-15 10:02:00 line 2"
+
+
+def test_pages_follow_each_other(spark):
+    times = [datetime(2026, 3, 15, 10, i % 3) for i in range(10)] + [None, None]
+    rows = spark.createDataFrame(
+        [(t, None if i % 4 == 0 else NOW, None if i == 7 else f"line {i}") for i, t in enumerate(times)],
+        "ts timestamp_ntz, received_at timestamp_ntz, raw string",
+    )
+    whole = [r.line for r in raw.raw_page(rows, 100).orderBy("pos").collect()]
+    seen, cursor = [], None
+    while True:
+        page = raw.raw_page(rows, 5, cursor).orderBy("pos").collect()
+        seen += [r.line for r in page]
+        if not page[-1].has_more:
+            break
+        cursor = raw.Cursor(*page[-1].key)
+    assert seen == whole and len(seen) == 12
+
+
+def test_export_is_whole_by_default(spark):
+    rows = spark.range(700_000).select(
+        F.timestamp_seconds(F.col("id") % 90_000).cast("timestamp_ntz").alias("ts"),
+        F.lit(NOW).cast("timestamp_ntz").alias("received_at"), F.col("id").cast("string").alias("raw"),
+    )
+    got = raw.export_lines(rows).agg(F.count("*"), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.countDistinct("value")).first()
+    assert tuple(got) == (700_000, 700_000, 1, 700_000, 700_000)
 
 
 def test_display(spark):

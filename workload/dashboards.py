@@ -483,20 +483,31 @@ def _(spark, sf_dir):
 _NEWEST = "ts DESC, received_at DESC, raw ASC"
 
 
-@query(
-    "raw_page",
-    f"SELECT CAST(row_number() OVER (ORDER BY {_NEWEST}) AS INTEGER) AS pos, CAST(ts AS VARCHAR) AS ts, raw AS line, "
-    f"(SELECT count(*) > 250 FROM ({CLF_SQL}) WHERE {since('7d')} AND method = 'POST') AS has_more "
-    f"FROM ({CLF_SQL}) WHERE {since('7d')} AND method = 'POST' ORDER BY {_NEWEST} LIMIT 250",
-)
+def _page_sql(first: int, last: int) -> str:
+    return (
+        f"SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS pos, ts, line, has_more FROM (SELECT row_number() OVER "
+        f"(ORDER BY {_NEWEST}) AS pos, CAST(ts AS VARCHAR) AS ts, raw AS line, count(*) OVER () > {last} AS has_more "
+        f"FROM ({CLF_SQL}) WHERE {since('7d')}) WHERE pos BETWEEN {first} AND {last}"
+    )
+
+
+@query("raw_page", _page_sql(1, 250))
+def _(spark, sf_dir):
+    rows = derive.clf(spark, sf_dir)
+    return reports.raw_report(rows, Filter(range="7d", limit=250), AS_OF, WEB).drop("key")
+
+
+@query("raw_page_next", _page_sql(251, 500))
 def _(spark, sf_dir):
-    rows = derive.clf(spark, sf_dir).where("method = 'POST'")
-    return reports.raw_report(rows, Filter(range="7d", limit=250), AS_OF, WEB)
+    rows = derive.clf(spark, sf_dir)
+    first = reports.raw_report(rows, Filter(range="7d", limit=250), AS_OF, WEB)
+    last = raw.Cursor(*first.orderBy(F.desc("pos")).select("key.*").first())
+    return reports.raw_report(rows, Filter(range="7d", limit=250), AS_OF, WEB, after=last).drop("key")
 
 
 @query(
     "raw_export",
-    f"SELECT CAST(row_number() OVER (ORDER BY {_NEWEST}) AS INTEGER) AS pos, concat(CAST(ts AS VARCHAR), ' ', raw) AS value "
+    f"SELECT row_number() OVER (ORDER BY {_NEWEST}) AS pos, concat(CAST(ts AS VARCHAR), ' ', raw) AS value "
     f"FROM ({CLF_SQL}) WHERE {since('30d')}",
 )
 def _(spark, sf_dir):
@@ -505,8 +516,8 @@ def _(spark, sf_dir):
 
 @query(
     "raw_export_truncated",
-    f"SELECT pos, CASE WHEN pos > 1000 THEN '# truncated: export limit of 1000 lines reached — narrow the filters "
-    f"for the rest' ELSE value END AS value FROM (SELECT CAST(row_number() OVER (ORDER BY {_NEWEST}) AS INTEGER) AS pos, "
+    f"SELECT pos, CASE WHEN pos > 1000 THEN '# 1000 lines written; older ones match too and were left out' "
+    f"ELSE value END AS value FROM (SELECT row_number() OVER (ORDER BY {_NEWEST}) AS pos, "
     f"concat(CAST(ts AS VARCHAR), ' ', raw) AS value FROM ({CLF_SQL}) WHERE ts IS NOT NULL) WHERE pos <= 1001",
 )
 def _(spark, sf_dir):

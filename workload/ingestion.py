@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logharrow import registry
 from logharrow.functions.ip import is_valid_ip
@@ -288,14 +289,15 @@ def by_day_sql(table: str, where: str = "true") -> str:
     )
 
 
-def _store(spark: SparkSession, sf_dir: str, purpose: str) -> str:
-    """A fresh table root with the derived rows stored as two batches."""
+def _store(spark: SparkSession, sf_dir: str, purpose: str, batches: int = 2) -> str:
+    """A fresh table root with the derived rows stored as some batches."""
     root = work_dir(spark, purpose)
     tables.init_tables(spark, root)
     for name, load in (("apache", derive.clf), ("panos", derive.firewall)):
         rows = conform(load(spark, sf_dir), registry.get(name).schema)
-        for batch, part in enumerate((rows.where("bytes IS NOT NULL"), rows.where("bytes IS NULL"))):
-            tables.append_batch(part, tables.table_path(root, name), batch)
+        for batch in range(batches):
+            part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(batches)) == batch)
+            tables.append_batch(part, tables.table_path(root, name), tables.stream_batch("given", batch))
     return root
 
 
@@ -305,12 +307,12 @@ def _(spark, sf_dir):
     return _by_day(tables.open_table(spark, root, "apache"))
 
 
-@query("store_twice", by_day_sql(CLF_SQL, "bytes IS NOT NULL"))
+@query("store_twice", by_day_sql(CLF_SQL))
 def _(spark, sf_dir):
     root = work_dir(spark, "twice")
-    rows = conform(derive.clf(spark, sf_dir).where("bytes IS NOT NULL"), registry.get("nginx").schema)
+    rows = conform(derive.clf(spark, sf_dir), registry.get("nginx").schema)
     for _attempt in range(2):
-        tables.append_batch(rows, tables.table_path(root, "nginx"), 5)
+        tables.append_batch(rows, tables.table_path(root, "nginx"), "given-5")
     return _by_day(tables.open_table(spark, root, "nginx"))
 
 
@@ -353,12 +355,34 @@ def _(spark, sf_dir):
     return _by_day(maintain.survivors(derive.clf(spark, sf_dir), 0, AS_OF))
 
 
-@query("compact_days", by_day_sql(CLF_SQL))
+def _both_sql(where: str = "true") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS log_type, * FROM ({by_day_sql(table, where)})"
+        for name, table in (("apache", CLF_SQL), ("panos", FIREWALL_SQL))
+    )
+
+
+def _both_by_day(spark: SparkSession, root: str) -> DataFrame:
+    return reduce(DataFrame.unionAll, [
+        _by_day(tables.open_table(spark, root, name)).select(F.lit(name).alias("log_type"), "*")
+        for name in ("apache", "panos")
+    ])
+
+
+@query("compact_days", _both_sql())
 def _(spark, sf_dir):
-    root = _store(spark, sf_dir, "compact")
-    for folder in range(30):
-        maintain.compact_day(spark, root, "apache", date(2024, 1, 1) + timedelta(days=folder), force=True)
-    return _by_day(tables.open_table(spark, root, "apache"))
+    root = _store(spark, sf_dir, "compact", 12)
+    done = maintain.compact(spark, root, AS_OF.date() + timedelta(days=1))
+    if not (done["apache"] and done["panos"]):
+        raise AssertionError("no day was compacted")
+    return _both_by_day(spark, root)
+
+
+@query("maintain_all", _both_sql(f"coalesce(ts, received_at) >= {_CUTOFF}"))
+def _(spark, sf_dir):
+    root = _store(spark, sf_dir, "maintain", 12)
+    maintain.run(spark, root, 12, _PRUNE_AS_OF)
+    return _both_by_day(spark, root)
 
 
 @query("conform_schema", f"SELECT event_id % 1000000007 AS id, CAST(NULL AS VARCHAR) AS country, "
@@ -369,14 +393,6 @@ def _(spark, sf_dir):
     return conform(old, registry.get("apache").schema).select(ids, "country", "country_code", "raw", "status")
 
 
-@query("table_bytes")
-def _(spark, sf_dir):
-    events = {"panos": derive.firewall(spark, sf_dir)}
-    root = _store(spark, sf_dir, "size")
-    report = reports.overview_report(events, derive.sources(spark, sf_dir), AS_OF, root)
-    return report["storage"]
-
-
 @query(
     "recent_json",
     f"SELECT count(*) AS n, min(received_at) AS first, max(received_at) AS last FROM (SELECT CAST(received_at AS VARCHAR) "
@@ -391,7 +407,8 @@ def _(spark, sf_dir):
 
 @query(
     "export_file",
-    f"SELECT concat(CAST(ts AS VARCHAR), ' ', raw) AS value FROM ({FIREWALL_SQL}) WHERE ts >= TIMESTAMP '{AS_OF}' - "
+    "SELECT CAST(row_number() OVER (ORDER BY ts DESC, received_at DESC, raw) AS INTEGER) AS pos, "
+    f"concat(CAST(ts AS VARCHAR), ' ', raw) AS value FROM ({FIREWALL_SQL}) WHERE ts >= TIMESTAMP '{AS_OF}' - "
     "INTERVAL 7 DAY AND action = 'deny'",
 )
 def _(spark, sf_dir):
@@ -400,7 +417,10 @@ def _(spark, sf_dir):
     path = work_dir(spark, "export")
     chosen = Filter(range="7d", action="deny")
     reports.export_report(derive.firewall(spark, sf_dir), chosen, AS_OF, registry.get("panos"), path)
-    return spark.read.text(path)
+    # The files by name, one behind the other, give the order of the lines.
+    files = spark.read.option("wholetext", True).text(path).select("_metadata.file_name", "value")
+    lines = files.select("file_name", F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "value")).where("value <> ''")
+    return lines.select(F.row_number().over(Window.orderBy("file_name", "i")).alias("pos"), "value")
 
 
 # --- streams --------------------------------------------------------------------
@@ -427,7 +447,7 @@ def _(spark, sf_dir):
     rows = bounded(derive.derive(_event_stream(spark, sf_dir), derive.CLF), WEB, "30d")
     counts = live.live_counts(rows, "24h")
     _run(lambda trigger: live.start_table(counts, f"{root}/table", f"{root}/checkpoint", trigger=trigger))
-    return spark.read.parquet(f"{root}/table")
+    return live.read_table(spark, f"{root}/table", counts.schema)
 
 
 @query("stream_stats", _STATS)
@@ -436,7 +456,7 @@ def _(spark, sf_dir):
     lines = render.messages(_event_stream(spark, sf_dir))
     stats = ingest.stream_stats(ingest.outcomes(lines, derive.sources(spark, sf_dir)))
     _run(lambda trigger: live.start_table(stats, f"{root}/table", f"{root}/checkpoint", trigger=trigger))
-    return _epoch_minute(spark.read.parquet(f"{root}/table"))
+    return _epoch_minute(live.read_table(spark, f"{root}/table", stats.schema))
 
 
 # What the ingest stream must have stored, by type, sender and day.
@@ -449,16 +469,21 @@ _STORED = f"""SELECT s.log_type, s.ip AS source_ip, CAST(CAST(CASE WHEN s.log_ty
     GROUP BY 1, 2, 3, 4"""
 
 
-@query("stream_ingest", _STORED)
-def _(spark, sf_dir):
+def _ingest(spark: SparkSession, sf_dir: str, streams: int = 1) -> str:
+    """A root into which some streams, each with its own checkpoint, have stored all messages."""
     root, sources_path = work_dir(spark, "ingest"), work_dir(spark, "ingest-sources")
     tables.init_tables(spark, root)
     dimensions.save_sources(spark, derive.sources(spark, sf_dir), sources_path)
     index = geo.build_index(derive.geo_ranges(spark, sf_dir))
-    _run(lambda trigger: ingest.start_ingest(
-        render.messages(_event_stream(spark, sf_dir)), root, f"{root}-checkpoint",
-        lambda session: dimensions.load_sources(session, sources_path), index, trigger,
-    ))
+    for number in range(streams):
+        _run(lambda trigger: ingest.start_ingest(
+            render.messages(_event_stream(spark, sf_dir)), root, f"{root}-checkpoint-{number}",
+            lambda session: dimensions.load_sources(session, sources_path), index, trigger,
+        ))
+    return root
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
     stored = reduce(DataFrame.unionAll, [
         tables.open_table(spark, root, name).select(
             F.lit(name).alias("log_type"), "source_ip", "country", F.col("event_date").cast("string").alias("day")
@@ -466,3 +491,18 @@ def _(spark, sf_dir):
         for name in registry.names()
     ])
     return stored.groupBy("log_type", "source_ip", "day", "country").agg(F.count("*").alias("n"))
+
+
+@query("stream_ingest", _STORED)
+def _(spark, sf_dir):
+    return _stored(spark, _ingest(spark, sf_dir))
+
+
+@query("two_streams_store", f"SELECT log_type, source_ip, day, country, 2 * n AS n FROM ({_STORED})")
+def _(spark, sf_dir):
+    return _stored(spark, _ingest(spark, sf_dir, streams=2))
+
+
+@query("stream_ingest_stats", _STATS)
+def _(spark, sf_dir):
+    return _epoch_minute(ingest.ingest_stats(spark, _ingest(spark, sf_dir)))
