@@ -34,8 +34,8 @@ def match_groups(c: Column, pattern: str, groups: int, anywhere: bool = False) -
     column and ``pin`` the result: both are mentioned many times.
 
     Only built-in functions with generated code are used, so that matching stays in
-    one compiled stage with the scan. A line that holds all three separators, two
-    control characters and a noncharacter, counts as not matching.
+    one compiled stage with the scan. A line that holds all three separators is matched
+    once per group instead.
     """
     head = "(?s:^.*?)" if anywhere else ""
     whole = UNICODE + head + pattern + "(?s:.*)"
@@ -44,7 +44,9 @@ def match_groups(c: Column, pattern: str, groups: int, anywhere: bool = False) -
         template = sep + sep.join(f"${i}" for i in range(1, groups + 1))
         return F.split(F.regexp_replace(c, whole, template), sep, -1)
 
-    result = F.lit(None)
+    one_by_one = [F.regexp_extract(c, UNICODE + head + pattern, i) for i in range(1, groups + 1)]
+    found = F.rlike(c, F.lit(UNICODE + head + pattern))
+    result = F.when(found, F.array(F.lit(""), *one_by_one)).otherwise(F.array(c))
     for sep in reversed(SEPARATORS):
         result = F.when(~F.contains(c, F.lit(sep)), laid_out(sep)).otherwise(result)
     return result

@@ -38,8 +38,8 @@ def _prefixes(lo: Column, hi: Column) -> Column:
     return F.transform(numbers, lambda n: F.concat(F.left(lo, F.lit(1)), F.lpad(F.hex(n), width, F.lit("0"))))
 
 
-def normalise_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges with both ends as address keys.
+def _keyed(ranges: DataFrame) -> DataFrame:
+    """Ranges with both ends as address keys beside them, ``_lo`` and ``_hi``.
 
     Ends may be IPv4 numbers, address text, or 8/32 hexadecimal digits.
     """
@@ -55,9 +55,24 @@ def normalise_ranges(ranges: DataFrame) -> DataFrame:
             .when(F.rlike(digits, F.lit(r"^[0-9A-F]{32}\z")), F.concat(F.lit("6"), digits))
         )
 
-    return ranges.select(
-        key("lo").alias("lo"), key("hi").alias("hi"), "country_code", "country"
-    ).where((F.left("lo", F.lit(1)) == F.left("hi", F.lit(1))) & (F.col("lo") <= F.col("hi")))
+    return ranges.withColumns({"_lo": key("lo"), "_hi": key("hi")})
+
+
+def _usable() -> Column:
+    same_kind = F.left("_lo", F.lit(1)) == F.left("_hi", F.lit(1))
+    return F.coalesce(same_kind & (F.col("_lo") <= F.col("_hi")), F.lit(False))
+
+
+def normalise_ranges(ranges: DataFrame) -> DataFrame:
+    """The usable ranges, with both ends as address keys."""
+    return _keyed(ranges).where(_usable()).select(
+        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "country_code", "country"
+    )
+
+
+def rejected_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges whose ends cannot be read, are of two kinds, or are the wrong way round."""
+    return _keyed(ranges).where(~_usable()).drop("_lo", "_hi")
 
 
 @dataclass(frozen=True)
@@ -80,8 +95,11 @@ def build_index(ranges: DataFrame, check: bool = True) -> GeoIndex:
     """Index a range table (``lo``, ``hi``, ``country_code``, ``country``).
 
     Each range is repeated per prefix it touches: per fine prefix, or per coarse
-    one when it is wide. Ranges must not overlap, so an address has one country.
+    one when it is wide. Ranges must not overlap, so an address has one country, and a
+    table with a range that cannot be used is refused; ``rejected_ranges`` shows them.
     """
+    if check and not rejected_ranges(ranges).isEmpty():
+        raise ValueError("geo ranges with unreadable or reversed ends")
     keyed = normalise_ranges(ranges)
     if check and not overlapping(keyed).isEmpty():
         raise ValueError("geo ranges overlap; an address would have two countries")

@@ -25,15 +25,15 @@ def split_quoted(df: DataFrame, line: str, name: str) -> DataFrame:
 
     Quotes toggle, a doubled one inside quotes is literal. Cutting at every quote
     leaves pieces alternately outside and inside quotes: commas inside are masked,
-    and an empty piece between two quotes stands for a doubled quote. Work is linear
-    in the line, also for unbalanced quotes.
+    and an empty piece between two quotes stands for a doubled quote. The mask is a control
+    character and ``1``; that character itself is written with a ``0`` behind it meanwhile,
+    so any text comes back as it was. Work is linear in the line, also for
+    unbalanced quotes.
     """
-    text, pieces, mask = F.col(line), F.col("_pieces"), F.col("_mask")
+    text, pieces = F.col(line), F.col("_pieces")
+    mark, mask, own = F.lit("\u0001"), F.lit("\u00011"), F.lit("\u00010")
     quoted = F.contains(text, F.lit('"'))
-    unused = F.when(~F.contains(text, F.lit("\u0001")), "\u0001").when(
-        ~F.contains(text, F.lit("\u0002")), "\u0002"
-    ).otherwise("\ufdd0")
-    df = pin(df, _pieces=F.when(quoted, F.split(text, '"', -1)), _mask=F.when(quoted, unused))
+    df = pin(df, _pieces=F.when(quoted, F.split(F.replace(text, mark, own), '"', -1)))
     df = pin(df, _last=F.size(pieces) - 1)
 
     def piece(part: Column, i: Column) -> Column:
@@ -44,9 +44,9 @@ def split_quoted(df: DataFrame, line: str, name: str) -> DataFrame:
         )
 
     masked = F.split(F.array_join(F.transform(pieces, piece), ""), ",", -1)
-    unmasked = F.transform(masked, lambda field: F.replace(field, mask, F.lit(",")))
+    unmasked = F.transform(masked, lambda field: F.replace(F.replace(field, mask, F.lit(",")), own, mark))
     fields = F.when(quoted, unmasked).otherwise(F.split(text, ",", -1))
-    return pin(df, **{name: fields}).drop("_pieces", "_mask", "_last")
+    return pin(df, **{name: fields}).drop("_pieces", "_last")
 
 
 def _usable(fields: Column) -> Column:
