@@ -54,6 +54,16 @@ class Filter:
             action=cleaned.action if cleaned.action in ACTIONS else None,
         )
 
+    @classmethod
+    def from_params(cls, params: dict[str, str]) -> Filter:
+        """A filter from text parameters; numbers that are none, and unknown names, are dropped."""
+        known = {name: text for name, text in params.items() if name in cls.__dataclass_fields__}
+        for name in ("status", "port", "limit"):
+            if name in known:
+                text = known[name].strip()
+                known[name] = int(text) if text.isascii() and text.isdigit() and len(text) < 10 else None
+        return cls(**known).normalised()
+
     def with_(self, **changes) -> Filter:
         return replace(self, **changes)
 

@@ -2,74 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-# A value is placed on a log scale, 50,000 places per factor e. The scale makes
-# nanoseconds of a millisecond value distinct.
-_SCALE = 1_000_000.0
-_LARGEST = 1e290
-_STEPS = 50_000.0
-_RANKS = ("_before", "_lo", "_hi", "_part")
-
-
-def _place(value: Column) -> Column:
-    """An order-preserving whole number: a larger value never gets a smaller one.
-
-    The logarithm is monotonic by the Java specification, as are scaling and
-    rounding down; values that share a place are told apart in the second pass.
-    """
-    size = F.least(F.abs(value), F.lit(_LARGEST)) * F.lit(_SCALE) + F.lit(1.0)
-    place = F.floor(F.ln(size) * F.lit(_STEPS))
-    return F.when(value < 0, -place).otherwise(place)
-
-
-def _reached(step: DataFrame) -> DataFrame:
-    """Rows of a histogram (``_n`` counted from ``_before``) that hold a wanted rank."""
-    return step.where(
-        (F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_n") > F.col("_lo"))
-    )
+import math
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """One row, ``quantile``: the exact quantile, interpolated between two ranks.
-
-    A rank search in two counting passes. The first counts values by place (a
-    microsecond to an hour spans about a million places) and finds the one or two
-    places that hold the wanted ranks; the second counts the single values there.
-    Both aggregate map-side before they shuffle, so a task never holds more than
-    the places, or the distinct values of one millionth of the data. The built-in
-    ``percentile`` would keep every distinct value in one buffer.
-
-    NULL and NaN are ignored; no value at all gives NULL.
+# Bins into which the stretch that holds a wanted rank is cut in each pass.
+BINS = 4_096
+# A stretch of positive values this many times wider than its start is cut on a log scale.
+WIDE = 1_000.0
+
+
+@dataclass(frozen=True)
+class Stretch:
+    """Values from ``low`` to ``high``; ``before`` values are smaller."""
+
+    low: float
+    high: float
+    before: int
+
+    def bin(self, v: Column) -> Column:
+        """An order-preserving number of the bin of a value; the ends never share one."""
+        low, high = F.lit(self.low), F.lit(self.high)
+        if self.low > 0 and self.high / self.low > WIDE:
+            share = F.ln(v / low) / F.ln(high / low)
+        else:  # halves, so that the difference of two huge values does not overflow
+            share = (v / 2 - low / 2) / (high / 2 - low / 2)
+        inner = F.floor(share * (BINS - 2)).cast("int") + 1
+        return F.when(v <= low, 0).when(v >= high, BINS - 1).otherwise(
+            F.least(F.greatest(inner, F.lit(1)), F.lit(BINS - 2))
+        )
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """The exact quantiles of a column, each interpolated between two ranks.
+
+    A search for all wanted ranks at once: each pass counts values by bins of the
+    stretches that still hold one, and goes on within the bins found, until each is a
+    single value. A pass is one scan with a map-side aggregation into at most BINS rows
+    for each rank, and those counts alone come to the driver; no task ever holds or
+    ranks the values, however they cluster. NULL and NaN are ignored; without a value all
+    quantiles are None.
     """
     v = F.col("_v")
-    values = (
-        df.select(F.col(value).cast("double").alias("_v"))
-        .where(v.isNotNull() & ~F.isnan(v))
-        .withColumn("_place", _place(v))
-    )
+    values = df.select(F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    n, low, high = values.agg(F.count("*"), F.min(v), F.max(v)).first()
+    if not n:
+        return [None] * len(qs)
+    places = [(n - 1) * q for q in qs]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    found = dict.fromkeys(ranks, Stretch(low, high, 0))
+    while wanted := sorted({s for s in found.values() if s.low < s.high}, key=lambda s: s.low):
+        which, bins = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, stretch in enumerate(wanted):
+            inside = v.between(stretch.low, stretch.high)
+            which, bins = F.when(inside, i).otherwise(which), F.when(inside, stretch.bin(v)).otherwise(bins)
+        rows = (
+            values.select("_v", which.alias("s"), bins.alias("b")).where("s IS NOT NULL")
+            .groupBy("s", "b").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+            .collect()  # BINS rows for each stretch
+        )
+        for i, stretch in enumerate(wanted):
+            before = stretch.before
+            for row in sorted((r for r in rows if r.s == i), key=lambda r: r.b):
+                for rank, held in found.items():
+                    if held == stretch and before <= rank < before + row["n"]:
+                        found[rank] = Stretch(row.low, row.high, before)
+                before += row["n"]
+    lower = [found[math.floor(p)].low for p in places]
+    upper = [found[math.ceil(p)].low for p in places]
+    return [a + (b - a) * (p - math.floor(p)) for a, b, p in zip(lower, upper, places)]
 
-    def counted(histogram: DataFrame, order: str, start: Column, *panel: str) -> DataFrame:
-        earlier = Window.partitionBy(*panel).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return histogram.withColumn("_before", start + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
-    position = (F.sum("_n").over(Window.partitionBy()) - 1) * F.lit(q)
-    places = counted(values.groupBy("_place").agg(F.count("*").alias("_n")), "_place", F.lit(0))
-    found = _reached(places.withColumns({
-        "_lo": F.floor(position), "_hi": F.ceil(position), "_part": position - F.floor(position),
-    })).select("_place", *_RANKS)
-
-    single = (
-        values.join(F.broadcast(found), "_place")  # one or two rows
-        .groupBy("_place", *_RANKS, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    exact = counted(single, "_v", F.col("_before"), "_place")
-
-    def at(rank: str) -> Column:
-        holds = (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
-        return F.max(F.when(holds, v))
-
-    lower, upper = at("_lo"), at("_hi")
-    return exact.agg((lower + (upper - lower) * F.max("_part")).alias("quantile"))
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row, ``quantile``; see ``exact_quantiles``."""
+    found = exact_quantiles(df, value, [q])[0]
+    return df.sparkSession.range(1).select(F.lit(found).cast("double").alias("quantile"))

@@ -116,6 +116,14 @@ def test_lookup_equals_brute_force(spark, broadcast):
     assert got == {i: answer(t) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("ends", [("10.0.0.9", "10.0.0.1"), ("here", "there"), ("10.0.0.0/8", None), ("10.0.0.1", "2001:db8::1")])
+def test_ranges_that_cannot_be_used_are_refused(spark, ends):
+    ranges = spark.createDataFrame([(*ends, "XX", "X"), ("8.8.8.0", "8.8.8.255", "US", "United States")], "lo string, hi string, country_code string, country string")
+    assert [r.lo for r in geo.rejected_ranges(ranges).collect()] == [ends[0]]
+    with pytest.raises(ValueError, match="unreadable"):
+        geo.build_index(ranges)
+
+
 def test_overlap_is_refused(spark):
     rows = [("1.0.0.0", "1.255.255.255", "A", "a"), ("1.2.3.0", "1.2.3.255", "B", "b")]
     with pytest.raises(ValueError, match="overlap"):

@@ -12,7 +12,7 @@ from logharrow.filters import Filter
 from logharrow.functions.columns import fmt_ms, human_bytes, status_class
 from logharrow.functions.time import cutoff, spine_bounds
 from logharrow.operators import countries, kpis, panels, raw, shares, timeline
-from logharrow.operators.quantile import exact_quantile
+from logharrow.operators.quantile import exact_quantile, exact_quantiles
 from logharrow.plans import reports
 from logharrow.schemas import CLF, FIREWALL, HAPROXY, conform
 
@@ -66,7 +66,7 @@ def test_range_is_cut_to_seconds_and_has_no_upper_bound(spark):
     assert sum(r["count"] for r in timeline.timeline(got, "1h", NOW).collect()) == 0  # before the first bucket, and after the last
 
 
-def test_undeclared_dimensions_do_not_filter():
+def test_undeclared_dimensions_do_not_filter(spark):
     flt = Filter(router="x", backend="y", status=2)
     count = lambda name: len(flt.conditions(registry.get(name).report, NOW))
     assert (count("apache"), count("caddy"), count("traefik"), count("haproxy"), count("panos")) == (2, 2, 3, 3, 1)
@@ -218,6 +218,17 @@ def test_quantile_with_a_hot_value(spark):
     assert exact_quantile(df.where("v < 0"), "v", 0.95).first()[0] is None
 
 
+@pytest.mark.parametrize("scale", [(1.7e12, 1e-3), (0.0, 1e-15), (-1e300, 1e297), (5.0, 0.0)])
+def test_quantile_of_clustered_values(spark, monkeypatch, scale):
+    """Values far from zero, below a nanosecond, huge, or all the same: never many rows in one place."""
+    start, step = scale
+    numbers = start + step * np.arange(5000)
+    df = spark.createDataFrame([(float(x),) for x in numbers], "v double").repartition(3)
+    got = exact_quantiles(df, "v", [0.0, 0.3, 0.95, 1.0])
+    assert got == pytest.approx(list(np.quantile(numbers, [0.0, 0.3, 0.95, 1.0])), rel=1e-12)
+    assert exact_quantiles(df.where("v IS NULL"), "v", [0.5]) == [None]
+
+
 def test_empty_reports(spark):
     nothing = spark.createDataFrame([], HAPROXY)
     report = reports.type_report(nothing, Filter(), NOW, registry.get("haproxy"))
@@ -293,6 +304,11 @@ def test_export_is_whole_by_default(spark):
     assert tuple(got) == (700_000, 700_000, 1, 700_000, 700_000)
 
 
+def test_filter_from_parameters():
+    flt = Filter.from_params({"port": " 443 ", "status": "x", "range": "7d", "q": " ", "other": "1", "limit": "50", "src": "10.0.0.1 "})
+    assert flt == Filter(port=443, range="7d", limit=50, src="10.0.0.1")
+
+
 def test_display(spark):
     cases = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1536: "1.5 KB", 5 * 1024**2: "5.0 MB", 3 * 1024**5: "3072.0 TB"}
     df = spark.createDataFrame([(n,) for n in cases], "n bigint")

@@ -12,7 +12,7 @@ from logharrow import registry
 from logharrow.filters import Filter
 from logharrow.functions.columns import country_label, fmt_ms, fmt_pct, human_bytes, port_text
 from logharrow.operators import countries, kpis, overview, panels, raw, shares, timeline
-from logharrow.operators.quantile import exact_quantile
+from logharrow.operators.quantile import exact_quantiles
 from logharrow.plans import reports
 from workload import derive
 from workload.catalog import query
@@ -99,13 +99,10 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     lines = derive.read(spark, sf_dir, "lineitem")
-    parts = [
-        exact_quantile(lines, c, q).select(
-            F.lit(c).alias("measure"), F.lit(q).alias("q"), F.round("quantile", 4).alias("quantile")
-        )
-        for c in ("l_extendedprice", "l_discount") for q in (0.05, 0.5, 0.95)
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    qs = [0.05, 0.5, 0.95]
+    rows = [(c, q, v) for c in ("l_extendedprice", "l_discount") for q, v in zip(qs, exact_quantiles(lines, c, qs))]
+    found = spark.createDataFrame(rows, "measure string, q double, quantile double")
+    return found.withColumn("quantile", F.round("quantile", 4))
 
 
 @query(
@@ -636,3 +633,11 @@ def _(spark, sf_dir):
         _facts("map", report["map"], _MAP_FACTS),
         _facts("sources", report["source_count"], ["source_count"]),
     ])
+
+
+@query("filter_edited", f"SELECT event_id FROM ({CLF_SQL}) WHERE {since('30d')} AND method IS NOT NULL AND {COUNTRY} = 'Germany'")
+def _(spark, sf_dir):
+    """A filter from text parameters, narrowed by one drill-down and widened by another."""
+    flt = Filter.from_params({"range": "30d", "path": "/view/1", "status": "none"})
+    flt = flt.with_(country="Germany").without("path")
+    return flt.apply(derive.derive(derive.read(spark, sf_dir, "events"), derive.CLF), WEB, AS_OF).select("event_id")

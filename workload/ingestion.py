@@ -113,6 +113,24 @@ def _(spark, sf_dir):
     return lines.groupBy("conv_id", F.col("payload").alias("line")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "read_message_files",
+    f"""SELECT {derive.ENVELOPE['source_ip']} AS peer_ip, concat('<13>', CASE WHEN event_id % 5 = 0 THEN '\ufffd' ELSE '' END,
+        event_type, ' ', CAST(event_id AS VARCHAR)) AS payload, ts AS received_at FROM events""",
+)
+def _(spark, sf_dir):
+    """Messages as bytes, every fifth with a byte that is no UTF-8, through files."""
+    path = work_dir(spark, "messages")
+    bad = F.when(F.col("event_id") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    parts = [F.lit("<13>").cast("binary"), bad, F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).cast("binary")]
+    events = derive.read(spark, sf_dir, "events")
+    sender = F.expr(derive.ENVELOPE["source_ip"])
+    at = F.col("ts").cast("timestamp_ntz")
+    events.select(sender.alias("peer_ip"), F.concat(*parts).alias("payload"), at.alias("received_at")).write.parquet(path)
+    stored = spark.read.schema("peer_ip string, payload binary, received_at timestamp_ntz").parquet(path)
+    return messages.decode_payload(stored)
+
+
 def _routed_sql() -> str:
     return (
         f"SELECT e.source_ip, e.received_at, e.value, s.log_type FROM (SELECT user_id, value, ts + INTERVAL 2 SECOND "
@@ -385,24 +403,28 @@ def _(spark, sf_dir):
     return _both_by_day(spark, root)
 
 
-@query("conform_schema", f"SELECT event_id % 1000000007 AS id, CAST(NULL AS VARCHAR) AS country, "
-       f"CAST(NULL AS VARCHAR) AS country_code, raw, status FROM ({CLF_SQL})")
+_CLF_COLUMNS = registry.get("apache").schema.names
+
+
+@query("conform_schema", "SELECT " + ", ".join(
+    f"CAST(NULL AS VARCHAR) AS {c}" if c in ("country", "country_code") else c for c in _CLF_COLUMNS
+) + f" FROM ({CLF_SQL})")
 def _(spark, sf_dir):
     old = derive.clf(spark, sf_dir).drop("country", "country_code")
-    ids = F.regexp_extract("raw", r"line (\d+)", 1).cast("bigint").alias("id")
-    return conform(old, registry.get("apache").schema).select(ids, "country", "country_code", "raw", "status")
+    return conform(old, registry.get("apache").schema)
+
+
+_RECENT = ("source_ip", "remote_host", "auth_user", "ts", "method", "path", "protocol", "status", "bytes", "user_agent", "received_at")
 
 
 @query(
     "recent_json",
-    f"SELECT count(*) AS n, min(received_at) AS first, max(received_at) AS last FROM (SELECT CAST(received_at AS VARCHAR) "
-    f"AS received_at FROM ({CLF_SQL}) ORDER BY received_at DESC LIMIT 50)",
+    "SELECT to_json(struct_pack(" + ", ".join(
+        f"{c} := CAST({c} AS VARCHAR)" if c in ("ts", "received_at") else f"{c} := {c}" for c in _RECENT
+    ) + f"))::VARCHAR AS value FROM (SELECT * FROM ({CLF_SQL}) ORDER BY received_at DESC, raw LIMIT 50)",
 )
 def _(spark, sf_dir):
-    at = F.get_json_object("value", "$.received_at")
-    return recent_json(derive.clf(spark, sf_dir)).agg(
-        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")
-    )
+    return recent_json(derive.clf(spark, sf_dir))
 
 
 @query(
@@ -506,3 +528,22 @@ def _(spark, sf_dir):
 @query("stream_ingest_stats", _STATS)
 def _(spark, sf_dir):
     return _epoch_minute(ingest.ingest_stats(spark, _ingest(spark, sf_dir)))
+
+
+@query("edits_between_batches", f"""SELECT log_type, count(*) AS n FROM (
+    SELECT CASE WHEN event_id % 2 = 0 THEN 'apache' ELSE 'nginx' END AS log_type FROM events WHERE user_id % 7 = 0 AND value >= 1
+    AND {derive.ENVELOPE['source_ip']} IN (SELECT ip FROM ({SOURCES_SQL}))) GROUP BY 1""")
+def _(spark, sf_dir):
+    """A sender table edited between two batches: each batch goes by the table of its time."""
+    root = work_dir(spark, "edits")
+    tables.init_tables(spark, root)
+    events = derive.read(spark, sf_dir, "events").where("user_id % 7 = 0")
+    sources = derive.sources(spark, sf_dir)
+    for number, log_type in enumerate(("apache", "nginx")):
+        edited = sources.withColumn("log_type", F.lit(log_type))
+        batch = render.messages(events.where(F.col("event_id") % 2 == number))
+        ingest.store_batch(batch, number, root, edited, None, "edited")
+    return reduce(DataFrame.unionAll, [
+        tables.open_table(spark, root, name).groupBy(F.lit(name).alias("log_type")).agg(F.count("*").alias("n"))
+        for name in ("apache", "nginx")
+    ])
