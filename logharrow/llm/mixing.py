@@ -171,14 +171,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share id, source and size are told apart by a number on both sides.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    keys = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), source_col), F.lit("")), "_size"]
+    keys = ["_id", "_source", "_size"]
+
+    def keyed(df: DataFrame, size, *columns) -> DataFrame:
+        own = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id")
+        source = F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("_source")
+        return df.select(own, source, size.alias("_size"), *columns)
 
     def numbered(df: DataFrame, order) -> DataFrame:
-        df = df.withColumn("_id", keys[0]).withColumn("_source", keys[1])
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(order)))
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = numbered(taken.withColumnRenamed("size", "_size"), F.desc("copies")).select("_id", "_source", "_size", "_n", F.col("copies").alias("_copies"))
-    rows = numbered(docs.withColumn("_size", size), F.xxhash64(text_col))
-    both = rows.join(taken.where("_copies > 0"), ["_id", "_source", "_size", "_n"])
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    taken = numbered(keyed(taken, F.col("size"), F.col("copies").alias("_copies")), F.desc("_copies"))
+    rows = numbered(keyed(docs, size, F.struct(*docs.columns).alias("_row")), F.xxhash64(F.col("_row")[text_col]))
+    both = rows.join(taken.where("_copies > 0"), [*keys, "_n"])
+    return both.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

@@ -100,7 +100,8 @@ def group_leaders(
     groups = ngram_components(docs, rule, id_col, text_col).select(F.col(id_col).alias("_gone"), "component_id")
     groups = settled(groups.select("_gone", F.col("_gone").eqNullSafe(F.col("component_id")).alias("leads")), "groups")
     gone = groups.groupBy("_gone").agg(F.bool_or("leads").alias("leads")).where("not leads").select("_gone")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
 
 def _stats(blocks: DataFrame, rule: Jaccard) -> DataFrame:
@@ -183,7 +184,9 @@ def _levels(chosen: DataFrame, rule: Jaccard) -> tuple[np.ndarray, float]:
 
     schema = "slice long, counts binary"
     sums = chosen.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
-    counts = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in sorted(sums.collect())])
+    counts = np.zeros(slots, np.uint64)  # without documents there are no slices
+    for row in sums.collect():
+        counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.uint64)
     # Prefixes hold the rarest part of the shingles; what meets there by chance is taken off.
     ranked, part = np.sort(counts), (rule.down - rule.up) / rule.down
     rare = ranked[: 1 + int(np.searchsorted(np.cumsum(ranked), part * ranked.sum()))].astype(float)

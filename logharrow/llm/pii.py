@@ -51,7 +51,7 @@ HINTS = {
 CONTEXT = 40
 FEATURES = (
     "length", "digits", "letters", "spaces", "dashes", "dots", "brackets", "groups", "at_sign", "luhn",
-    "octets", "plus_before", "letter_before", "digit_before", "letter_after", "hint", "digits_around", "zeros",
+    "octets", "letter_before", "digit_before", "letter_after", "hint", "digits_around", "zeros",
 )
 SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
 
@@ -125,6 +125,8 @@ def features(text: Column, kind: str, span: Column) -> Column:
     """Format and context of one candidate, as a struct of doubles."""
     hit = span["hit"]
     before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+    # The plus that makes a number a base match is no feature: it would be all there is to learn.
+    before = F.regexp_replace(before, r"\+[0-9]{0,3}[\x20-]?$", "")
     after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     digits = only_digits(hit)
@@ -140,7 +142,6 @@ def features(text: Column, kind: str, span: Column) -> Column:
         "at_sign": count(hit, "@"),
         "luhn": luhn(digits),
         "octets": valid("ip", hit),
-        "plus_before": F.rlike(before, F.lit(r"\+[0-9]{0,3}[\x20-]?$")),
         "letter_before": F.rlike(before, F.lit(r"\p{L}$")),
         "digit_before": F.rlike(before, F.lit(r"[0-9][.,:/\x20-]?$")),
         "letter_after": F.rlike(after, F.lit(r"^\p{L}")),

@@ -247,7 +247,7 @@ def test_added_spans_are_learnt(spark):
     draw = random.Random(1)
     number = lambda: f"({draw.randrange(200, 999)}) {draw.randrange(200, 999)}-{draw.randrange(1000, 9999)}"
     rows = [(i, f"please call +1 {number()} today, room {draw.randrange(10, 99)}") for i in range(400)]
-    rows += [(1000 + i, f"please call {number()} today") for i in range(10)]
+    rows += [(1000 + i, f"please call {number()} today, room {draw.randrange(10, 99)}") for i in range(10)]
     rows += [(2000 + i, f"lot {draw.randrange(10, 99)}-{draw.randrange(100, 999)}-{draw.randrange(100, 999)} of stock") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.personal_data(docs, training=pii.Training(precision=0.95)).collect()}
