@@ -16,17 +16,17 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 # Punctuation: a line has a sentence end somewhere and few symbols for its words.
-SENTENCE_END = r"[.!?…。！？](?=[\"'”’»)\]]*(?:\s|$))"
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 SYMBOLS = r"[#*$%&|<>]"
 MAX_SYMBOLS_PER_WORD = 0.3
 # Navigation: separators between very short entries.
-SEPARATORS = r"(?:^|\s)(?:[|>»•·/]|::|->)(?=\s|$)"
+SEPARATORS = r"(?:^|[\x20\x09-\x0D])(?:[|>»•·/]|::|->)(?:[\x20\x09-\x0D]|$)"
 MAX_WORDS_PER_ENTRY = 4
 # Boilerplate: the line is short and says one of these.
 BOILERPLATE = (
-    r"(?i)\b(?:accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)"
+    r"(?i)(?:^|[^a-z])(?:accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)"
     r"|all rights reserved|enable javascript|click here|sign in|log in|subscribe (?:now|to)"
-    r"|share (?:this|on)|read more|back to top|skip to (?:main )?content|lorem ipsum)\b"
+    r"|share (?:this|on)|read more|back to top|skip to (?:main )?content|lorem ipsum)(?:[^a-z]|$)"
 )
 BOILERPLATE_WORDS = 25
 

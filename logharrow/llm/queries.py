@@ -9,13 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logharrow.llm.bpe import byte_bpe
-from logharrow.llm.common import table
+from logharrow.llm.common import WORD, table
 from logharrow.llm.exact import DigestIndex
 from logharrow.llm.lines import line_dedup
 from logharrow.llm.mixing import mix_sources
 from logharrow.llm.ngram_join import Jaccard, ngram_components
 from logharrow.llm.pii import personal_data
-from logharrow.llm.quality import quality_rules
+from logharrow.llm.quality import (
+    BOILERPLATE, BOILERPLATE_WORDS, MAX_LOST, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MAX_WORDS_PER_ENTRY, MIN_WORDS,
+    SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules,
+)
 from logharrow.llm.suffixes import repeated_bytes
 from logharrow.llm.tokens import token_counts
 from logharrow.llm.warc import page_records, read_warc, write_warc
@@ -61,6 +64,46 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def _many(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+def _found(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_FAILS = f"""(NOT {_found('line', SENTENCE_END)} OR {_many('line', SYMBOLS)} > {_many('line', WORD)} * {MAX_SYMBOLS_PER_WORD}
+  OR ({_many('line', SEPARATORS)} >= 2 AND {_many('line', WORD)} <= ({_many('line', SEPARATORS)} + 1) * {MAX_WORDS_PER_ENTRY + 1})
+  OR ({_found('line', BOILERPLATE)} AND {_many('line', WORD)} <= {BOILERPLATE_WORDS}))"""
+ORACLES["op7_quality_rules"] = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), lines AS (
+  SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE {_found('line', WORD)}
+), by_line AS (
+  SELECT r, count(*) - count(DISTINCT line) AS dup, sum(length(line)) AS chars,
+         coalesce(sum(length(line)) FILTER (NOT {_FAILS}), 0) AS good FROM lines GROUP BY r
+), windows AS (
+  SELECT r, i, array_to_string(words[i : i + 4], ' ') AS w
+  FROM (SELECT r, words, unnest(generate_series(1, len(words) - 4)) AS i FROM t WHERE len(words) >= 5)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST({_many('text', SYMBOLS)} AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         CASE WHEN coalesce(chars, 0) = 0 THEN 0.0::DOUBLE ELSE 1 - good::DOUBLE / chars END AS lost_share
+  FROM t LEFT JOIN by_line USING (r) LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND lost_share <= {MAX_LOST} AS kept FROM judged
+"""
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(
@@ -76,6 +119,27 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), Jaccard(n=3, up=90, down=100))
 
 
+ORACLES["op1_ngram_jaccard"] = f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(words[i : i + 2], ' ') AS s
+  FROM (SELECT r, words, unnest(generate_series(1, greatest(len(words) - 2, 1))) AS i FROM t WHERE len(words) > 0)
+), sizes AS (
+  SELECT t.r, doc_id, count(s) AS n FROM t LEFT JOIN shingles USING (r) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.r AS a, y.r AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r GROUP BY ALL
+  ) JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * k >= 90 * (p.n + q.n - k)
+), reached AS (
+  SELECT r AS a, r AS b FROM t UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT x.doc_id, x.n AS n_shingles, min(y.doc_id) AS component_id
+FROM sizes x JOIN reached ON x.r = reached.a JOIN sizes y ON y.r = reached.b GROUP BY x.r, x.doc_id, x.n
+"""
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
