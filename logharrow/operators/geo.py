@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logharrow.functions.ip import ip_key, is_private, v4_key
 from logharrow.operators.lookup import fits, lookup_join
 from logharrow.operators.pin import pin
+from logharrow.session import settled
 
 # Index rows that may be broadcast (about 100 bytes each), checked by counting.
 BROADCAST_INDEX_ROWS = 2_000_000
@@ -108,7 +109,9 @@ def build_index(ranges: DataFrame, check: bool = True) -> GeoIndex:
     columns = ("prefix", "lo", "hi", "country_code", "country")
     fine = keyed.where(~wide).withColumn("prefix", F.explode(_prefixes(_fine(lo), _fine(hi))))
     coarse = keyed.where(wide).withColumn("prefix", F.explode(_prefixes(_coarse(lo), _coarse(hi))))
-    fine, coarse = fine.select(*columns), coarse.select(*columns)
+    # Written once, so that neither reports nor every batch of a stream build it again.
+    fine = settled(fine.select(*columns), "geo-index")
+    coarse = settled(coarse.select(*columns), "geo-index")
     return GeoIndex(fine, coarse, fits(fine.unionAll(coarse), BROADCAST_INDEX_ROWS))
 
 
