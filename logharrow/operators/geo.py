@@ -78,8 +78,9 @@ def rejected_ranges(ranges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class GeoIndex:
-    """A range table, keyed by network prefix for an equi-join."""
+    """A range table, and its index by network prefix for lookups by broadcast."""
 
+    ranges: DataFrame
     fine: DataFrame
     coarse: DataFrame
     broadcast: bool
@@ -101,7 +102,7 @@ def build_index(ranges: DataFrame, check: bool = True) -> GeoIndex:
     """
     if check and not rejected_ranges(ranges).isEmpty():
         raise ValueError("geo ranges with unreadable or reversed ends")
-    keyed = normalise_ranges(ranges)
+    keyed = settled(normalise_ranges(ranges), "geo-ranges")
     if check and not overlapping(keyed).isEmpty():
         raise ValueError("geo ranges overlap; an address would have two countries")
     lo, hi = F.col("lo"), F.col("hi")
@@ -112,29 +113,52 @@ def build_index(ranges: DataFrame, check: bool = True) -> GeoIndex:
     # Written once, so that neither reports nor every batch of a stream build it again.
     fine = settled(fine.select(*columns), "geo-index")
     coarse = settled(coarse.select(*columns), "geo-index")
-    return GeoIndex(fine, coarse, fits(fine.unionAll(coarse), BROADCAST_INDEX_ROWS))
+    return GeoIndex(keyed, fine, coarse, fits(fine.unionAll(coarse), BROADCAST_INDEX_ROWS))
 
 
-def _probe(df: DataFrame, index: DataFrame, prefix: Column, name: str, broadcast: bool) -> DataFrame:
-    """Left-join one prefix level; the hit lands in struct column ``name``."""
+def _probe(df: DataFrame, index: DataFrame, prefix: Column, name: str) -> DataFrame:
+    """Left-join one prefix level by broadcast; the hit lands in struct column ``name``."""
     table = index.select(
         F.col("prefix").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
         F.struct("country_code", "country").alias(name),
     )
-    if broadcast:
-        table = F.broadcast(table)
     on = (prefix == F.col("_p")) & F.col("_key").between(F.col("_lo"), F.col("_hi"))
-    return df.join(table, on, "left").drop("_p", "_lo", "_hi")
+    return df.join(F.broadcast(table), on, "left").drop("_p", "_lo", "_hi")
 
 
 def _resolve(df: DataFrame, index: GeoIndex) -> DataFrame:
     key = F.col("_key")
     public = F.when(~is_private(key), key)
-    df = _probe(df, index.fine, _fine(public), "_near", index.broadcast)
-    df = _probe(df, index.coarse, _coarse(public), "_far", index.broadcast)
+    df = _probe(df, index.fine, _fine(public), "_near")
+    df = _probe(df, index.coarse, _coarse(public), "_far")
     return df.withColumn("_hit", F.coalesce("_near", "_far")).drop("_near", "_far")
 
 
+def resolve_in_order(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``_hit`` for distinct addresses (``_key``) by walking addresses and range starts in order.
+
+    Both are dealt out together by ranges of the key, so slices are even however the
+    addresses cluster; no prefix gathers in one task. The last range begun before an address
+    is the only one that can hold it. A slice that begins within a range gets that range
+    from the slices before, of which one row each is looked at.
+    """
+    begun = F.struct("lo", "hi", "country_code", "country")
+    none = F.lit(None).cast("struct<lo:string,hi:string,country_code:string,country:string>")
+    rows = ranges.select(F.col("lo").alias("_key"), F.lit(0).alias("_probe"), begun.alias("_range")).union(
+        addresses.select("_key", F.lit(1).alias("_probe"), none.alias("_range"))
+    )
+    slices = rows.repartitionByRange("_key", "_probe").withColumn("_slice", F.spark_partition_id())
+    slices = settled(slices, "geo-slices")
+    so_far = Window.partitionBy("_slice").orderBy("_key", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    ends = slices.groupBy("_slice").agg(F.max(F.when(F.col("_probe") == 0, F.col("_range"))).alias("_end"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    carried = ends.select("_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    placed = slices.withColumn("_last", F.last("_range", ignorenulls=True).over(so_far)).where("_probe = 1")
+    found = placed.join(F.broadcast(carried), "_slice").withColumn("_found", F.coalesce("_last", "_carried"))
+    hit = F.when(F.col("_found.hi") >= F.col("_key"), F.struct("_found.country_code", "_found.country"))
+    return found.select("_key", hit.alias("_hit"))
+
+
 def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFrame:
     """Add ``country_code`` and ``country`` for the address in column ``address``.
 
@@ -154,7 +178,7 @@ def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFra
         df = _resolve(df, index)
     else:
         public = df.select("_key").where(key.isNotNull() & ~is_private(key)).distinct()
-        df = lookup_join(df, _resolve(public, index), "_key", "left", False)
+        df = lookup_join(df, resolve_in_order(public, index.ranges), "_key", "left", False)
     code = F.coalesce(F.col("_hit.country_code"), F.lit(""))
     name = F.coalesce(F.col("_hit.country"), F.lit("Unknown"))
     return df.withColumns({

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 from functools import reduce
 
@@ -221,7 +222,7 @@ def _(spark, sf_dir):
 @query("geo_enrich_shuffled", _GEO)
 def _(spark, sf_dir):
     index = geo.build_index(derive.geo_ranges(spark, sf_dir))
-    unbounded = geo.GeoIndex(index.fine, index.coarse, broadcast=False)
+    unbounded = replace(index, broadcast=False)
     return geo.with_country(_visits(spark, sf_dir), "address", unbounded)
 
 
@@ -530,6 +531,23 @@ def _(spark, sf_dir):
     return _epoch_minute(ingest.ingest_stats(spark, _ingest(spark, sf_dir)))
 
 
+@query("geo_enrich_v6_hot_prefix", """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN concat('C', CAST(user_id % 500 AS VARCHAR)) ELSE '' END
+    AS country_code FROM events""")
+def _(spark, sf_dir):
+    """All addresses in one IPv6 /32, every second /48 of it in a range, looked up without broadcast."""
+    part = lambda c: F.concat(F.lit("2001:db8:"), F.lower(F.hex(c)))
+    even = spark.range(0, 500, 2)
+    ranges = even.select(
+        F.concat(part("id"), F.lit("::")).alias("lo"), F.concat(part("id"), F.lit(":ffff::")).alias("hi"),
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("country_code"), F.lit("x").alias("country"),
+    )
+    events = derive.read(spark, sf_dir, "events").select(
+        "event_id", F.concat(part(F.col("user_id").cast("bigint") % 500), F.lit("::"), F.hex(F.col("event_id") % 9999)).alias("a")
+    )
+    index = replace(geo.build_index(ranges), broadcast=False)
+    return geo.with_country(events, "a", index).select("event_id", "country_code")
+
+
 @query("edits_between_batches", f"""SELECT log_type, count(*) AS n FROM (
     SELECT CASE WHEN event_id % 2 = 0 THEN 'apache' ELSE 'nginx' END AS log_type FROM events WHERE user_id % 7 = 0 AND value >= 1
     AND {derive.ENVELOPE['source_ip']} IN (SELECT ip FROM ({SOURCES_SQL}))) GROUP BY 1""")
