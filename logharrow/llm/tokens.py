@@ -11,8 +11,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logharrow.llm.common import id_and_text, map_texts
+from logharrow.session import settled
 
 # The sign that stands for a space inside pieces.
 SPACE = "▁"
@@ -90,8 +92,12 @@ def frequent_pre_tokens(docs: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
         )
 
     counts = docs.select("text").mapInArrow(count, "part string, n long")
-    totals = counts.groupBy("part").agg(F.sum("n").alias("n"))
-    return totals.orderBy(F.desc("n"), "part").limit(size)
+    totals = settled(counts.groupBy("part").agg(F.sum("n").alias("n")), "pre-tokens")
+    # The lowest count for which there are no more than ``size``; ties at the edge stay out.
+    rows = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    kinds = totals.groupBy("n").agg(F.count("*").alias("m")).withColumn("rank", F.sum("m").over(rows))
+    lowest = kinds.where(F.col("rank") <= size).agg(F.min("n")).first()[0]
+    return totals.where(F.col("n") >= lowest) if lowest is not None else totals.limit(0)
 
 
 def token_counts(
