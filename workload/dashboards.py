@@ -535,27 +535,27 @@ def _(spark, sf_dir):
 def _long(section: str, df: DataFrame, label: str, number: str) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"), F.col(label).cast("string").alias("label"),
-        F.col(number).cast("bigint").alias("value"),
+        F.col(number).cast("double").alias("value"),
     )
 
 
 def _facts(section: str, df: DataFrame, names: list[str]) -> DataFrame:
-    facts = F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).cast("bigint").alias("value")) for n in names])
+    facts = F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).cast("double").alias("value")) for n in names])
     return df.select(F.lit(section).alias("section"), F.explode(facts).alias("f")).select("section", "f.*")
 
 
 def _long_sql(section: str, inner: str, label: str, number: str) -> str:
-    return f"SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS label, CAST({number} AS BIGINT) AS value FROM ({inner})"
+    return f"SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS label, CAST({number} AS DOUBLE) AS value FROM ({inner})"
 
 
 def _facts_sql(section: str, inner: str, names: list[str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{section}' AS section, '{n}' AS label, CAST({n} AS BIGINT) AS value FROM ({inner})" for n in names
+        f"SELECT '{section}' AS section, '{n}' AS label, CAST({n} AS DOUBLE) AS value FROM ({inner})" for n in names
     )
 
 
-_WEB_FACTS = ["requests", "unique_ips", "countries", "total_bytes", "errors"]
-_FIREWALL_FACTS = ["events", "denied", "sources", "countries", "total_bytes"]
+_WEB_FACTS = ["requests", "unique_ips", "countries", "total_bytes", "errors", "error_rate"]
+_FIREWALL_FACTS = ["events", "denied", "sources", "countries", "total_bytes", "deny_rate"]
 _MAP_FACTS = ["countries", "unlocated", "has_data"]
 
 
@@ -566,7 +566,9 @@ def _long_report(report, facts: list[str]) -> DataFrame:
         _long("breakdown", report["actions" if "actions" in report else "statuses"], "label", "count"),
         _long("panels", report["panels"].withColumn("l", F.concat_ws("|", "panel", "rank", "label")), "l", "count"),
         _long("countries", report["countries"], "code", "level"),
+        _long("country_counts", report["countries"], "name", "count"),
         _long("legend", report["legend"], "step", "to_count"),
+        _long("legend_from", report["legend"], "step", "from_count"),
         _facts("map", report["map"], _MAP_FACTS),
     ]
     return reduce(DataFrame.unionAll, parts)
@@ -582,7 +584,9 @@ def _report_sql(table, range_, kpi_sql, facts, breakdown, columns, drop_empty) -
         _long_sql("breakdown", breakdown, "label", "count"),
         _long_sql("panels", panels_sql(table, columns, where, drop_empty), label, "count"),
         _long_sql("countries", levels_sql(counts), "code", "level"),
+        _long_sql("country_counts", levels_sql(counts), "name", "count"),
         _long_sql("legend", legend_sql(counts), "step", "to_count"),
+        _long_sql("legend_from", legend_sql(counts), "step", "from_count"),
         _facts_sql("map", map_sql(counts), _MAP_FACTS),
     ])
 
@@ -595,13 +599,14 @@ def _(spark, sf_dir):
 
 
 @query("report_proxy", _report_sql(
-    PROXY_SQL, "24h", f"{_WEB_KPIS}, quantile_cont(duration_ms, 0.95) * 1000 AS p95_us", [*_WEB_FACTS, "p95_us"],
+    PROXY_SQL, "24h", f"{_WEB_KPIS}, round(avg(duration_ms), 4) AS avg_ms, round(quantile_cont(duration_ms, 0.95), 4) AS p95_ms",
+    [*_WEB_FACTS, "avg_ms", "p95_ms"],
     status_sql(PROXY_SQL, since("24h"), "rounded"),
     {**WEB_PANELS, "router": "router", "service": "service"}, False))
 def _(spark, sf_dir):
     report = reports.type_report(derive.proxy(spark, sf_dir), Filter(), NOON, TRAEFIK)
-    report["kpis"] = report["kpis"].withColumn("p95_us", F.round(F.col("p95_ms") * 1000))
-    return _long_report(report, [*_WEB_FACTS, "p95_us"])
+    report["kpis"] = _rounded_durations(report["kpis"])
+    return _long_report(report, [*_WEB_FACTS, "avg_ms", "p95_ms"])
 
 
 @query("report_firewall", _report_sql(
@@ -614,6 +619,9 @@ def _(spark, sf_dir):
 @query("report_overview", " UNION ALL ".join([
     _facts_sql("totals", TOTALS, ["total", "last24", "country_count"]),
     _long_sql("types", BY_TYPE, "log_type", "total"),
+    _long_sql("type_share", share_sql(f"SELECT log_type AS label, total AS count FROM ({BY_TYPE})"), "label", "count"),
+    _long_sql("by_country", BY_COUNTRY, "name", "count"),
+    _long_sql("legend", legend_sql(BY_COUNTRY), "step", "to_count"),
     _long_sql("sources", BY_SOURCE, "source_ip", "count"),
     _long_sql("share", share_sql(f"SELECT name AS label, count FROM ({BY_COUNTRY})"), "label", "count"),
     _long_sql("countries", levels_sql(BY_COUNTRY), "code", "level"),
@@ -627,6 +635,9 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionAll, [
         _facts("totals", report["totals"], ["total", "last24", "country_count"]),
         _long("types", report["by_type"], "log_type", "total"),
+        _long("type_share", report["type_share"], "label", "count"),
+        _long("by_country", report["by_country"], "name", "count"),
+        _long("legend", report["legend"], "step", "to_count"),
         _long("sources", report["by_source"], "source_ip", "count"),
         _long("share", report["country_share"], "label", "count"),
         _long("countries", report["countries"], "code", "level"),
