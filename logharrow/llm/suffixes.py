@@ -28,7 +28,7 @@ U = np.uint64
 GRAM = 16
 # Text whose anchors meet in one group, and text turned into one transform.
 PART_BYTES = 32 << 20
-TRANSFORM_BYTES = 1 << 20
+TRANSFORM_BYTES = 1 << 18
 PIECE = 1 << 20
 # Stands behind every document: what has no id is earlier than none.
 LAST = np.iinfo(np.int64).max
