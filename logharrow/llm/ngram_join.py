@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from logharrow.llm.blocks import PLACE_BITS, block_table, rids, unpack
 from logharrow.llm.components import components
 from logharrow.llm.hashing import _STEP, mix, shingle_sets
+from logharrow.operators.lookup import fits
 from logharrow.session import settled
 
 U = np.uint64
@@ -100,6 +101,9 @@ def group_leaders(
     groups = ngram_components(docs, rule, id_col, text_col).select(F.col(id_col).alias("_gone"), "component_id")
     groups = settled(groups.select("_gone", F.col("_gone").eqNullSafe(F.col("component_id")).alias("leads")), "groups")
     gone = groups.groupBy("_gone").agg(F.bool_or("leads").alias("leads")).where("not leads").select("_gone")
+    gone = settled(gone, "gone")
+    if fits(gone):  # counted; beyond that both sides are shuffled
+        gone = F.broadcast(gone)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))
     return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
