@@ -244,9 +244,18 @@ def train(found: DataFrame, how: Training) -> Trees | None:
 
 
 def added_spans(cands: Column, base: Column, trees: Trees) -> Column:
-    """Candidates over the threshold of their kind that meet no base span; of overlapping ones the best."""
+    """Candidates over the threshold of their kind that meet no base span; of overlapping ones the best.
+
+    A card number that fails its check sum and an address with too large a part are none.
+    """
+
+    def possible(c: Column) -> Column:
+        kind, found = c["span"]["kind"], c["features"]
+        card, ip = KINDS.index("card"), KINDS.index("ip")
+        return ((kind != card) | (found["luhn"] == 1)) & ((kind != ip) | (found["octets"] == 1))
+
     scored = F.transform(
-        F.filter(cands, lambda c: ~F.exists(base, lambda b: overlaps(b, c["span"]))),
+        F.filter(cands, lambda c: possible(c) & ~F.exists(base, lambda b: overlaps(b, c["span"]))),
         lambda c: F.struct(
             (-trees.score(c["features"])).alias("minus"), c["span"]["start"].alias("start"), c["span"].alias("span")
         ),
