@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from logharrow.llm.common import id_and_text, map_texts
 
 # Pieces kept per worker, and the longest of them in characters.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
 # Neighbour answers kept per worker.
-CACHED_PAIRS = 400_000
+CACHED_PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
