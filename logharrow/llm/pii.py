@@ -33,14 +33,15 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-# Wide generators: also numbers without a plus, disguised addresses, long digit groups.
+# Wide generators: also numbers without a plus (a country's number behind one is left out, so both look alike), disguised addresses, long digit groups.
 AT = r"(?:@|\x20?[(\[{]at[)\]}]\x20?)"
 DOT = r"(?:\.|\x20?[(\[{]dot[)\]}]\x20?)"
+DOTS = r"(?:\.|\x20?[(\[{](?:\.|dot)[)\]}]\x20?)"  # also 1[.]2(dot)3[.]4
 CANDIDATES = {
     "email": rf"(?:\G|(?<!{RUN})){RUN}++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{DOTS}[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 HINTS = {
     "email": "mail|contact|write|address",
@@ -48,10 +49,17 @@ HINTS = {
     "card": "card|visa|pay|account|credit",
     "phone": "phone|tel|call|fax|mobile|number",
 }
+# Forms that are none of a kind, whatever stands around them.
+VERSION = r"(?i)(?:\bv|\bver\.?|\bversion|\brelease|\bbuild)[:\x20]?$"
+DATE = r"^\(?(?:19|20)[0-9]{2}\)?[\x20.-](?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[\x20.-]"
+NO_EMAIL = r"^\.|\.\.|\.@|\.[0-9-]+$"
 CONTEXT = 40
+LEVELS = 1000
+# What makes a candidate a base match (sign, dots, number of digits, plus) is no feature: it would
+# be all there is to learn, and what is added lacks just that.
 FEATURES = (
-    "length", "digits", "letters", "spaces", "dashes", "dots", "brackets", "groups", "at_sign", "luhn",
-    "octets", "letter_before", "digit_before", "letter_after", "hint", "digits_around", "zeros",
+    "kind", "letters", "spaces", "dashes", "brackets", "groups", "luhn", "octets",
+    "letter_before", "digit_before", "letter_after", "hint", "digits_around", "zeros",
 )
 SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
 
@@ -121,39 +129,63 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def plain(kind: str, hit: Column) -> Column:
+    """A candidate as it is without its disguise."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(hit, AT, "@"), DOT, ".")
+    return F.regexp_replace(hit, DOTS, "." if kind == "ip" else "-")
+
+
+def before(text: Column, span: Column) -> Column:
+    return F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+
+
+def wrong(text: Column, kind: str, span: Column, base: Column) -> Column:
+    """Whether a candidate is of a form known to be none of its kind; TRUE makes it a negative example."""
+    hit = plain(kind, span["hit"])
+    version = F.rlike(before(text, span), F.lit(VERSION))
+    if kind == "email":
+        return F.rlike(hit, F.lit(NO_EMAIL))
+    if kind == "ip":
+        return ~valid("ip", hit) | version
+    if kind == "card":
+        return ~luhn(only_digits(hit))
+    other = F.exists(base, lambda b: (b["kind"] != KINDS.index(kind)) & overlaps(b, span))
+    return other | version | F.rlike(hit, F.lit(DATE)) | ~valid("phone", hit)
+
+
 def features(text: Column, kind: str, span: Column) -> Column:
-    """Format and context of one candidate, as a struct of doubles."""
-    hit = span["hit"]
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    # The plus that makes a number a base match is no feature: it would be all there is to learn.
-    before = F.regexp_replace(before, r"\+[0-9]{0,3}[\x20-]?$", "")
+    """Format and context of one candidate, as a struct of doubles; the format is that without disguise."""
+    hit, around = plain(kind, span["hit"]), before(text, span)
+    around = F.regexp_replace(around, r"\+[0-9]{0,3}[\x20-]?$", "")
     after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     digits = only_digits(hit)
     values = {
-        "length": F.length(hit),
-        "digits": F.length(digits),
+        "kind": F.lit(KINDS.index(kind)),
         "letters": count(hit, r"\p{L}"),
         "spaces": count(hit, r"\x20"),
         "dashes": count(hit, "-"),
-        "dots": count(hit, r"\."),
         "brackets": count(hit, r"[()\[\]{}]"),
         "groups": count(hit, "[0-9]+"),
-        "at_sign": count(hit, "@"),
         "luhn": luhn(digits),
         "octets": valid("ip", hit),
-        "letter_before": F.rlike(before, F.lit(r"\p{L}$")),
-        "digit_before": F.rlike(before, F.lit(r"[0-9][.,:/\x20-]?$")),
+        "letter_before": F.rlike(around, F.lit(r"\p{L}$")),
+        "digit_before": F.rlike(around, F.lit(r"[0-9][.,:/\x20-]?$")),
         "letter_after": F.rlike(after, F.lit(r"^\p{L}")),
-        "hint": F.rlike(before, F.lit(rf"(?i)\b(?:{HINTS[kind]})")),
-        "digits_around": count(before, "[0-9]") + count(after, "[0-9]"),
+        "hint": F.rlike(around, F.lit(rf"(?i)\b(?:{HINTS[kind]})")),
+        "digits_around": count(around, "[0-9]") + count(after, "[0-9]"),
         "zeros": count(hit, "0"),
     }
     return F.struct(*[values[name].cast("int").cast("double").alias(name) for name in FEATURES])
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Overlapping candidates of all generators: span, features, whether a base span of its kind meets it."""
+    """Overlapping candidates of all generators: span, features and label.
+
+    The label is TRUE if a base span of its kind meets it, FALSE if its form is known to be
+    wrong, and NULL for plausible ones, which may be what is looked for.
+    """
 
     def of_kind(kind: str) -> Column:
         same = F.filter(base, lambda b: b["kind"] == KINDS.index(kind))
@@ -162,7 +194,7 @@ def candidates(text: Column, base: Column) -> Column:
             lambda s: F.struct(
                 s.alias("span"),
                 features(text, kind, s).alias("features"),
-                F.exists(same, lambda b: overlaps(b, s)).alias("label"),
+                F.when(F.exists(same, lambda b: overlaps(b, s)), True).when(wrong(text, kind, s, base), False).alias("label"),
             ),
         )
 
@@ -174,9 +206,12 @@ class Training:
     """Bounds of the sample the trees are fitted on, and what they must reach.
 
     ``rows`` candidates of all documents, the first by a hash of document and place, are
-    labelled by the base patterns: a candidate that meets a valid base span of its kind is
-    personal data. A third is held out; a kind's threshold is the lowest score from
-    which ``precision`` is reached there, among at least ``least`` true ones, or none.
+    taken. Those that meet a valid base span of their kind are true, forms known to be
+    wrong are false. Plausible ones are not known to be either: they only show what is not
+    like base spans, with ``weight`` of a known one, and count for no threshold. A third is
+    held out; a kind's threshold is the lowest score from which ``precision`` is reached
+    there, among at least ``least`` true ones, or none, but not below what the share
+    ``reach`` of its true ones has.
     """
 
     rows: int = 20_000
@@ -185,12 +220,14 @@ class Training:
     precision: float = 0.99
     least: int = 20
     seed: int = 7
+    weight: float = 0.1
+    reach: float = 0.95
 
 
 class Trees:
     """Boosted trees as a condition per node, with a threshold for each kind."""
 
-    def __init__(self, model, thresholds: dict[int, float]):
+    def __init__(self, model, thresholds: dict[int, int]):
         self.trees = [
             (weight, _nodes(tree._call_java("rootNode"))) for weight, tree in zip(model.treeWeights, model.trees)
         ]
@@ -200,6 +237,10 @@ class Trees:
         margin = reduce(lambda a, b: a + b, [F.lit(float(w)) * _applied(t, row) for w, t in self.trees])
         return 1 / (1 + F.exp(-2 * margin))
 
+    def level(self, score: Column) -> Column:
+        """Scores in thousandths, so that counts per score are few; thresholds are such."""
+        return F.floor(score * LEVELS).cast("int")
+
 
 def _nodes(node):
     if node.getClass().getSimpleName() == "LeafNode":
@@ -218,54 +259,65 @@ def _applied(node, row: Column) -> Column:
 def train(found: DataFrame, how: Training) -> Trees | None:
     """Trees from candidates (id, c), or None if the sample has not both labels."""
     key = F.xxhash64("id", "c.span.kind", "c.span.start", F.lit(how.seed))
-    sample = found.select(F.explode("candidates").alias("c"), "id").select(
-        key.alias("key"), F.col("c.span.kind").alias("kind"), F.col("c.label").cast("double").alias("label"), "c.features.*"
+    every = found.select(F.explode("candidates").alias("c"), "id").select(
+        key.alias("key"), F.col("c.label").cast("double").alias("known"), "c.features.*"
+    )
+    sample = settled(every.orderBy("key", "kind", *FEATURES).limit(how.rows), "pii-sample")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample.where(F.pmod("key", F.lit(3)) != 0)).select(
+        "vector", F.coalesce("known", F.lit(0.0)).alias("label"),
+        F.when(F.col("known").isNull(), how.weight).otherwise(1.0).alias("weight"),
     )
-    sample = settled(sample.orderBy("key", "kind", *FEATURES).limit(how.rows), "pii-sample")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample)
-    rows = rows.withColumn("held", F.pmod("key", F.lit(3)) == 0)
-    fit = rows.where(~F.col("held"))
-    if fit.select("label").distinct().count() < 2:
+    if rows.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=how.trees, maxDepth=how.depth, seed=how.seed
-    ).fit(fit.coalesce(4))
+        featuresCol="vector", labelCol="label", weightCol="weight", maxIter=how.trees, maxDepth=how.depth, seed=how.seed
+    ).fit(rows.coalesce(4))
     trees = Trees(model, {})
-    # Sampled rows of one kind, at most how.rows: the threshold from the held-out scores.
-    held = rows.where("held").withColumn("score", trees.score(F.struct(*FEATURES)))
-    by_score = held.groupBy("kind", "score").agg(F.sum("label").alias("true"), F.count("*").alias("all")).collect()
+    held = sample.where(F.pmod("key", F.lit(3)) == 0)
+    known = held.where("known IS NOT NULL").withColumn("level", trees.level(trees.score(F.struct(*FEATURES))))
+    counts = known.groupBy("kind", "level").agg(F.sum("known").alias("true"), F.count("*").alias("all")).collect()
     for kind in range(len(KINDS)):
-        true = every = 0.0
-        for row in sorted((r for r in by_score if r.kind == kind), key=lambda r: -r.score):
-            true, every = true + row.true, every + row["all"]
-            if true >= how.least and true >= how.precision * every:
-                trees.thresholds[kind] = row.score
+        levels = sorted(((r.level, r.true, r["all"]) for r in counts if r.kind == kind), reverse=True)
+        threshold = precise_level(levels, how)
+        if threshold is not None:
+            trees.thresholds[kind] = threshold
     return trees
 
 
+def precise_level(levels: list[tuple[int, float, int]], how: Training) -> int | None:
+    """The threshold of a kind from its levels, highest first, with true and all known ones at each."""
+    total = sum(n for _, n, _ in levels)
+    if total < how.least:
+        return None
+    true = every = 0.0
+    found = reached = None
+    for level, n, known in levels:
+        true, every = true + n, every + known
+        if true >= how.least and true >= how.precision * every:
+            found = level
+        if reached is None and true >= how.reach * total:
+            reached = level
+    return None if found is None else max(found, reached)
+
+
 def added_spans(cands: Column, base: Column, trees: Trees) -> Column:
     """Candidates over the threshold of their kind that meet no base span; of overlapping ones the best.
 
-    A card number that fails its check sum and an address with too large a part are none.
+    A candidate of a form known to be wrong is none, as a card number that fails its check sum.
     """
 
-    def possible(c: Column) -> Column:
-        kind, found = c["span"]["kind"], c["features"]
-        card, ip = KINDS.index("card"), KINDS.index("ip")
-        return ((kind != card) | (found["luhn"] == 1)) & ((kind != ip) | (found["octets"] == 1))
-
     scored = F.transform(
-        F.filter(cands, lambda c: possible(c) & ~F.exists(base, lambda b: overlaps(b, c["span"]))),
+        F.filter(cands, lambda c: c["label"].isNull() & ~F.exists(base, lambda b: overlaps(b, c["span"]))),
         lambda c: F.struct(
             (-trees.score(c["features"])).alias("minus"), c["span"]["start"].alias("start"), c["span"].alias("span")
         ),
     )
 
     def over(s: Column) -> Column:
-        limit = F.lit(2.0)  # no score reaches it
+        limit = F.lit(LEVELS + 1)  # no score reaches it
         for kind, threshold in trees.thresholds.items():
-            limit = F.when(s["span"]["kind"] == kind, F.lit(float(threshold))).otherwise(limit)
-        return -s["minus"] >= limit
+            limit = F.when(s["span"]["kind"] == kind, F.lit(threshold)).otherwise(limit)
+        return trees.level(-s["minus"]) >= limit
 
     def take(chosen: Column, s: Column) -> Column:
         return F.when(F.exists(chosen, lambda c: overlaps(c, s["span"])), chosen).otherwise(
@@ -304,7 +356,7 @@ def personal_data(
 
     Returns ``id_col``, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base
     and added ones as text), n_added and, with ``with_text``, redacted_text. One row per row
-    of ``docs``, nothing is shuffled but the bounded training sample; other columns are not
+    of ``docs``, nothing is shuffled but the bounded training sample and counts per score; other columns are not
     read. NULL and empty texts have no spans. Tables without candidates of both labels get
     the base spans alone.
     """
