@@ -205,13 +205,13 @@ def candidates(text: Column, base: Column) -> Column:
 class Training:
     """Bounds of the sample the trees are fitted on, and what they must reach.
 
-    ``rows`` candidates of all documents, the first by a hash of document and place, are
-    taken. Those that meet a valid base span of their kind are true, forms known to be
+    A quarter of ``rows`` candidates of each kind, the first by a hash of document and place,
+    is fitted. Those that meet a valid base span of their kind are true, forms known to be
     wrong are false. Plausible ones are not known to be either: they only show what is not
-    like base spans, with ``weight`` of a known one, and count for no threshold. A third is
-    held out; a kind's threshold is the lowest score from which ``precision`` is reached
-    there, among at least ``least`` true ones, or none, but not below what the share
-    ``reach`` of its true ones has.
+    like base spans, with ``weight`` of a known one, and count for no threshold.
+    Thresholds come from the scores of all known candidates of the table: a kind's is the
+    lowest from which ``precision`` is reached, but not below what the share ``reach`` of
+    its true ones has; with fewer than ``least`` true ones it is ``rare``.
     """
 
     rows: int = 20_000
@@ -222,6 +222,7 @@ class Training:
     seed: int = 7
     weight: float = 0.1
     reach: float = 0.95
+    rare: float = 0.5
 
 
 class Trees:
@@ -262,8 +263,13 @@ def train(found: DataFrame, how: Training) -> Trees | None:
     every = found.select(F.explode("candidates").alias("c"), "id").select(
         key.alias("key"), F.col("c.label").cast("double").alias("known"), "c.features.*"
     )
-    sample = settled(every.orderBy("key", "kind", *FEATURES).limit(how.rows), "pii-sample")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample.where(F.pmod("key", F.lit(3)) != 0)).select(
+    every = settled(every, "pii-candidates")
+    each = [
+        every.where(F.col("kind") == kind).orderBy("key", *FEATURES).limit(how.rows // len(KINDS))
+        for kind in range(len(KINDS))
+    ]
+    sample = settled(reduce(DataFrame.unionAll, each), "pii-sample")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample).select(
         "vector", F.coalesce("known", F.lit(0.0)).alias("label"),
         F.when(F.col("known").isNull(), how.weight).otherwise(1.0).alias("weight"),
     )
@@ -273,8 +279,8 @@ def train(found: DataFrame, how: Training) -> Trees | None:
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=how.trees, maxDepth=how.depth, seed=how.seed
     ).fit(rows.coalesce(4))
     trees = Trees(model, {})
-    held = sample.where(F.pmod("key", F.lit(3)) == 0)
-    known = held.where("known IS NOT NULL").withColumn("level", trees.level(trees.score(F.struct(*FEATURES))))
+    # All known candidates of the table, counted by kind and level.
+    known = every.where("known IS NOT NULL").withColumn("level", trees.level(trees.score(F.struct(*FEATURES))))
     counts = known.groupBy("kind", "level").agg(F.sum("known").alias("true"), F.count("*").alias("all")).collect()
     for kind in range(len(KINDS)):
         levels = sorted(((r.level, r.true, r["all"]) for r in counts if r.kind == kind), reverse=True)
@@ -288,7 +294,7 @@ def precise_level(levels: list[tuple[int, float, int]], how: Training) -> int |
     """The threshold of a kind from its levels, highest first, with true and all known ones at each."""
     total = sum(n for _, n, _ in levels)
     if total < how.least:
-        return None
+        return int(how.rare * LEVELS)
     true = every = 0.0
     found = reached = None
     for level, n, known in levels:

@@ -287,7 +287,7 @@ def planted_personal_data(n):
     return rows, [(900_000 + 10_000 * k + i, form()) for k, form in enumerate(wrong) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [120])
+@pytest.mark.parametrize("n", [12, 120])
 def test_disguised_spans_are_added(spark, n):
     """Half and more of the spans of each kind are disguised; few as they may be, they are found."""
     rows, wrong = planted_personal_data(n)
@@ -299,6 +299,14 @@ def test_disguised_spans_are_added(spark, n):
     assert not sum(got[k].n_added for k in failing)
 
 
+def test_thresholds():
+    """From all known ones of a kind, and a default for a rare kind."""
+    how = pii.Training()
+    assert pii.precise_level([(900, 5, 5)], how) == 500
+    assert pii.precise_level([(990, 60, 60), (900, 38, 38), (300, 2, 2), (100, 0, 50)], how) == 900
+    assert pii.precise_level([(990, 10, 500), (100, 50, 500)], how) is None
+
+
 def test_quality_rules(docs):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = result(quality.quality_rules(docs), "doc_id", *names)
