@@ -5,7 +5,8 @@ Equal strings have equal anchors, so documents meet by anchors alone: anchors of
 two documents are found first, by 32-bit tags, and only the surroundings of those, the
 bytes of all strings that have the anchor, are compared. Equal surroundings are merged in
 their block and again where they meet; there a Burrows-Wheeler transform of the distinct ones
-is walked, and gives for each 50-byte string the smallest document that has it.
+is walked, and gives for each 50-byte string the smallest document that has it. The strings
+of anchors with very many different surroundings are dealt out by their own hash instead.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ GRAM = 16
 # Text whose anchors meet in one group, and text turned into one transform.
 PART_BYTES = 32 << 20
 TRANSFORM_BYTES = 1 << 18
+# Different surroundings from which an anchor is hot: its strings are dealt out one by one.
+HOT = 1 << 13
 PIECE = 1 << 20
 # Stands behind every document: what has no id is earlier than none.
 LAST = np.iinfo(np.int64).max
@@ -299,20 +302,110 @@ def earlier_strings(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, lengt
     return bits
 
 
-def _answers(surroundings: DataFrame, length: int) -> DataFrame:
-    """Per block and part: for each of its surroundings the smallest document, and the bits."""
+def _hot_anchors(surroundings: DataFrame) -> tuple[np.ndarray, int]:
+    """Anchors with over ``HOT`` surroundings, ascending, and the number of those.
+
+    Surroundings are counted per block; where a block has only one of an anchor it is left
+    out of the count, so an anchor that is not hot has at most one a block more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                hashes, n = np.unique(unpacked(payload.as_py(), U)[0], return_counts=True)
+                columns = [hashes[n > 1].view(np.int64), n[n > 1].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "n"])
+
+    counts = surroundings.where("part >= 0").select("payload").mapInArrow(run, "anchor long, n long")
+    # Few by definition: each stands for over HOT surroundings.
+    found = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect()
+    return np.sort(np.array([r.anchor for r in found], np.int64).view(U)), sum(r.n for r in found)
+
+
+def _hot_strings(surroundings: DataFrame, hot: np.ndarray, parts: int, length: int) -> DataFrame:
+    """The single strings of hot anchors, dealt out by their hash.
+
+    ``part`` is where a string is dealt to; a payload has, per string: the part and number of
+    the surrounding, its place in it, its document, and the bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for home_part, block, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                hashes, _, size, docs, joined = unpacked(payload, U, np.uint8, np.uint8, np.int64, np.uint8)
+                number = np.flatnonzero(np.isin(hashes, hot))
+                if not len(number):
+                    continue
+                each = size[number].astype(np.int64) - length + 1
+                begin = (np.cumsum(size, dtype=np.int64) - size)[number]
+                number = np.repeat(number, each)
+                place = np.arange(len(number)) - np.repeat(np.cumsum(each) - each, each)
+                start = np.repeat(begin, each) + place
+                to = (window_hashes(joined, length)[start] % U(parts)).astype(np.int64)
+                rows = []
+                for p, at in by_part(to):
+                    body = joined[start[at][:, None] + np.arange(length)]
+                    rows.append((p, block, packed(
+                        np.array([home_part]), number[at].astype(np.int32), place[at].astype(np.uint8), docs[number[at]], body
+                    )))
+                yield batch_of(rows)
+
+    return surroundings.where("part >= 0").select("part", "block", "payload").mapInArrow(run, RUN)
+
+
+def _hot_answers(strings: DataFrame, length: int) -> DataFrame:
+    """Per block and part: which strings of which surroundings an earlier document has.
+
+    ``part`` is -1 less the part of the surroundings.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[bytes, int] = {}
+        held = []
+        for batch in batches:
+            for block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                part, number, place, docs, joined = unpacked(payload, np.int64, np.int32, np.uint8, np.int64, np.uint8)
+                raw = joined.tobytes()
+                for i, d in enumerate(docs.tolist()):
+                    body = raw[i * length : (i + 1) * length]
+                    if d < low.setdefault(body, d):
+                        low[body] = d
+                held.append((block, payload))
+        rows = []
+        for block, payload in held:
+            part, number, place, docs, joined = unpacked(payload, np.int64, np.int32, np.uint8, np.int64, np.uint8)
+            raw = joined.tobytes()
+            least = np.array([low[raw[i * length : (i + 1) * length]] for i in range(len(docs))], np.int64)
+            hit = least < docs
+            if hit.any():
+                rows.append((-1 - int(part[0]), block, packed(number[hit], place[hit])))
+        yield batch_of(rows)
+
+    return strings.groupBy("part").applyInArrow(run, RUN)
+
+
+def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """Per block and part: for each of its surroundings the smallest document, and the bits.
+
+    For those of hot anchors it is the smallest of the block, and no bits.
+    """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, int], int] = {}
         anchor: list[int] = []
         low: list[int] = []
-        blocks, numbers = [], []
+        blocks, numbers, alone = [], [], []
         for batch in batches:
             for block, payload in zip(batch.column(1), batch.column(2)):
                 hashes, offset, size, docs, joined = unpacked(payload.as_py(), U, np.uint8, np.uint8, np.int64, np.uint8)
                 stop = np.cumsum(size, dtype=np.int64).tolist()
                 raw, number, s = joined.tobytes(), [], 0
-                for h, o, e, d in zip(hashes.tolist(), offset.tolist(), stop, docs.tolist()):
+                skip = np.isin(hashes, hot)
+                for h, o, e, d, apart in zip(hashes.tolist(), offset.tolist(), stop, docs.tolist(), skip.tolist()):
+                    if apart:
+                        number.append(-1)
+                        s = e
+                        continue
                     k = seen.setdefault((raw[s:e], o), len(low))
                     if k == len(low):
                         anchor.append(h)
@@ -323,14 +416,20 @@ def _answers(surroundings: DataFrame, length: int) -> DataFrame:
                     s = e
                 blocks.append(block.as_py())
                 numbers.append(np.array(number, np.int64))
+                alone.append(docs[skip])
         bodies = [body for body, _ in seen]
         seen.clear()
-        least, bits = np.array(low, np.int64), np.zeros(len(low), np.uint64)
+        # The last one stands for those of hot anchors.
+        least, bits = np.array([*low, LAST], np.int64), np.zeros(len(low) + 1, np.uint64)
         # Only anchors with different surroundings have anything to compare.
         for some in _portions(np.array(anchor, np.uint64), np.array(list(map(len, bodies)), np.int64)):
             text = np.frombuffer(b"".join(bodies[k] for k in some), np.uint8)
             bits[some] = earlier_strings(text, np.array([len(bodies[k]) for k in some]), least[some], length)
-        rows = [(key[0].as_py(), block, packed(least[k], bits[k])) for block, k in zip(blocks, numbers)]
+        rows = []
+        for block, k, docs in zip(blocks, numbers, alone):
+            own = least[k]
+            own[k < 0] = docs
+            rows.append((key[0].as_py(), block, packed(own, bits[k])))
         yield batch_of(rows)
 
     return surroundings.where("part >= 0").groupBy("part").applyInArrow(run, RUN)
@@ -372,7 +471,12 @@ def repeated_bytes(
     parts = max(1, -(-total // PART_BYTES))
     shared = settled(_shared_tags(_tags(blocks, parts, length)), "tags")
     around = settled(_surroundings(blocks, shared, parts, length), "surroundings")
-    answers = _answers(around, length).groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("answers"))
+    hot, n_hot = _hot_anchors(around)
+    answers = _answers(around, length, hot)
+    if len(hot):
+        hot_parts = max(1, -(-n_hot * (length - GRAM + 1) * length // PART_BYTES))
+        answers = answers.union(_hot_answers(_hot_strings(around, hot, hot_parts, length), length))
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("answers"))
     where = around.where("part = -1").select("block", F.col("payload").alias("lies"))
     joined = blocks.join(where.join(answers, "block"), "block", "left")
     span = length - GRAM + 1
@@ -387,7 +491,14 @@ def repeated_bytes(
                     step, size, doc, part, number = unpacked(lies, np.int64, np.uint8, np.int32, np.int64, np.int32)
                     start = np.cumsum(step)
                     own = np.array([LAST if x is None else x for x in ids], np.int64)[doc]
-                    found = {row["part"]: unpacked(row["payload"], np.int64, U) for row in given}
+                    found = {row["part"]: unpacked(row["payload"], np.int64, U) for row in given if row["part"] >= 0}
+                    for row in given:
+                        if row["part"] < 0:
+                            n, k = unpacked(row["payload"], np.int32, np.uint8)
+                            low, bit = found[-1 - row["part"]]
+                            bit = bit.copy()
+                            np.bitwise_or.at(bit, n, U(1) << k.astype(U))
+                            found[-1 - row["part"]] = [low, bit]
                     least, bits = np.zeros(len(start), np.int64), np.zeros(len(start), U)
                     for p, at in by_part(part):
                         low, bit = found[p]

@@ -370,6 +370,25 @@ def test_repeated_bytes_of_random_texts(spark, monkeypatch):
     assert got == brute.repeats(rows)
 
 
+def test_repeated_bytes_around_a_hot_anchor(spark, monkeypatch):
+    """One phrase among ever different neighbours: no transform takes more than some of its surroundings."""
+    for name, value in (("HOT", 50), ("PART_BYTES", 20_000)):
+        monkeypatch.setattr(suffixes, name, value)
+    draw = random.Random(8)
+    phrase = "a phrase of the template \x00 that all have"
+    word = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    ends = [word(40) for _ in range(30)]
+    rows = [(draw.randrange(900), word(40) + phrase + (draw.choice(ends) if i % 3 else word(40))) for i in range(600)]
+    rows += [(None, rows[0][1]), (None, rows[1][1][:70]), (5000, rows[2][1] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    hot = suffixes._hot_anchors
+    monkeypatch.setattr(suffixes, "_hot_anchors", lambda df: found.append(hot(df)) or found[-1])
+    got = result(suffixes.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.repeats(rows)
+    assert len(found[0][0]) and found[0][1] > 500
+
+
 def test_transform_gives_common_prefixes():
     draw = random.Random(2)
     for size in (1, 2, 5, 40, 300):
