@@ -19,8 +19,10 @@ from logharrow.llm.quality import (
     BOILERPLATE, BOILERPLATE_WORDS, MAX_LOST, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MAX_WORDS_PER_ENTRY, MIN_WORDS,
     SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules,
 )
+from logharrow.llm.search import Ranking, search
 from logharrow.llm.suffixes import repeated_bytes
 from logharrow.llm.tokens import token_counts
+from logharrow.llm.vector_codes import Lloyd, vector_codes
 from logharrow.llm.warc import page_records, read_warc, write_warc
 from logharrow.session import work_dir
 
@@ -182,3 +184,92 @@ def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Ranking())
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '{_TERM}')"
+
+
+ORACLES["op12_ranked_search"] = f"""
+WITH asked AS MATERIALIZED (
+  SELECT q, item_id, term, count(*) AS k FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest({_terms("text")}) AS term FROM benchmark
+  ) GROUP BY ALL
+), held AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS terms FROM documents
+), sizes AS (
+  SELECT r, doc_id, len(terms) AS n FROM held WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes
+), postings AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM held)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), stretched AS (
+  SELECT r, doc_id, 100 - 25 + (25 * n * docs) // total AS m FROM sizes, totals
+), scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN stretched USING (r) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), Lloyd())
+
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT r, p, min({apart} * {entries} + j) AS best FROM cut JOIN book{i} USING (p) GROUP BY r, p
+)""")
+        if i == rounds:
+            break
+        steps.append(f"""mean{i} AS (
+  SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT p, best % {entries} AS j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT p, best, x, unnest(generate_series(1, len(x))) AS i FROM near{i} JOIN cut USING (r, p)) GROUP BY ALL
+  ) GROUP BY p, j
+), book{i + 1} AS MATERIALIZED (
+  SELECT p, j, coalesce(mean{i}.c, book{i}.c) AS c FROM book{i} LEFT JOIN mean{i} USING (p, j)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x
+  FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)
+), book0 AS (
+  SELECT p, r - 1 AS j, x AS c FROM cut WHERE r <= {entries}
+), {", ".join(steps)}, coded AS (
+  SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+ORACLES["op13_vector_codes"] = _lloyd_sql()
