@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logharrow.llm.bpe import byte_bpe
 from logharrow.llm.common import WORD, table
 from logharrow.llm.exact import DigestIndex
+from logharrow.llm.language import Training, fit_language_model, predict_language
 from logharrow.llm.lines import line_dedup
 from logharrow.llm.mixing import mix_sources
 from logharrow.llm.ngram_join import Jaccard, ngram_components
@@ -186,6 +188,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the documents that are not held out, applied to all."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = fit_language_model(docs.where(~held_out), Training())
+    return predict_language(docs, model).withColumn("held_out", held_out)
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Ranking())
