@@ -61,6 +61,8 @@ class Layout:
         return " ".join(map(str, values.ravel())).encode() if self.wide else values.astype(np.int64).tobytes()
 
     def load(self, data: bytes) -> np.ndarray:
+        if not self.width:
+            return np.zeros((0, 0), self.kind)
         if not self.wide:
             return np.frombuffer(data, np.int64).reshape(-1, self.width)
         flat = [int(x) for x in data.split()]
