@@ -31,6 +31,8 @@ LEXICON_BITS = 16
 SEGMENT = 256
 PIECE_BYTES = 1 << 18
 GROUP_BYTES = 1 << 20
+# Groups in which a language's texts are cut to those of least hash before they meet.
+SALTS = 64
 
 _LETTER = regex.compile(r"\p{L}")
 U = np.uint64
@@ -354,8 +356,11 @@ def fit_language_model(docs: DataFrame, how: Training = Training(), text_col: st
         "lang IS NOT NULL AND text IS NOT NULL"
     )
     marks = labelled.select("lang", F.xxhash64("text").alias("mark")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    marks = settled(marks.withColumn("rank", rank).where(F.col("rank") <= how.per_language).drop("rank"), "marks")
+    # In groups by hash first, so that what meets for a language is bounded whatever the table's size.
+    for group in (["lang", F.pmod("mark", F.lit(SALTS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("mark"))
+        marks = marks.withColumn("rank", rank).where(F.col("rank") <= how.per_language).drop("rank")
+    marks = settled(marks, "marks")
     labels = sorted(r.lang for r in marks.select("lang").distinct().collect())
     if not labels:
         return None
