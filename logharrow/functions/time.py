@@ -46,6 +46,16 @@ def from_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, ntz(datetime(1970, 1, 1)))
 
 
+def micros_of(ts: Column) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ, as BIGINT."""
+    return F.timestamp_diff("MICROSECOND", ntz(datetime(1970, 1, 1)), ts)
+
+
+def micros(moment: datetime) -> int:
+    """The same of a naive datetime."""
+    return (moment - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
 def parse_time(text: Column, layout: str) -> Column:
     """Text with an offset to UTC; NULL when it does not fit the layout."""
     return from_micros(F.unix_micros(F.try_to_timestamp(text, F.lit(layout))))

@@ -34,7 +34,7 @@ class Cursor:
     raw: str | None
 
 
-def _behind(df: DataFrame, cursor: Cursor) -> DataFrame:
+def behind(df: DataFrame, cursor: Cursor) -> DataFrame:
     """Lines after the cursor in the order of a listing: newest first, no time last."""
     ts, received, raw = F.col("ts"), F.col("received_at"), F.col("raw")
 
@@ -57,7 +57,7 @@ def raw_page(df: DataFrame, limit: int, after: Cursor | None = None) -> DataFram
     """
     rows = df.select("ts", "received_at", "raw")
     if after is not None:
-        rows = _behind(rows, after)
+        rows = behind(rows, after)
     page = rows.orderBy(*_newest_first()).limit(limit + 1)
     everything = Window.partitionBy()  # limit + 1 rows
     return (

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from logharrow import registry
 from logharrow.functions.columns import ageing_time
-from logharrow.functions.time import ntz
+from logharrow.functions.time import micros, ntz
 from logharrow.schemas import PARTITIONS
-from logharrow.sources import files, rewrites
-from logharrow.sources.tables import stored_schema, table_path
+from logharrow.sources import commits, leases, rewrites
+from logharrow.sources.tables import read_portions, table_path
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 # A day is worth compacting from this many files more than its bytes need, or with this share
@@ -39,10 +41,6 @@ def survivors(df: DataFrame, retention_days: int, as_of: datetime) -> DataFrame:
     return df.where(F.coalesce(age >= ntz(retention_cutoff(retention_days, as_of)), F.lit(True)))
 
 
-def _days(spark: SparkSession, path: str) -> list[str]:
-    return [d for d in files.list_dirs(spark, path) if d.startswith("event_date=")]
-
-
 def _day_of(folder: str) -> date | None:
     value = folder.split("=", 1)[1]
     try:
@@ -51,60 +49,59 @@ def _day_of(folder: str) -> date | None:
         return None  # rows without any time are never pruned
 
 
-def _read(spark: SparkSession, path: str, folders: list[tuple[str, str]], schema) -> DataFrame:
-    """Rows of the given (day, batch) folders and of no others."""
-    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{d}/{b}" for d, b in folders])
-
-
-def _replace(spark: SparkSession, path: str, old: list[tuple[str, str]], rows: DataFrame) -> None:
-    """Put ``rows`` in the place of the batch folders ``old``; see ``rewrites``."""
-    rewrite = rewrites.begin(spark, path, old)
-    (
-        rows.withColumn(PARTITIONS[1], F.lit(rewrite.batch))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS).parquet(path)
-    )
-    rewrites.commit(spark, path, rewrite)
+def _replace(spark: SparkSession, path: str, old: list[commits.Portion], rows: DataFrame | None) -> bool:
+    """Put ``rows``, if any, in the place of some folders, see ``rewrites``; False if another rewrite was first."""
+    rewrite = rewrites.begin(spark, path, [(p.day, p.batch) for p in old])
+    if rows is not None:
+        (
+            rows.withColumn(PARTITIONS[1], F.lit(rewrite.batch))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PARTITIONS).parquet(path)
+        )
+    try:
+        rewrites.commit(spark, path, rewrite)
+    except commits.Superseded:
+        return False
+    return True
 
 
-def prune_table(spark: SparkSession, root: str, name: str, retention_days: int, as_of: datetime) -> int:
+def prune_table(
+    spark: SparkSession, root: str, name: str, retention_days: int, as_of: datetime, keep_seconds: float = 0.0
+) -> int:
     """Remove rows older than the window from one table; returns how many.
 
-    Days before the cutoff day go as folders; one job counts their rows, from file footers.
-    Of the cutoff day the batches found at the start are rewritten without their old rows;
-    what streams add meanwhile stays, and is pruned by the next run.
+    The log knows the ages in each folder: those that are old as a whole are dropped unread, and
+    those with old and young rows are rewritten without the old ones, all with one commit. What
+    streams add meanwhile stays, and is pruned by the next run. Files go when no pinned reader needs them.
     """
     if retention_days == 0:
         return 0
-    path = table_path(root, name)
-    schema = stored_schema(registry.get(name))
-    cutoff = retention_cutoff(retention_days, as_of)
+    path, cutoff = table_path(root, name), micros(retention_cutoff(retention_days, as_of))
     rewrites.recover(spark, path)
-    dated = [(d, _day_of(d)) for d in _days(spark, path)]
-    gone = [(d, b) for d, day in dated if day and day < cutoff.date() for b in rewrites.batches_of(spark, path, d)]
-    edge = [(d, b) for d, day in dated if day == cutoff.date() for b in rewrites.batches_of(spark, path, d)]
-    removed = _read(spark, path, gone, schema).count() if gone else 0
-    for day in sorted({d for d, _ in gone}):
-        files.remove(spark, f"{path}/{day}")
-    if edge:
-        rows = _read(spark, path, edge, schema)
-        young = survivors(rows, retention_days, as_of)
-        old = rows.count() - young.count()
-        if old:
-            _replace(spark, path, edge, young)
-            removed += old
+    commits.adopt(spark, root, name)
+    removed = 0
+    with commits.pinned(spark, root) as now:
+        old = [p for p in now.of(name) if any(f.oldest is not None and f.oldest < cutoff for f in p.files)]
+        edge = [p for p in old if not all(f.aged == f.rows and f.youngest < cutoff for f in p.files)]
+        young = survivors(read_portions(spark, root, name, edge), retention_days, as_of) if edge else None
+        left = young.count() if edge else 0
+        if old and _replace(spark, path, old, young):
+            removed = sum(p.rows for p in old) - left
+    commits.sweep(spark, root, keep_seconds)
     return removed
 
 
-def _each_table(work) -> dict[str, int]:
-    """``work`` for every registered table, several at a time."""
+def _each_table(spark: SparkSession, root: str, keep_seconds: float, work) -> dict[str, int]:
+    """``work`` for every registered table, several at a time; what one kept from the others' sweeps goes last."""
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        return dict(zip(registry.names(), pool.map(work, registry.names())))
+        done = dict(zip(registry.names(), pool.map(work, registry.names())))
+    commits.sweep(spark, root, keep_seconds)
+    return done
 
 
-def prune(spark: SparkSession, root: str, retention_days: int, as_of: datetime) -> dict[str, int]:
+def prune(spark: SparkSession, root: str, retention_days: int, as_of: datetime, keep_seconds: float = 0.0) -> dict[str, int]:
     """Prune every registered table; rows removed by type."""
-    return _each_table(lambda name: prune_table(spark, root, name, retention_days, as_of))
+    return _each_table(spark, root, keep_seconds, lambda name: prune_table(spark, root, name, retention_days, as_of, keep_seconds))
 
 
 def needs_compaction(sizes: list[int], target: int = TARGET_FILE_BYTES) -> bool:
@@ -117,45 +114,89 @@ def needs_compaction(sizes: list[int], target: int = TARGET_FILE_BYTES) -> bool:
 
 
 def compact_table(
-    spark: SparkSession, root: str, name: str, days: list[date], target: int = TARGET_FILE_BYTES, force: bool = False
+    spark: SparkSession, root: str, name: str, days: list[date], target: int = TARGET_FILE_BYTES, force: bool = False,
+    keep_seconds: float = 0.0,
 ) -> int:
     """Merge the small files of some days of one table, all in one job; returns the days rewritten.
 
     Rows are dealt out by day and range of time, so that each file covers a stretch of time
     and its statistics let reports skip it. Batches that streams add to those days
-    meanwhile are left alone.
+    meanwhile are left alone, and readers that pinned the old files keep them.
     """
     path = table_path(root, name)
     rewrites.recover(spark, path)
-    chosen, old, parts = [], [], 0
-    for day in days:
-        folder = f"event_date={day.isoformat()}"
-        sizes = files.data_files(spark, f"{path}/{folder}")
-        if sizes and (force or needs_compaction(sizes, target)):
-            chosen.append(day)
-            old += [(folder, batch) for batch in rewrites.batches_of(spark, path, folder)]
-            parts += max(1, -(-sum(sizes) // target))
-    if not old:
-        return 0
-    rows = _read(spark, path, old, stored_schema(registry.get(name)))
-    ordered = rows.repartitionByRange(parts, PARTITIONS[0], "ts").sortWithinPartitions(PARTITIONS[0], "ts")
-    _replace(spark, path, old, ordered)
-    return len(chosen)
+    commits.adopt(spark, root, name)
+    done = 0
+    with commits.pinned(spark, root) as now:
+        by_day: dict[date | None, list[commits.Portion]] = {}
+        for portion in now.of(name):
+            by_day.setdefault(_day_of(portion.day), []).append(portion)
+        chosen, old, parts = [], [], 0
+        for day in days:
+            sizes = [f.bytes for p in by_day.get(day, []) for f in p.files]
+            if sizes and (force or needs_compaction(sizes, target)):
+                chosen.append(day)
+                old += by_day[day]
+                parts += max(1, -(-sum(sizes) // target))
+        if old:
+            rows = read_portions(spark, root, name, old)
+            ordered = rows.repartitionByRange(parts, PARTITIONS[0], "ts").sortWithinPartitions(PARTITIONS[0], "ts")
+            done = len(chosen) if _replace(spark, path, old, ordered) else 0
+    commits.sweep(spark, root, keep_seconds)
+    return done
 
 
-def compact(spark: SparkSession, root: str, before: date, target: int = TARGET_FILE_BYTES) -> dict[str, int]:
+def compact(
+    spark: SparkSession, root: str, before: date, target: int = TARGET_FILE_BYTES, keep_seconds: float = 0.0
+) -> dict[str, int]:
     """Compact every day before a date that is worth it, in every table; days rewritten by type."""
 
     def work(name: str) -> int:
-        days = [_day_of(f) for f in _days(spark, table_path(root, name))]
-        return compact_table(spark, root, name, [d for d in days if d and d < before], target)
+        days = {_day_of(p.day) for p in commits.adopt(spark, root, name).of(name)}
+        return compact_table(spark, root, name, sorted(d for d in days if d and d < before), target, keep_seconds=keep_seconds)
+
+    return _each_table(spark, root, keep_seconds, work)
+
 
-    return _each_table(work)
+def run(
+    spark: SparkSession, root: str, retention_days: int, as_of: datetime, target: int = TARGET_FILE_BYTES, keep_seconds: float = 0.0
+) -> dict[str, dict[str, int]]:
+    """The regular maintenance of all tables: prune, then compact the days before today.
+
+    One run at a time works on a root: a second one raises ``leases.Busy`` and changes nothing.
+    """
+    with leases.held(spark, root, "maintenance"):
+        return {
+            "pruned": prune(spark, root, retention_days, as_of, keep_seconds),
+            "compacted": compact(spark, root, as_of.date(), target, keep_seconds),
+        }
 
 
-def run(spark: SparkSession, root: str, retention_days: int, as_of: datetime, target: int = TARGET_FILE_BYTES) -> dict[str, dict[str, int]]:
-    """The regular maintenance of all tables: prune, then compact the days before today."""
-    return {
-        "pruned": prune(spark, root, retention_days, as_of),
-        "compacted": compact(spark, root, as_of.date(), target),
-    }
+def start_regular(
+    spark: SparkSession, root: str, retention_days: int, checkpoint: str, clock=datetime.now, every: str = "1 hour",
+    first_after: str = "60 seconds", keep_seconds: float = 3600.0,
+) -> StreamingQuery:
+    """Maintenance as a stream of ticks: a first run after ``first_after``, then one ``every`` so often.
+
+    A run that finds another at work leaves it to that one. ``clock`` gives the time runs go by, in UTC.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    begun, wait, period = time.monotonic(), _seconds(first_after), _seconds(every)
+    due = [begun + wait]
+
+    def tick(batch: DataFrame, _: int) -> None:
+        if time.monotonic() < due[0]:
+            return
+        due[0] = time.monotonic() + period
+        try:
+            run(batch.sparkSession, root, retention_days, clock(), keep_seconds=keep_seconds)
+        except leases.Busy:
+            return
+
+    pace = f"{max(1, min(int(wait), int(period)) // 2)} seconds"
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=pace).start()
+
+
+def _seconds(text: str) -> float:
+    number, unit = text.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]

@@ -128,6 +128,11 @@ def overview_report(
     With ``root`` the storage the tables occupy is reported too.
     """
     base = overview.overview_base(overview.union_types(tables), as_of).persist()
+    return overview_of(base, sources, root)
+
+
+def overview_of(base: DataFrame, sources: DataFrame, root: str | None = None) -> Report:
+    """The overview from a cached base of counts, see ``overview.overview_base``."""
     by_type = overview.by_type(base)
     by_source = overview.by_source(base, sources)
     by_country = overview.by_country(base)

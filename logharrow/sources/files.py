@@ -6,6 +6,7 @@ creation of one small file, which every store does as a whole.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,15 @@ def data_files(spark: SparkSession, path: str) -> list[int]:
     return sizes
 
 
+def data_file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and sizes of the data files directly under a path."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if not s.isDirectory()]
+    return sorted((name, size) for name, size in found if not name.startswith(("_", ".")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -72,12 +82,35 @@ def write_text(spark: SparkSession, path: str, text: str, replace: bool = True)
         out.close()
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless there is one; whether this call created it. Of several callers one does."""
+    fs, p = _fs(spark, path)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        if fs.getScheme() == "file":  # Hadoop's own check on local disks leaves a gap
+            nio = jvm.java.nio.file
+            options = gateway.new_array(nio.OpenOption, 2)
+            options[0], options[1] = nio.StandardOpenOption.CREATE_NEW, nio.StandardOpenOption.WRITE
+            fs.mkdirs(p.getParent())
+            nio.Files.write(jvm.java.io.File(p.toUri().getPath()).toPath(), bytearray(text.encode()), options)
+        else:
+            write_text(spark, path, text, replace=False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The content of a small file, None if there is none."""
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    source = fs.open(p)
+    try:
+        source = fs.open(p)
+    except Py4JJavaError as error:
+        if "NotFound" in error.java_exception.getClass().getName():
+            return None
+        raise
     try:
         return bytes(source.readAllBytes()).decode()
     finally:

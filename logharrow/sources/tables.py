@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logharrow import registry
 from logharrow.operators.geo import GeoIndex, with_country
 from logharrow.schemas import PARTITIONS, conform, with_event_date
-from logharrow.sources import files, rewrites
+from logharrow.sources import commits, files, rewrites
 
 
 def table_path(root: str, name: str) -> str:
@@ -30,20 +34,35 @@ def init_tables(spark: SparkSession, root: str) -> None:
             spark.createDataFrame([], spec.schema).write.mode("ignore").parquet(path)
 
 
-def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def open_table(spark: SparkSession, root: str, name: str, snapshot: commits.Snapshot | None = None) -> DataFrame:
     """Scan a type's table under the schema declared today.
 
-    Columns added since a file was written read as NULL. Batches that a rewrite is just
-    replacing, or has replaced, are left out; files are listed again if one moved on
-    meanwhile.
+    Columns added since a file was written read as NULL. The files are those of the latest
+    commit, or of a ``snapshot``; no data folder is listed. Within ``commits.pinned`` they
+    stay until the block ends; else a prune or compaction may delete them under a long scan.
     """
     path = table_path(root, name)
-    while True:
-        before = rewrites.state(spark, path)
+    snapshot = snapshot or commits.latest(spark, root)
+    hidden = rewrites.hidden(spark, path, name in snapshot.tables)
+    if name in snapshot.tables:
+        rows = read_portions(spark, root, name, snapshot.of(name))
+    else:  # filled, or created, without a log
         rows = spark.read.schema(stored_schema(registry.get(name))).parquet(path)
-        hidden = rewrites.hidden(spark, path)
-        if rewrites.state(spark, path) == before:
-            return rows if hidden is None else rows.where(~hidden)
+    return rows if hidden is None else rows.where(~hidden)
+
+
+def read_portions(spark: SparkSession, root: str, name: str, portions: list[commits.Portion]) -> DataFrame:
+    """Rows of some folders of a table."""
+    return read_files(spark, root, name, [(p, f) for p in portions for f in p.files])
+
+
+def read_files(spark: SparkSession, root: str, name: str, chosen: list[tuple[commits.Portion, commits.File]]) -> DataFrame:
+    """Rows of some files of a table."""
+    path, schema = table_path(root, name), stored_schema(registry.get(name))
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root.rstrip('/')}/{p.folder}/{f.name}" for p, f in chosen]
+    return spark.read.schema(schema).option("basePath", path).parquet(*paths)
 
 
 def to_events(envelope: DataFrame, name: str, geo: GeoIndex | None) -> DataFrame:
@@ -61,27 +80,86 @@ def append_batch(events: DataFrame, path: str, batch: str | int) -> None:
     """Store one batch. Storing the same batch again replaces it.
 
     ``batch`` names the batch among all that ever go into the table: a stream's batches
-    are named by stream and number, see ``stream_batch``. Each has its own partition,
-    overwritten on a retry, so a batch that was cut short or delivered twice is stored
-    exactly once. Rows are not reshuffled; ``compact`` merges the small files later.
+    are named by stream and number, see ``stream_batch``. Rows are written to folders of
+    their own and show with one commit, which drops what an earlier try committed; so a batch
+    that was cut short or delivered twice is stored exactly once, and readers see the old rows or
+    the new. Rows are not reshuffled; ``compact`` merges the small files later.
+    """
+    spark = events.sparkSession
+    root, name = rewrites.split_path(path)
+    commits.adopt(spark, root, name)
+    with staged(spark, root, batch) as attempt:
+        folders = write_attempt(with_event_date(events), path, attempt)
+        commit_batch(spark, root, batch, commits.counted(spark, root, folders), [name])
+
+
+def batch_of(folder: str) -> str:
+    """The batch a folder belongs to, whichever try wrote it."""
+    return folder.split("=", 1)[1].split(".try-")[0]
+
+
+@contextmanager
+def staged(spark: SparkSession, root: str, batch: str | int) -> Iterator[str]:
+    """A name for this try of a batch, under which nothing was written before.
+
+    A note keeps the name from being used again while the try may have left files.
+    """
+    batch = str(batch)
+    now = commits.latest(spark, root)
+    note = f"{root.rstrip('/')}/{commits.LOG}/tries/{batch}"
+    used = any(batch_of(key[2]) == batch for key in [*now.live, *now.dropped])
+    first = files.create_new(spark, note, "") and not used
+    yield batch if first else f"{batch}.try-{uuid.uuid4().hex[:12]}"
+    files.remove(spark, note)
+
+
+def write_attempt(dated: DataFrame, path: str, attempt: str) -> list[commits.Key]:
+    """Write rows that have an ``event_date`` as one try of a batch; the folders it made.
+
+    Nobody reads them before a commit.
     """
+    spark, seen = dated.sparkSession, Observation()
+    dated = dated.observe(
+        seen, F.min("event_date").alias("low"), F.max("event_date").alias("high"), F.count("*").alias("n"), F.count("event_date").alias("dated")
+    )
     (
-        with_event_date(events)
-        .withColumn("ingest_batch", F.lit(str(batch)))
+        dated.withColumn("ingest_batch", F.lit(attempt))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+    found = seen.get
+    if not found["n"]:
+        return []
+    days = []
+    for day in files.list_dirs(spark, path):
+        value = day.removeprefix("event_date=")
+        if value == day:
+            continue
+        if value == "__HIVE_DEFAULT_PARTITION__":
+            if found["dated"] < found["n"]:
+                days.append(day)
+        elif found["low"] is not None and str(found["low"]) <= value <= str(found["high"]):
+            days.append(day)
+    return rewrites.folders_of(spark, path, attempt, days)
+
+
+def commit_batch(
+    spark: SparkSession, root: str, batch: str | int, portions: list[commits.Portion], names: list[str], streams: dict | None = None
+) -> None:
+    """Make a batch count in all its tables at once, in the place of an earlier try that was committed."""
+    while True:
+        now = commits.latest(spark, root)
+        new = {p.key for p in portions}
+        old = [key for key in now.live if key[0] in names and batch_of(key[2]) == str(batch) and key not in new]
+        try:
+            commits.commit(spark, root, portions, old, tables=names, streams=streams or {})
+            return
+        except commits.Superseded:
+            continue
 
 
 def stream_batch(stream: str, number: int) -> str:
     """The name of a stream's batch. Streams count from 0 each, so the number alone is no name."""
     return f"{stream}-{number}"
-
-
-def forget_batch(spark: SparkSession, path: str, batch: str) -> None:
-    """Remove what a first try of a batch left in a table."""
-    for day in files.list_dirs(spark, path):
-        if day.startswith("event_date="):
-            files.remove(spark, f"{path}/{day}/ingest_batch={batch}")

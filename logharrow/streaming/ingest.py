@@ -13,15 +13,16 @@ from logharrow import registry
 from logharrow.operators.geo import GeoIndex
 from logharrow.operators.lookup import fits
 from logharrow.operators.routing import mark_outcome, minute_stats
-from logharrow.schemas import PARTITIONS
-from logharrow.sources import files
+from logharrow.schemas import with_event_date
+from logharrow.sources import commits, files
 from logharrow.sources.dimensions import unique_sources
 from logharrow.sources.messages import parse_envelope
-from logharrow.sources.tables import append_batch, as_events, forget_batch, stream_batch, table_path
+from logharrow.sources.tables import (
+    as_events, batch_of, commit_batch, staged, stream_batch, table_path, write_attempt,
+)
 
-# Where batches are counted, and where the batch a stream is storing is noted.
+# Where batches are counted.
 STATS = "ingest_stats"
-_TRIED = "_tried"
 
 
 def store_batch(
@@ -34,42 +35,57 @@ def store_batch(
 ) -> None:
     """Route, parse, enrich and store one batch of a stream, and count what became of it.
 
-    Storing a batch again replaces it in every table, also where the sender table was
-    edited between the tries, so a retry neither loses nor doubles rows. Rows are dated by
-    their own time, however old: there is no lateness limit. Each line is parsed once; the
-    counts per minute, those of unknown senders and unparsed lines among them, come from
-    the same parse and are read with ``ingest_stats``.
+    All tables and the counts per minute show the batch with one commit: a crash before it leaves
+    nothing to be seen, and readers never see some of the tables. Storing a batch again replaces it
+    in every table, also where the sender table was edited between the tries, so a retry neither
+    loses nor doubles rows; a batch before the stream's last, or whose rows were pruned or compacted
+    since, is left alone. Rows are
+    dated by their own time, however old: there is no lateness limit. Each line is parsed once; the
+    counts, those of unknown senders and unparsed lines among them, come from the same parse and are
+    read with ``ingest_stats``.
     """
     spark = messages.sparkSession
-    batch, note = stream_batch(stream, number), f"{root}/{_TRIED}/{stream}"
-    if files.read_text(spark, note) == str(number):
-        for name in [*registry.names(), STATS]:
-            forget_batch(spark, table_path(root, name), batch)
-    files.write_text(spark, note, str(number))
+    batch, names = stream_batch(stream, number), [*registry.names(), STATS]
+    if _merged(spark, root, stream, number):
+        return
+    for name in names:
+        commits.adopt(spark, root, name, events=name != STATS)
     sources = unique_sources(sources.where(F.col("log_type").isin(registry.names())))
     routed = mark_outcome(parse_envelope(messages), sources, fits(sources)).persist()
-    held = [routed]
+    held, folders = [routed], []
     try:
-        counts = [_counts(routed.where(F.col("log_type").isNull()).withColumn("parsed", F.lit(False)))]
-        # Only types some sender is configured for; bounded by the registry.
-        for name in sorted(r.log_type for r in sources.select("log_type").distinct().collect()):
-            lines = routed.where(F.col("log_type") == name)
-            parsed = registry.get(name).parse(lines).persist()
-            held.append(parsed)
-            append_batch(as_events(parsed.drop("log_type"), name, geo), table_path(root, name), batch)
-            counts.append(_counts(parsed))
-        stats = minute_totals(reduce(DataFrame.unionByName, counts))
-        dated = stats.withColumns({"event_date": F.to_date("minute"), "ingest_batch": F.lit(batch)})
-        (
-            dated.coalesce(1)  # a row per minute of the batch
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS).parquet(table_path(root, STATS))
-        )
+        with staged(spark, root, batch) as attempt:
+            counts = [_counts(routed.where(F.col("log_type").isNull()).withColumn("parsed", F.lit(False)))]
+            # Only types some sender is configured for; bounded by the registry.
+            for name in sorted(r.log_type for r in sources.select("log_type").distinct().collect()):
+                lines = routed.where(F.col("log_type") == name)
+                parsed = registry.get(name).parse(lines).persist()
+                held.append(parsed)
+                events = as_events(parsed.drop("log_type"), name, geo)
+                folders += write_attempt(with_event_date(events), table_path(root, name), attempt)
+                counts.append(_counts(parsed))
+            stats = minute_totals(reduce(DataFrame.unionByName, counts))
+            dated = stats.withColumn("event_date", F.to_date("minute")).coalesce(1)  # a row per minute of the batch
+            minutes = write_attempt(dated, table_path(root, STATS), attempt)
+            portions = commits.counted(spark, root, folders)
+            rows = sum(p.rows for p in portions)
+            portions += commits.listed(spark, root, minutes)
+            commit_batch(spark, root, batch, portions, names, {stream: [number, rows]})
     finally:
         for frame in held:
             frame.unpersist()
 
 
+def _merged(spark: SparkSession, root: str, stream: str, number: int) -> bool:
+    """Whether a batch was stored and cannot be replaced: one before the stream's last, which no stream
+    tries again, or the last one if its rows have been pruned or merged with others since."""
+    now = commits.latest(spark, root)
+    last, rows = now.streams.get(stream, [-1, 0])
+    batch = stream_batch(stream, number)
+    live = sum(p.rows for p in now.live.values() if p.table != STATS and batch_of(p.batch) == batch)
+    return number < last or number == last and live < rows
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     minute = F.date_trunc("minute", F.col("received_at")).cast("timestamp_ntz")
     return minute_stats(rows.select(minute.alias("received_at"), "log_type", "parsed"))
@@ -81,13 +97,18 @@ def minute_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("minute").agg(*[F.sum(c).alias(c) for c in kinds])
 
 
-def ingest_stats(spark: SparkSession, root: str) -> DataFrame:
+def ingest_stats(spark: SparkSession, root: str, snapshot: commits.Snapshot | None = None) -> DataFrame:
     """Per-minute counts of everything stored under ``root``: a few rows for each batch are read."""
     schema = "minute timestamp_ntz, received long, stored long, unparsed long, unknown_source long"
     path = table_path(root, STATS)
-    if not files.exists(spark, path):
+    snapshot = snapshot or commits.latest(spark, root)
+    if STATS in snapshot.tables:
+        found = [f"{root.rstrip('/')}/{p.folder}/{f.name}" for p in snapshot.of(STATS) for f in p.files]
+    else:  # counted before there was a log
+        found = [path] if files.exists(spark, path) else []
+    if not found:
         return spark.createDataFrame([], schema)
-    return minute_totals(spark.read.schema(schema).parquet(path))
+    return minute_totals(spark.read.schema(schema).option("basePath", path).parquet(*found))
 
 
 def outcomes(

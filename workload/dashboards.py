@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,9 +13,13 @@ from logharrow.filters import Filter
 from logharrow.functions.columns import country_label, fmt_ms, fmt_pct, human_bytes, port_text
 from logharrow.operators import countries, kpis, overview, panels, raw, shares, timeline
 from logharrow.operators.quantile import exact_quantiles
-from logharrow.plans import reports
+from logharrow.plans import maintain, reports, stored
+from logharrow.schemas import conform
+from logharrow.session import work_dir
+from logharrow.sources import commits
+from logharrow.sources.tables import append_batch, stream_batch, table_path
 from workload import derive
-from workload.catalog import query
+from workload.catalog import ORACLES, query
 from workload.derive import AS_OF, NOON, sql
 
 WEB, TRAEFIK, HAPROXY, PANOS = (registry.get(n).report for n in ("apache", "traefik", "haproxy", "panos"))
@@ -631,7 +635,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     events = derive.read(spark, sf_dir, "events")
     tables = {name: derive.derive(events, columns) for name, columns in _TABLES.items()}
-    report = reports.overview_report(tables, derive.sources(spark, sf_dir), NOON)
+    return _long_overview(reports.overview_report(tables, derive.sources(spark, sf_dir), NOON))
+
+
+def _long_overview(report: reports.Report) -> DataFrame:
     return reduce(DataFrame.unionAll, [
         _facts("totals", report["totals"], ["total", "last24", "country_count"]),
         _long("types", report["by_type"], "log_type", "total"),
@@ -646,6 +653,28 @@ def _(spark, sf_dir):
     ])
 
 
+_KEPT_DAYS = 20
+_KEPT = " UNION ALL ".join(
+    f"SELECT '{name}' AS log_type, source_ip, ts, country, country_code FROM ({sql(columns)}) "
+    f"WHERE coalesce(ts, received_at) >= TIMESTAMP '{(NOON - timedelta(days=_KEPT_DAYS)).replace(microsecond=0)}'"
+    for name, columns in _TABLES.items()
+)
+
+
+@query("report_overview_stored", ORACLES["report_overview"].replace(_UNION, _KEPT))
+def _(spark, sf_dir):
+    """The overview of stored tables after two streams, retention and compaction, from the counts of the commits."""
+    root = work_dir(spark, "overview")
+    events = derive.read(spark, sf_dir, "events")
+    for name, columns in _TABLES.items():
+        rows = conform(derive.derive(events, columns), registry.get(name).schema)
+        for stream in range(2):
+            part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(2)) == stream)
+            append_batch(part, table_path(root, name), stream_batch(f"stream{stream}", 0))
+    maintain.run(spark, root, _KEPT_DAYS, NOON)
+    return _long_overview(stored.stored_overview(spark, derive.sources(spark, sf_dir), NOON, commits.latest(spark, root)))
+
+
 @query("filter_edited", f"SELECT event_id FROM ({CLF_SQL}) WHERE {since('30d')} AND method IS NOT NULL AND {COUNTRY} = 'Germany'")
 def _(spark, sf_dir):
     """A filter from text parameters, narrowed by one drill-down and widened by another."""

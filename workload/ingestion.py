@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logharrow import registry
+from logharrow.filters import Filter
 from logharrow.functions.ip import is_valid_ip
 from logharrow.operators import geo, routing
-from logharrow.operators.raw import recent_json
-from logharrow.plans import maintain, reports
+from logharrow.operators.raw import Cursor, recent_json
+from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import conform
-from logharrow.session import work_dir
-from logharrow.sources import dimensions, messages, tables
+from logharrow.session import settled, work_dir
+from logharrow.sources import commits, dimensions, messages, tables
 from logharrow.streaming import ingest, live
 from workload import derive, render
 from workload.catalog import query
@@ -435,15 +436,101 @@ def _(spark, sf_dir):
     "INTERVAL 7 DAY AND action = 'deny'",
 )
 def _(spark, sf_dir):
-    from logharrow.filters import Filter
-
     path = work_dir(spark, "export")
     chosen = Filter(range="7d", action="deny")
     reports.export_report(derive.firewall(spark, sf_dir), chosen, AS_OF, registry.get("panos"), path)
-    # The files by name, one behind the other, give the order of the lines.
-    files = spark.read.option("wholetext", True).text(path).select("_metadata.file_name", "value")
-    lines = files.select("file_name", F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "value")).where("value <> ''")
-    return lines.select(F.row_number().over(Window.orderBy("file_name", "i")).alias("pos"), "value")
+    # The files by name, one behind the other, give the order of the lines; a file is read in order.
+    files = spark.read.text(path)
+    lines = files.select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i"), "value",
+    ).where("value <> ''")
+    lines = settled(lines, "export-lines")
+    own = Window.partitionBy("file").orderBy("block", "i")
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))  # a row for each file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", before.alias("before"))
+    return lines.join(F.broadcast(starts), "file").select((F.col("before") + F.row_number().over(own)).cast("int").alias("pos"), "value")
+
+
+# --- what the log of commits is for -----------------------------------------------
+
+@query("snapshot_read", by_day_sql(CLF_SQL))
+def _(spark, sf_dir):
+    """A scan begun before retention and compaction ends with the old rows, though they are gone for others."""
+    root = _store(spark, sf_dir, "snapshot", 12)
+    with commits.pinned(spark, root) as then:
+        held = tables.open_table(spark, root, "apache", then)
+        maintain.run(spark, root, 12, _PRUNE_AS_OF)
+        if tables.open_table(spark, root, "apache").count() >= held.count():
+            raise AssertionError("nothing was pruned")
+        return settled(_by_day(held), "held")
+
+
+@query("snapshot_after", _both_sql(f"coalesce(ts, received_at) >= {_CUTOFF}"))
+def _(spark, sf_dir):
+    """The same tables for who looks later, once the pin is gone and the old files are deleted."""
+    root = _store(spark, sf_dir, "snapshot", 12)
+    with commits.pinned(spark, root):
+        maintain.run(spark, root, 12, _PRUNE_AS_OF)
+    commits.sweep(spark, root)
+    if commits.latest(spark, root).dropped:
+        raise AssertionError("dropped files are still there")
+    return _both_by_day(spark, root)
+
+
+@query("batch_atomic", f"""SELECT s.log_type, count(*) AS n FROM (SELECT {derive.ENVELOPE['source_ip']} AS source_ip FROM events
+    WHERE value >= 1 AND event_id % 2 = 0) e JOIN ({SOURCES_SQL}) s ON e.source_ip = s.ip GROUP BY 1""")
+def _(spark, sf_dir):
+    """Two batches of all types; the second one dies while its third table is written, and shows nowhere."""
+    root = work_dir(spark, "atomic")
+    tables.init_tables(spark, root)
+    events, sources = derive.read(spark, sf_dir, "events"), derive.sources(spark, sf_dir)
+    ingest.store_batch(render.messages(events.where("event_id % 2 = 0")), 0, root, sources, None, "atomic")
+    real, left = ingest.write_attempt, [3]
+
+    def dying(*args):
+        left[0] -= 1
+        if not left[0]:
+            raise OSError("the driver died")
+        return real(*args)
+
+    ingest.write_attempt = dying
+    try:
+        ingest.store_batch(render.messages(events.where("event_id % 2 = 1")), 1, root, sources, None, "atomic")
+    except OSError:
+        pass
+    finally:
+        ingest.write_attempt = real
+    counts = reduce(DataFrame.unionAll, [
+        tables.open_table(spark, root, name).groupBy(F.lit(name).alias("log_type")).agg(F.count("*").alias("n"))
+        for name in registry.names()
+    ])
+    return counts.where("n > 0")
+
+
+_PAGE = f"""SELECT CAST(row_number() OVER (ORDER BY ts DESC, received_at DESC, raw) AS INTEGER) AS pos, CAST(ts AS VARCHAR) AS ts, raw AS line
+    FROM ({FIREWALL_SQL}) WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND action = 'deny'"""
+
+
+@query("stored_page", f"SELECT * FROM ({_PAGE}) WHERE pos <= 120")
+def _(spark, sf_dir):
+    """Two pages, one behind the other, each from the newest files that can hold it."""
+    root = _store(spark, sf_dir, "page", 12)
+    maintain.compact(spark, root, AS_OF.date() + timedelta(days=1), target=1 << 16)
+    now, chosen = commits.latest(spark, root), Filter(range="7d", action="deny", limit=60)
+    first = stored.stored_page(spark, "panos", chosen, AS_OF, now)
+    last = first.where("pos = 60").select("key.*").first()
+    more = stored.stored_page(spark, "panos", chosen, AS_OF, now, after=Cursor(**last.asDict())) if last else first.limit(0)
+    return first.select("pos", "ts", "line").union(more.select(F.col("pos") + 60, "ts", "line"))
+
+
+@query("stored_recent", f"""SELECT source_ip, remote_host, CAST(received_at AS VARCHAR) AS received_at, path, status, bytes
+    FROM ({CLF_SQL}) ORDER BY received_at DESC, raw LIMIT 50""")
+def _(spark, sf_dir):
+    root = _store(spark, sf_dir, "recent", 12)
+    rows = stored.stored_recent(spark, "apache", commits.latest(spark, root))
+    return rows.select("source_ip", "remote_host", "received_at", "path", "status", "bytes")
 
 
 # --- streams --------------------------------------------------------------------
@@ -548,14 +635,15 @@ def _(spark, sf_dir):
     return geo.with_country(events, "a", index).select("event_id", "country_code")
 
 
-@query("edits_between_batches", f"""SELECT log_type, count(*) AS n FROM (
-    SELECT CASE WHEN event_id % 2 = 0 THEN 'apache' ELSE 'nginx' END AS log_type FROM events WHERE user_id % 7 = 0 AND value >= 1
-    AND {derive.ENVELOPE['source_ip']} IN (SELECT ip FROM ({SOURCES_SQL}))) GROUP BY 1""")
+# Every message is routed and parsed; the lines of senders 0 and 4 of each seven are in the format of both types.
+@query("edits_between_batches", f"""SELECT log_type, count(*) FILTER (WHERE value >= 1 AND user_id % 7 IN (0, 4)) AS n FROM (
+    SELECT CASE WHEN event_id % 2 = 0 THEN 'apache' ELSE 'nginx' END AS log_type, value, user_id FROM events
+    WHERE {derive.ENVELOPE['source_ip']} IN (SELECT ip FROM ({SOURCES_SQL}))) GROUP BY 1""")
 def _(spark, sf_dir):
-    """A sender table edited between two batches: each batch goes by the table of its time."""
+    """A sender table edited between two batches of all messages: each batch goes by the table of its time."""
     root = work_dir(spark, "edits")
     tables.init_tables(spark, root)
-    events = derive.read(spark, sf_dir, "events").where("user_id % 7 = 0")
+    events = derive.read(spark, sf_dir, "events")
     sources = derive.sources(spark, sf_dir)
     for number, log_type in enumerate(("apache", "nginx")):
         edited = sources.withColumn("log_type", F.lit(log_type))
