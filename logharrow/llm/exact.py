@@ -60,12 +60,12 @@ class DigestIndex:
             "digests",
         )
         groups = rows.groupBy("digest").agg(
-            F.max(F.struct("n_chars", (-F.col("id")).alias("minus_id"))).alias("best"),
+            F.max(F.struct("n_chars", F.bitwise_not("id").alias("reversed"))).alias("best"),
             F.count("*").alias("group_size"),
         )
         fresh = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         (
-            fresh.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size", F.lit(load).alias("load"))
+            fresh.select("digest", F.bitwise_not("best.reversed").alias("keep_id"), "group_size", F.lit(load).alias("load"))
             .repartition(self.buckets, "digest")
             .write.insertInto(self.name)
         )
