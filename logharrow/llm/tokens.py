@@ -10,19 +10,17 @@ from functools import lru_cache
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logharrow.llm.common import id_and_text, map_texts
-from logharrow.session import settled
 
 # The sign that stands for a space inside pieces.
 SPACE = "▁"
 # Pre-tokens in the broadcast table, and the longest of them in characters: at most 10 MB.
 TABLE_SIZE = 32_768
 TABLE_LENGTH = 64
-# Pre-tokens a task counts at once while it looks for frequent ones, and what it keeps of them.
-COUNTED = 200_000
+# Documents of the sample frequent pre-tokens are chosen from, and how many of each count.
+SAMPLED = 4_000
+PER_DOCUMENT = 512
 # Lengths of rarer pre-tokens kept by a worker.
 CACHED = 400_000
 # A pre-token behind a run of spaces, or a run of spaces at the end.
@@ -70,34 +68,31 @@ class Lengths(dict):
         return n
 
 
-def frequent_pre_tokens(docs: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
-    """The most frequent pre-tokens of all documents (id, text), by counts kept in each task.
+def frequent_pre_tokens(docs: DataFrame, size: int = TABLE_SIZE, sampled: int = SAMPLED) -> list[str]:
+    """The most frequent pre-tokens of a sample of about ``sampled`` documents (id, text).
 
-    A task counts in bounded memory: when its counter is full, the rarer half goes. Only
-    the best ``size`` of each task leave it, so what is shuffled does not depend on how many
-    distinct pre-tokens there are. The choice affects speed alone, never a count of tokens.
+    The choice affects speed alone, never a count of tokens, so it is made on a bounded sample
+    and no pre-token is shuffled: a task counts its documents of the sample, of each the
+    PER_DOCUMENT most frequent pre-tokens, and the driver adds the counts up.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
-                seen.update(p for p in pre_tokens(value.as_py()) if len(p) <= TABLE_LENGTH)
-                if len(seen) > COUNTED:
-                    seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        best = seen.most_common(size)
+                own = Counter(p for p in pre_tokens(value.as_py()) if len(p) <= TABLE_LENGTH)
+                seen.update(dict(own.most_common(PER_DOCUMENT)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())],
-            names=["part", "n"],
+            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["part", "n"]
         )
 
-    counts = docs.select("text").mapInArrow(count, "part string, n long")
-    totals = settled(counts.groupBy("part").agg(F.sum("n").alias("n")), "pre-tokens")
-    # The lowest count for which there are no more than ``size``; ties at the edge stay out.
-    rows = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    kinds = totals.groupBy("n").agg(F.count("*").alias("m")).withColumn("rank", F.sum("m").over(rows))
-    lowest = kinds.where(F.col("rank") <= size).agg(F.min("n")).first()[0]
-    return totals.where(F.col("n") >= lowest) if lowest is not None else totals.limit(0)
+    rows = docs.count()
+    chosen = docs if rows <= sampled else docs.sample(sampled / rows, seed=1)
+    counts = chosen.select("text").mapInArrow(count, "part string, n long").toArrow()
+    total: Counter = Counter()
+    for part, n in zip(counts["part"].to_pylist(), counts["n"].to_pylist()):
+        total[part] += n
+    return [part for part, _ in total.most_common(size)]
 
 
 def token_counts(
@@ -113,7 +108,7 @@ def token_counts(
     sp, cut = model(model_path)
     table: dict[str, int] = {}
     if cut:
-        words = [row.part for row in frequent_pre_tokens(source).collect()]  # TABLE_SIZE at most
+        words = frequent_pre_tokens(source)  # TABLE_SIZE at most
         known = Lengths({}, sp)
         table = {word: known[word] for word in words}
     shared = source.sparkSession.sparkContext.broadcast(table)
