@@ -182,9 +182,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    # The number is compared outside the join's keys: both sides are then dealt out as numbered.
+    # The number is a key too: rows that share the rest meet one to one, however many they are.
     taken = numbered(keyed(taken, F.col("size"), F.col("copies").alias("_copies")), F.desc("_copies"))
     rows = numbered(keyed(docs, size, F.struct(*docs.columns).alias("_row")), F.xxhash64(F.col("_row")[text_col]))
-    taken = taken.where("_copies > 0").withColumnRenamed("_n", "_m")
-    both = rows.join(taken, keys).where(F.col("_n") - F.col("_m") == 0)
+    both = rows.join(taken.where("_copies > 0"), [*keys, "_n"])
     return both.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
