@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Bytes of an archive that one task owns, and what it reads at a time.
 SPLIT_BYTES = 16 << 20
 CHUNK = 1 << 16
+# Tasks that read at most; with more ranges each reads several.
+MOST_TASKS = 20_000
 # Equal payloads of at least so many bytes are stored once.
 MIN_REVISIT = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -85,8 +87,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", text_col:
 
     A task sorts its pages, writes under a name of its attempt and moves the file to its final
     name, so that a repeated or doubled task leaves one whole file. NULL payloads are empty;
-    the same id twice with equal payloads gives two responses.
+    the same id twice with equal payloads gives two responses; no pages give an empty folder.
     """
+    store, root = open_store(folder)
+    store.create_dir(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -96,14 +100,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", text_col:
         for batch in batches:
             for row in zip(*(column for column in batch.columns)):
                 if out is None:
-                    store.create_dir(root)
                     out = store.open_output_stream(draft, compression=None)
                 page, url, payload, digest, refers = (v.as_py() for v in row)
                 out.write(record(page, f"{name}/{n}", url, payload, digest, refers, date))
                 n += 1
         if out is not None:
             out.close()
-            store.move(draft, f"{root}/{name}.warc.gz")
+            try:
+                store.move(draft, f"{root}/{name}.warc.gz")
+            except OSError:
+                # Some stores do not move onto a file: an earlier try of this task, with the same rows, got so far.
+                if store.get_file_info(f"{root}/{name}.warc.gz").type != fs.FileType.File:
+                    raise
+                store.delete_file(draft)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     ready = with_revisits(pages, id_col, text_col).sortWithinPartitions("id", "digest", "url")
@@ -144,15 +153,25 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return fields, rest[:-4]
 
 
-def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records that start in [start, end), read to their ends.
+def _decoded(source, at: int, size: int) -> tuple[int, tuple[dict[str, str], bytes] | None]:
+    """The end of the whole record at a place and what it says, or (0, None)."""
+    member = Member(source, at, size)
+    got = parsed(member.data) if member.end else None
+    return (member.end, got) if got else (0, None)
+
+
+def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """Records that start in [start, end), read to their ends: (place, length, fields, block).
 
     The first is searched by the gzip magic; a place counts if it decodes to a whole record
     with a good check sum that the file's end or another member follows. From there on
-    each record starts where the one before ended; if nothing is there the search goes on.
+    each record starts where the one before ended. Where none is, bytes are damaged: that is
+    told with fields None and the length up to the next record, and the search goes on. The record
+    behind the range is decoded too, as only who read the one before knows where it must be; if
+    damaged bytes follow it, it is told here.
     """
-    at, sure = start, start == 0
-    while at < end:
+    at, sure, lost = start, start == 0, None
+    while at < end or sure and at < size:
         if not sure:
             found = -1
             while at < end and found < 0:
@@ -162,24 +181,44 @@ def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, dict
                     at += max(len(chunk) - len(MAGIC) + 1, 1)
             at += max(found, 0)
             if found < 0 or at >= end:
-                return
-        member = Member(source, at, size)
-        got = parsed(member.data) if member.end else None
-        if got and (sure or member.end == size or source.read_at(3, member.end) == MAGIC):
-            yield at, *got
-            at, sure = member.end, True
+                break
+        stop, got = _decoded(source, at, size)
+        followed = bool(got) and (stop == size or source.read_at(3, stop) == MAGIC)
+        if sure and at >= end:
+            if not got:
+                lost = at
+            elif not followed:
+                # The range's own reader, put down there, could not tell it from a record within a payload.
+                yield at, stop - at, *got
+                lost = stop
+            break
+        if got and (sure or followed):
+            if lost is not None:
+                yield lost, at - lost, None, b""
+                lost = None
+            yield at, stop - at, *got
+            at, sure = stop, True
         else:
-            at, sure = at + (0 if sure else 1), False
-
-
-def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives in a folder; a task reads one range of bytes.
-
-    Files are listed by Spark and cut into ranges of ``split_bytes``; every record
-    belongs to the range it starts in, so each is read once whatever the cuts. Payload digest
-    and length are computed for responses and taken from the headers for revisits; a
-    response whose payload is not what its header says raises an error.
+            if sure:
+                lost = at
+            at, sure = at + 1, False
+    if lost is not None:
+        yield lost, max(end, lost + 1) - lost, None, b""
+
+
+def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, damaged: str = "raise") -> DataFrame:
+    """All records of the archives in a folder; a task reads one range of bytes, or a few.
+
+    Files are listed by Spark and cut into ranges of ``split_bytes``, dealt out evenly over as
+    many tasks, up to MOST_TASKS; every record belongs to the range it starts in, so each is read
+    once whatever the cuts. Payload digest and length are computed for responses and taken from the
+    headers for revisits; a response whose payload is not what its header says raises an error.
+    Bytes that are no whole record, a cut-off last one among them, raise an error too, or with
+    ``damaged="report"`` give a row of record_type ``damaged`` with their place and, as payload_bytes, how
+    many were passed over in its range. A folder without archives gives no rows.
     """
+    if damaged not in ("raise", "report"):
+        raise ValueError(f"damaged must be raise or report, not {damaged}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     ranges = files.where("length > 0").select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start")
@@ -191,8 +230,10 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES)
                 store, name = open_store(path)
                 with store.open_input_file(name) as source:
                     rows, held = [], 0
-                    for at, fields, block in members(source, start, min(start + split_bytes, size), size):
-                        rows.append(row_of(path, at, fields, block))
+                    for at, length, fields, block in members(source, start, min(start + split_bytes, size), size):
+                        if fields is None and damaged == "raise":
+                            raise ValueError(f"no whole record at {at} of {path}")
+                        rows.append(damage_row(path, at, length) if fields is None else row_of(path, at, fields, block))
                         held += len(block)
                         if held > split_bytes:
                             yield as_batch(rows)
@@ -200,7 +241,16 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES)
                     yield as_batch(rows)
 
     schema = spark.createDataFrame([], RECORD).schema
-    return ranges.repartition("path", "start").mapInArrow(read, schema)
+    # A number of its own, which adaptive execution leaves alone: a range is a few bytes here, but much to read.
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks).mapInArrow(read, schema)
+
+
+def damage_row(path: str, at: int, length: int) -> dict:
+    return {
+        "record_id": None, "record_type": "damaged", "target_uri": None, "refers_to_id": None, "payload_digest": None,
+        "payload_bytes": length, "payload": None, "file": path, "position": at,
+    }
 
 
 def row_of(path: str, at: int, fields: dict[str, str], block: bytes) -> dict:
