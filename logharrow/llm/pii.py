@@ -209,9 +209,10 @@ class Training:
     is fitted. Those that meet a valid base span of their kind are true, forms known to be
     wrong are false. Plausible ones are not known to be either: they only show what is not
     like base spans, with ``weight`` of a known one, and count for no threshold.
-    Thresholds come from the scores of all known candidates of the table: a kind's is the
+    Thresholds come from the scores of all known candidates of the table: a kind's own is the
     lowest from which ``precision`` is reached, but not below what the share ``reach`` of
-    its true ones has; with fewer than ``least`` true ones it is ``rare``.
+    its true ones has. It is drawn towards ``rare`` as if by ``least`` more true ones, by the same
+    formula however many there are, so it moves little by little as a table grows.
     """
 
     rows: int = 20_000
@@ -284,26 +285,22 @@ def train(found: DataFrame, how: Training) -> Trees | None:
     counts = known.groupBy("kind", "level").agg(F.sum("known").alias("true"), F.count("*").alias("all")).collect()
     for kind in range(len(KINDS)):
         levels = sorted(((r.level, r.true, r["all"]) for r in counts if r.kind == kind), reverse=True)
-        threshold = precise_level(levels, how)
-        if threshold is not None:
-            trees.thresholds[kind] = threshold
+        trees.thresholds[kind] = precise_level(levels, how)
     return trees
 
 
-def precise_level(levels: list[tuple[int, float, int]], how: Training) -> int | None:
+def precise_level(levels: list[tuple[int, float, int]], how: Training) -> int:
     """The threshold of a kind from its levels, highest first, with true and all known ones at each."""
     total = sum(n for _, n, _ in levels)
-    if total < how.least:
-        return int(how.rare * LEVELS)
     true = every = 0.0
-    found = reached = None
+    found = reached = LEVELS
     for level, n, known in levels:
         true, every = true + n, every + known
-        if true >= how.least and true >= how.precision * every:
+        if true >= how.precision * every:
             found = level
-        if reached is None and true >= how.reach * total:
+        if reached == LEVELS and true >= how.reach * total:
             reached = level
-    return None if found is None else max(found, reached)
+    return round((total * max(found, reached) + how.least * how.rare * LEVELS) / (total + how.least))
 
 
 def added_spans(cands: Column, base: Column, trees: Trees) -> Column:
