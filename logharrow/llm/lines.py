@@ -28,6 +28,8 @@ from logharrow.session import settled
 
 U = np.uint64
 SEGMENTS = 4
+# Characters from which a line is compared within one edit, in production.
+NEAR_FROM = 10
 # Characters hashed at once; a longer line is hashed alone.
 GROUP_CHARS = 1 << 19
 BLANKS = " \t\n\x0b\x0c\r"
@@ -136,14 +138,17 @@ def _identities(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "h1 long, h2 long, o long, rid long, line long")
 
 
-def _coarse_keys(blocks: DataFrame) -> DataFrame:
-    """A key per line and segment; ``tag`` is the line's identity with the key's number in its last bits."""
+def _coarse_keys(blocks: DataFrame, near_from: int) -> DataFrame:
+    """A key per segment of lines of ``near_from`` characters or more; ``tag`` is the line's identity with the key's number in its last bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 for rows in _groups(_lines(batch, i)):
-                    hashes = Hashes(list({row[3]: None for row in rows}))
+                    distinct = [line for line in {row[3]: None for row in rows} if len(line) >= near_from]
+                    if not distinct:
+                        continue
+                    hashes = Hashes(distinct)
                     line = hashes.whole() & ~U(2 * SEGMENTS - 1)
                     keys, tags = [], []
                     for number, has, key in hashes.coarse():
@@ -270,9 +275,15 @@ def _verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.repartition("to", "at").sortWithinPartitions("to", "at").mapInArrow(compare, "rid long, line long")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, near_from: int = 1
+) -> DataFrame:
     """Removes every line equal to, or within one edit of, a line before it.
 
+    The bound goes by length: lines of fewer than ``near_from`` characters (production: NEAR_FROM), for which one
+    edit may be all the difference there is, as in years or headings, go for equal lines alone and
+    make only equal lines go.
+
     Lines are what newlines separate; lines without a word stay and count for nothing. Order
     is by id (NULL last), then row and line; an edit inserts, deletes or changes one code point.
     A line goes also if the line before it that it resembles goes itself. Returns ``id_col``,
@@ -284,7 +295,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = _identities(blocks).groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"))
     firsts = settled(firsts.select("h1", "first.*"), "lines")
     tag = F.col("tag")
-    met = _met(_coarse_keys(blocks)).groupBy((tag - F.pmod(tag, F.lit(2 * SEGMENTS))).alias("name")).agg(
+    met = _met(_coarse_keys(blocks, near_from)).groupBy((tag - F.pmod(tag, F.lit(2 * SEGMENTS))).alias("name")).agg(
         F.collect_list(F.pmod(tag, F.lit(2 * SEGMENTS))).alias("numbers")
     )
     name = F.col("h1") - F.pmod("h1", F.lit(2 * SEGMENTS))

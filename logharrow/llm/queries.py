@@ -13,7 +13,7 @@ from logharrow.llm.bpe import byte_bpe
 from logharrow.llm.common import WORD, table
 from logharrow.llm.exact import DigestIndex
 from logharrow.llm.language import Training, fit_language_model, predict_language
-from logharrow.llm.lines import line_dedup
+from logharrow.llm.lines import NEAR_FROM, line_dedup
 from logharrow.llm.mixing import mix_sources
 from logharrow.llm.ngram_join import Jaccard, ngram_components
 from logharrow.llm.pii import personal_data
@@ -185,7 +185,7 @@ def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return line_dedup(table(spark, sf_dir, "documents"), with_text=False, near_from=NEAR_FROM)
 
 
 @query
