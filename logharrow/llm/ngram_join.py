@@ -17,20 +17,21 @@ connects different groups is missed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logharrow.llm.blocks import PLACE_BITS, block_table, rids, unpack
 from logharrow.llm.components import components
 from logharrow.llm.hashing import _STEP, mix, shingle_sets
-from logharrow.operators.lookup import fits
+from logharrow.operators.lookup import lookup_join
 from logharrow.session import settled
 
 U = np.uint64
@@ -74,61 +75,85 @@ def ngram_components(
     NULL id is an id like others for links but never the smallest unless alone. Columns other
     than the two named are not read.
     """
-    blocks = block_table(docs, id_col, text_col)
+    rows, lone = _labelled(block_table(docs, id_col, text_col), rule)
+    smallest = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    found = _looked_up(rows, smallest).select("id", "n", "component_id")
+    lone = lone.select("id", "n", F.col("id").alias("component_id"))
+    return found.union(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(blocks: DataFrame, rule: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """Rows with words and their group's ``label`` as text, and rows without; both (id, rid, mark, n)."""
     stats = settled(_stats(blocks, rule), "sets")
     worded = stats.where("n > 0")
     classes = worded.groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
     classes = settled(classes, "classes")
     links = linked_classes(blocks, classes, rule)
     labelled = classes.join(links.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "d1", "d2", F.coalesce("label", "rid").alias("label")
+        "d1", "d2", F.coalesce("label", "rid").cast("string").alias("label")
     )
-    rows = worded.join(labelled, ["d1", "d2"]).select("id", "n", "label")
-    smallest = rows.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = rows.join(smallest, "label").select("id", "n", "component_id")
-    lone = stats.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.union(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    # Equal sets of very many documents are one hot key: looked up, not gathered.
+    key = F.concat_ws("/", "d1", "d2").alias("key")
+    rows = lookup_join(worded.select("id", "rid", "mark", "n", key), labelled.select(key, "label"), "key").drop("key")
+    return settled(rows, "labelled"), stats.where("n = 0").select("id", "rid", "mark", "n")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with what a table says of their label, hot labels spread over all tasks."""
+    return lookup_join(rows, settled(table, "by-label"), "label")
 
 
 def group_leaders(
     docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id, with all its columns.
+    """One row of each group of linked documents, with all its columns: that of the smallest id.
 
-    Rows that share an id stay or go together: they stay if one of them leads a group.
-    Only the ids that go are looked up by the documents.
+    NULL ids come last; of rows that share the smallest id, that of the least digest of its text leads,
+    and of rows that share both one stays. Rows without words are linked with nothing and all stay. Only
+    rows that go, and leading ones that are repeated, are looked up by the documents.
     """
-    groups = ngram_components(docs, rule, id_col, text_col).select(F.col(id_col).alias("_gone"), "component_id")
-    groups = settled(groups.select("_gone", F.col("_gone").eqNullSafe(F.col("component_id")).alias("leads")), "groups")
-    gone = groups.groupBy("_gone").agg(F.bool_or("leads").alias("leads")).where("not leads").select("_gone")
-    gone = settled(gone, "gone")
-    if fits(gone):  # counted; beyond that both sides are shuffled
-        gone = F.broadcast(gone)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))
-    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    rows, _ = _labelled(block_table(docs, id_col, text_col), rule)
+    place = F.struct(F.col("id").isNull(), "id", "mark")
+    leads = rows.groupBy("label").agg(F.min(place).alias("first"))
+    by_row = _looked_up(rows, leads).select(_mark_key(F.col("id"), F.col("mark")).alias("_key"), (place == F.col("first")).alias("leads"))
+    # Rows of one key have one text, so they are of one group and lead, or go, together.
+    verdicts = by_row.groupBy("_key").agg(F.bool_or("leads").alias("_leads"), F.count("*").alias("_n"))
+    verdicts = settled(verdicts.where("not _leads OR _n > 1").select("_key", "_leads"), "gone")
+    key = _mark_key(F.col(id_col).cast("long"), F.md5(F.coalesce(text_col, F.lit(""))))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    judged = lookup_join(own, verdicts, "_key")
+    once = judged.where("_leads").groupBy("_key").agg(F.first("_row").alias("_row"))
+    return judged.where("_leads IS NULL").select("_row").unionByName(once.select("_row")).select("_row.*")
+
+
+def _mark_key(key: Column, mark: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), mark)
 
 
 def _stats(blocks: DataFrame, rule: Jaccard) -> DataFrame:
-    """Per document: its row number, set size and a 128-bit digest of the set."""
+    """Per document: its row number, a mark of its text, set size and a 128-bit digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, sizes, payload in zip(*(batch.column(i) for i in range(4))):
-                sets = shingle_sets(unpack(payload.as_py()), sizes.as_py(), rule.n)
+                data, ends = unpack(payload.as_py()), np.cumsum(sizes.as_py())
+                marks = [hashlib.md5(data[e - s : e], usedforsecurity=False).hexdigest() for e, s in zip(ends, sizes.as_py())]
+                sets = shingle_sets(data, sizes.as_py(), rule.n)
                 first = [int(s.sum(dtype=np.uint64)) for s in sets]
                 second = [int(mix(s ^ _STEP[70]).sum(dtype=np.uint64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.values,
                         pa.array(rids(block.as_py(), len(sets))),
+                        pa.array(marks, pa.string()),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(np.array(first, np.uint64).view(np.int64)),
                         pa.array(np.array(second, np.uint64).view(np.int64)),
                     ],
-                    names=["id", "rid", "n", "d1", "d2"],
+                    names=["id", "rid", "mark", "n", "d1", "d2"],
                 )
 
-    return blocks.mapInArrow(run, "id long, rid long, n long, d1 long, d2 long")
+    return blocks.mapInArrow(run, "id long, rid long, mark string, n long, d1 long, d2 long")
 
 
 def _with_rows(blocks: DataFrame, rows: DataFrame) -> DataFrame:
