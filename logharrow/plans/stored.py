@@ -14,7 +14,7 @@ from logharrow.functions.columns import country_code, country_label
 from logharrow.functions.time import cutoff, from_micros, micros, micros_of
 from logharrow.operators import overview, raw
 from logharrow.plans import reports
-from logharrow.sources import commits, files
+from logharrow.sources import commits, files, textindex
 from logharrow.sources.tables import open_table, read_files, table_path
 
 Files = list[tuple[commits.Portion, commits.File]]
@@ -26,9 +26,16 @@ def files_in_range(snapshot: commits.Snapshot, name: str, flt: Filter, as_of: da
     return [(p, f) for p in snapshot.of(name) for f in p.files if f.high is not None and f.high >= oldest]
 
 
+def files_for(spark: SparkSession, snapshot: commits.Snapshot, name: str, flt: Filter, as_of: datetime) -> Files:
+    """The files that can hold rows under a filter: by its range, and by the trigrams of its search."""
+    flt = flt.normalised()
+    found = files_in_range(snapshot, name, flt, as_of)
+    return found if flt.q is None else textindex.may_hold(spark, snapshot.root, name, flt.q, found)
+
+
 def rows_in_range(spark: SparkSession, name: str, flt: Filter, as_of: datetime, snapshot: commits.Snapshot, status_mode: str = "rounded") -> DataFrame:
-    """Rows under a filter; files outside its range are not even opened."""
-    rows = read_files(spark, snapshot.root, name, files_in_range(snapshot, name, flt, as_of))
+    """Rows under a filter; files that can hold none are not even opened."""
+    rows = read_files(spark, snapshot.root, name, files_for(spark, snapshot, name, flt, as_of))
     return flt.apply(rows, registry.get(name).report, as_of, status_mode)
 
 
@@ -65,7 +72,7 @@ def stored_page(
 ) -> DataFrame:
     """``reports.raw_report`` of a stored table, from the newest files that hold the page."""
     flt, spec = flt.normalised(), registry.get(name).report
-    files = files_in_range(snapshot, name, flt, as_of)
+    files = files_for(spark, snapshot, name, flt, as_of)
     if after is not None and after.ts is not None:  # nothing behind the cursor lies in newer files
         files = [(p, f) for p, f in files if f.low <= micros(after.ts)]
 

@@ -90,7 +90,7 @@ def append_batch(events: DataFrame, path: str, batch: str | int) -> None:
     commits.adopt(spark, root, name)
     with staged(spark, root, batch) as attempt:
         folders = write_attempt(with_event_date(events), path, attempt)
-        commit_batch(spark, root, batch, commits.counted(spark, root, folders), [name])
+        commit_batch(spark, root, batch, rewrites.described(spark, root, folders), [name])
 
 
 def batch_of(folder: str) -> str:

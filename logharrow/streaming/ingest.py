@@ -17,6 +17,7 @@ from logharrow.schemas import with_event_date
 from logharrow.sources import commits, files
 from logharrow.sources.dimensions import unique_sources
 from logharrow.sources.messages import parse_envelope
+from logharrow.sources.rewrites import described
 from logharrow.sources.tables import (
     as_events, batch_of, commit_batch, staged, stream_batch, table_path, write_attempt,
 )
@@ -67,7 +68,7 @@ def store_batch(
             stats = minute_totals(reduce(DataFrame.unionByName, counts))
             dated = stats.withColumn("event_date", F.to_date("minute")).coalesce(1)  # a row per minute of the batch
             minutes = write_attempt(dated, table_path(root, STATS), attempt)
-            portions = commits.counted(spark, root, folders)
+            portions = described(spark, root, folders)
             rows = sum(p.rows for p in portions)
             portions += commits.listed(spark, root, minutes)
             commit_batch(spark, root, batch, portions, names, {stream: [number, rows]})

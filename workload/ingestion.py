@@ -533,6 +533,28 @@ def _(spark, sf_dir):
     return rows.select("source_ip", "remote_host", "received_at", "path", "status", "bytes")
 
 
+def _found_sql(text: str) -> str:
+    from workload.dashboards import PANOS
+
+    any_of = " OR ".join(f"CAST({c} AS VARCHAR) ILIKE '%{text}%'" for c in PANOS.search)
+    return f"SELECT '{text}' AS q, raw, src_ip, rule FROM ({FIREWALL_SQL}) WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND ({any_of})"
+
+
+_SEARCHES = ("ERROR", "line 4_77 ", "rule-2%9", "10.0.0.1", "zz", "No Such Text")
+
+
+@query("stored_search", " UNION ALL ".join(map(_found_sql, _SEARCHES)))
+def _(spark, sf_dir):
+    """Searches of stored tables that skip files by their trigrams, after a compaction into many small files."""
+    root = _store(spark, sf_dir, "search", 4)
+    maintain.compact(spark, root, AS_OF.date() + timedelta(days=1), target=1 << 14)
+    now = commits.latest(spark, root)
+    return reduce(DataFrame.unionAll, [
+        stored.rows_in_range(spark, "panos", Filter(range="30d", q=q), AS_OF, now).select(F.lit(q).alias("q"), "raw", "src_ip", "rule")
+        for q in _SEARCHES
+    ])
+
+
 # --- streams --------------------------------------------------------------------
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
