@@ -78,7 +78,7 @@ def prune_table(
         return 0
     path, cutoff = table_path(root, name), micros(retention_cutoff(retention_days, as_of))
     rewrites.recover(spark, path)
-    commits.adopt(spark, root, name)
+    commits.adopt(spark, root, name, rewrites.described)
     removed = 0
     with commits.pinned(spark, root) as now:
         old = [p for p in now.of(name) if any(f.oldest is not None and f.oldest < cutoff for f in p.files)]
@@ -125,7 +125,7 @@ def compact_table(
     """
     path = table_path(root, name)
     rewrites.recover(spark, path)
-    commits.adopt(spark, root, name)
+    commits.adopt(spark, root, name, rewrites.described)
     done = 0
     with commits.pinned(spark, root) as now:
         by_day: dict[date | None, list[commits.Portion]] = {}
@@ -152,7 +152,7 @@ def compact(
     """Compact every day before a date that is worth it, in every table; days rewritten by type."""
 
     def work(name: str) -> int:
-        days = {_day_of(p.day) for p in commits.adopt(spark, root, name).of(name)}
+        days = {_day_of(p.day) for p in commits.adopt(spark, root, name, rewrites.described).of(name)}
         return compact_table(spark, root, name, sorted(d for d in days if d and d < before), target, keep_seconds=keep_seconds)
 
     return _each_table(spark, root, keep_seconds, work)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from logharrow.functions.columns import country_code, country_label
 from logharrow.functions.time import cutoff, from_micros, micros, micros_of
 from logharrow.operators import overview, raw
 from logharrow.plans import reports
-from logharrow.sources import commits, files, textindex
+from logharrow.sources import commits, files, states, textindex
 from logharrow.sources.tables import open_table, read_files, table_path
 
 Files = list[tuple[commits.Portion, commits.File]]
@@ -91,6 +92,22 @@ def stored_recent(spark: SparkSession, name: str, snapshot: commits.Snapshot, n:
     return raw.recent(rows, n)
 
 
+def stored_kpis(spark: SparkSession, name: str, range_: str, as_of: datetime, snapshot: commits.Snapshot) -> DataFrame:
+    """The counters of a whole range, see ``operators.kpis``, from the states kept with the commits.
+
+    Sums and countries are exact; clients and the 95th percentile are the sketches' estimates, see
+    ``states``. Of the log only the rows of the hour in which the range begins are read.
+    """
+    since, first_whole = states.whole_hours(range_, as_of)
+    kept = states.states_of(spark, snapshot, name).where(F.col("hour") >= first_whole)
+    parts, end = [kept.select(*states.columns())], first_whole * commits.HOUR
+    met = [(p, f) for p in snapshot.of(name) for f in p.files if f.high is not None and f.high >= since and f.low < end]
+    if since < end and met:
+        at = micros_of(F.col("ts"))
+        parts.append(states.of_rows(read_files(spark, snapshot.root, name, met).where((at >= since) & (at < end)), name))
+    return states.kpis_of(states.merged(reduce(DataFrame.unionByName, parts)), name)
+
+
 def stored_base(spark: SparkSession, snapshot: commits.Snapshot, as_of: datetime, names: list[str] | None = None) -> DataFrame:
     """``overview.overview_base`` from the counts stored with the commits.
 

@@ -87,7 +87,7 @@ def append_batch(events: DataFrame, path: str, batch: str | int) -> None:
     """
     spark = events.sparkSession
     root, name = rewrites.split_path(path)
-    commits.adopt(spark, root, name)
+    commits.adopt(spark, root, name, rewrites.described)
     with staged(spark, root, batch) as attempt:
         folders = write_attempt(with_event_date(events), path, attempt)
         commit_batch(spark, root, batch, rewrites.described(spark, root, folders), [name])

@@ -50,7 +50,7 @@ def store_batch(
     if _merged(spark, root, stream, number):
         return
     for name in names:
-        commits.adopt(spark, root, name, events=name != STATS)
+        commits.adopt(spark, root, name, commits.listed if name == STATS else described)
     sources = unique_sources(sources.where(F.col("log_type").isin(registry.names())))
     routed = mark_outcome(parse_envelope(messages), sources, fits(sources)).persist()
     held, folders = [routed], []

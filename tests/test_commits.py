@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logharrow import registry
 from logharrow.filters import Filter
-from logharrow.operators import overview, raw
+from logharrow.operators import kpis, overview, raw
 from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import CLF, RAW_ENVELOPE, SOURCES, conform
 from logharrow.sources import commits, files, leases, tables
@@ -261,6 +261,25 @@ def test_overview_from_counts(spark, root, minutes):
     report.release()
 
 
+@pytest.mark.parametrize("minutes", [0, 17])
+def test_counters_from_states(spark, root, minutes):
+    spread(spark, root)
+    as_of = (NOW - timedelta(minutes=minutes)).replace(microsecond=0)
+    assert maintain.prune_table(spark, root, "apache", 4, NOW) > 0
+    tables.append_batch(aged(spark, *AGES), f"{root}/apache", 3)  # in the place of an earlier batch
+    now, spec = commits.latest(spark, root), registry.get("apache").report
+    maintain.compact_table(spark, root, "apache", [maintain._day_of(p.day) for p in now.of("apache")][:2], force=True)
+    now = commits.latest(spark, root)
+    for range_ in ("1h", "24h", "7d", "1y"):
+        got = stored.stored_kpis(spark, "apache", range_, as_of, now)
+        rows = Filter(range=range_).apply(tables.open_table(spark, root, "apache"), spec, as_of)
+        assert got.first() == kpis.web_kpis(rows).first()  # so few clients are counted exactly
+        if minutes == 0:
+            assert not [f for f in got.inputFiles() if "/_commits/" not in f]
+    none = stored.stored_kpis(spark, "traefik", "1y", as_of, now).first()
+    assert (none.requests, none.unique_ips, none.countries, none.avg_ms, none.p95_ms) == (0, 0, 0, None, None)
+
+
 def test_size_on_disk(spark, tmp_path):
     """The size is that of all files under the root, log included, to the byte."""
     root = str(tmp_path / "sized")

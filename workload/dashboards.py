@@ -675,6 +675,46 @@ def _(spark, sf_dir):
     return _long_overview(stored.stored_overview(spark, derive.sources(spark, sf_dir), NOON, commits.latest(spark, root)))
 
 
+_STORED_KPIS = {"apache": derive.CLF, "traefik": derive.PROXY, "panos": derive.FIREWALL}
+
+
+def _stored_kpis_sql(name: str) -> str:
+    table = sql(_STORED_KPIS[name])
+    outcome, client = ("action = 'deny'", "src_ip") if name == "panos" else ("status >= 400", "remote_host")
+    return (
+        f"SELECT '{name}' AS log_type, r AS range, count(*) AS n, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, "
+        f"count(*) FILTER (WHERE {outcome}) AS bad, count(DISTINCT nullif(country_code, '')) AS countries, "
+        f"count(DISTINCT {client}) > 0 AS near FROM ({table}), (VALUES ('24h', {DAYS['24h']}), ('30d', {DAYS['30d']}), ('1y', {DAYS['1y']})) v(r, d) "
+        f"WHERE ts >= date_trunc('second', TIMESTAMP '{NOON}' - d) GROUP BY r"
+    )
+
+
+@query("kpis_stored", " UNION ALL ".join(map(_stored_kpis_sql, _STORED_KPIS)))
+def _(spark, sf_dir):
+    """Counters from the states kept with two batches; ``near``: clients and percentile are within 2 % of the exact ones."""
+    root = work_dir(spark, "states")
+    events, found = derive.read(spark, sf_dir, "events"), []
+    for name, columns in _STORED_KPIS.items():
+        rows = conform(derive.derive(events, columns), registry.get(name).schema)
+        for batch in range(2):
+            part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(2)) == batch)
+            append_batch(part, table_path(root, name), stream_batch("given", batch))
+        now = commits.latest(spark, root)
+        for range_ in ("24h", "30d", "1y"):
+            inside = Filter(range=range_).apply(rows, registry.get(name).report, NOON)
+            exact = kpis.firewall_kpis(inside) if name == "panos" else kpis.proxy_kpis(inside) if name == "traefik" else kpis.web_kpis(inside)
+            truth = exact.select(F.struct("*")).scalar()
+            near = lambda c: F.abs(F.col(c) - truth[c]) <= 0.02 * truth[c]
+            both = stored.stored_kpis(spark, name, range_, NOON, now)
+            n, bad, client = ("events", "denied", "sources") if name == "panos" else ("requests", "errors", "unique_ips")
+            found.append(both.select(
+                F.lit(name).alias("log_type"), F.lit(range_).alias("range"), F.col(n).alias("n"), F.col("total_bytes").alias("bytes"),
+                F.col(bad).alias("bad"), "countries",
+                (near(client) & near("p95_ms") & near("avg_ms") if name == "traefik" else near(client)).alias("near"),
+            ))
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("filter_edited", f"SELECT event_id FROM ({CLF_SQL}) WHERE {since('30d')} AND method IS NOT NULL AND {COUNTRY} = 'Germany'")
 def _(spark, sf_dir):
     """A filter from text parameters, narrowed by one drill-down and widened by another."""
