@@ -19,7 +19,7 @@ from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import conform
 from logharrow.session import settled, work_dir
 from logharrow.sources import commits, dimensions, messages, tables
-from logharrow.streaming import ingest, live
+from logharrow.streaming import framing, ingest, live
 from workload import derive, render
 from workload.catalog import query
 from workload.dashboards import CLF_SQL, FIREWALL_SQL, PROXY_SQL, SOURCES_SQL, bounded
@@ -115,6 +115,47 @@ def _(spark, sf_dir):
     return lines.groupBy("conv_id", F.col("payload").alias("line")).agg(F.count("*").alias("n"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as connections: all turns behind each other as bytes, cut every so many bytes, through characters too."""
+    turns = derive.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    data = F.encode(F.concat(F.array_join("t.text", "\r\n"), F.lit("\nfin")), "UTF-8")
+    width = F.lit(7) + F.col("conv_id") % 40
+    cuts = turns.select("conv_id", data.alias("data"), width.cast("int").alias("width")).withColumn(
+        "seq", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / F.col("width")))))
+    piece = F.expr("substring(data, int(seq * width) + 1, width)")
+    at = F.timestamp_add("SECOND", F.col("seq"), F.lit(AS_OF).cast("timestamp_ntz"))
+    return cuts.select(
+        F.lit("10.0.0.1").alias("peer_ip"), F.col("conv_id").cast("string").alias("connection"), "seq", piece.alias("payload"), at.alias("received_at")
+    )
+
+
+_LINES = """SELECT CAST(conv_id AS VARCHAR) AS connection, CAST(i - 1 AS BIGINT) AS line, rtrim(lines[i], chr(13)) AS payload FROM (
+    SELECT conv_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (
+    SELECT conv_id, string_split(concat(string_agg(text, concat(chr(13), chr(10)) ORDER BY turn, text), chr(10), 'fin'), chr(10)) AS lines
+    FROM conversations GROUP BY conv_id))"""
+
+
+@query("lines_over_payloads", _LINES)
+def _(spark, sf_dir):
+    return framing.lines_of(_pieces(spark, sf_dir)).select("connection", "line", "payload")
+
+
+@query("lines_over_payloads_stream", _LINES)
+def _(spark, sf_dir):
+    """The same as a stream of four micro-batches, whose state carries open lines over; then all connections close."""
+    root = work_dir(spark, "pieces")
+    pieces = settled(_pieces(spark, sf_dir), "pieces")
+    last = pieces.groupBy("peer_ip", "connection").agg((F.max("seq") + 1).alias("seq"), F.max("received_at").alias("received_at"))
+    closing = last.select("peer_ip", "connection", "seq", F.lit(None).cast("binary").alias("payload"), "received_at")
+    for batch in range(4):
+        part = pieces.where(F.pmod(F.floor(F.col("seq") / 9), F.lit(4)) == batch)  # later pieces overtake earlier ones
+        (part.unionByName(closing) if batch == 3 else part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(framing.PIECES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    lines = framing.assemble(stream, idle_seconds=None)
+    _run(lambda trigger: live.start_table(lines, f"{root}/table", f"{root}/checkpoint", "append", trigger))
+    return live.read_table(spark, f"{root}/table", framing.LINES).select("connection", "line", "payload")
+
+
 @query(
     "read_message_files",
     f"""SELECT {derive.ENVELOPE['source_ip']} AS peer_ip, concat('<13>', CASE WHEN event_id % 5 = 0 THEN '\ufffd' ELSE '' END,
