@@ -15,10 +15,11 @@ deletions within the segments they share.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +42,11 @@ PLACE = ["o", "rid", "line"]
 class Hashes:
     """Running sums of the characters of some lines, from which any part of a line is hashed."""
 
-    def __init__(self, lines: list[str], salt: int = 60):
+    def __init__(self, lines: list[str]):
         self.size = np.array(list(map(len, lines)), np.int64)
         self.start = np.cumsum(self.size) - self.size
         codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-        self.values = mix(codes + _STEP[salt]) | U(1)
+        self.values = mix(codes + _STEP[60]) | U(1)
         self.power = _powers(_BASE, len(codes) + 1)
         self.back = _powers(_INVERSE, len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
@@ -126,13 +127,13 @@ def _identities(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 for rows in _groups(_lines(batch, i)):
-                    lines = [row[3] for row in rows]
-                    one, two = Hashes(lines).whole(), Hashes(lines, 61).whole()
-                    places = [np.array([row[k] for row in rows], np.int64) for k in range(3)]
-                    order = np.lexsort((*places[::-1], two, one))
-                    first = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
-                    kept = order[first]
-                    columns = [one[kept].view(np.int64), two[kept].view(np.int64), *(p[kept] for p in places)]
+                    first: dict[str, tuple[int, int, int]] = {}
+                    for o, rid, n, line in rows:
+                        first[line] = min((o, rid, n), first.get(line, (o, rid, n)))
+                    one = Hashes(list(first)).whole()
+                    two = np.array([xxhash.xxh3_64_intdigest(line.encode()) for line in first], np.uint64)
+                    places = np.array(list(first.values()), np.int64)
+                    columns = [one.view(np.int64), two.view(np.int64), *places.T]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h1", "h2", *PLACE])
 
     return blocks.mapInArrow(run, "h1 long, h2 long, o long, rid long, line long")
@@ -186,6 +187,18 @@ def _asked(blocks: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return blocks.join(wanted.agg(F.collect_list(F.struct("rid", "line", *columns)).alias("asked")), "block")
 
 
+def _line_of(texts: list[str], first: int) -> Callable[[int, int], str]:
+    """The line of a row and number; a row's text is split once for all its lines asked for in turn."""
+    held: list = [None, []]
+
+    def line(rid: int, number: int) -> str:
+        if held[0] != rid:
+            held[:] = rid, texts[rid - first].split("\n")
+        return held[1][number]
+
+    return line
+
+
 def _neighbourhoods(blocks: DataFrame, met: DataFrame) -> DataFrame:
     """Hashed keys of the lines in ``met`` (place, numbers of shared segments).
 
@@ -197,9 +210,9 @@ def _neighbourhoods(blocks: DataFrame, met: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, _, texts = _texts(batch, i)
-                first = int(rids(block, 1)[0])
-                for row in batch.column(4)[i].as_py():
-                    hashes = Hashes([texts[row["rid"] - first].split("\n")[row["line"]]])
+                line = _line_of(texts, int(rids(block, 1)[0]))
+                for row in sorted(batch.column(4)[i].as_py(), key=lambda row: row["rid"]):
+                    hashes = Hashes([line(row["rid"], row["line"])])
                     keys, kinds = [hashes.whole()], [np.zeros(1, np.int64)]
                     spans = {number: (int(a[0]), int(b[0])) for number, has, a, b in hashes.segments() if len(has)}
                     for number in sorted(set(row["numbers"])):
@@ -249,9 +262,9 @@ def _verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, _, texts = _texts(batch, i)
-                first = int(rids(block, 1)[0])
-                rows = batch.column(4)[i].as_py()
-                lines = [texts[r["rid"] - first].split("\n")[r["line"]] for r in rows]
+                line = _line_of(texts, int(rids(block, 1)[0]))
+                rows = sorted(batch.column(4)[i].as_py(), key=lambda row: row["rid"])
+                lines = [line(r["rid"], r["line"]) for r in rows]
                 columns = [pa.array([r[k] for r in rows], pa.int64()) for k in ("to", "at")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.string())], names=["to", "at", "text"])
 
