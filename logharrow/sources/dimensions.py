@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from logharrow.functions.ip import is_valid_ip
 from logharrow.functions.text import strip
 from logharrow.functions.time import ntz
-from logharrow.operators.geo import GeoIndex, build_index
+from logharrow.operators.geo import GeoIndex
+from logharrow.operators.networks import build_nested_index, read_ranges
 from logharrow.registry import REGISTRY
 from logharrow.schemas import SOURCES, conform
 from logharrow.sources.files import exists, version_path, versions, write_version
 
 
 def load_geo_ranges(spark: SparkSession, *paths: str) -> GeoIndex | None:
-    """Index of the first range table that exists; None turns lookups off."""
+    """Index of the first range table that exists; None turns lookups off.
+
+    Tables may be Parquet or CSV, of ranges or of networks, also one within the other.
+    """
     for path in paths:
         if path and exists(spark, path):
-            return build_index(spark.read.parquet(path))
+            return build_nested_index(read_ranges(spark, path))
     return None
 
 

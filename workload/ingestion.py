@@ -268,6 +268,28 @@ def _(spark, sf_dir):
     return geo.with_country(_visits(spark, sf_dir), "address", unbounded)
 
 
+# Networks within networks: a /16, a /24 for some of its parts, /29 within those, and single addresses.
+_NETWORKS = """SELECT CASE WHEN n_nationkey = 0 THEN '203.0.0.0/16' WHEN n_nationkey < 6 THEN concat('203.0.', n_nationkey, '.77/24')
+    WHEN n_nationkey % 5 = 0 THEN concat('203.0.', n_nationkey % 7, '.', n_nationkey * 8 - 7)
+    ELSE concat('203.0.', n_nationkey % 7, '.', n_nationkey * 8, '/29') END AS network,
+    concat('N', n_nationkey) AS country_code, n_name AS country FROM {nation}"""
+_ADDRESS = derive.REQUEST["remote_host"]
+_BITS = "CASE WHEN strpos(network, '/') = 0 THEN 32 ELSE CAST(split_part(network, '/', 2) AS INTEGER) END"
+
+
+@query("geo_nested", f"""WITH nets AS (SELECT *, {_OCTETS.replace('trim(address)', "split_part(network, '/', 1)")} AS k, {_BITS} AS bits FROM ({_NETWORKS.format(nation='nation')})),
+    seen AS (SELECT event_id, address, {_OCTETS} AS k FROM (SELECT event_id, {_ADDRESS} AS address FROM events))
+    SELECT event_id, address, coalesce(country_code, '') AS country_code, coalesce(country, 'Unknown') AS country FROM (
+    SELECT s.*, n.country_code, n.country, row_number() OVER (PARTITION BY event_id ORDER BY n.bits DESC) AS r FROM seen s
+    LEFT JOIN nets n ON s.k >> (32 - n.bits) = n.k >> (32 - n.bits)) WHERE r = 1""")
+def _(spark, sf_dir):
+    """Networks from a CSV file, nested four deep; the longest prefix says the country."""
+    path = work_dir(spark, "networks") + ".csv"
+    spark.sql(_NETWORKS.format(nation="{nation}"), nation=derive.read(spark, sf_dir, "nation")).write.option("header", True).csv(path)
+    visits = derive.derive(derive.read(spark, sf_dir, "events"), {"event_id": "event_id", "address": _ADDRESS})
+    return geo.with_country(visits, "address", dimensions.load_geo_ranges(spark, path))
+
+
 @query(
     "geo_without_table",
     "SELECT event_id, address, CASE WHEN trim(address) LIKE '10.%' THEN 'Private network' ELSE 'Unknown' END AS country, "
