@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from logharrow.operators.geo import GeoIndex
 from logharrow.operators.networks import build_nested_index, read_ranges
 from logharrow.registry import REGISTRY
 from logharrow.schemas import SOURCES, conform
-from logharrow.sources.files import exists, version_path, versions, write_version
+from logharrow.sources.files import create_new, exists, list_files, read_text, remove, version_path, versions
 
 
 def load_geo_ranges(spark: SparkSession, *paths: str) -> GeoIndex | None:
@@ -28,9 +30,31 @@ def load_geo_ranges(spark: SparkSession, *paths: str) -> GeoIndex | None:
     return None
 
 
-def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """The sender table as last saved, empty only when none was ever saved."""
-    saved = versions(spark, path)
+# Earlier versions of the sender table that are kept.
+KEPT = 8
+
+
+class EditConflict(Exception):
+    """The sender table was saved by somebody else since it was read."""
+
+
+def sources_version(spark: SparkSession, path: str) -> int:
+    """The number of the sender table last saved, 0 before the first."""
+    heads = [int(n) for n in list_files(spark, f"{path}/_heads") if n.isdigit()]
+    # A head that is just being written does not count yet.
+    return max((n for n in heads if read_text(spark, _head(path, n))), default=0)
+
+
+def _head(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/_heads/{number:012d}"
+
+
+def load_sources(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The sender table as last saved, or as of a version; empty only when none was ever saved."""
+    number = sources_version(spark, path) if version is None else version
+    if number:
+        return spark.read.schema(SOURCES).parquet(f"{path.rstrip('/')}/{read_text(spark, _head(path, number))}")
+    saved = versions(spark, path)  # saved before versions had heads
     if not saved:
         return spark.createDataFrame([], SOURCES)
     return spark.read.schema(SOURCES).parquet(version_path(path, saved[-1]))
@@ -89,6 +113,33 @@ def unique_sources(sources: DataFrame) -> DataFrame:
     return checked.select(*sources.columns)
 
 
-def save_sources(spark: SparkSession, sources: DataFrame, path: str) -> None:
-    """Save the sender table as a new version, also when ``sources`` was read from the old one."""
-    write_version(spark, unique_sources(sources), path)
+def save_sources(spark: SparkSession, sources: DataFrame, path: str, based_on: int | None = None) -> int:
+    """Save the sender table as a new version, also when ``sources`` was read from the old one; its number.
+
+    ``based_on`` is the version the edit began with (by default the last one): if another was saved
+    since, ``EditConflict`` is raised and nothing changes. The rows are written first; creating the head
+    of the next number, which one editor alone can do, then makes them the table. The KEPT versions before
+    the last two stay for readers and editors that still hold them.
+    """
+    base = sources_version(spark, path) if based_on is None else based_on
+    folder = f"s-{uuid.uuid4().hex}"
+    unique_sources(sources).write.parquet(f"{path.rstrip('/')}/{folder}")
+    if sources_version(spark, path) != base or not create_new(spark, _head(path, base + 1), folder):
+        remove(spark, f"{path.rstrip('/')}/{folder}")
+        raise EditConflict(f"version {base} of {path} is not the last one any more")
+    for old in [int(n) for n in list_files(spark, f"{path}/_heads") if n.isdigit() and int(n) < base - KEPT]:
+        remove(spark, f"{path.rstrip('/')}/{read_text(spark, _head(path, old))}")
+        remove(spark, _head(path, old))
+    return base + 1
+
+
+def edit_sources(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """Apply a change to the sender table as it is, once more if somebody else saved meanwhile; no edit is lost."""
+    for left in reversed(range(tries)):
+        version = sources_version(spark, path)
+        try:
+            return save_sources(spark, change(load_sources(spark, path, version)), path, version)
+        except EditConflict:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")

@@ -13,7 +13,7 @@ from logharrow.filters import Filter
 from logharrow.operators import kpis, overview, raw
 from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import CLF, RAW_ENVELOPE, SOURCES, conform
-from logharrow.sources import commits, files, leases, tables
+from logharrow.sources import commits, dimensions, files, leases, tables
 from logharrow.streaming import ingest
 from test_parsers import ASA_DENY, COMBINED, PANOS, TRAEFIK
 from test_storage import AGES, NOW, aged, hosts
@@ -340,3 +340,32 @@ def test_regular_maintenance(spark, root, tmp_path):
     finally:
         job.stop()
     assert hosts(spark, root) == ["h0", "h4"]
+
+
+# Edits of the sender table.
+
+
+def test_editors_at_once_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "senders")
+    dimensions.save_sources(spark, spark.createDataFrame(KNOWN, SOURCES), path)
+
+    def edit(i):
+        new = spark.createDataFrame([(f"10.1.0.{i}", f"n{i}", "apache")], "ip string, name string, log_type string")
+        return dimensions.edit_sources(spark, path, lambda rows: dimensions.upsert_sources(rows, new, NOW), tries=50)
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(edit, range(6)))
+    assert sorted(numbers) == list(range(2, 8)) and dimensions.load_sources(spark, path).count() == len(KNOWN) + 6
+    with pytest.raises(dimensions.EditConflict):
+        dimensions.save_sources(spark, spark.createDataFrame([], SOURCES), path, based_on=3)
+    for _ in range(6):
+        dimensions.edit_sources(spark, path, lambda rows: rows)
+    assert len([d for d in files.list_dirs(spark, path) if d.startswith("s-")]) == dimensions.KEPT + 2
+
+
+def test_senders_saved_before_versions_had_heads(spark, tmp_path):
+    path = str(tmp_path / "senders")
+    files.write_version(spark, spark.createDataFrame(KNOWN, SOURCES), path)
+    assert dimensions.load_sources(spark, path).count() == len(KNOWN)
+    assert dimensions.edit_sources(spark, path, lambda rows: dimensions.delete_source(rows, "10.0.0.1")) == 1
+    assert dimensions.load_sources(spark, path).count() == len(KNOWN) - 1

@@ -335,6 +335,26 @@ def _(spark, sf_dir):
     return dimensions.load_sources(spark, path)
 
 
+@query(
+    "two_editors",
+    f"SELECT g.ip, g.name, g.log_type, coalesce(s.created_at, TIMESTAMP '{AS_OF}') AS created_at FROM ({_GOOD}) g "
+    f"LEFT JOIN ({SOURCES_SQL}) s ON g.ip = s.ip WHERE g.ip <> '10.0.0.7' UNION ALL SELECT ip, name, log_type, created_at "
+    f"FROM ({SOURCES_SQL}) WHERE ip NOT IN (SELECT ip FROM ({_GOOD})) AND ip <> '10.0.0.7'",
+)
+def _(spark, sf_dir):
+    """An edit that another overtakes is refused, and made again on what the other left."""
+    path = work_dir(spark, "editors")
+    version = dimensions.save_sources(spark, derive.sources(spark, sf_dir), path)
+    mine = dimensions.load_sources(spark, path, version)
+    dimensions.edit_sources(spark, path, lambda rows: dimensions.upsert_sources(rows, _changes(spark, sf_dir), AS_OF))
+    try:
+        dimensions.save_sources(spark, dimensions.delete_source(mine, "10.0.0.7"), path, version)
+        raise AssertionError("an edit of an old version was taken")
+    except dimensions.EditConflict:
+        dimensions.edit_sources(spark, path, lambda rows: dimensions.delete_source(rows, "10.0.0.7"))
+    return dimensions.load_sources(spark, path)
+
+
 @query(
     "reject_source",
     f"""SELECT trim(ip) AS ip, trim(name) AS name, log_type, CASE WHEN log_type <> 'nginx' THEN 'unknown log type'
