@@ -24,6 +24,8 @@ from logharrow.sources import commits
 # log lines tends to have, leave one in eleven of those never met undecided, and one in 1,000 of three together.
 BITS = 1 << 19
 HASHES = 2
+# Smaller files have no filter: to read one is hardly dearer than to read its filter. A compaction gives them one.
+LEAST_BYTES = 4 * BITS // 8
 # Text looked at together in a task.
 CHUNK_BYTES = 1 << 20
 SCHEMA = "log_type string, day string, batch string, file string, bits array<long>"
@@ -62,14 +64,14 @@ def write_filters(spark: SparkSession, root: str, portions: Iterable[commits.Por
     portions = list(portions)
     by_table: dict[str, list[commits.Portion]] = {}
     for p in portions:
-        if p.counts and p.table in registry.REGISTRY:
+        if p.counts and p.table in registry.REGISTRY and any(f.bytes >= LEAST_BYTES for f in p.files):
             by_table.setdefault(p.table, []).append(p)
     if not by_table:
         return portions
     place = F.split(F.col("_metadata.file_path"), "/")
     frames = []
     for name, own in by_table.items():
-        paths = [f"{root.rstrip('/')}/{p.folder}/{f.name}" for p in own for f in p.files]
+        paths = [f"{root.rstrip('/')}/{p.folder}/{f.name}" for p in own for f in p.files if f.bytes >= LEAST_BYTES]
         rows = spark.read.schema(registry.get(name).schema).option("basePath", f"{root.rstrip('/')}/{name}").parquet(*paths)
         frames.append(rows.select(
             F.lit(name).alias("log_type"), F.element_at(place, -3).alias("day"), F.element_at(place, -2).alias("batch"),
@@ -107,7 +109,8 @@ def write_filters(spark: SparkSession, root: str, portions: Iterable[commits.Por
     # The counts of a commit name the place of its filters.
     target = filters_path(next(p.counts for own in by_table.values() for p in own))
     found.write.parquet(f"{root.rstrip('/')}/{target}")
-    return [commits.Portion(p.table, p.day, p.batch, p.files, p.counts, p.counts is not None) for p in portions]
+    having = {p.key for own in by_table.values() for p in own}
+    return [commits.Portion(p.table, p.day, p.batch, p.files, p.counts, p.key in having) for p in portions]
 
 
 def filters_path(counts: str) -> str:
@@ -123,6 +126,6 @@ def may_hold(spark: SparkSession, root: str, name: str, text: str, files: list[t
     asked = np.unique(places(grams))
     tests = [F.getbit(F.element_at("bits", int(b) // 64 + 1), F.lit(int(b) % 64)) == 1 for b in asked]
     filters = spark.read.schema(SCHEMA).parquet(*[f"{root.rstrip('/')}/{path}" for path in sorted(indexed)])
-    hits = filters.where(F.col("log_type") == name).where(reduce(lambda a, b: a & b, tests)).select("day", "batch", "file").distinct()
-    kept = {(r.day, r.batch, r.file) for r in hits.collect()}  # no more than there are files
-    return [(p, f) for p, f in files if not p.indexed or (p.day, p.batch, f.name) in kept]
+    tested = filters.where(F.col("log_type") == name).groupBy("day", "batch", "file").agg(F.bool_or(reduce(lambda a, b: a & b, tests)).alias("hit"))
+    out = {(r.day, r.batch, r.file) for r in tested.where("not hit").collect()}  # no more than there are files
+    return [(p, f) for p, f in files if (p.day, p.batch, f.name) not in out]

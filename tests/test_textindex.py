@@ -15,8 +15,15 @@ from logharrow.sources import commits, files, tables, textindex
 from test_storage import NOW
 
 
+@pytest.fixture(scope="module", autouse=True)
+def filters_for_small_files():
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(textindex, "LEAST_BYTES", 0)
+        yield
+
+
 @pytest.fixture(scope="module")
-def root(spark, tmp_path_factory):
+def root(spark, tmp_path_factory, filters_for_small_files):
     draw = random.Random(3)
     root = str(tmp_path_factory.mktemp("searched") / "tables")
     for batch in range(8):
@@ -55,6 +62,16 @@ def test_files_without_filters_are_read(spark, root):
     assert textindex.may_hold(spark, root, "apache", "nothing like it", bare) == bare
 
 
+def test_small_files_have_no_filter(spark, tmp_path, monkeypatch):
+    from test_storage import aged
+
+    monkeypatch.setattr(textindex, "LEAST_BYTES", 1 << 18)
+    tables.append_batch(aged(spark, (1, 1)), str(tmp_path / "t" / "apache"), 0)
+    now = commits.latest(spark, str(tmp_path / "t"))
+    assert not any(p.indexed for p in now.of("apache"))
+    assert len(stored.files_for(spark, now, "apache", Filter(range="7d", q="nothing like it"), NOW)) == 1
+
+
 def test_filters_go_with_their_files(spark, root):
     days = [textindex.commits.Portion.key.fget(p)[1] for p in commits.latest(spark, root).of("apache")]
     from logharrow.plans import maintain
