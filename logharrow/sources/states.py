@@ -53,24 +53,21 @@ def states_path(counts: str) -> str:
     return counts.replace("/counts/", "/states/")
 
 
-def write_states(spark: SparkSession, root: str, portions: Iterable[commits.Portion]) -> None:
-    """Store the states of new, counted folders by file and hour; rows without a time are in none."""
+def write_states(spark: SparkSession, root: str, folders: Iterable[commits.Key], counts: str) -> None:
+    """Store the states of new folders, by file and hour, beside their ``counts``; rows without a time are in none."""
     root, by_table = root.rstrip("/"), {}
-    for p in portions:
-        if p.counts and p.table in registry.REGISTRY:
-            by_table.setdefault(p.table, []).append(p)
+    for table, day, batch in folders:
+        by_table.setdefault(table, []).append(f"{root}/{table}/{day}/{batch}")
     place = F.split(F.col("_from"), "/")
     frames = []
-    for name, own in by_table.items():
-        paths = [f"{root}/{p.folder}/{f.name}" for p in own for f in p.files]
+    for name, paths in by_table.items():
         rows = spark.read.schema(registry.get(name).schema).option("basePath", f"{root}/{name}").parquet(*paths)
         rows = rows.select("*", F.col("_metadata.file_path").alias("_from")).where("ts IS NOT NULL")
         kept = rows.groupBy("_from", F.floor(micros_of(F.col("ts")) / commits.HOUR).alias("hour")).agg(*_values(name))
         keys = [F.element_at(place, -i).alias(c) for i, c in ((3, "day"), (2, "batch"), (1, "file"))]
         frames.append(kept.select(F.lit(name).alias("log_type"), *keys, "hour", *columns()))
     if frames:
-        target = states_path(next(p.counts for own in by_table.values() for p in own))
-        reduce(DataFrame.unionAll, frames).write.parquet(f"{root}/{target}")
+        reduce(DataFrame.unionAll, frames).write.parquet(f"{root}/{states_path(counts)}")
 
 
 def columns() -> list[str]:
