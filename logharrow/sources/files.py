@@ -28,11 +28,19 @@ def size_on_disk(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
-def _names(spark: SparkSession, path: str, folders: bool) -> list[str]:
+def _statuses(spark: SparkSession, path: str) -> list:
+    """What lies directly under a path; nothing where there is none, or it goes meanwhile."""
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() == folders)
+    try:
+        return list(fs.listStatus(p))
+    except Py4JJavaError as error:
+        if "NotFound" in error.java_exception.getClass().getName():
+            return []
+        raise
+
+
+def _names(spark: SparkSession, path: str, folders: bool) -> list[str]:
+    return sorted(s.getPath().getName() for s in _statuses(spark, path) if s.isDirectory() == folders)
 
 
 def list_dirs(spark: SparkSession, path: str) -> list[str]:
@@ -60,10 +68,7 @@ def data_files(spark: SparkSession, path: str) -> list[int]:
 
 def data_file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Names and sizes of the data files directly under a path."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if not s.isDirectory()]
+    found = [(s.getPath().getName(), s.getLen()) for s in _statuses(spark, path) if not s.isDirectory()]
     return sorted((name, size) for name, size in found if not name.startswith(("_", ".")))
 
 
@@ -72,6 +77,16 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def remove_empty(spark: SparkSession, path: str) -> None:
+    """Remove a folder unless something is in it, or just comes in."""
+    fs, p = _fs(spark, path)
+    try:
+        fs.delete(p, False)
+    except Py4JJavaError:
+        if fs.exists(p) and not _statuses(spark, path):
+            raise
+
+
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
     """Create a small file; without ``replace`` an existing one is an error."""
     fs, p = _fs(spark, path)
