@@ -97,6 +97,11 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _joined(texts: list[bytes]) -> np.ndarray:
+    """Folded texts one behind the other; no word spans two."""
+    return np.frombuffer(b"\n".join(texts), np.uint8)
+
+
 @dataclass
 class Words:
     """The words of a piece of text and their features."""
@@ -113,35 +118,87 @@ def _slot(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
     return ((h + U(kind)) * _MULTIPLIER >> U(64 - bits)).astype(np.int64)
 
 
-def words_of(data: np.ndarray) -> Words:
-    """Words (runs of letters a-z and of characters beyond ASCII) of folded UTF-8 bytes."""
+def _bounds(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the words of folded bytes are: letters, others 0, with two zeros at either end; starts, ends, places of letters,
+    and where each word's letters begin among those."""
     letter = np.zeros(len(data) + 4, bool)
     letter[2:-2] = _WORD_BYTE[data]
-    d = np.zeros(len(letter), np.uint64)
+    d = np.zeros(len(letter), np.uint8)
     d[2:-2] = data
     d[~letter] = 0
-    starts, ends = (np.flatnonzero(x) for x in (letter[1:] & ~letter[:-1], letter[:-1] & ~letter[1:]))
-    starts, ends = starts + 1, ends + 1
-    at = np.flatnonzero(letter)
+    starts, ends = (np.flatnonzero(x) + 1 for x in (letter[1:] & ~letter[:-1], letter[:-1] & ~letter[1:]))
+    sizes = ends - starts
+    return d, starts, ends, np.flatnonzero(letter), np.cumsum(sizes) - sizes
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of _STEP and of its inverse, which a fixed odd base has."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_STEP, U(pow(int(_STEP), -1, 2**64))):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        made.append(np.cumprod(powers, dtype=np.uint64))
+    if n <= 4 * PIECE_BYTES:  # those of a huge word are not kept
+        _POWERS[:] = made
+    return made
+
+
+def _hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each whole word: sums of powers."""
+    powers, inverse = _powers(len(at) + 1)
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum((d[at].astype(np.uint64) + U(1)) * powers[: len(at)], out=sums[1:])
+    whole = (sums[first + (ends - starts)] - sums[first]) * inverse[first] + (ends - starts).astype(np.uint64)
+    return (whole ^ (whole >> U(29))) * U(0xBF58476D1CE4E5B9)
+
+
+def _representatives(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray, whole: np.ndarray):
+    """The first of equal words, and for each word which of those it equals; letters are compared, not hashes alone."""
+    _, chosen, same = np.unique(whole, return_index=True, return_inverse=True)
+    sizes, head = ends - starts, chosen[same]
+    if (sizes == sizes[head]).all():
+        moved = np.repeat(starts[head] - starts, sizes)
+        if (d[at] == d[at + moved]).all():
+            return chosen, same
+    return np.arange(len(starts)), np.arange(len(starts))
+
+
+def distinct_words(data: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of folded bytes with their features, and of every word which it is, its start and its end.
+
+    All features of a word come from its own letters, so they are computed once for equal words.
+    """
+    d, starts, ends, at, first = _bounds(data)
+    whole = _hashes(d, starts, ends, at, first)
+    chosen, same = _representatives(d, starts, ends, at, first, whole)
+    sizes = (ends - starts)[chosen]
+    heads = np.cumsum(sizes) - sizes
+    letters = np.repeat(starts[chosen] - heads, sizes) + np.arange(sizes.sum())
+    return _features(d, starts[chosen], ends[chosen], letters, heads, whole[chosen]), same, starts - 2, ends - 2
+
+
+def word_slots(data: np.ndarray) -> np.ndarray:
+    """The lexicon's slots of all words of folded bytes."""
+    return _slot(_hashes(*_bounds(data)), 9, LEXICON_BITS)
+
+
+def words_of(data: np.ndarray) -> Words:
+    """Words (runs of letters a-z and of characters beyond ASCII) of folded UTF-8 bytes."""
+    d, starts, ends, at, first = _bounds(data)
+    return _features(d, starts, ends, at, first, _hashes(d, starts, ends, at, first))
+
+
+def _features(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray, whole: np.ndarray) -> Words:
+    d = d.astype(np.uint64)
     two = d[at] * _STEP + d[at + 1]
     three = d[at - 1] * _STEP * _STEP + two
     four = three * _STEP + np.where(d[at + 1] > 0, d[at + 2], U(0))
     grams = np.stack([_slot(two, 1, FEATURE_BITS), _slot(three, 2, FEATURE_BITS), _slot(four, 3, FEATURE_BITS)], 1)
-    first = np.searchsorted(at, starts)
-    # Sums of powers hash the whole word; a fixed odd base has an inverse.
-    powers = np.full(len(at), _STEP, np.uint64)
-    if len(powers):
-        powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.zeros(len(at) + 1, np.uint64)
-    np.cumsum((d[at] + U(1)) * powers, out=sums[1:])
-    inverse = np.full(len(at) + 1, U(pow(int(_STEP), -1, 2**64)), np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse, dtype=np.uint64)
-    last = first + (ends - starts)
-    whole = (sums[last] - sums[first]) * inverse[first] + (ends - starts).astype(np.uint64)
-    whole = (whole ^ (whole >> U(29))) * U(0xBF58476D1CE4E5B9)
-
     def affix(a: np.ndarray, n: int) -> np.ndarray:
         h = np.zeros(len(starts), np.uint64)
         for k in range(n):
@@ -322,12 +379,25 @@ def _lexicon(labelled: DataFrame, labels: list[str]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+
+        def count(label: str) -> None:
+            counts = held.setdefault(label, np.zeros(1 << LEXICON_BITS, np.int64))
+            data = _joined(waiting.pop(label))
+            for a, b in _pieces(data):
+                counts += np.bincount(word_slots(data[a:b]), minlength=len(counts))
+            sizes[label] = 0
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                counts = held.setdefault(batch.column(0)[i].as_py(), np.zeros(1 << LEXICON_BITS, np.int64))
-                data = np.frombuffer(folded(batch.column(1)[i].as_py()).encode(), np.uint8)
-                for a, b in _pieces(data):
-                    counts += np.bincount(words_of(data[a:b]).slots, minlength=len(counts))
+            for label, text in zip(batch.column(0), batch.column(1)):
+                label, text = label.as_py(), folded(text.as_py()).encode()
+                waiting.setdefault(label, []).append(text)
+                sizes[label] = sizes.get(label, 0) + len(text)
+                if sizes[label] >= PIECE_BYTES:  # short texts of a language are counted together
+                    count(label)
+        for label in list(waiting):
+            count(label)
         for label, counts in held.items():
             slots = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -412,15 +482,28 @@ def _round(sample: DataFrame, model: LanguageModel, how: Training, turn: int) ->
 def _text_emissions(text: str, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, starts and ends of words in them, and the words' emissions."""
     data = np.frombuffer(folded(text).encode(), np.uint8)
+    return data, *_data_emissions(data, model)
+
+
+def _data_emissions(data: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of folded bytes, and their emissions."""
     starts, ends, scores = [], [], []
     for a, b in _pieces(data):
-        words = words_of(data[a:b])
-        starts.append(words.starts + a)
-        ends.append(words.ends + a)
-        scores.append(emissions(words, model).astype(np.float32))
+        words, same, begun, ended = distinct_words(data[a:b])
+        starts.append(begun + a)
+        ends.append(ended + a)
+        scores.append(emissions(words, model).astype(np.float32)[same])
     if not scores:
-        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(model.labels)))
-    return data, np.concatenate(starts), np.concatenate(ends), np.concatenate(scores)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(model.labels)))
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(scores)
+
+
+def _each_emissions(texts: list[str], model: LanguageModel) -> list[np.ndarray]:
+    """The emissions of each text's words, all texts looked at together."""
+    whole = [folded(text).encode() for text in texts]
+    starts, _, scores = _data_emissions(_joined(whole), model)
+    ends = np.cumsum([len(x) + 1 for x in whole])
+    return np.split(scores, np.searchsorted(starts, ends[:-1]))
 
 
 def predict_language(
@@ -446,10 +529,11 @@ def predict_language(
                 if model is None or text is None or not _LETTER.search(text):
                     done.append((int(i), UNKNOWN, 0.0, 0))
                 else:
-                    group.append((int(i), _text_emissions(text, model)[3]))
+                    group.append((int(i), text))
                     held += int(sizes[i])
                 if group and (held >= GROUP_BYTES or n == len(order) - 1):
-                    for (at, _), p in zip(group, marginals([x for _, x in group], model.moves)):
+                    found = marginals(_each_emissions([x for _, x in group], model), model.moves)
+                    for (at, _), p in zip(group, found):
                         mean = p.mean(axis=0)
                         best = int(np.argmax(mean))
                         done.append((at, model.labels[best], float(min(mean[best], 1.0)), len(p)))

@@ -67,6 +67,25 @@ def test_pieces_lose_no_word(monkeypatch, model):
         np.testing.assert_allclose(a, b, atol=1e-4)
 
 
+def test_equal_words_get_their_features_once(monkeypatch, model):
+    texts = ["The cat, the été", "the", "xthe the thex" * 3, "… 1 é", ""]
+    data = language._joined([language.folded(t).encode() for t in texts])
+    every = words_of(data)
+    words, same, starts, ends = language.distinct_words(data)
+    assert len(words.starts) == len({bytes(data[a:b]) for a, b in zip(starts, ends)}) < len(same) == len(every.starts)
+    assert (starts == every.starts).all() and (ends == every.ends).all()
+    assert (words.own[same] == every.own).all() and (words.slots[same] == every.slots).all()
+    assert (language.word_slots(data) == every.slots).all()
+    want = [language._text_emissions(t, model)[3] for t in texts]
+    for a, b in zip(want, language._each_emissions(texts, model)):
+        np.testing.assert_allclose(a, b, atol=1e-5)
+    # Words whose hashes meet are not taken for one.
+    real = language._hashes
+    monkeypatch.setattr(language, "_hashes", lambda *args: real(*args) * np.uint64(0))
+    words, same, *_ = language.distinct_words(data)
+    assert len(words.starts) == len(every.starts) and (words.own[same][:, :4] == every.own[:, :4]).all()
+
+
 def test_held_out_accuracy(given, model):
     rows = predict_language(given, model).join(given.select("doc_id", "lang"), "doc_id").where("doc_id % 3 = 1")
     right, n = rows.agg(F.sum(F.expr("int(lang = lang_pred)")), F.count("*")).first()
