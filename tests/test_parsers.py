@@ -325,3 +325,17 @@ def test_no_python_in_any_parser(envelope, capsys):
     for parse in (parse_clf, parse_traefik, parse_caddy, parse_haproxy, parse_asa, parse_panos):
         plan = parse(envelope("x"))._jdf.queryExecution().toString()
         assert "Python" not in plan
+
+
+def test_no_step_is_too_long_to_be_compiled(spark, tmp_path):
+    """The JVM only interprets methods of more than 8,000 bytes of code."""
+    from logharrow.operators.parsers.asa import parse_asa
+    from workload import render
+
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([], "source_ip string, hostname string, tag string, raw string, received_at timestamp_ntz").write.parquet(path)
+    events = spark.read.schema("event_id long, ts timestamp, user_id long, event_type string, value double").parquet(path)
+    for df in (parse_asa(spark.read.schema("source_ip string, hostname string, tag string, raw string, received_at timestamp_ntz").parquet(path)).where("parsed"), render.messages(events)):
+        text = df._sc._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+        sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
+        assert sizes and max(sizes) < 8000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logharrow.operators.pin import pin
 from workload import derive
 
 BROKEN = "garbage"
@@ -208,9 +209,10 @@ def plain_messages(events: DataFrame) -> DataFrame:
 def messages(events: DataFrame) -> DataFrame:
     """Messages in the format their sender is configured for (SOURCES, by key)."""
     df = all_columns(events)
-    body = F.lit(None).cast("string")
+    # Each format in a step of its own: all in one would be a method too long for the JVM to compile.
     for i, name in enumerate(sorted(LINES)):
-        body = F.when(F.col("user_id") % 7 == i, LINES[name]()).otherwise(body)
+        df = pin(df, **{f"_{name}": F.when(F.col("user_id") % 7 == i, LINES[name]())})
+    body = F.coalesce(*[f"_{name}" for name in LINES])
     broken = F.when(F.col("value") < 1, BROKEN).otherwise(body)
     return df.select(
         F.col("source_ip").alias("peer_ip"), F.concat(_header(), broken).alias("payload"), "received_at"
