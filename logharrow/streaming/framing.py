@@ -91,11 +91,9 @@ def assemble(pieces: DataFrame, idle_seconds: int | None = 600) -> DataFrame:
                 state.update((pickle.dumps(held),))
                 if idle_seconds is not None:
                     state.setTimeoutDuration(idle_seconds * 1000)
-        table = pd.DataFrame(rows, columns=["line", "payload", "received_at"])
-        table.insert(0, "connection", key[1])
-        table.insert(0, "peer_ip", key[0])
-        table["received_at"] = pd.to_datetime(table["received_at"])
-        yield table
+        if rows:
+            line, payload, at = zip(*rows)
+            yield pd.DataFrame({"peer_ip": key[0], "connection": key[1], "line": line, "payload": payload, "received_at": pd.to_datetime(list(at))})
 
     timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
     return pieces.groupBy(*CONNECTION).applyInPandasWithState(run, LINES, "held binary", "append", timeout)

@@ -33,9 +33,14 @@ def start_table(
         session = batch.sparkSession
         if mode == "complete":
             write_version(session, batch, path, number)
-        elif not batch.isEmpty():
-            stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-            batch.write.mode("overwrite").parquet(f"{path}/batch={stream_batch(stream, number)}")
+        else:
+            batch.persist()  # else the look for a row would run the whole batch, state and all, once more
+            try:
+                if not batch.isEmpty():
+                    stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+                    batch.write.mode("overwrite").parquet(f"{path}/batch={stream_batch(stream, number)}")
+            finally:
+                batch.unpersist()
 
     return (
         frame.writeStream.outputMode(mode)

@@ -109,3 +109,21 @@ def test_lines_without_end_come_in_parts(monkeypatch):
 
 def test_empty(spark):
     assert framing.lines_of(spark.createDataFrame([], PIECES)).count() == 0
+
+
+def test_a_batch_of_appended_rows_is_computed_once(spark, tmp_path):
+    from logharrow.streaming import live
+
+    spark.range(40).selectExpr("cast(id AS string) AS value").repartition(2).write.parquet(str(tmp_path / "in"))
+    seen = tmp_path / "seen"
+
+    def count(frames):
+        for frame in frames:
+            with open(seen, "a") as out:
+                out.write("x" * len(frame))
+            yield frame
+
+    rows = spark.readStream.schema("value string").parquet(str(tmp_path / "in")).mapInPandas(count, "value string")
+    live.start_table(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "append", {"availableNow": True}).awaitTermination()
+    assert live.read_table(spark, str(tmp_path / "out"), "value string").count() == 40
+    assert len(seen.read_text()) == 40

@@ -145,12 +145,13 @@ def _(spark, sf_dir):
     """The same as a stream of four micro-batches, whose state carries open lines over; then all connections close."""
     root = work_dir(spark, "pieces")
     pieces = settled(_pieces(spark, sf_dir), "pieces")
+    at_once = spark.sparkContext.defaultParallelism  # files of a batch: each is written by a task of its own
     last = pieces.groupBy("peer_ip", "connection").agg((F.max("seq") + 1).alias("seq"), F.max("received_at").alias("received_at"))
     closing = last.select("peer_ip", "connection", "seq", F.lit(None).cast("binary").alias("payload"), "received_at")
     for batch in range(4):
         part = pieces.where(F.pmod(F.floor(F.col("seq") / 9), F.lit(4)) == batch)  # later pieces overtake earlier ones
-        (part.unionByName(closing) if batch == 3 else part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(framing.PIECES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        (part.unionByName(closing) if batch == 3 else part).repartition(at_once).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(framing.PIECES).option("maxFilesPerTrigger", at_once).parquet(f"{root}/in")
     lines = framing.assemble(stream, idle_seconds=None)
     _run(lambda trigger: live.start_table(lines, f"{root}/table", f"{root}/checkpoint", "append", trigger))
     return live.read_table(spark, f"{root}/table", framing.LINES).select("connection", "line", "payload")
