@@ -40,6 +40,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/logharrow/{purpose}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over all cores, where a file of one row group, or a broker with few parts, would keep few at work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to a fresh work folder and read again: computed once, lineage cut."""
     path = work_dir(df.sparkSession, purpose)

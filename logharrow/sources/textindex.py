@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +41,25 @@ def places(grams: np.ndarray) -> np.ndarray:
 
 def trigrams(data: bytes) -> np.ndarray:
     """Distinct trigrams of a text as numbers; none spans a zero byte, which stands between columns."""
-    a = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(a) < 3:
+    return np.unique(_grams(np.frombuffer(data, np.uint8)))
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Trigrams as they come, with repeats."""
+    if len(data) < 3:
         return np.zeros(0, np.uint32)
+    a = data.astype(np.uint32)
     whole = (a[:-2] > 0) & (a[1:-1] > 0) & (a[2:] > 0)
-    return np.unique((a[:-2] << 16 | a[1:-1] << 8 | a[2:])[whole])
+    return (a[:-2] << 16 | a[1:-1] << 8 | a[2:])[whole]
+
+
+def _mark(bits: np.ndarray, texts: pa.Array) -> None:
+    """Set the bits of all trigrams of texts that end with a zero byte each; their bytes are taken as they lie, one behind the other."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[texts.offset] : ends[texts.offset + len(texts)]]
+    for at in range(0, len(data), CHUNK_BYTES):
+        bits[places(_grams(data[at : at + CHUNK_BYTES + 2]))] = True  # those that begin in the chunk
 
 
 def pattern_trigrams(text: str) -> np.ndarray:
@@ -75,7 +90,7 @@ def write_filters(spark: SparkSession, root: str, portions: Iterable[commits.Por
         rows = spark.read.schema(registry.get(name).schema).option("basePath", f"{root.rstrip('/')}/{name}").parquet(*paths)
         frames.append(rows.select(
             F.lit(name).alias("log_type"), F.element_at(place, -3).alias("day"), F.element_at(place, -2).alias("batch"),
-            F.element_at(place, -1).alias("file"), _lines(name).alias("text"),
+            F.element_at(place, -1).alias("file"), F.concat(_lines(name), F.lit("\u0000")).alias("text"),
         ))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +102,16 @@ def write_filters(spark: SparkSession, root: str, portions: Iterable[commits.Por
             return pa.RecordBatch.from_arrays(arrays, names=["log_type", "day", "batch", "file", "bits"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            texts, size = [], 0
-            for i, key in enumerate(keys):
+            runs = [pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in range(4)]
+            begin = 0
+            for end in np.unique(np.concatenate(runs)).tolist():  # where the rows of a file end
+                key = tuple(batch.column(k)[begin].as_py() for k in range(4))
                 if key != held:
-                    bits[places(trigrams(b"\0".join(texts)))] = True
-                    texts, size = [], 0
                     if held is not None:
                         yield done()
                     held, bits[:] = key, False
-                texts.append(batch.column(4)[i].as_py().encode())
-                size += len(texts[-1])
-                if size > CHUNK_BYTES:
-                    bits[places(trigrams(b"\0".join(texts)))] = True
-                    texts, size = [], 0
-            bits[places(trigrams(b"\0".join(texts)))] = True
+                _mark(bits, batch.column(4).slice(begin, end - begin))
+                begin = end
         if held is not None:
             yield done()
 

@@ -102,3 +102,15 @@ def test_a_file_read_by_several_tasks(spark, root):
     now = commits.latest(spark, root)
     found = stored.rows_in_range(spark, "nginx", Filter(range="7d", q=wanted), NOW, now)
     assert [r.path for r in found.collect()] == [wanted]
+
+
+def test_texts_are_marked_as_they_lie(monkeypatch):
+    """Bytes of a slice of an Arrow column, in chunks: all trigrams, those over the ends of chunks too, and no others."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(textindex, "CHUNK_BYTES", 5)
+    texts = pa.array(["before\0", "abc\0defgh\0", "\0", "naïve K7\0", "behind\0"]).slice(1, 3)
+    bits = np.zeros(textindex.BITS, bool)
+    textindex._mark(bits, texts)
+    want = np.unique(textindex.places(textindex.trigrams("".join(texts.to_pylist()).encode())))
+    assert len(want) > 8 and np.flatnonzero(bits).tolist() == want.tolist()

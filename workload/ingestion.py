@@ -17,7 +17,7 @@ from logharrow.operators import geo, routing
 from logharrow.operators.raw import Cursor, recent_json
 from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import conform
-from logharrow.session import settled, work_dir
+from logharrow.session import dealt, settled, work_dir
 from logharrow.sources import commits, dimensions, messages, tables, textindex
 from logharrow.streaming import framing, ingest, live
 from workload import derive, render
@@ -397,8 +397,9 @@ def _store(spark: SparkSession, sf_dir: str, purpose: str, batches: int = 2) ->
     """A fresh table root with the derived rows stored as some batches."""
     root = work_dir(spark, purpose)
     tables.init_tables(spark, root)
-    for name, load in (("apache", derive.clf), ("panos", derive.firewall)):
-        rows = conform(load(spark, sf_dir), registry.get(name).schema)
+    events = settled(dealt(derive.read(spark, sf_dir, "events")), "events")  # a file that every task can read a part of
+    for name, columns in (("apache", derive.CLF), ("panos", derive.FIREWALL)):
+        rows = conform(derive.derive(events, columns), registry.get(name).schema)
         for batch in range(batches):
             part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(batches)) == batch)
             tables.append_batch(part, tables.table_path(root, name), tables.stream_batch("given", batch))
