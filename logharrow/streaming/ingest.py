@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +16,7 @@ from logharrow.operators.geo import GeoIndex
 from logharrow.operators.lookup import fits
 from logharrow.operators.routing import mark_outcome, minute_stats
 from logharrow.schemas import with_event_date
+from logharrow.session import dealt
 from logharrow.sources import commits, files
 from logharrow.sources.dimensions import unique_sources
 from logharrow.sources.messages import parse_envelope
@@ -24,6 +27,8 @@ from logharrow.sources.tables import (
 
 # Where batches are counted.
 STATS = "ingest_stats"
+# Types parsed and stored at the same time; what one does alone, like naming its files, keeps no core from the others.
+TYPES_AT_ONCE = 4
 
 
 def store_batch(
@@ -43,7 +48,7 @@ def store_batch(
     since, is left alone. Rows are
     dated by their own time, however old: there is no lateness limit. Each line is parsed once; the
     counts, those of unknown senders and unparsed lines among them, come from the same parse and are
-    read with ``ingest_stats``.
+    read with ``ingest_stats``. Messages are dealt out over all cores, however few parts the batch comes in.
     """
     spark = messages.sparkSession
     batch, names = stream_batch(stream, number), [*registry.names(), STATS]
@@ -52,19 +57,23 @@ def store_batch(
     for name in names:
         commits.adopt(spark, root, name, commits.listed if name == STATS else described)
     sources = unique_sources(sources.where(F.col("log_type").isin(registry.names())))
-    routed = mark_outcome(parse_envelope(messages), sources, fits(sources)).persist()
-    held, folders = [routed], []
+    routed = mark_outcome(parse_envelope(dealt(messages)), sources, fits(sources)).persist()
+    held = [routed]
     try:
         with staged(spark, root, batch) as attempt:
             counts = [_counts(routed.where(F.col("log_type").isNull()).withColumn("parsed", F.lit(False)))]
             # Only types some sender is configured for; bounded by the registry.
-            for name in sorted(r.log_type for r in sources.select("log_type").distinct().collect()):
-                lines = routed.where(F.col("log_type") == name)
-                parsed = registry.get(name).parse(lines).persist()
-                held.append(parsed)
+            types = sorted(r.log_type for r in sources.select("log_type").distinct().collect())
+            for name in types:
+                held.append(registry.get(name).parse(routed.where(F.col("log_type") == name)).persist())
+                counts.append(_counts(held[-1]))
+
+            def store(name: str, parsed: DataFrame) -> list[commits.Key]:
                 events = as_events(parsed.drop("log_type"), name, geo)
-                folders += write_attempt(with_event_date(events), table_path(root, name), attempt)
-                counts.append(_counts(parsed))
+                return write_attempt(with_event_date(events), table_path(root, name), attempt)
+
+            with ThreadPoolExecutor(TYPES_AT_ONCE) as pool:
+                folders = sum(pool.map(inheritable_thread_target(spark)(store), types, held[1:]), [])
             stats = minute_totals(reduce(DataFrame.unionByName, counts))
             dated = stats.withColumn("event_date", F.to_date("minute")).coalesce(1)  # a row per minute of the batch
             minutes = write_attempt(dated, table_path(root, STATS), attempt)

@@ -369,3 +369,14 @@ def test_senders_saved_before_versions_had_heads(spark, tmp_path):
     assert dimensions.load_sources(spark, path).count() == len(KNOWN)
     assert dimensions.edit_sources(spark, path, lambda rows: dimensions.delete_source(rows, "10.0.0.1")) == 1
     assert dimensions.load_sources(spark, path).count() == len(KNOWN) - 1
+
+
+def test_one_part_is_parsed_by_all_cores(spark, tmp_path, monkeypatch):
+    """A batch that comes in one part, as of a file of one row group, keeps more than one task at work."""
+    known = spark.createDataFrame([("192.0.2.1", "apache")], "ip string, log_type string")
+    many, parts = spark.range(0, 400, 1, 1).crossJoin(messages(spark, *LINES).limit(1)).drop("id").coalesce(1), []
+    real = ingest.parse_envelope
+    monkeypatch.setattr(ingest, "parse_envelope", lambda df: parts.append(df.rdd.getNumPartitions()) or real(df))
+    ingest.store_batch(many, 0, str(tmp_path), known, None, "s")
+    assert parts == [spark.sparkContext.defaultParallelism]
+    assert ingest.ingest_stats(spark, str(tmp_path)).agg(F.sum("received")).first()[0] == 400

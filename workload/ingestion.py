@@ -698,7 +698,7 @@ def _ingest(spark: SparkSession, sf_dir: str, streams: int = 1) -> str:
     index = geo.build_index(derive.geo_ranges(spark, sf_dir))
     for number in range(streams):
         _run(lambda trigger: ingest.start_ingest(
-            render.messages(_event_stream(spark, sf_dir)), root, f"{root}-checkpoint-{number}",
+            render.messages(dealt(_event_stream(spark, sf_dir))), root, f"{root}-checkpoint-{number}",
             lambda session: dimensions.load_sources(session, sources_path), index, trigger,
         ))
     return root
