@@ -754,7 +754,7 @@ def _(spark, sf_dir):
     """A sender table edited between two batches of all messages: each batch goes by the table of its time."""
     root = work_dir(spark, "edits")
     tables.init_tables(spark, root)
-    events = derive.read(spark, sf_dir, "events")
+    events = dealt(derive.read(spark, sf_dir, "events"))
     sources = derive.sources(spark, sf_dir)
     for number, log_type in enumerate(("apache", "nginx")):
         edited = sources.withColumn("log_type", F.lit(log_type))
