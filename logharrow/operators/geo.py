@@ -127,8 +127,7 @@ def _probe(df: DataFrame, index: DataFrame, prefix: Column, name: str) -> DataFr
 
 
 def _resolve(df: DataFrame, index: GeoIndex) -> DataFrame:
-    key = F.col("_key")
-    public = F.when(~is_private(key), key)
+    public = F.when(~F.col("_private"), F.col("_key"))
     df = _probe(df, index.fine, _fine(public), "_near")
     df = _probe(df, index.coarse, _coarse(public), "_far")
     return df.withColumn("_hit", F.coalesce("_near", "_far")).drop("_near", "_far")
@@ -169,22 +168,23 @@ def with_country(df: DataFrame, address: str, index: GeoIndex | None) -> DataFra
     Otherwise each distinct public address is looked up once and the answers are
     joined back by address, with hot addresses kept out of the shuffle.
     """
-    df = pin(df, _key=ip_key(F.col(address)))
-    key = F.col("_key")
+    # In two steps: fields, private networks and countries in one were a method too long for the JVM to compile.
+    df = pin(pin(df, _key=ip_key(F.col(address))), _private=is_private(F.col("_key")))
+    key, private = F.col("_key"), F.col("_private")
     if index is None:
         empty = F.lit(None).cast("struct<country_code:string,country:string>")
         df = df.withColumn("_hit", empty)
     elif index.broadcast:
         df = _resolve(df, index)
     else:
-        public = df.select("_key").where(key.isNotNull() & ~is_private(key)).distinct()
+        public = df.where(key.isNotNull() & ~private).select("_key").distinct()
         df = lookup_join(df, resolve_in_order(public, index.ranges), "_key", "left", False)
     code = F.coalesce(F.col("_hit.country_code"), F.lit(""))
     name = F.coalesce(F.col("_hit.country"), F.lit("Unknown"))
     return df.withColumns({
-        "country_code": F.when(key.isNull() | is_private(key), "").otherwise(code),
+        "country_code": F.when(key.isNull() | private, "").otherwise(code),
         "country": F.when(key.isNull(), "Unknown")
-        .when(is_private(key), "Private network")
+        .when(private, "Private network")
         .when(code == "", "Unknown")
         .otherwise(name),
-    }).drop("_key", "_hit")
+    }).drop("_key", "_private", "_hit")

@@ -160,3 +160,22 @@ def test_addresses_of_one_prefix_are_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert sum(r[0] is not None for r in found) == n // 2
+
+
+def test_no_step_of_a_lookup_is_too_long_to_be_compiled(spark, tmp_path):
+    """The JVM only interprets methods of more than 8,000 bytes of code."""
+    from logharrow.schemas import CLF
+    from logharrow.sources.tables import as_events
+
+    ranges = spark.createDataFrame([("1.0.0.0", "1.0.0.255", "AU", "Australia")], "lo string, hi string, country_code string, country string")
+    path = str(tmp_path / "parsed")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CLF.fields if f.name not in ("country", "country_code")) + ", parsed boolean"
+    spark.createDataFrame([], schema).write.parquet(path)
+    df = as_events(spark.read.schema(schema).parquet(path), "apache", geo.build_index(ranges))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df._sc._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) < 8000, sizes
