@@ -45,6 +45,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def in_time_order(df: DataFrame, column: str, purpose: str) -> DataFrame:
+    """``df`` settled by ranges of a time, two for each core: a task that stores some of them by day holds few days, so a day has few files."""
+    return settled(df.repartitionByRange(2 * df.sparkSession.sparkContext.defaultParallelism, column), purpose)
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to a fresh work folder and read again: computed once, lineage cut."""
     path = work_dir(df.sparkSession, purpose)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,9 @@ from logharrow.operators.geo import GeoIndex, with_country
 from logharrow.schemas import PARTITIONS, conform, with_event_date
 from logharrow.sources import commits, files, rewrites
 
+# Tables written at the same time; the end of one, like naming its files, keeps no core from the others.
+TABLES_AT_ONCE = 4
+
 
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
@@ -85,12 +90,23 @@ def append_batch(events: DataFrame, path: str, batch: str | int) -> None:
     that was cut short or delivered twice is stored exactly once, and readers see the old rows or
     the new. Rows are not reshuffled; ``compact`` merges the small files later.
     """
-    spark = events.sparkSession
     root, name = rewrites.split_path(path)
-    commits.adopt(spark, root, name, rewrites.described)
+    append_batches({name: events}, root, batch)
+
+
+def append_batches(events: dict[str, DataFrame], root: str, batch: str | int) -> None:
+    """``append_batch`` for several tables of a root, by name: they are written side by side, and show the batch with one commit."""
+    spark, names = next(iter(events.values())).sparkSession, list(events)
+    for name in names:
+        commits.adopt(spark, root, name, rewrites.described)
+
+    def store(name: str) -> list[commits.Key]:
+        return write_attempt(with_event_date(events[name]), table_path(root, name), attempt)
+
     with staged(spark, root, batch) as attempt:
-        folders = write_attempt(with_event_date(events), path, attempt)
-        commit_batch(spark, root, batch, rewrites.described(spark, root, folders), [name])
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            folders = sum(pool.map(inheritable_thread_target(spark)(store), names), [])
+        commit_batch(spark, root, batch, rewrites.described(spark, root, folders), names)
 
 
 def batch_of(folder: str) -> str:

@@ -53,13 +53,22 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return (a[:-2] << 16 | a[1:-1] << 8 | a[2:])[whole]
 
 
-def _mark(bits: np.ndarray, texts: pa.Array) -> None:
-    """Set the bits of all trigrams of texts that end with a zero byte each; their bytes are taken as they lie, one behind the other."""
+def _mark(bits: np.ndarray, texts: pa.Array, seen: np.ndarray | None = None) -> None:
+    """Set the bits of all trigrams of texts that end with a zero byte each; their bytes are taken as they lie, one behind the other.
+
+    ``seen`` has a place for every trigram, all false before and after: one met often is hashed once.
+    """
+    seen = np.zeros(1 << 24, bool) if seen is None else seen
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[texts.offset] : ends[texts.offset + len(texts)]]
     for at in range(0, len(data), CHUNK_BYTES):
-        bits[places(_grams(data[at : at + CHUNK_BYTES + 2]))] = True  # those that begin in the chunk
+        part = data[at : at + CHUNK_BYTES + 2].astype(np.uint32)  # those that begin in the chunk
+        seen[part[:-2] << 16 | part[1:-1] << 8 | part[2:]] = True
+    found = (np.flatnonzero(seen.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()  # looked through by eights
+    found = found[seen[found]]
+    seen[found] = False
+    bits[places(found[(found >> 16 > 0) & (found >> 8 & 255 > 0) & (found & 255 > 0)])] = True
 
 
 def pattern_trigrams(text: str) -> np.ndarray:
@@ -83,34 +92,33 @@ def write_filters(spark: SparkSession, root: str, portions: Iterable[commits.Por
             by_table.setdefault(p.table, []).append(p)
     if not by_table:
         return portions
-    place = F.split(F.col("_metadata.file_path"), "/")
     frames = []
     for name, own in by_table.items():
         paths = [f"{root.rstrip('/')}/{p.folder}/{f.name}" for p in own for f in p.files if f.bytes >= LEAST_BYTES]
         rows = spark.read.schema(registry.get(name).schema).option("basePath", f"{root.rstrip('/')}/{name}").parquet(*paths)
         frames.append(rows.select(
-            F.lit(name).alias("log_type"), F.element_at(place, -3).alias("day"), F.element_at(place, -2).alias("batch"),
-            F.element_at(place, -1).alias("file"), F.concat(_lines(name), F.lit("\u0000")).alias("text"),
+            F.lit(name).alias("log_type"), F.col("_metadata.file_path").alias("path"), F.concat(_lines(name), F.lit("\u0000")).alias("text"),
         ))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = None, np.zeros(BITS, bool)
+        held, bits, seen = None, np.zeros(BITS, bool), np.zeros(1 << 24, bool)
 
         def done() -> pa.RecordBatch:
             words = np.packbits(bits, bitorder="little").view(np.int64)
-            arrays = [pa.array([x], pa.string()) for x in held] + [pa.array([words], pa.list_(pa.int64()))]
+            keys = [held[0], *held[1].split("/")[-3:]]
+            arrays = [pa.array([x], pa.string()) for x in keys] + [pa.array([words], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(arrays, names=["log_type", "day", "batch", "file", "bits"])
 
         for batch in batches:
-            runs = [pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in range(4)]
+            runs = [pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in range(2)]
             begin = 0
             for end in np.unique(np.concatenate(runs)).tolist():  # where the rows of a file end
-                key = tuple(batch.column(k)[begin].as_py() for k in range(4))
+                key = tuple(batch.column(k)[begin].as_py() for k in range(2))
                 if key != held:
                     if held is not None:
                         yield done()
                     held, bits[:] = key, False
-                _mark(bits, batch.column(4).slice(begin, end - begin))
+                _mark(bits, batch.column(2).slice(begin, end - begin), seen)
                 begin = end
         if held is not None:
             yield done()

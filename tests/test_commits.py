@@ -380,3 +380,55 @@ def test_one_part_is_parsed_by_all_cores(spark, tmp_path, monkeypatch):
     ingest.store_batch(many, 0, str(tmp_path), known, None, "s")
     assert parts == [spark.sparkContext.defaultParallelism]
     assert ingest.ingest_stats(spark, str(tmp_path)).agg(F.sum("received")).first()[0] == 400
+
+
+# Many events at once.
+
+
+def test_a_batch_of_several_tables_is_one_commit(spark, root):
+    rows = {"apache": aged(spark, *AGES), "nginx": aged(spark, (1, 1), (2, 2))}
+    for _ in range(2):  # the second time in the place of the first
+        for name in rows:
+            commits.adopt(spark, root, name, commits.listed)
+        before = commits.latest(spark, root).number
+        tables.append_batches(rows, root, "given-0")
+        now = commits.latest(spark, root)
+        assert now.number == before + 1 and len({p.batch for p in now.live.values()}) == 1
+        assert hosts(spark, root) == sorted(r.remote_host for r in rows["apache"].collect())
+        assert tables.open_table(spark, root, "nginx").count() == 2
+        assert len({p.counts for p in now.live.values()}) == 1
+
+
+def test_overview_of_scattered_events_has_few_files(spark, tmp_path, monkeypatch):
+    """Files that each hold all days: a stream stores a day of a table in few files, however many tasks read them, so none needs compaction."""
+    from workload import dashboards
+    from workload.catalog import QUERIES
+
+    given, seen = "/root/testdata/sf0.001", {}
+    events = spark.read.parquet(f"{given}/events.parquet")
+    events.repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{given}/supplier.parquet").write.parquet(str(tmp_path / "supplier.parquet"))
+    real = maintain.run
+
+    def run(spark, root, *args):
+        seen["before"] = commits.latest(spark, root)
+        done = real(spark, root, *args)
+        seen.update(done)
+        return done
+
+    monkeypatch.setattr(dashboards.maintain, "run", run)
+    # One task for each file, as many files a day as tasks where nothing puts the events in order.
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        got = QUERIES["report_overview_stored"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(QUERIES["report_overview_stored"](spark, given).collect())
+    days = events.select(F.to_date("ts")).distinct().count()
+    for name in dashboards._TABLES:
+        portions = seen["before"].of(name)
+        assert {tables.batch_of(p.batch) for p in portions} == {"stream0-0", "stream1-0"}
+        assert sum(p.rows for p in portions) == events.count()
+        # At most one file more than days for each of the eight ranges of time, in two streams.
+        assert sum(len(p.files) for p in portions) <= 2 * (days + 2 * spark.sparkContext.defaultParallelism + 1)
+    assert set(seen["compacted"].values()) == {0}

@@ -114,3 +114,15 @@ def test_texts_are_marked_as_they_lie(monkeypatch):
     textindex._mark(bits, texts)
     want = np.unique(textindex.places(textindex.trigrams("".join(texts.to_pylist()).encode())))
     assert len(want) > 8 and np.flatnonzero(bits).tolist() == want.tolist()
+
+
+def test_marks_leave_the_table_of_trigrams_empty():
+    """What one file held is in no filter of the next; no trigram spans a zero byte, whichever of its three it is."""
+    import pyarrow as pa
+
+    seen = np.zeros(1 << 24, bool)
+    for text in ("abc\0", "ab\0cd\0", "\0\0xyz\0", "a\0", ""):
+        bits = np.zeros(textindex.BITS, bool)
+        textindex._mark(bits, pa.array([text]), seen)
+        assert np.flatnonzero(bits).tolist() == np.unique(textindex.places(textindex.trigrams(text.encode()))).tolist()
+        assert not seen.any()

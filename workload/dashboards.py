@@ -15,9 +15,9 @@ from logharrow.operators import countries, kpis, overview, panels, raw, shares,
 from logharrow.operators.quantile import exact_quantiles
 from logharrow.plans import maintain, reports, stored
 from logharrow.schemas import conform
-from logharrow.session import work_dir
+from logharrow.session import in_time_order, work_dir
 from logharrow.sources import commits
-from logharrow.sources.tables import append_batch, stream_batch, table_path
+from logharrow.sources.tables import append_batch, append_batches, stream_batch, table_path
 from workload import derive
 from workload.catalog import ORACLES, query
 from workload.derive import AS_OF, NOON, sql
@@ -665,12 +665,11 @@ _KEPT = " UNION ALL ".join(
 def _(spark, sf_dir):
     """The overview of stored tables after two streams, retention and compaction, from the counts of the commits."""
     root = work_dir(spark, "overview")
-    events = derive.read(spark, sf_dir, "events")
-    for name, columns in _TABLES.items():
-        rows = conform(derive.derive(events, columns), registry.get(name).schema)
-        for stream in range(2):
-            part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(2)) == stream)
-            append_batch(part, table_path(root, name), stream_batch(f"stream{stream}", 0))
+    events = in_time_order(derive.read(spark, sf_dir, "events"), "ts", "events")
+    rows = {name: conform(derive.derive(events, columns), registry.get(name).schema) for name, columns in _TABLES.items()}
+    for stream in range(2):
+        part = F.pmod(F.xxhash64("raw"), F.lit(2)) == stream
+        append_batches({name: df.where(part) for name, df in rows.items()}, root, stream_batch(f"stream{stream}", 0))
     maintain.run(spark, root, _KEPT_DAYS, NOON)
     return _long_overview(stored.stored_overview(spark, derive.sources(spark, sf_dir), NOON, commits.latest(spark, root)))
 
