@@ -17,24 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
     with very many neighbours costs no more than its edges.
     """
     edges = settled(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = settled(
-        edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        .withColumn("label", F.col("node")),
-        "labels",
-    )
-    while edges.limit(1).count():
+    labels = None
+    while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         to = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         to = settled(to.select(F.col("a").alias("from"), "m"), "pointers")
         step = to.select(F.col("from").alias("m"), F.col("m").alias("m2"))
         far = to.join(step, "m").select("from", F.col("m2").alias("m"))
         to = settled(far.join(step, "m").select("from", F.col("m2").alias("m")), "pointers")
-        labels = settled(
-            labels.join(to, F.col("label") == F.col("from"), "left")
-            .select("node", F.coalesce("m", "label").alias("label")),
-            "labels",
-        )
+        if labels is None:  # in the first round every node has a pointer
+            labels = to.select(F.col("from").alias("node"), F.col("m").alias("label"))
+        else:
+            labels = settled(
+                labels.join(to, F.col("label") == F.col("from"), "left")
+                .select("node", F.coalesce("m", "label").alias("label")),
+                "labels",
+            )
         left = edges.join(to, F.col("a") == F.col("from")).select(F.col("m").alias("a"), "b")
         right = left.join(to, F.col("b") == F.col("from")).select("a", F.col("m").alias("b"))
         edges = settled(right.where("a <> b").distinct(), "edges")
-    return labels
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels

@@ -187,7 +187,7 @@ def _levels(chosen: DataFrame, rule: Jaccard) -> tuple[np.ndarray, float]:
 
     Each task counts its sets' shingles in a fixed number of slots, by hash; the counts are
     added up by slices of slots. Any order of shingles gives the same links, so slots shared
-    by chance cost speed only.
+    by chance cost speed only. The driver gets a byte a slot, and sums by level, not counts.
     """
     slots = 1 << SLOT_BITS
 
@@ -209,18 +209,29 @@ def _levels(chosen: DataFrame, rule: Jaccard) -> tuple[np.ndarray, float]:
         for batch in batches:
             for counts in batch.column(1):
                 total += np.frombuffer(unpack(counts.as_py()), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()])], names=["slice", "counts"])
+        level = np.round(8 * np.log2(1 + total)).clip(0, 255).astype(np.uint8)
+        sums = np.stack([np.bincount(level, total.astype(float) ** k, 256) for k in range(3)])
+        columns = [pa.array([key[0].as_py()]), *(pa.array([x.tobytes()]) for x in (level, sums))]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "levels", "sums"])
 
-    schema = "slice long, counts binary"
-    sums = chosen.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
-    counts = np.zeros(slots, np.uint64)  # without documents there are no slices
-    for row in sums.collect():
-        counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.uint64)
-    # Prefixes hold the rarest part of the shingles; what meets there by chance is taken off.
-    ranked, part = np.sort(counts), (rule.down - rule.up) / rule.down
-    rare = ranked[: 1 + int(np.searchsorted(np.cumsum(ranked), part * ranked.sum()))].astype(float)
-    list_length = max(1.0, (rare**2).sum() / max(rare.sum(), 1.0) - counts.mean())
-    return np.round(8 * np.log2(1 + counts)).clip(0, 255).astype(np.uint8), list_length
+    counted = chosen.mapInArrow(count, "slice long, counts binary").groupBy("slice")
+    levels, sums = np.zeros(slots, np.uint8), np.zeros((3, 256))  # without documents there are no slices
+    for row in counted.applyInArrow(add, "slice long, levels binary, sums binary").collect():
+        levels[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["levels"], np.uint8)
+        sums += np.frombuffer(row["sums"]).reshape(3, 256)
+    return levels, _list_length(sums, (rule.down - rule.up) / rule.down)
+
+
+def _list_length(sums: np.ndarray, part: float) -> float:
+    """Sets that a prefix shingle is met in, from slots, counts and squared counts of each level.
+
+    Prefixes hold the rarest part of the shingles; of the level in which it ends a share
+    counts. What meets by chance is taken off.
+    """
+    slots, counts, squares = sums
+    before = np.cumsum(counts) - counts
+    share = ((part * counts.sum() - before) / np.maximum(counts, 1.0)).clip(0, 1)
+    return max(1.0, (share @ squares) / max(share @ counts, 1.0) - counts.sum() / max(slots.sum(), 1.0))
 
 
 def light_boundary(classes: DataFrame, rule: Jaccard, list_length: float) -> int:
@@ -318,6 +329,13 @@ def _unsettled(entries: DataFrame, labels: DataFrame, rule: Jaccard) -> DataFram
     return settled(left.select("sig", "rid", "n", "pos", "label"), "unsettled")
 
 
+def _ranked(entries: DataFrame, labels: DataFrame, rule: Jaccard) -> DataFrame:
+    """The unsettled entries with their rank in their list, and how many that has."""
+    order = Window.partitionBy("sig").orderBy("pos", "rid")
+    ranked = _unsettled(entries, labels, rule).withColumn("rank", F.row_number().over(order))
+    return settled(ranked.withColumn("many", F.count("*").over(Window.partitionBy("sig"))), "ranked")
+
+
 def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
     # First every set meets one other: of the sets leading its lists, that which skips fewest.
     first = F.col("first")
@@ -327,13 +345,9 @@ def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
     pairs = started.groupBy("rid").agg(F.min(F.struct(first["pos"], first["rid"].alias("rid"))).alias("to"))
     tested = _verified(pairs.select(F.col("to.rid").alias("a"), F.col("rid").alias("b")), blocks, rule)
     labels = components(tested.where("linked"))
-    leading = 4
+    ranked, led, leading = _ranked(entries, labels, rule), 0, 4
     while True:
-        entries = _unsettled(entries, labels, rule)
-        order = Window.partitionBy("sig").orderBy("pos", "rid")
-        ranked = entries.withColumn("rank", F.row_number().over(order))
-        ranked = settled(ranked.withColumn("many", F.count("*").over(Window.partitionBy("sig"))), "ranked")
-        front = ranked.where(F.col("rank") <= leading).select(
+        front = ranked.where((F.col("rank") > led) & (F.col("rank") <= leading)).select(
             "sig", F.col("rid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("other"),
             F.col("label").alias("with"), F.col("rank").alias("r"),
         )
@@ -346,13 +360,16 @@ def _link(blocks: DataFrame, entries: DataFrame, rule: Jaccard) -> DataFrame:
             .join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
         )
         fresh = _verified(pairs.select(F.col("low").alias("a"), F.col("high").alias("b")), blocks, rule)
-        if fresh.where("linked").limit(1).count():
-            labels = components(tested.unionByName(fresh).where("linked"))
         tested = tested.unionByName(fresh)
+        linked = not fresh.where("linked").isEmpty()
+        if linked:
+            labels = components(tested.where("linked"))
         # Lists no longer than what led are compared in full.
-        entries = ranked.where(F.col("many") > leading)
-        if not entries.limit(1).count():
+        ranked = ranked.where(F.col("many") > leading)
+        if ranked.isEmpty():
             return labels
+        # Without new links, ranks stay and the sets that led have met all of their lists.
+        ranked, led = (_ranked(ranked, labels, rule), 0) if linked else (ranked, leading)
         leading *= 4
 
 

@@ -3,10 +3,13 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logharrow.llm import lines, mixing, ngram_join, tokens, warc
+from logharrow.llm.blocks import block_table
+from logharrow.llm.components import components
 from logharrow.llm.exact import DigestIndex
 from logharrow.session import work_dir
 
@@ -146,3 +149,48 @@ def test_frequent_pre_tokens_shuffle_nothing(spark, sampled):
     docs = spark.createDataFrame([(i, f"the the the word{i} of") for i in range(200)], "id long, text string")
     found = tokens.frequent_pre_tokens(docs, 2, sampled)
     assert len(found) <= 2 and (sampled < 10_000 or found[0] == "the")
+
+
+def test_levels_reach_the_driver_as_bytes(spark, monkeypatch):
+    """The driver got 8 bytes a slot and sorted them; now it gets one, and the same estimate from sums by level."""
+    draw = random.Random(5)
+    texts = [" ".join(f"w{int(draw.paretovariate(1)) % 500}" for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = ngram_join.Jaccard(1, 80, 100)
+    blocks = block_table(docs, "doc_id", "text")
+    chosen = ngram_join._with_rows(blocks, ngram_join._stats(blocks, rule).select("rid"))
+    got, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.extend(rows := collect(df)) or rows)
+    levels, length = ngram_join._levels(chosen, rule)
+    assert sum(len(v) for row in got for v in row if isinstance(v, (bytes, bytearray))) < 3 << 20
+    counts = np.zeros(1 << ngram_join.SLOT_BITS, np.int64)
+    for text in texts:
+        for token in ngram_join.shingle_sets(text.encode(), [len(text.encode())], 1)[0]:
+            counts[int(token) >> (64 - ngram_join.SLOT_BITS)] += 1
+    assert (levels == np.round(8 * np.log2(1 + counts))).all()
+    ranked = np.sort(counts)
+    rare = ranked[: 1 + int(np.searchsorted(np.cumsum(ranked), 0.2 * ranked.sum()))].astype(float)
+    assert length == pytest.approx((rare**2).sum() / rare.sum() - counts.mean(), rel=0.05)
+
+
+def test_rounds_without_links_rank_nothing_again(spark, monkeypatch):
+    draw = random.Random(8)
+    pool = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.sample(pool, 20))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "light_boundary", lambda *_: 0)
+    rounds, ranked = [], []
+    for name, calls in (("_verified", rounds), ("_unsettled", ranked)):
+        monkeypatch.setattr(ngram_join, name, lambda *a, f=getattr(ngram_join, name), calls=calls: calls.append(1) or f(*a))
+    found = ngram_join.ngram_components(docs, ngram_join.Jaccard(1, 80, 100)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute.components(rows, 1, 80, 100)
+    assert len(rounds) > 2 and len(ranked) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 60])
+def test_components_of_a_path(spark, n):
+    nodes = list(range(n + 1))
+    random.Random(1).shuffle(nodes)
+    links = [(nodes[i], nodes[i + 1]) for i in range(n)]
+    found = components(spark.createDataFrame([*links, (-5, -5)], "a long, b long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 0) for i in range(n + 1) if n]
