@@ -1,12 +1,15 @@
 """Removal of byte strings that an earlier document has, by expanding intervals on a BWT.
 
-A string of 50 bytes has 35 windows of 16 bytes; the one of least hash is its anchor.
-Equal strings have equal anchors, so documents meet by anchors alone: anchors of at least
-two documents are found first, by 32-bit tags, and only the surroundings of those, the
-bytes of all strings that have the anchor, are compared. Equal surroundings are merged in
-their block and again where they meet; there a Burrows-Wheeler transform of the distinct ones
-is walked, and gives for each 50-byte string the smallest document that has it. The strings
-of anchors with very many different surroundings are dealt out by their own hash instead.
+A string of 50 bytes has 35 windows of 16 bytes; the one of least hash is its anchor, of
+tied ones the first. Equal strings have equal anchors, at equal places, so documents meet by
+anchors alone. A string also has the 33 bytes that end with its anchor or those that begin
+with it. Which of these at least two documents have is found first, by 28-bit tags, and only
+the surroundings of their anchors, the bytes of all strings that have them, are compared.
+Where these lie is stored; their bytes are taken from the texts when they are sent. Equal
+surroundings are merged in their block and again where they meet; there a Burrows-Wheeler
+transform of the distinct ones is walked, and gives for each 50-byte string the smallest
+document that has it. The strings of anchors with very many different surroundings are dealt
+out by their own hash instead.
 """
 
 from __future__ import annotations
@@ -33,21 +36,31 @@ TRANSFORM_BYTES = 1 << 18
 # Different surroundings from which an anchor is hot: its strings are dealt out one by one.
 HOT = 1 << 13
 PIECE = 1 << 20
+# Bits of a window's hash that give way to its place among two pieces, so that of tied windows the first is least.
+PLACE_BITS = U(22)
+TAG_BITS = U(28)
+# Bytes of surroundings, of one block or several, from which a task sends what it holds to the parts.
+BUNDLE_BYTES = 16 << 20
 # Stands behind every document: what has no id is earlier than none.
 LAST = np.iinfo(np.int64).max
 RUN = "part long, block long, payload binary"
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors in a block: places, ascending, their hashes, and where the strings they
-    stand for start first and last.
+def anchors(
+    data: np.ndarray, sizes: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in a block: places, ascending, where the strings they stand for start first and
+    last, and hashes of the bytes before and behind them.
 
-    Of tied windows all are anchors, so the choice depends on nothing but the bytes.
+    A string has one anchor, of tied windows the first, so the choice depends on nothing but
+    its bytes. Strings that start ``half`` before the anchor or earlier have all bytes of the
+    first hash, the others all of the second; a hash is 0 if there is no such string.
     Documents, and pieces of long ones that share their ends, are taken together up to a
     bounded size; no string runs across two of them.
     """
     span = length - GRAM + 1
-    places, hashes, firsts, lasts = [], [], [], []
+    half = span // 2
+    places, firsts, lasts, before, behind = [], [], [], [], []
     ends = np.cumsum(sizes)
     group: list[tuple[int, int]] = []
 
@@ -59,24 +72,25 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
         origin = np.repeat(np.array([a for a, _ in group]) - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         end = np.repeat(np.cumsum(size), size)
         grams = window_hashes(part, GRAM)
+        grams = grams >> PLACE_BITS << PLACE_BITS | np.arange(len(grams), dtype=U)
         least = sliding(grams, span, np.minimum)
         # A string that runs over the end of its document counts for nothing.
-        least[np.arange(len(least)) + length > end[: len(least)]] = 0
-        edge = np.zeros(span - 1, np.uint64)
-        best = sliding(np.concatenate([edge, least, edge]), span, np.maximum)
-        chosen = np.flatnonzero((best == grams) & (best > 0))
-        change = np.flatnonzero(least[1:] != least[:-1]) + 1
-        first, last = np.concatenate([[0], change]), np.append(change, len(least)) - 1
-        first, last = first[least[first] > 0], last[least[first] > 0]
-        if len(first) != len(chosen) or (least[first] != grams[chosen]).any():
-            # Ties: all strings around an anchor that lie in its document.
-            begin = np.repeat(np.cumsum(size) - size, size)
-            first = np.maximum(chosen - (span - 1), begin[chosen])
-            last = np.minimum(chosen, end[chosen] - length)
-        places.append(chosen + origin[chosen])
-        hashes.append(grams[chosen])
-        firsts.append(first + origin[chosen])
-        lasts.append(last + origin[chosen])
+        start = np.flatnonzero(np.arange(len(least)) + length <= end[: len(least)])
+        place = (least[start] & (U(1) << PLACE_BITS) - U(1)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        place, first, last = place[np.append(0, cuts)], start[np.append(0, cuts)], start[np.append(cuts, len(start)) - 1]
+        wide = window_hashes(part, GRAM + half)
+        has = first <= place - half
+        left = np.zeros(len(place), U)
+        left[has] = np.maximum(wide[place[has] - half], U(1))
+        has = last > place - half
+        right = np.zeros(len(place), U)
+        right[has] = np.maximum(~wide[place[has]], U(1))
+        places.append(place + origin[place])
+        firsts.append(first + origin[place])
+        lasts.append(last + origin[place])
+        before.append(left)
+        behind.append(right)
         group.clear()
 
     held = 0
@@ -91,17 +105,46 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     flush()
     if not places:
         none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none
-    place, at, back = np.unique(np.concatenate(places), return_index=True, return_inverse=True)
+        return none, none, none, np.zeros(0, U), np.zeros(0, U)
+    place, back = np.unique(np.concatenate(places), return_inverse=True)
     first, last = np.full(len(place), LAST), np.full(len(place), -1)
+    left, right = np.zeros(len(place), U), np.zeros(len(place), U)
     np.minimum.at(first, back, np.concatenate(firsts))
     np.maximum.at(last, back, np.concatenate(lasts))
-    return place, np.concatenate(hashes)[at], first, last
+    np.maximum.at(left, back, np.concatenate(before))
+    np.maximum.at(right, back, np.concatenate(behind))
+    return place, first, last, left, right
+
+
+def hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes of the anchors at these places."""
+    if not len(places):
+        return np.zeros(0, U)
+    return window_hashes(data[places[:, None] + np.arange(GRAM)].ravel(), GRAM)[::GRAM]
+
+
+def slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one behind the other."""
+    sizes = sizes.astype(np.int64)
+    return data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
 
 
 def home(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The part an anchor belongs to, and its tag there."""
-    return ((hashes >> U(32)) % U(parts)).astype(np.int64), (hashes & U(0xFFFFFFFF)).astype(np.uint32)
+    return ((hashes >> U(32)) % U(parts)).astype(np.int64), (hashes & (U(1) << TAG_BITS) - U(1)).astype(np.uint32)
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """The steps between numbers, their first bytes one behind the other, then their second ones, and so on: these compress."""
+    bits = values.itemsize * 8
+    step = np.diff(values, prepend=values.dtype.type(0)).view(f"i{values.itemsize}")
+    return ((step << 1) ^ (step >> (bits - 1))).view(np.uint8).reshape(-1, values.itemsize).T
+
+
+def from_planes(data: np.ndarray, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    code = np.ascontiguousarray(data.reshape(size, -1).T).view(f"u{size}").ravel()
+    return np.cumsum((code >> 1) ^ -(code & 1), dtype=f"u{size}").view(kind)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -138,25 +181,25 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _tags(blocks: DataFrame, parts: int, length: int) -> DataFrame:
-    """Per block and part the distinct tags, and whether two of the block's documents have one."""
+    """Per block and part the distinct tags of bytes around anchors, and whether two of the block's documents have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes = np.array(batch.column(2)[i].as_py(), np.int64)
                 data = np.frombuffer(unpack(batch.column(3)[i].as_py()), np.uint8)
-                place, hashes, _, _ = anchors(data, sizes, length)
+                place, _, _, left, right = anchors(data, sizes, length)
                 doc = np.searchsorted(np.cumsum(sizes), place, "right")
-                part, tag = home(hashes, parts)
-                rows = []
-                for p, at in by_part(part):
-                    order = np.lexsort((doc[at], tag[at]))
-                    t, d = tag[at][order], doc[at][order]
-                    new = np.concatenate([[True], t[1:] != t[:-1]])
-                    starts = np.flatnonzero(new)
-                    several = d[np.append(starts[1:], len(t)) - 1] != d[starts]
-                    rows.append((p, batch.column(0)[i].as_py(), packed(t[starts], several)))
-                yield batch_of(rows)
+                part, tag = home(np.concatenate([left[left > 0], right[right > 0]]), parts)
+                doc = np.concatenate([doc[left > 0], doc[right > 0]])
+                key = part << np.int64(TAG_BITS) | tag
+                order = np.argsort(key)
+                key, doc = key[order], doc[order]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(key) else np.zeros(0, bool)
+                tag = tag[order][starts]
+                block = batch.column(0)[i].as_py()
+                yield batch_of([(p, block, packed(planes(tag[at]), several[at])) for p, at in by_part(part[order][starts])])
 
     return blocks.mapInArrow(run, RUN)
 
@@ -168,7 +211,8 @@ def _shared_tags(tags: DataFrame) -> DataFrame:
         blocks, lists, several = [], [], []
         for batch in batches:
             for block, payload in zip(batch.column(1), batch.column(2)):
-                tag, twice = unpacked(payload.as_py(), np.uint32, bool)
+                tag, twice = unpacked(payload.as_py(), np.uint8, bool)
+                tag = from_planes(tag, np.uint32)
                 blocks.append(block.as_py())
                 lists.append(tag)
                 several.append(tag[twice])
@@ -176,64 +220,132 @@ def _shared_tags(tags: DataFrame) -> DataFrame:
         shared = np.union1d(every[1:][every[1:] == every[:-1]], np.concatenate(several))
         rows = []
         for block, tag in zip(blocks, lists):
-            kept = tag[np.isin(tag, shared, assume_unique=True)]
+            kept = tag[_among(tag, shared)]
             if len(kept):
-                rows.append((key[0].as_py(), block, packed(kept)))
+                rows.append((key[0].as_py(), block, packed(planes(kept))))
         yield batch_of(rows)
 
     return tags.groupBy("part").applyInArrow(run, RUN)
 
 
-def _surroundings(blocks: DataFrame, shared: DataFrame, parts: int, length: int) -> DataFrame:
-    """Distinct surroundings of shared anchors per block and part; as part -1 where they lie.
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the ascending ones have."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
 
-    A payload of a part has, per surrounding: hash of the anchor, its place in it, length,
-    smallest document, and the bytes. That of part -1 has the place and length of each
-    occurrence and which part's which surrounding it is.
+def _lying(blocks: DataFrame, shared: DataFrame, parts: int, length: int) -> DataFrame:
+    """Where the surroundings of shared anchors lie in a block, and which are equal.
+
+    As part -1 the start and length of each occurrence, the place of the anchor in it, and
+    which of the block's distinct surroundings, numbered as they come, it is. As part -2
+    the anchors with several distinct ones in the block, and how many.
     """
     lists = shared.groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("shared"))
+    half = (length - GRAM + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, sizes = (batch.column(k)[i].as_py() for k in range(2))
+                text = unpack(batch.column(2)[i].as_py())
+                data = np.frombuffer(text, np.uint8)
+                place, start, last, left, right = anchors(data, np.array(sizes, np.int64), length)
+                known = {row["part"]: from_planes(unpacked(row["payload"], np.uint8)[0], np.uint32) for row in batch.column(3)[i].as_py()}
+                wanted = []
+                for hashes in (left, right):
+                    part, tag = home(hashes, parts)
+                    has = np.zeros(len(place), bool)
+                    for p, at in by_part(part):
+                        if p in known:
+                            has[at] = _among(tag[at], known[p])
+                    wanted.append(has & (hashes > 0))
+                # Strings whose bytes on that side no other document has are left out.
+                start = np.where(wanted[0], start, np.maximum(start, place - half + 1))
+                last = np.where(wanted[1], last, np.minimum(last, place - half))
+                kept = wanted[0] | wanted[1]
+                place, start, stop = place[kept], start[kept], last[kept] + length
+                seen: dict[tuple[bytes, int], int] = {}
+                number = np.array(
+                    [seen.setdefault((text[s:e], a - s), len(seen)) for a, s, e in zip(place.tolist(), start.tolist(), stop.tolist())],
+                    np.int32,
+                )
+                new = np.diff(np.maximum.accumulate(number), prepend=-1) > 0
+                hashes, n = np.unique(hashes_at(data, place[new]), return_counts=True)
+                yield batch_of([
+                    (-1, block, packed(
+                        planes(start), (stop - start).astype(np.uint8), (place - start).astype(np.uint8),
+                        planes(np.where(new, 0, np.cumsum(new) - number).astype(np.int32)),
+                    )),
+                    (-2, block, packed(hashes[n > 1], n[n > 1].astype(np.int64))),
+                ])
+
+    return blocks.join(lists, "block").select("block", "sizes", "payload", "shared").mapInArrow(run, RUN)
+
+
+def places(lies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, places of anchors and numbers of the occurrences of a block."""
+    start, size, offset, number = unpacked(lies, np.uint8, np.uint8, np.uint8, np.uint8)
+    start, back = from_planes(start, np.int64), from_planes(number, np.int32)
+    return start, size.astype(np.int64), offset.astype(np.int64), np.cumsum(back == 0) - np.maximum(back, 1)
+
+
+def firsts(number: np.ndarray) -> np.ndarray:
+    """The first occurrence of each number."""
+    return np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+
+
+def _surroundings(blocks: DataFrame, where: DataFrame, parts: int) -> DataFrame:
+    """Distinct surroundings of shared anchors per part, of a block or several.
+
+    A payload has the blocks, how many surroundings are of each, and per surrounding the place
+    of the anchor in it, length, smallest document, and the bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def bundle() -> pa.RecordBatch:
+            part, block, offset, size, low, bodies = map(np.concatenate, zip(*held))
+            begin = np.cumsum(size) - size
+            rows = []
+            for p, at in by_part(part):
+                change = np.flatnonzero(np.concatenate([[True], np.diff(block[at]) != 0]))
+                rows.append((p, -1, packed(
+                    block[at][change], np.diff(np.append(change, len(at))), offset[at].astype(np.uint8),
+                    size[at].astype(np.uint8), planes(low[at]), slices(bodies, begin[at], size[at]),
+                )))
+            held.clear()
+            return batch_of(rows)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 block, ids, sizes = (batch.column(k)[i].as_py() for k in range(3))
-                text = unpack(batch.column(3)[i].as_py())
+                data = np.frombuffer(unpack(batch.column(3)[i].as_py()), np.uint8)
+                start, size, offset, number = places(batch.column(4)[i].as_py())
+                first = firsts(number)
+                if not len(first):
+                    continue
                 ids = np.array([LAST if x is None else x for x in ids], np.int64)
-                ends = np.cumsum(np.array(sizes, np.int64))
-                place, hashes, start, last = anchors(np.frombuffer(text, np.uint8), np.array(sizes, np.int64), length)
-                part, tag = home(hashes, parts)
-                wanted = np.zeros(len(place), bool)
-                known = {row["part"]: row["payload"] for row in batch.column(4)[i].as_py()}
-                for p, at in by_part(part):
-                    if p in known:
-                        wanted[at] = np.isin(tag[at], unpacked(known[p], np.uint32)[0])
-                place, hashes, part = place[wanted], hashes[wanted], part[wanted]
-                start, stop = start[wanted], last[wanted] + length
-                doc = np.searchsorted(ends, place, "right")
-                number = np.zeros(len(place), np.int64)
-                rows = []
-                for p, at in by_part(part):
-                    seen: dict[tuple[bytes, int], int] = {}
-                    first: list[int] = []
-                    low: list[int] = []
-                    for j, a, s, e, d in zip(at, place[at].tolist(), start[at].tolist(), stop[at].tolist(), ids[doc[at]].tolist()):
-                        key = (text[s:e], a - s)
-                        k = seen.setdefault(key, len(first))
-                        number[j] = k
-                        if k == len(first):
-                            first.append(j)
-                            low.append(d)
-                        elif d < low[k]:
-                            low[k] = d
-                    joined = np.frombuffer(b"".join(body for body, _ in seen), np.uint8)
-                    size = (stop - start)[first].astype(np.uint8)
-                    rows.append((p, block, packed(hashes[first], (place - start)[first].astype(np.uint8), size, np.array(low, np.int64), joined)))
-                size = (stop - start).astype(np.uint8)
-                steps = lambda x: np.diff(x, prepend=0).astype(np.int64)
-                rows.append((-1, block, packed(steps(start), size, doc.astype(np.int32), part, number.astype(np.int32))))
-                yield batch_of(rows)
+                low = np.full(len(first), LAST)
+                np.minimum.at(low, number, ids[np.searchsorted(np.cumsum(np.array(sizes, np.int64)), start, "right")])
+                start, size, offset = start[first], size[first], offset[first]
+                part, _ = home(hashes_at(data, start + offset), parts)
+                held.append((part, np.full(len(first), block), offset, size, low, slices(data, start, size)))
+                if sum(len(x[-1]) for x in held) >= BUNDLE_BYTES:
+                    yield bundle()
+        if held:
+            yield bundle()
+
+    return blocks.join(where, "block").select("block", "ids", "sizes", "payload", "lies").mapInArrow(run, RUN)
+
 
-    return blocks.join(lists, "block").select("block", "ids", "sizes", "payload", "shared").mapInArrow(run, RUN)
+def surroundings_of(payload: bytes) -> tuple[np.ndarray, ...]:
+    """Blocks, how many surroundings each has, hashes and places of anchors, lengths, smallest documents, and the bytes."""
+    blocks, counts, offset, size, low, joined = unpacked(payload, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
+    size = size.astype(np.int64)
+    return blocks, counts, hashes_at(joined, np.cumsum(size) - size + offset), offset, size, from_planes(low, np.int64), joined
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -302,7 +414,7 @@ def earlier_strings(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, lengt
     return bits
 
 
-def _hot_anchors(surroundings: DataFrame) -> tuple[np.ndarray, int]:
+def _hot_anchors(lying: DataFrame) -> tuple[np.ndarray, int]:
     """Anchors with over ``HOT`` surroundings, ascending, and the number of those.
 
     Surroundings are counted per block; where a block has only one of an anchor it is left
@@ -312,11 +424,10 @@ def _hot_anchors(surroundings: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0):
-                hashes, n = np.unique(unpacked(payload.as_py(), U)[0], return_counts=True)
-                columns = [hashes[n > 1].view(np.int64), n[n > 1].astype(np.int64)]
+                columns = unpacked(payload.as_py(), np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "n"])
 
-    counts = surroundings.where("part >= 0").select("payload").mapInArrow(run, "anchor long, n long")
+    counts = lying.where("part = -2").select("payload").mapInArrow(run, "anchor long, n long")
     # Few by definition: each stands for over HOT surroundings.
     found = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect()
     return np.sort(np.array([r.anchor for r in found], np.int64).view(U)), sum(r.n for r in found)
@@ -325,32 +436,36 @@ def _hot_anchors(surroundings: DataFrame) -> tuple[np.ndarray, int]:
 def _hot_strings(surroundings: DataFrame, hot: np.ndarray, parts: int, length: int) -> DataFrame:
     """The single strings of hot anchors, dealt out by their hash.
 
-    ``part`` is where a string is dealt to; a payload has, per string: the part and number of
-    the surrounding, its place in it, its document, and the bytes.
+    ``part`` is where a string is dealt to; a payload has the part of the surroundings, the
+    blocks, how many strings are of each, and per string: the number of the surrounding among
+    those of its block and part, its place in it, its document, and the bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for home_part, block, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                hashes, _, size, docs, joined = unpacked(payload, U, np.uint8, np.uint8, np.int64, np.uint8)
-                number = np.flatnonzero(np.isin(hashes, hot))
-                if not len(number):
+            for home_part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blocks, counts, hashes, _, size, docs, joined = surroundings_of(payload)
+                index = np.flatnonzero(_among(hashes, hot))
+                if not len(index):
                     continue
-                each = size[number].astype(np.int64) - length + 1
-                begin = (np.cumsum(size, dtype=np.int64) - size)[number]
-                number = np.repeat(number, each)
-                place = np.arange(len(number)) - np.repeat(np.cumsum(each) - each, each)
+                each = size[index] - length + 1
+                begin = (np.cumsum(size) - size)[index]
+                index = np.repeat(index, each)
+                place = np.arange(len(index)) - np.repeat(np.cumsum(each) - each, each)
                 start = np.repeat(begin, each) + place
+                owner = np.repeat(np.arange(len(blocks)), counts)[index]
+                number = index - (np.cumsum(counts) - counts)[owner]
                 to = (window_hashes(joined, length)[start] % U(parts)).astype(np.int64)
                 rows = []
                 for p, at in by_part(to):
                     body = joined[start[at][:, None] + np.arange(length)]
-                    rows.append((p, block, packed(
-                        np.array([home_part]), number[at].astype(np.int32), place[at].astype(np.uint8), docs[number[at]], body
+                    own, n = np.unique(owner[at], return_counts=True)
+                    rows.append((p, -1, packed(
+                        np.array([home_part]), blocks[own], n, number[at].astype(np.int32), place[at].astype(np.uint8), planes(docs[index[at]]), body
                     )))
                 yield batch_of(rows)
 
-    return surroundings.where("part >= 0").select("part", "block", "payload").mapInArrow(run, RUN)
+    return surroundings.select("part", "payload").mapInArrow(run, RUN)
 
 
 def _hot_answers(strings: DataFrame, length: int) -> DataFrame:
@@ -359,26 +474,32 @@ def _hot_answers(strings: DataFrame, length: int) -> DataFrame:
     ``part`` is -1 less the part of the surroundings.
     """
 
+    def read(payload: bytes) -> list[np.ndarray]:
+        part, blocks, counts, number, place, docs, joined = unpacked(
+            payload, np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8
+        )
+        return [part, blocks, counts, number, place, from_planes(docs, np.int64), joined.tobytes()]
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[bytes, int] = {}
         held = []
         for batch in batches:
-            for block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                part, number, place, docs, joined = unpacked(payload, np.int64, np.int32, np.uint8, np.int64, np.uint8)
-                raw = joined.tobytes()
+            for payload in batch.column(2).to_pylist():
+                *_, docs, raw = read(payload)
                 for i, d in enumerate(docs.tolist()):
                     body = raw[i * length : (i + 1) * length]
                     if d < low.setdefault(body, d):
                         low[body] = d
-                held.append((block, payload))
+                held.append(payload)
         rows = []
-        for block, payload in held:
-            part, number, place, docs, joined = unpacked(payload, np.int64, np.int32, np.uint8, np.int64, np.uint8)
-            raw = joined.tobytes()
+        for payload in held:
+            part, blocks, counts, number, place, docs, raw = read(payload)
             least = np.array([low[raw[i * length : (i + 1) * length]] for i in range(len(docs))], np.int64)
             hit = least < docs
-            if hit.any():
-                rows.append((-1 - int(part[0]), block, packed(number[hit], place[hit])))
+            cuts = np.cumsum(counts).tolist()
+            for block, a, b in zip(blocks.tolist(), [0, *cuts], cuts):
+                if hit[a:b].any():
+                    rows.append((-1 - int(part[0]), block, packed(number[a:b][hit[a:b]], place[a:b][hit[a:b]])))
         yield batch_of(rows)
 
     return strings.groupBy("part").applyInArrow(run, RUN)
@@ -394,13 +515,13 @@ def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame
         seen: dict[tuple[bytes, int], int] = {}
         anchor: list[int] = []
         low: list[int] = []
-        blocks, numbers, alone = [], [], []
+        parted, numbers, alone = [], [], []
         for batch in batches:
-            for block, payload in zip(batch.column(1), batch.column(2)):
-                hashes, offset, size, docs, joined = unpacked(payload.as_py(), U, np.uint8, np.uint8, np.int64, np.uint8)
-                stop = np.cumsum(size, dtype=np.int64).tolist()
+            for payload in batch.column(2):
+                blocks, counts, hashes, offset, size, docs, joined = surroundings_of(payload.as_py())
+                stop = np.cumsum(size).tolist()
                 raw, number, s = joined.tobytes(), [], 0
-                skip = np.isin(hashes, hot)
+                skip = _among(hashes, hot)
                 for h, o, e, d, apart in zip(hashes.tolist(), offset.tolist(), stop, docs.tolist(), skip.tolist()):
                     if apart:
                         number.append(-1)
@@ -414,7 +535,7 @@ def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame
                         low[k] = d
                     number.append(k)
                     s = e
-                blocks.append(block.as_py())
+                parted.append((blocks.tolist(), np.cumsum(counts).tolist()))
                 numbers.append(np.array(number, np.int64))
                 alone.append(docs[skip])
         bodies = [body for body, _ in seen]
@@ -426,13 +547,14 @@ def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame
             text = np.frombuffer(b"".join(bodies[k] for k in some), np.uint8)
             bits[some] = earlier_strings(text, np.array([len(bodies[k]) for k in some]), least[some], length)
         rows = []
-        for block, k, docs in zip(blocks, numbers, alone):
+        for (blocks, cuts), k, docs in zip(parted, numbers, alone):
             own = least[k]
             own[k < 0] = docs
-            rows.append((key[0].as_py(), block, packed(own, bits[k])))
+            for block, a, b in zip(blocks, [0, *cuts], cuts):
+                rows.append((key[0].as_py(), block, packed(own[a:b], bits[k[a:b]])))
         yield batch_of(rows)
 
-    return surroundings.where("part >= 0").groupBy("part").applyInArrow(run, RUN)
+    return surroundings.groupBy("part").applyInArrow(run, RUN)
 
 
 def _portions(anchor: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -470,14 +592,15 @@ def repeated_bytes(
     total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     shared = settled(_shared_tags(_tags(blocks, parts, length)), "tags")
-    around = settled(_surroundings(blocks, shared, parts, length), "surroundings")
-    hot, n_hot = _hot_anchors(around)
+    lying = settled(_lying(blocks, shared, parts, length), "surroundings")
+    hot, n_hot = _hot_anchors(lying)
+    where = lying.where("part = -1").select("block", F.col("payload").alias("lies"))
+    around = _surroundings(blocks, where, parts)
     answers = _answers(around, length, hot)
     if len(hot):
         hot_parts = max(1, -(-n_hot * (length - GRAM + 1) * length // PART_BYTES))
         answers = answers.union(_hot_answers(_hot_strings(around, hot, hot_parts, length), length))
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("answers"))
-    where = around.where("part = -1").select("block", F.col("payload").alias("lies"))
     joined = blocks.join(where.join(answers, "block"), "block", "left")
     span = length - GRAM + 1
 
@@ -488,9 +611,11 @@ def repeated_bytes(
                 text = np.frombuffer(unpack(payload), np.uint8)
                 goes = np.zeros(len(text) + 1, np.int32)
                 if lies:
-                    step, size, doc, part, number = unpacked(lies, np.int64, np.uint8, np.int32, np.int64, np.int32)
-                    start = np.cumsum(step)
+                    start, size, offset, number = places(lies)
+                    first = firsts(number)
+                    doc = np.searchsorted(np.cumsum(np.array(sizes, np.int64)), start, "right")
                     own = np.array([LAST if x is None else x for x in ids], np.int64)[doc]
+                    part, _ = home(hashes_at(text, (start + offset)[first]), parts)
                     found = {row["part"]: unpacked(row["payload"], np.int64, U) for row in given if row["part"] >= 0}
                     for row in given:
                         if row["part"] < 0:
@@ -499,10 +624,10 @@ def repeated_bytes(
                             bit = bit.copy()
                             np.bitwise_or.at(bit, n, U(1) << k.astype(U))
                             found[-1 - row["part"]] = [low, bit]
-                    least, bits = np.zeros(len(start), np.int64), np.zeros(len(start), U)
+                    least, bits = np.zeros(len(first), np.int64), np.zeros(len(first), U)
                     for p, at in by_part(part):
-                        low, bit = found[p]
-                        least[at], bits[at] = low[number[at]], bit[number[at]]
+                        least[at], bits[at] = found[p]
+                    least, bits = least[number], bits[number]
                     later = own > least
                     np.add.at(goes, start[later], 1)
                     np.add.at(goes, start[later] + size[later], -1)

@@ -392,6 +392,46 @@ def test_repeated_bytes_around_a_hot_anchor(spark, monkeypatch):
     assert len(found[0][0]) and found[0][1] > 500
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_repeated_bytes_stores_less_than_the_texts(spark, monkeypatch, copied):
+    """Where strings lie is stored, not the strings; bytes around an anchor that no other document has are not compared."""
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnop") for _ in range(n))
+    phrases = [word(24) for _ in range(40)]  # short of a string of 50 bytes, and of its half
+    texts = ["".join(word(40) + draw.choice(phrases) for _ in range(50)) for _ in range(60)]
+    rows = list(enumerate(texts + [t[100:] for t in texts] * copied))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stored, settled = [], suffixes.settled
+
+    def measured(df, purpose):
+        out = settled(df, purpose)
+        stored.append(sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(suffixes, "settled", measured)
+    got = result(suffixes.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.repeats(rows)
+    assert sum(stored) < sum(len(t) for _, t in rows) * (0.9 if copied else 0.2)
+
+
+def test_first_of_tied_windows_is_the_anchor():
+    """In a text of a short period most windows are tied: a string has one anchor even so."""
+    for unit in (b"a", b"Eau ", b"abcdefghijk"):
+        text = np.frombuffer(unit * 50, np.uint8)
+        _, first, last, *_ = suffixes.anchors(text, np.array([len(text)]), 50)
+        assert (last - first + 1).sum() == len(text) - 49
+        assert first.tolist() == [0, *(last[:-1] + 1)]
+
+
+def test_numbers_in_planes_come_back():
+    draw = random.Random(3)
+    for kind in (np.int32, np.int64, np.uint32):
+        bounds = np.iinfo(kind)
+        for n in (0, 1, 50):
+            values = np.array([draw.choice([bounds.min, bounds.max, 0, 1, 5, 70_000]) for _ in range(n)], kind)
+            assert suffixes.from_planes(np.frombuffer(suffixes.planes(values).tobytes(), np.uint8), kind).tolist() == values.tolist()
+
+
 def test_transform_gives_common_prefixes():
     draw = random.Random(2)
     for size in (1, 2, 5, 40, 300):
