@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view as windows
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,15 @@ PART_BYTES = 32 << 20
 TRANSFORM_BYTES = 1 << 18
 # Different surroundings from which an anchor is hot: its strings are dealt out one by one.
 HOT = 1 << 13
-PIECE = 1 << 20
+# Bytes looked through at a time are at most two pieces, so that their hashes stay in a core's cache.
+PIECE = 1 << 15
 # Bits of a window's hash that give way to its place among two pieces, so that of tied windows the first is least.
 PLACE_BITS = U(22)
 TAG_BITS = U(28)
 # Bytes of surroundings, of one block or several, from which a task sends what it holds to the parts.
 BUNDLE_BYTES = 16 << 20
+# Surroundings or anchors handled at a time where each takes an index per byte.
+ROWS = 1 << 12
 # Stands behind every document: what has no id is earlier than none.
 LAST = np.iinfo(np.int64).max
 RUN = "part long, block long, payload binary"
@@ -118,15 +122,19 @@ def anchors(
 
 def hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The hashes of the anchors at these places."""
-    if not len(places):
-        return np.zeros(0, U)
-    return window_hashes(data[places[:, None] + np.arange(GRAM)].ravel(), GRAM)[::GRAM]
+    out = np.zeros(len(places), U)
+    for k in range(0, len(places), ROWS):
+        out[k : k + ROWS] = window_hashes(windows(data, GRAM)[places[k : k + ROWS]].ravel(), GRAM)[::GRAM]
+    return out
 
 
 def slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Stretches of an array, one behind the other."""
-    sizes = sizes.astype(np.int64)
-    return data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+    out = [data[:0]]
+    for k in range(0, len(starts), ROWS):
+        size = sizes[k : k + ROWS]
+        out.append(data[np.arange(size.sum()) + np.repeat(starts[k : k + ROWS] - (np.cumsum(size) - size), size)])
+    return np.concatenate(out)
 
 
 def home(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,8 +304,20 @@ def firsts(number: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
 
 
-def _surroundings(blocks: DataFrame, where: DataFrame, parts: int) -> DataFrame:
-    """Distinct surroundings of shared anchors per part, of a block or several.
+def owners(ids: list, sizes: list, starts: np.ndarray) -> np.ndarray:
+    """The documents of places in a block."""
+    return np.array([LAST if x is None else x for x in ids], np.int64)[np.searchsorted(np.cumsum(np.array(sizes, np.int64)), starts, "right")]
+
+
+def earliest(number: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest document of each number."""
+    low = np.full(number.max(initial=-1) + 1, LAST)
+    np.minimum.at(low, number, docs)
+    return low
+
+
+def _surroundings(blocks: DataFrame, where: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """Distinct surroundings of shared anchors per part, of a block or several; those of hot anchors are left out.
 
     A payload has the blocks, how many surroundings are of each, and per surrounding the place
     of the anchor in it, length, smallest document, and the bytes.
@@ -325,14 +345,14 @@ def _surroundings(blocks: DataFrame, where: DataFrame, parts: int) -> DataFrame:
                 data = np.frombuffer(unpack(batch.column(3)[i].as_py()), np.uint8)
                 start, size, offset, number = places(batch.column(4)[i].as_py())
                 first = firsts(number)
-                if not len(first):
+                hashes = hashes_at(data, (start + offset)[first])
+                warm = ~_among(hashes, hot)
+                if not warm.any():
                     continue
-                ids = np.array([LAST if x is None else x for x in ids], np.int64)
-                low = np.full(len(first), LAST)
-                np.minimum.at(low, number, ids[np.searchsorted(np.cumsum(np.array(sizes, np.int64)), start, "right")])
-                start, size, offset = start[first], size[first], offset[first]
-                part, _ = home(hashes_at(data, start + offset), parts)
-                held.append((part, np.full(len(first), block), offset, size, low, slices(data, start, size)))
+                low = earliest(number, owners(ids, sizes, start))[warm]
+                start, size, offset = (x[first[warm]] for x in (start, size, offset))
+                part, _ = home(hashes[warm], parts)
+                held.append((part, np.full(len(part), block), offset, size, low, slices(data, start, size)))
                 if sum(len(x[-1]) for x in held) >= BUNDLE_BYTES:
                     yield bundle()
         if held:
@@ -433,52 +453,54 @@ def _hot_anchors(lying: DataFrame) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r.anchor for r in found], np.int64).view(U)), sum(r.n for r in found)
 
 
-def _hot_strings(surroundings: DataFrame, hot: np.ndarray, parts: int, length: int) -> DataFrame:
+def _hot_strings(blocks: DataFrame, where: DataFrame, hot: np.ndarray, parts: int, length: int) -> DataFrame:
     """The single strings of hot anchors, dealt out by their hash.
 
-    ``part`` is where a string is dealt to; a payload has the part of the surroundings, the
-    blocks, how many strings are of each, and per string: the number of the surrounding among
-    those of its block and part, its place in it, its document, and the bytes.
+    ``part`` is where a string is dealt to; a payload has, per string: the block, the number of
+    the surrounding there, the string's place in it, its document, and the bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def bundle() -> pa.RecordBatch:
+            to, block, number, place, low, bodies = map(np.concatenate, zip(*held))
+            held.clear()
+            return batch_of([
+                (p, -1, packed(planes(block[at]), planes(number[at]), place[at], planes(low[at]), bodies[at])) for p, at in by_part(to)
+            ])
+
         for batch in batches:
-            for home_part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks, counts, hashes, _, size, docs, joined = surroundings_of(payload)
-                index = np.flatnonzero(_among(hashes, hot))
+            for i in range(batch.num_rows):
+                block, ids, sizes = (batch.column(k)[i].as_py() for k in range(3))
+                data = np.frombuffer(unpack(batch.column(3)[i].as_py()), np.uint8)
+                start, size, offset, number = places(batch.column(4)[i].as_py())
+                first = firsts(number)
+                index = np.flatnonzero(_among(hashes_at(data, (start + offset)[first]), hot))
                 if not len(index):
                     continue
-                each = size[index] - length + 1
-                begin = (np.cumsum(size) - size)[index]
-                index = np.repeat(index, each)
-                place = np.arange(len(index)) - np.repeat(np.cumsum(each) - each, each)
-                start = np.repeat(begin, each) + place
-                owner = np.repeat(np.arange(len(blocks)), counts)[index]
-                number = index - (np.cumsum(counts) - counts)[owner]
-                to = (window_hashes(joined, length)[start] % U(parts)).astype(np.int64)
-                rows = []
-                for p, at in by_part(to):
-                    body = joined[start[at][:, None] + np.arange(length)]
-                    own, n = np.unique(owner[at], return_counts=True)
-                    rows.append((p, -1, packed(
-                        np.array([home_part]), blocks[own], n, number[at].astype(np.int32), place[at].astype(np.uint8), planes(docs[index[at]]), body
-                    )))
-                yield batch_of(rows)
-
-    return surroundings.select("part", "payload").mapInArrow(run, RUN)
+                low = earliest(number, owners(ids, sizes, start))[index]
+                each = size[first[index]] - length + 1
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                begin = np.repeat(start[first[index]], each) + place
+                bodies = windows(data, length)[begin]
+                to = [window_hashes(bodies[k : k + ROWS].ravel(), length)[::length] for k in range(0, len(bodies), ROWS)]
+                to = (np.concatenate(to) % U(parts)).astype(np.int64)
+                held.append((to, np.full(len(to), block), np.repeat(index, each).astype(np.int32), place.astype(np.uint8), np.repeat(low, each), bodies))
+                if sum(x[-1].size for x in held) >= BUNDLE_BYTES:
+                    yield bundle()
+        if held:
+            yield bundle()
+
+    return blocks.join(where, "block").select("block", "ids", "sizes", "payload", "lies").mapInArrow(run, RUN)
 
 
 def _hot_answers(strings: DataFrame, length: int) -> DataFrame:
-    """Per block and part: which strings of which surroundings an earlier document has.
-
-    ``part`` is -1 less the part of the surroundings.
-    """
+    """Per block, as part -1: which strings of which surroundings an earlier document has."""
 
-    def read(payload: bytes) -> list[np.ndarray]:
-        part, blocks, counts, number, place, docs, joined = unpacked(
-            payload, np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8
-        )
-        return [part, blocks, counts, number, place, from_planes(docs, np.int64), joined.tobytes()]
+    def read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+        block, number, place, docs, bodies = unpacked(payload, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8)
+        return from_planes(block, np.int64), from_planes(number, np.int32), place, from_planes(docs, np.int64), bodies.tobytes()
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[bytes, int] = {}
@@ -493,40 +515,30 @@ def _hot_answers(strings: DataFrame, length: int) -> DataFrame:
                 held.append(payload)
         rows = []
         for payload in held:
-            part, blocks, counts, number, place, docs, raw = read(payload)
+            block, number, place, docs, raw = read(payload)
             least = np.array([low[raw[i * length : (i + 1) * length]] for i in range(len(docs))], np.int64)
             hit = least < docs
-            cuts = np.cumsum(counts).tolist()
-            for block, a, b in zip(blocks.tolist(), [0, *cuts], cuts):
-                if hit[a:b].any():
-                    rows.append((-1 - int(part[0]), block, packed(number[a:b][hit[a:b]], place[a:b][hit[a:b]])))
+            for b, at in by_part(block[hit]):
+                rows.append((-1, b, packed(number[hit][at], place[hit][at])))
         yield batch_of(rows)
 
     return strings.groupBy("part").applyInArrow(run, RUN)
 
 
-def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """Per block and part: for each of its surroundings the smallest document, and the bits.
-
-    For those of hot anchors it is the smallest of the block, and no bits.
-    """
+def _answers(surroundings: DataFrame, length: int) -> DataFrame:
+    """Per block and part: for each of its surroundings the smallest document, and the bits."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, int], int] = {}
         anchor: list[int] = []
         low: list[int] = []
-        parted, numbers, alone = [], [], []
+        parted, numbers = [], []
         for batch in batches:
             for payload in batch.column(2):
                 blocks, counts, hashes, offset, size, docs, joined = surroundings_of(payload.as_py())
                 stop = np.cumsum(size).tolist()
                 raw, number, s = joined.tobytes(), [], 0
-                skip = _among(hashes, hot)
-                for h, o, e, d, apart in zip(hashes.tolist(), offset.tolist(), stop, docs.tolist(), skip.tolist()):
-                    if apart:
-                        number.append(-1)
-                        s = e
-                        continue
+                for h, o, e, d in zip(hashes.tolist(), offset.tolist(), stop, docs.tolist()):
                     k = seen.setdefault((raw[s:e], o), len(low))
                     if k == len(low):
                         anchor.append(h)
@@ -537,21 +549,17 @@ def _answers(surroundings: DataFrame, length: int, hot: np.ndarray) -> DataFrame
                     s = e
                 parted.append((blocks.tolist(), np.cumsum(counts).tolist()))
                 numbers.append(np.array(number, np.int64))
-                alone.append(docs[skip])
         bodies = [body for body, _ in seen]
         seen.clear()
-        # The last one stands for those of hot anchors.
-        least, bits = np.array([*low, LAST], np.int64), np.zeros(len(low) + 1, np.uint64)
+        least, bits = np.array(low, np.int64), np.zeros(len(low), np.uint64)
         # Only anchors with different surroundings have anything to compare.
         for some in _portions(np.array(anchor, np.uint64), np.array(list(map(len, bodies)), np.int64)):
             text = np.frombuffer(b"".join(bodies[k] for k in some), np.uint8)
             bits[some] = earlier_strings(text, np.array([len(bodies[k]) for k in some]), least[some], length)
         rows = []
-        for (blocks, cuts), k, docs in zip(parted, numbers, alone):
-            own = least[k]
-            own[k < 0] = docs
+        for (blocks, cuts), k in zip(parted, numbers):
             for block, a, b in zip(blocks, [0, *cuts], cuts):
-                rows.append((key[0].as_py(), block, packed(own[a:b], bits[k[a:b]])))
+                rows.append((key[0].as_py(), block, packed(least[k[a:b]], bits[k[a:b]])))
         yield batch_of(rows)
 
     return surroundings.groupBy("part").applyInArrow(run, RUN)
@@ -595,13 +603,12 @@ def repeated_bytes(
     lying = settled(_lying(blocks, shared, parts, length), "surroundings")
     hot, n_hot = _hot_anchors(lying)
     where = lying.where("part = -1").select("block", F.col("payload").alias("lies"))
-    around = _surroundings(blocks, where, parts)
-    answers = _answers(around, length, hot)
+    answers = _answers(_surroundings(blocks, where, hot, parts), length)
     if len(hot):
         hot_parts = max(1, -(-n_hot * (length - GRAM + 1) * length // PART_BYTES))
-        answers = answers.union(_hot_answers(_hot_strings(around, hot, hot_parts, length), length))
+        answers = answers.union(_hot_answers(_hot_strings(blocks, where, hot, hot_parts, length), length))
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("answers"))
-    joined = blocks.join(where.join(answers, "block"), "block", "left")
+    joined = blocks.join(where.join(answers, "block", "left"), "block", "left")
     span = length - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -613,20 +620,17 @@ def repeated_bytes(
                 if lies:
                     start, size, offset, number = places(lies)
                     first = firsts(number)
-                    doc = np.searchsorted(np.cumsum(np.array(sizes, np.int64)), start, "right")
-                    own = np.array([LAST if x is None else x for x in ids], np.int64)[doc]
-                    part, _ = home(hashes_at(text, (start + offset)[first]), parts)
-                    found = {row["part"]: unpacked(row["payload"], np.int64, U) for row in given if row["part"] >= 0}
-                    for row in given:
+                    own = owners(ids, sizes, start)
+                    least, bits = earliest(number, own), np.zeros(len(first), U)
+                    hashes = hashes_at(text, (start + offset)[first])
+                    warm = np.flatnonzero(~_among(hashes, hot))
+                    found = {row["part"]: unpacked(row["payload"], np.int64, U) for row in given or () if row["part"] >= 0}
+                    for p, at in by_part(home(hashes[warm], parts)[0]):
+                        least[warm[at]], bits[warm[at]] = found[p]
+                    for row in given or ():
                         if row["part"] < 0:
                             n, k = unpacked(row["payload"], np.int32, np.uint8)
-                            low, bit = found[-1 - row["part"]]
-                            bit = bit.copy()
-                            np.bitwise_or.at(bit, n, U(1) << k.astype(U))
-                            found[-1 - row["part"]] = [low, bit]
-                    least, bits = np.zeros(len(first), np.int64), np.zeros(len(first), U)
-                    for p, at in by_part(part):
-                        least[at], bits[at] = found[p]
+                            np.bitwise_or.at(bits, n, U(1) << k.astype(U))
                     least, bits = least[number], bits[number]
                     later = own > least
                     np.add.at(goes, start[later], 1)

@@ -432,6 +432,22 @@ def test_numbers_in_planes_come_back():
             assert suffixes.from_planes(np.frombuffer(suffixes.planes(values).tobytes(), np.uint8), kind).tolist() == values.tolist()
 
 
+def test_repeated_bytes_where_every_anchor_is_hot(spark, monkeypatch):
+    """Then blocks have no surroundings to compare; what repeats inside a block goes even so."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abcdefgh") for _ in range(300)) for _ in range(6)]
+    rows = [(i, texts[i % 6][i % 4 * 9 :]) for i in range(40)] + [(None, texts[0]), (7, texts[1])]
+    every = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        every.append(suffixes.hashes_at(data, suffixes.anchors(data, np.array([len(data)]), 50)[0]))
+    monkeypatch.setattr(suffixes, "_hot_anchors", lambda df: (np.unique(np.concatenate(every)), 100))
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = result(suffixes.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.repeats(rows)
+
+
 def test_transform_gives_common_prefixes():
     draw = random.Random(2)
     for size in (1, 2, 5, 40, 300):
